@@ -1,8 +1,10 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all grades, ordered thresholds theta_1 < ... < theta_K-1.
-x has, for every distinct word of a text, log(1 + count) under the hash of the word and of its first letters.  The score w.x
-is a sum over words, so a task looks each distinct word up once.  Output is the expected grade, sum of P(grade >= k).
+x has, for every distinct word of a text, log(1 + count) under the hash of the word and of its first letters.  In training each
+feature is scaled by how unevenly it is spread over grades (its largest log-odds over the thresholds, as in naive-Bayes
+log-count ratios), so that the many features that tell nothing cannot fit noise; the scales are folded into w afterwards.
+The score w.x is a sum over words, so a task looks each distinct word up once.  Output is the expected grade, sum of P(grade >= k).
 """
 
 from __future__ import annotations
@@ -55,14 +57,23 @@ class OrdinalModel:
         return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))).sum(axis=1)
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight: np.ndarray, *, width: int, stems: tuple[int, ...], l2: float = 2e-4, steps: int = 150, rate: float = 0.08) -> OrdinalModel:
-    """Weighted maximum likelihood by Adam; thresholds are a first value and positive gaps, so they stay ordered."""
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight: np.ndarray, *, width: int, stems: tuple[int, ...], least_rows: int = 3, l2: float = 1e-4, steps: int = 200, rate: float = 0.05) -> OrdinalModel:
+    """Weighted maximum likelihood by Adam; thresholds are a first value and positive gaps, so they stay ordered.  Features of fewer
+    than least_rows rows are left out."""
     k = int(grades.max()) if len(grades) else 1
     sizes = np.array([len(i) for i, _ in rows], np.int64)
     doc = np.repeat(np.arange(len(rows)), sizes)
     col = np.concatenate([i for i, _ in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
     val = np.concatenate([v for _, v in rows] or [np.zeros(0)]).astype(np.float64)
     used, col = np.unique(col, return_inverse=True)
+    scale = np.zeros(len(used))
+    for j in range(1, k + 1):
+        high = grades[doc] >= j
+        p, q = np.bincount(col[high], minlength=len(used)), np.bincount(col[~high], minlength=len(used))
+        n = (grades >= j).sum()
+        scale = np.maximum(scale, np.abs(np.log((p + 1) / (n + 2)) - np.log((q + 1) / (len(rows) - n + 2))))
+    scale[np.bincount(col, minlength=len(used)) < least_rows] = 0
+    val = val * scale[col]
     weight = weight / max(weight.sum(), 1e-12)
     share = np.array([np.clip((weight * (grades >= j)).sum(), 1e-3, 1 - 1e-3) for j in range(1, max(k, 1) + 1)])
     start = np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(len(share)))
@@ -89,12 +100,12 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(width, np.float32)
-    weights[used] = p[: len(used)]
+    weights[used] = p[: len(used)] * scale
     raw = p[len(used) :]
     return OrdinalModel(weights, np.cumsum(np.r_[raw[0], np.exp(raw[1:])]) if k else np.array([np.inf]), stems)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_grade: int = 3000, max_grade: int = 15, width: int = 1 << 18, stems: tuple[int, ...] = (5, 6)) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_grade: int = 3000, max_grade: int = 15, width: int = 1 << 18, stems: tuple[int, ...] = (4, 5, 6)) -> OrdinalModel:
     """Fits on at most `per_grade` labelled rows of each grade 0..max_grade, those with the smallest hash of their id.
 
     Rows stand for all labelled rows of their grade (weights correct the sampling).  Null labels, ids or texts are left out,
