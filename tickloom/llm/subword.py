@@ -235,4 +235,4 @@ def decode(table: DataFrame, model_path: str, *, ids_col: str = "ids", keep: tup
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
     rest = table.select(*keep, F.col(ids_col).alias("__ids"))
-    return rest.mapInArrow(each, rest.drop("__ids").withColumn("text", F.lit("")).schema)
+    return rest.mapInArrow(each, rest.drop("__ids").withColumn("text", F.lit(None).cast("string")).schema)
