@@ -3,23 +3,26 @@
 Lines are sets of words (A-Z lower-cased, split at ASCII spaces).  A line goes if an earlier line - by document id, then line
 number - has Jaccard similarity of at least the threshold with it; blank lines stay.
 
-1. Equal lines: grouped minimum of their positions; only the first of each goes on.
-2. A fixed-size sketch of word counts over the whole corpus (1 MB of counters, whatever the corpus) orders words by rarity.
+1. Equal lines of a batch are collapsed to the first of them.
+2. A fixed-size sketch of word counts over the whole corpus (2 MB of counters, whatever the corpus) orders words by rarity.
    Any order that is the same everywhere keeps the prefix filter exact; the sketch errs towards calling a word frequent.
 3. Each line files its rarest words (the prefix) with its size, the word's position and a 128-bit parity sketch of its words.
    Files are packed by a hash of the word, so Spark moves a few large rows instead of one for every word.
-4. Inside a file, length, position and parity filters leave candidates.  Each later line first names its earliest candidate
-   only; what those settle is verified; lines that are still open then name all of their candidates.  Groups of like lines
-   thus give about one row a line, not all pairs, and no candidate is lost.
+4. Inside a file, length, position and parity filters leave candidates.  Lines with the same word, size, position and parity
+   stand behind the first of them, and each later line names its earliest candidate only; what those settle is verified.  Lines
+   that are still open and had other candidates, or ones that others stood behind, then name all of their candidates.  Groups of
+   like lines thus give about one row a line, not all pairs, and no candidate is lost.
 5. Candidates' words are fetched and Jaccard is verified exactly.
+
+It is one Spark plan: documents are moved once, by id, and files once, and both exchanges are reused.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, popcount, text_bytes, utf8_list
+from tickloom.llm.common import popcount, text_bytes, utf8_list
 
 CELLS = 1 << 18  # counters of the rarity sketch
 CELL_BITS = 18
@@ -63,166 +66,196 @@ def rarity_sketch(texts: DataFrame, text: str) -> np.ndarray:
 
 
 POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("line", "<i4"), ("id", "<i8"), ("lo", "<u8"), ("hi", "<u8")])
+PLACE = np.dtype([("id", "<i8"), ("line", "<i4")])
+FILED = "file int, postings binary, id long, line int"
+
+
+def _postings(lines: list[tuple[int, int, bytes]], counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Postings of (id, line number, text) in the order of the words' rarity."""
+    words = [x[2].split() for x in lines]
+    sizes = np.fromiter(map(len, words), np.int64, len(lines))
+    code_of: defaultdict[bytes, int] = defaultdict(count().__next__)
+    code = np.fromiter(map(code_of.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, code_of), np.uint64, len(code_of))
+    by_rarity = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
+    rank = np.empty(len(h), np.int64)
+    rank[by_rarity] = np.arange(len(h))
+    both = np.repeat(np.arange(len(lines)), sizes) << 32 | rank[code]
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]]
+    line, code = both >> 32, by_rarity[both & 0xFFFFFFFF]
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    size = np.diff(np.r_[begin, len(line)])
+    bit, high = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1) > 0
+    lo = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit)[code], begin)
+    hi = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0))[code], begin)
+    pos = np.arange(len(line)) - np.repeat(begin, size)
+    prefix = pos < np.repeat(size - -(-num * size // den) + 1, size)
+    at, out = line[prefix], np.empty(int(prefix.sum()), POSTING)
+    out["word"], out["pos"], out["size"] = (h[code[prefix]] >> np.uint64(16)).astype(np.uint32), pos[prefix], size[at]
+    out["id"], out["line"] = np.array([x[0] for x in lines], np.int64)[at], np.array([x[1] for x in lines], np.int32)[at]
+    out["lo"], out["hi"] = lo[at], hi[at]
+    return out
 
 
 def _filer(sketch, files: int, num: int, den: int):
-    """Turns (id, text, lines to file) into packed postings by file."""
-
-    def postings(lines: list[tuple[int, int, list[bytes]]], counts: np.ndarray) -> np.ndarray:
-        sizes = np.fromiter((len(w) for _, _, w in lines), np.int64, len(lines))
-        flat = list(chain.from_iterable(w for _, _, w in lines))
-        code_of = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        code = np.fromiter(map(code_of.__getitem__, flat), np.int64, len(flat))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, code_of), np.uint64, len(code_of))
-        by_rarity = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
-        rank = np.empty(len(h), np.int64)
-        rank[by_rarity] = np.arange(len(h))
-        both = np.unique(np.repeat(np.arange(len(lines)), sizes) << 32 | rank[code])
-        line, code = both >> 32, by_rarity[both & 0xFFFFFFFF]
-        begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-        size = np.diff(np.r_[begin, len(line)])
-        bit = np.uint64(1) << (h & np.uint64(63))
-        high = (h >> np.uint64(6)) & np.uint64(1) > 0
-        lo = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit)[code], begin)
-        hi = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0))[code], begin)
-        pos = np.arange(len(line)) - np.repeat(begin, size)
-        prefix = pos < np.repeat(size - -(-num * size // den) + 1, size)
-        at = line[prefix]
-        out = np.empty(len(at), POSTING)
-        out["word"], out["pos"], out["size"] = (h[code[prefix]] >> np.uint64(16)).astype(np.uint32), pos[prefix], size[at]
-        out["id"], out["line"] = np.array([x[0] for x in lines], np.int64)[at], np.array([x[1] for x in lines], np.int32)[at]
-        out["lo"], out["hi"] = lo[at], hi[at]
-        return out
+    """Turns (id, text) into packed postings by file, and lines that equal an earlier line of the batch into rows of their own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
         for batch in batches:
-            held, n = [], 0
-            ids, texts, wanted = batch.column(0).to_pylist(), utf8_list(batch.column(1)), batch.column(2).to_pylist()
-            made = []
-            for k, (i, x, w) in enumerate(zip(ids, texts, wanted, strict=True)):
-                all_lines = x.lower().split(b"\n")
-                mine = [(i, j, all_lines[j].split()) for j in w]
-                held += mine
-                n += sum(len(x[2]) for x in mine)
-                if held and (n > 2_000_000 or k == len(ids) - 1):
-                    made.append(postings(held, counts))
-                    held, n = [], 0
-            if held:
-                made.append(postings(held, counts))
-            if not made:
-                continue
-            p = np.concatenate(made)
+            first: dict[bytes, tuple[int, int]] = {}
+            again: list[tuple[int, int]] = []
+            for i, x in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
+                for j, line in enumerate(x.lower().split(b"\n")):
+                    held = first.setdefault(line, (i, j))
+                    if held != (i, j):
+                        first[line] = min(held, (i, j))
+                        again.append(max(held, (i, j)))
+            made, part, n = [], [], 0
+            for line, (i, j) in first.items():
+                if line.strip():
+                    part.append((i, j, line))
+                    n += len(line)
+                    if n > 16 << 20:
+                        made.append(_postings(part, sketch.value, num, den))
+                        part, n = [], 0
+            if part:
+                made.append(_postings(part, sketch.value, num, den))
+            p = np.concatenate(made) if made else np.zeros(0, POSTING)
             file = p["word"] % files
             order = np.argsort(file, kind="stable")
             p, file = p[order], file[order]
-            begin = np.flatnonzero(np.r_[True, file[1:] != file[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(file[begin].astype(np.int32)), pa.array([x.tobytes() for x in np.split(p, begin[1:])], pa.binary())], names=["file", "postings"])
+            begin = np.flatnonzero(np.r_[True, file[1:] != file[:-1]]) if len(p) else np.zeros(0, np.int64)
+            packed = [x.tobytes() for x in np.split(p, begin[1:])] if len(p) else []
+            none = [None] * len(packed)
+            lost = [None] * len(again)
+            yield pa.RecordBatch.from_arrays([pa.array([*file[begin].tolist(), *(i % files for i, _ in again)], pa.int32()), pa.array(packed + lost, pa.binary()), pa.array([*none, *(i for i, _ in again)], pa.int64()), pa.array([*none, *(j for _, j in again)], pa.int32())], names=["file", "postings", "id", "line"])
 
     return each
 
 
-def _candidates(num: int, den: int, first_only: bool):
-    """Candidates (id, line, e_id, e_line, more) of one file: the later line, an earlier one, and whether it has others here."""
-    total = num + den
-
-    def pairs(p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        word_size = p["word"].astype(np.uint64) << np.uint64(32) | p["size"]
-        most = np.minimum(p["size"].astype(np.int64) * den // num, 0xFFFFFFFF).astype(np.uint64)
-        end = np.searchsorted(word_size, p["word"].astype(np.uint64) << np.uint64(32) | most, side="right")
-        count = end - np.arange(len(p)) - 1
-        size, rest = p["size"].astype(np.int64), p["size"].astype(np.int64) - p["pos"]
-        edges = np.concatenate([[0], np.cumsum(count)])
-        at = 0
-        while at < len(p):
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 1_000_000, side="right")) - 1)
-            a = np.repeat(np.arange(at, to), count[at:to])
-            b = a + 1 + np.arange(len(a)) - np.repeat(edges[at:to] - edges[at], count[at:to])
-            need = -(-num * (size[a] + size[b]) // total)
-            ok = np.minimum(rest[a], rest[b]) >= need
-            a, b, need = a[ok], b[ok], need[ok]
-            ok = popcount(p["lo"][a] ^ p["lo"][b]).astype(np.int64) + popcount(p["hi"][a] ^ p["hi"][b]) <= size[a] + size[b] - 2 * need
-            a, b = a[ok], b[ok]
-            swap = (p["id"][a] > p["id"][b]) | ((p["id"][a] == p["id"][b]) & (p["line"][a] > p["line"][b]))
-            yield np.where(swap, a, b), np.where(swap, b, a)  # later, earlier
-            at = to
-
-    def run(table: pa.Table, open_lines: pa.Table | None = None) -> pa.Table:
+def _enumerate(p: np.ndarray, anchors: np.ndarray, begin: np.ndarray, end: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (anchor, other) in sorted postings that pass the filters; others of an anchor lie in [begin, end)."""
+    size, rest = p["size"].astype(np.int64), p["size"].astype(np.int64) - p["pos"]
+    each = end - begin
+    edges = np.concatenate([[0], np.cumsum(each)])
+    at = 0
+    while at < len(anchors):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + 1_000_000, side="right")) - 1)
+        a = np.repeat(anchors[at:to], each[at:to])
+        b = np.repeat(begin[at:to] - (edges[at:to] - edges[at]), each[at:to]) + np.arange(len(a))
+        need = -(-num * (size[a] + size[b]) // (num + den))
+        ok = (np.minimum(rest[a], rest[b]) >= need) & (a != b)
+        a, b, need = a[ok], b[ok], need[ok]
+        ok = popcount(p["lo"][a] ^ p["lo"][b]).astype(np.int64) + popcount(p["hi"][a] ^ p["hi"][b]) <= size[a] + size[b] - 2 * need
+        yield a[ok], b[ok]
+        at = to
+
+
+def _places(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of postings, and each posting's line as a number in the corpus's order."""
+    place = np.zeros(len(p), PLACE)
+    place["id"], place["line"] = p["id"], p["line"]
+    order = np.lexsort((p["line"], p["id"]))
+    new = np.r_[False, place[order][1:] != place[order][:-1]] if len(p) else np.zeros(0, bool)
+    rank = np.empty(len(p), np.int64)
+    rank[order] = np.cumsum(new)
+    return place, rank
+
+
+def _candidates(num: int, den: int):
+    """Two functions of a file's rows that give candidates (file, id, line, e_id, e_line, more): for every later line its earliest
+    one and whether there may be others; for the open lines, all."""
+
+    def read(table: pa.Table) -> tuple[np.ndarray, int]:
         raw = [x for x in table.column("postings").to_pylist() if x]
         p = np.frombuffer(b"".join(raw), POSTING) if raw else np.zeros(0, POSTING)
-        p = p[np.lexsort((p["size"], p["word"]))]
-        file = table.column("file")[0].as_py() if table.num_rows else None
-        rank = np.empty(len(p), np.int64)  # place of each posting's line in the corpus's order
-        rank[np.lexsort((p["line"], p["id"]))] = np.arange(len(p))
-        allowed = None
-        if open_lines is not None:
-            want = np.zeros(open_lines.num_rows, [("id", "<i8"), ("line", "<i4")])
-            want["id"], want["line"] = open_lines.column("id").to_numpy(), open_lines.column("line").to_numpy()
-            have = np.zeros(len(p), want.dtype)
-            have["id"], have["line"] = p["id"], p["line"]
-            allowed = np.isin(have.view("V12"), want.view("V12"))
-        later, earlier = [], []
-        for x, y in pairs(p):
-            if allowed is not None:
-                x, y = x[allowed[x]], y[allowed[x]]
-            later.append(x)
-            earlier.append(y)
-        later = np.concatenate(later) if later else np.zeros(0, np.int64)
-        earlier = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
-        more = np.zeros(len(later), bool)
-        if first_only and len(later):
-            key_of = np.zeros(len(p), [("id", "<i8"), ("line", "<i4")])
-            key_of["id"], key_of["line"] = p["id"], p["line"]
-            _, key = np.unique(key_of, return_inverse=True)
-            order = np.lexsort((rank[earlier], key[later]))
-            later, earlier = later[order], earlier[order]
-            begin = np.flatnonzero(np.r_[True, key[later][1:] != key[later][:-1]])
-            last = np.r_[begin[1:], len(later)] - 1
-            more = key[earlier[begin]] != key[earlier[last]]
-            later, earlier = later[begin], earlier[begin]
-        return pa.table({"file": pa.array(np.full(len(later), file if file is not None else 0, np.int32)), "id": pa.array(p["id"][later]), "line": pa.array(p["line"][later]), "e_id": pa.array(p["id"][earlier]), "e_line": pa.array(p["line"][earlier]), "more": pa.array(more)})
-
-    return (lambda table: run(table)) if first_only else run
+        return p[np.lexsort((p["line"], p["id"], p["pos"], p["hi"], p["lo"], p["size"], p["word"]))], table.column("file")[0].as_py() if table.num_rows else 0
+
+    def key(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return p["word"].astype(np.uint64) << np.uint64(32) | np.minimum(size, 0xFFFFFFFF).astype(np.uint64)
+
+    def give(p: np.ndarray, file: int, later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> pa.Table:
+        return pa.table({"file": pa.array(np.full(len(later), file, np.int32)), "id": pa.array(p["id"][later]), "line": pa.array(p["line"][later]), "e_id": pa.array(p["id"][earlier]), "e_line": pa.array(p["line"][earlier]), "more": pa.array(more)})
+
+    def earliest(table: pa.Table) -> pa.Table:
+        whole, file = read(table)
+        same = np.r_[False, np.logical_and.reduce([whole[c][1:] == whole[c][:-1] for c in ("word", "size", "lo", "hi", "pos")])] if len(whole) else np.zeros(0, bool)
+        heads = np.flatnonzero(~same)
+        behind = np.diff(np.r_[heads, len(whole)]) > 1
+        p, follows = whole[heads], np.flatnonzero(same)
+        begin = np.arange(len(p)) + 1
+        end = np.searchsorted(key(p, p["size"]), key(p, p["size"].astype(np.int64) * den // num), side="right")
+        _, rank = _places(whole)
+        later, earlier, more = [follows], [heads[np.cumsum(~same) - 1][follows]], [np.ones(len(follows), bool)]
+        for a, b in _enumerate(p, np.arange(len(p)), begin, np.maximum(begin, end), num, den):
+            swap = rank[heads[a]] > rank[heads[b]]
+            x, y = np.where(swap, a, b), np.where(swap, b, a)
+            later.append(heads[x])
+            earlier.append(heads[y])
+            more.append(behind[y])
+        later, earlier, more = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
+        keep = rank[later] != rank[earlier]
+        later, earlier, more = later[keep], earlier[keep], more[keep]
+        order = np.lexsort((rank[earlier], rank[later]))
+        later, earlier, more = later[order], earlier[order], more[order]
+        start = np.flatnonzero(np.r_[True, rank[later][1:] != rank[later][:-1]]) if len(later) else np.zeros(0, np.int64)
+        last = np.r_[start[1:], len(later)] - 1 if len(later) else start
+        more = np.logical_or.reduceat(more, start) | (rank[earlier[start]] != rank[earlier[last]]) if len(later) else more
+        return give(whole, file, later[start], earlier[start], more)
+
+    def every(table: pa.Table, open_lines: pa.Table) -> pa.Table:
+        p, file = read(table)
+        place, rank = _places(p)
+        want = np.zeros(open_lines.num_rows, PLACE)
+        want["id"], want["line"] = open_lines.column("o_id").to_numpy(), open_lines.column("o_line").to_numpy()
+        anchors = np.flatnonzero(np.isin(place.view("V12"), want.view("V12"))) if len(p) and len(want) else np.zeros(0, np.int64)
+        a, by = p[anchors], key(p, p["size"])
+        begin = np.searchsorted(by, key(a, -(-a["size"].astype(np.int64) * num // den)))
+        end = np.searchsorted(by, key(a, a["size"].astype(np.int64) * den // num), side="right")
+        later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in _enumerate(p, anchors, begin, end, num, den):
+            before = rank[y] < rank[x]
+            later.append(x[before])
+            earlier.append(y[before])
+        later, earlier = np.concatenate(later), np.concatenate(earlier)
+        return give(p, file, later, earlier, np.zeros(len(later), bool))
+
+    return earliest, every
 
 
 CANDIDATE = "file int, id long, line int, e_id long, e_line int, more boolean"
 
 
 def repeated_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(texts, kept): texts (id, text) as read, partitioned by id, and kept (k_id, lines), the numbers of the lines of each
-    document that are not blank and stay.  Rows with a null id or text are left out; of rows that repeat an id, equal
-    lines at equal places count as one line."""
+    """(texts, gone): texts (id, text) partitioned by id, and gone (g_id, gone), the numbers of the lines that go from each document.
+    Rows with a null id or text are left out; of rows that repeat an id, equal places count as one line, whichever row holds it."""
     part = Fraction(similarity).limit_denominator(1000)
     num, den = part.numerator, part.denominator
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     files = int(min(65536, max(512, text_bytes(source, "text") // file_bytes)))
-    texts = source.repartition("id")
-    blank = F.regexp_replace(F.col("l.col"), SPACES, "") == ""
-    flat = source.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "col")).select("id", F.struct("pos", "col").alias("l")).where(~blank)
-    low = F.translate(F.col("l.col"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    firsts = flat.groupBy(F.xxhash64(low).alias("h"), F.xxhash64(low, F.lit(1)).alias("g")).agg(F.min(F.struct("id", F.col("l.pos").alias("line"))).alias("first")).select("first.*")
-    firsts = cut(firsts.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")))  # a document's own lines at most
     sketch = docs.sparkSession.sparkContext.broadcast(rarity_sketch(source, "text"))  # CELLS counters
-    wanted = firsts.select(F.col("id").alias("w_id"), "lines")
-    filed = texts.join(wanted, F.col("id") == F.col("w_id")).select("id", "text", "lines").mapInArrow(_filer(sketch, files, num, den), "file int, postings binary").repartition("file")
+    texts = source.repartition("id")
+    filed = source.mapInArrow(_filer(sketch, files, num, den), FILED).repartition("file")
+    earliest, every = _candidates(num, den)
 
     def verified(candidates: DataFrame) -> DataFrame:
         """Of candidates (id, line, e_id, e_line): later lines that match their earlier one."""
         pairs = candidates.select("id", "line", "e_id", "e_line").distinct()
-        ends = pairs.select("id", "line").union(pairs.select("e_id", "e_line")).distinct().groupBy(F.col("id").alias("n_id")).agg(F.collect_list("line").alias("lines"))
+        ends = pairs.select("id", "line").union(pairs.select("e_id", "e_line")).groupBy(F.col("id").alias("n_id")).agg(F.collect_set("line").alias("lines"))
         line_words = texts.join(ends, F.col("id") == F.col("n_id")).select("id", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-        words = line_words.select("id", "line", _words(F.element_at("all", F.col("line") + 1)).alias("words"))
+        words = line_words.select("id", "line", _words(F.try_element_at("all", F.col("line") + 1)).alias("words"))
         first, second = words.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("words").alias("a")), words.select(F.col("id").alias("b_id"), F.col("line").alias("b_line"), F.col("words").alias("b"))
         joined = pairs.join(first, (F.col("id") == F.col("a_id")) & (F.col("line") == F.col("a_line"))).join(second, (F.col("e_id") == F.col("b_id")) & (F.col("e_line") == F.col("b_line")))
         return joined.where(F.size(F.array_intersect("a", "b")) * (num + den) >= num * (F.size("a") + F.size("b"))).select("id", "line").distinct()
 
-    first = cut(filed.groupBy("file").applyInArrow(_candidates(num, den, True), CANDIDATE))
-    gone = cut(verified(first))
-    still = first.where("more").join(gone.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select("file", "id", "line").distinct()
-    rest = cut(filed.groupBy("file").cogroup(still.groupBy("file")).applyInArrow(_candidates(num, den, False), CANDIDATE))
-    gone = gone.union(verified(rest)).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
-    kept = firsts.join(gone, F.col("id") == F.col("g_id"), "left").select(F.col("id").alias("k_id"), F.array_except("lines", F.coalesce("gone", F.array().cast("array<int>"))).alias("lines"))
-    return texts, kept
+    first = filed.where("postings is not null").groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE).repartition("id", "line")
+    settled = verified(first)
+    still = first.where("more").join(settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select(F.col("file").alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line")).distinct()
+    rest = filed.where("postings is not null").groupBy("file").cogroup(still.groupBy("o_file")).applyInArrow(every, CANDIDATE)
+    again = filed.where("postings is null").select("id", "line")
+    gone = again.union(settled).union(verified(rest)).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
+    return texts, gone
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,9 +263,9 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_
 
     Rows with a null id or text are not in the result.  Rows that repeat an id are cleaned alike: a line stays in each of them.
     """
-    texts, kept = repeated_lines(docs, similarity=similarity, id_col=id_col, text_col=text_col)
-    joined = texts.join(kept, F.col("id") == F.col("k_id"), "left").select("id", F.split("text", "\n").alias("all"), F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
-    stays = F.filter("all", lambda x, i: F.array_contains("lines", i) | (F.regexp_replace(x, SPACES, "") == ""))
+    texts, gone = repeated_lines(docs, similarity=similarity, id_col=id_col, text_col=text_col)
+    joined = texts.join(gone, F.col("id") == F.col("g_id"), "left").select("id", F.split("text", "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    stays = F.filter("all", lambda x, i: ~F.array_contains("gone", i) | (F.regexp_replace(x, SPACES, "") == ""))
     out = joined.select("id", F.size("all").alias("n_lines"), stays.alias("left"))
     return out.select("id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"))
 
