@@ -144,10 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_co
 def expected_severity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", out_col: str = "severity", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the expected severity (double).  Null and empty texts have severity of an empty text."""
     name = f"{model.weights[:4096].tobytes().__hash__()}"
-    box = docs.sparkSession.sparkContext.broadcast(model)  # width floats, a fixed size
+    box = docs.sparkSession.sparkContext.broadcast(model.weights)  # width floats, a fixed size
+    thresholds, stems = model.thresholds, model.stems
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, m = worker_cache(), box.value
+        cache, m = worker_cache(), OrdinalModel(box.value, thresholds, stems)
         for batch in batches:
             words = cache.setdefault(f"toxic {name}", {})
             if len(words) > WORD_MEMORY:
