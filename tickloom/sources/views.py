@@ -54,8 +54,8 @@ def bars_hourly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
-    """Headline-like text: doc_id, day, lang, title."""
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("day"), "lang", F.substring("text", 1, 90).alias("title"))
+    """Headline-like text: doc_id, day, lang and title, the text's first line."""
+    return table(spark, d, "documents").select("doc_id", F.col("source").alias("day"), "lang", F.split("text", "\n")[0].alias("title"))
 
 
 def quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ VIEW_SQL = {
     "hourly": """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, max(CASE WHEN a = 1 THEN value END) AS open, max(value) AS high, min(value) AS low, max(CASE WHEN z = 1 THEN value END) AS close, count(*) AS volume
         FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) AS a, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id DESC) AS z FROM events)
         GROUP BY event_type, date_trunc('hour', ts)""",
-    "titles": "SELECT doc_id, source AS day, lang, substr(text, 1, 90) AS title FROM documents",
+    "titles": "SELECT doc_id, source AS day, lang, split_part(text, chr(10), 1) AS title FROM documents",
     "quotes": """SELECT p.p_partkey AS symbol, p.p_name AS name, CASE WHEN p.p_size <= 25 THEN 'US' ELSE 'SGX' END AS exchange, CASE WHEN p.p_size % 5 = 0 THEN NULL ELSE p.p_size END AS pe_ratio, p.p_retailprice AS price,
         v.vol AS avg_volume_3m, p.p_retailprice * coalesce(v.vol, 0) AS market_cap FROM part p LEFT JOIN (SELECT l_partkey, avg(l_quantity) AS vol FROM lineitem GROUP BY l_partkey) v ON v.l_partkey = p.p_partkey""",
     "watchers": """SELECT c.c_custkey AS owner_id, n.n_name AS country, r.r_name AS region, c.c_mktsegment AS segment FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey""",
