@@ -10,6 +10,7 @@ from math import exp, isfinite, lgamma, log
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tickloom.operators.alignment import BUCKETS, bucket_of
@@ -50,12 +51,12 @@ def t_quantile(df: float, level: float = 0.95) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(float(x)) if x > 0 else None for x in df], dtype="float64")
 
