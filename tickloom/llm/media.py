@@ -74,7 +74,8 @@ def probe(raw: bytes) -> list[Track]:
         per_chunk = np.zeros(len(chunks), np.int64)
         for i, (first, n, _) in enumerate(runs.tolist()):
             per_chunk[first - 1 : runs[i + 1, 0] - 1 if i + 1 < len(runs) else None] = n
-        chunk = np.repeat(np.arange(len(chunks)), per_chunk)[: len(sizes)]
+        held = np.cumsum(per_chunk)  # samples up to each chunk; a damaged count makes no more samples than there are sizes
+        chunk = np.searchsorted(held, np.arange(min(len(sizes), int(held[-1]) if len(held) else 0)), side="right")
         sizes = sizes[: len(chunk)]
         before = np.cumsum(sizes) - sizes
         begin = np.r_[True, chunk[1:] != chunk[:-1]] if len(chunk) else np.zeros(0, bool)
@@ -102,6 +103,8 @@ def probe(raw: bytes) -> list[Track]:
                 tables["chunks"] = _table(data, at + 4, ">u4" if kind == b"stco" else ">u8")[:, 0]
             elif kind == b"stsz":
                 one, n = struct.unpack_from(">II", data, at + 4)
+                if one * n > len(data):
+                    raise ValueError("more samples than bytes")
                 tables["sizes"] = np.full(n, one, np.int64) if one else _table(data, at + 8, ">u4")[:, 0]
             elif kind == b"stss":
                 tables["stss"] = _table(data, at + 4, ">u4")[:, 0] - 1
