@@ -1,9 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model over the bytes of trusted text.
 
 Each language has its own model of 4-grams of UTF-8 bytes.  Documents are hashed into blocks of some 32 MB.  A block names every
-n-gram it holds, once, with how often its trusted documents use it.  The named n-grams are sharded by hash, summed, and joined
-with the counts of their contexts and shorter n-grams, order by order, into probabilities; these go back to the blocks that
-named them, where each document's log-probability is added up.  Nothing is broadcast, and what is counted and sent grows with
+n-gram it holds, once, with how often its trusted documents use it, packed by shard.  Shards sum the counts, which are joined
+with the counts of their contexts and shorter n-grams, order by order, into probabilities; these go back, packed, to the blocks
+that named them, where each document's log-probability is added up.  Nothing is broadcast, and what is counted and sent grows with
 the corpus.
 
 Trusted documents are split: four fifths train the model, one fifth (by hash of the id) sets each language's threshold, a
@@ -14,7 +14,6 @@ quantile of their perplexities.  Perplexities of short texts are drawn to their
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,41 +49,122 @@ def _texts_by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, list[byte
     return {k: (np.array(v), [texts[r] for r in v], np.array([role[r] for r in v])) for k, v in sorted(found.items())}
 
 
-def _named(table: pa.Table) -> pa.Table:
-    """The distinct 4-grams of a block by language, with their counts in its training documents."""
-    block = table.column("block")[0].as_py()
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order and their summed counts."""
+    gram = np.concatenate([g for g, _ in parts] or [np.zeros(0, np.uint32)])
+    n = np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)])
+    order = np.argsort(gram, kind="stable")
+    gram, n = gram[order], n[order]
+    begin = _runs(gram)
+    return gram[begin], np.add.reduceat(n, begin) if len(begin) else n
+
+
+def _counted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a slice in order, with counts: a sort, which is faster here than a hash table."""
+    g = np.sort(g)
+    begin = _runs(g)
+    return g[begin], np.diff(np.r_[begin, len(g)])
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes, n: int, kind: str) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(-1, n).T).reshape(-1).view(kind)
+
+
+NAMED = "shard int, block int, lang string, many int, grams binary, counts binary"
+
+
+def _namer(shards: int):
+    """The distinct 4-grams of a block by language, with their counts in its training documents: a packed row for each shard."""
+
+    def each(table: pa.Table) -> pa.Table:
+        block, rows = table.column("block")[0].as_py(), []
+        for lang, (_, texts, role) in _texts_by_language(table).items():
+            every, trained = [], []
+            for a, b in doc_slices([len(x) for x in texts], 4 << 20):
+                g, sizes = grams(texts[a:b])
+                own = _counted(g)[0]
+                every.append((own, np.zeros(len(own), np.int64)))
+                if (role[a:b] == 1).any():
+                    trained.append(_counted(g[np.repeat(role[a:b] == 1, sizes)]))
+            gram, n = _tally(every + trained)
+            shard = gram.view(np.int32).astype(np.int64) % shards
+            order = np.lexsort((gram, shard))
+            edges = np.r_[_runs(shard[order]), len(gram)]
+            for x in np.split(order, edges[1:-1]) if len(gram) else []:
+                rows.append((int(shard[x[0]]), block, lang, len(x), _squeeze(gram[x]), _squeeze(n[x])))
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NAMED.split(", ")])
+
+    return each
+
+
+def _packed(table: pa.Table) -> dict[str, list[tuple[int, np.ndarray, bytes]]]:
+    """Of a shard's packed rows: by language block, n-grams and counts (still packed)."""
+    found: dict[str, list[tuple[int, np.ndarray, bytes]]] = {}
+    for block, lang, many, gram, n in zip(*(table.column(c).to_pylist() for c in ("block", "lang", "many", "grams", "counts")), strict=True):
+        found.setdefault(lang, []).append((block, _unsqueeze(gram, many, "<u4"), n))
+    return found
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """(lang, gram, n) of a shard, over all blocks."""
     parts = []
-    for lang, (_, texts, role) in _texts_by_language(table).items():
-        keys, counts = [], []
-        for a, b in doc_slices([len(x) for x in texts], 4 << 20):
-            g, sizes = grams(texts[a:b])
-            code, uniq = pd.factorize(g)
-            keys.append(uniq)
-            counts.append(np.bincount(code, np.repeat(role[a:b] == 1, sizes), len(uniq)))
-        code, uniq = pd.factorize(np.concatenate(keys))
-        n = np.bincount(code, np.concatenate(counts), len(uniq)).astype(np.int64)
-        parts.append(pa.table({"block": pa.array(np.full(len(uniq), block, np.int32)), "lang": pa.array([lang]).take(pa.array(np.zeros(len(uniq), np.int32))), "gram": pa.array(uniq.view(np.int32)), "n": pa.array(n)}))
-    if not parts:
-        return pa.table({"block": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+    for lang, rows in sorted(_packed(table).items()):
+        gram, n = _tally([(g, _unsqueeze(c, len(g), "<i8")) for _, g, c in rows])
+        parts.append(pa.table({"lang": pa.array([lang]).take(pa.array(np.zeros(len(gram), np.int32))), "gram": pa.array(gram.view(np.int32)), "n": pa.array(n)}))
     return pa.concat_tables(parts)
 
 
+ANSWER = "block int, lang string, many int, grams binary, logp binary"
+
+
+def _answered(named: pa.Table, logp: pa.Table) -> pa.Table:
+    """Each block's n-grams of a shard with their log-probabilities, packed."""
+    rows = []
+    if named.num_rows:
+        by_lang = logp.column("lang").to_numpy(zero_copy_only=False)
+        gram, value = logp.column("gram").to_numpy().view(np.uint32), logp.column("logp").to_numpy()
+        for lang, parts in sorted(_packed(named).items()):
+            mine = np.flatnonzero(by_lang == lang)
+            order = mine[np.argsort(gram[mine])]
+            keys, values = gram[order], value[order].astype(np.float32)
+            rows += [(block, lang, len(g), _squeeze(g), _squeeze(values[np.searchsorted(keys, g)])) for block, g, _ in parts]
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
+
+
 def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Log-probability of each document of a block."""
+    """Log-probability of each document of a block.  A slice's (n-gram, document) pairs are sorted, so that each distinct n-gram is
+    looked up once and memory is read in order."""
     ids, langs, roles, sizes, sums = [], [], [], [], []
     if docs.num_rows:
-        all_ids, by_lang = docs.column("id"), answers.column("lang").to_numpy(zero_copy_only=False)
-        gram, value = answers.column("gram").to_numpy().view(np.uint32), answers.column("logp").to_numpy()
+        all_ids = docs.column("id")
+        known: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, many, g, v in zip(*(answers.column(c).to_pylist() for c in ("lang", "many", "grams", "logp")), strict=True):
+            known.setdefault(lang, []).append((_unsqueeze(g, many, "<u4"), _unsqueeze(v, many, "<f4")))
         for lang, (rows, texts, role) in _texts_by_language(docs).items():
-            mine = by_lang == lang
-            order = np.argsort(gram[mine])
-            keys, logp = gram[mine][order], value[mine][order]
+            keys, logp = (np.concatenate(x) for x in zip(*known.get(lang, [(np.zeros(0, np.uint32), np.zeros(0, np.float32))]), strict=True))
+            order = np.argsort(keys)
+            keys, logp = keys[order], logp[order].astype(np.float64)
             for a, b in doc_slices([len(x) for x in texts], 4 << 20):
                 g, n = grams(texts[a:b])
-                code, uniq = pd.factorize(g)
-                each = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, uniq)][code])]) if len(g) else np.zeros(1)
-                ends = np.cumsum(n)
-                sums.append(each[ends] - each[ends - n])
+                pairs = np.sort(g.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(n), dtype=np.uint64), n))
+                gram = (pairs >> np.uint64(32)).astype(np.uint32)
+                begin = _runs(gram)
+                each = np.repeat(logp[np.searchsorted(keys, gram[begin])], np.diff(np.r_[begin, len(gram)]))
+                sums.append(np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), each, len(n)))
                 sizes.append(n)
             ids += all_ids.take(pa.array(rows)).to_pylist()
             langs += [lang] * len(rows)
@@ -143,7 +223,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return p.select("lang", F.col("g4").alias("gram"), F.log("p").alias("logp"))
 
 
-def document_scores(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = 32 << 20) -> DataFrame:
+def document_scores(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = 32 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(id, lang, role, n_bytes, logp): natural log-probability of each row's text.  trusted has the ids of trusted documents.
 
     Null text is empty (logp 0); null language is the language ''.  A row with a null id is never trusted; a repeated id is
@@ -151,14 +231,17 @@ def document_scores(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_i
     """
     rows = docs.select(F.lit(0).alias("kind"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     marks = trusted.select(F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("id"), F.lit("").alias("lang"), F.lit(None).cast("string").alias("text")).where("id is not null")
-    n = max(1, -(-text_bytes(docs, text_col) // block_bytes))
+    total = text_bytes(docs, text_col)
+    n, shards = max(1, -(-total // block_bytes)), max(1, total // shard_bytes) | 1
     # rows without an id are spread by their text
     spread = F.when(F.col("id").isNull(), hash_bucket(F.col("text"), n)).otherwise(hash_bucket(F.col("id"), n, 1))
     parts = rows.union(marks).withColumn("block", spread).withColumn("fold", hash_bucket(F.coalesce("id", F.lit(0)), HELD_OUT, 2)).repartition(n, "block")
-    named = parts.groupBy("block").applyInArrow(_named, "block int, lang string, gram int, n long").repartition("lang", "gram")
-    logp = probabilities(named.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    answers = named.select("block", "lang", "gram").join(logp.select(F.col("lang").alias("p_lang"), F.col("gram").alias("p_gram"), "logp"), (F.col("lang") == F.col("p_lang")) & (F.col("gram") == F.col("p_gram"))).select("block", "lang", "gram", "logp")
-    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "id long, lang string, role int, n_bytes long, logp double")
+    # both sides of a cogroup are dealt alike, so that texts move once
+    named = parts.groupBy("block").applyInArrow(_namer(shards), NAMED).repartition(shards, "shard")
+    logp = probabilities(named.groupBy("shard").applyInArrow(lambda t: _summed(t), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    dealt = logp.select(F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), "lang", "gram", "logp").repartition(shards, "shard")
+    answers = named.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(lambda a, b: _answered(a, b), ANSWER).repartition(n, "block")
+    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b), "id long, lang string, role int, n_bytes long, logp double")
 
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, margin: float = 1.15, prior_bytes: int = 100, **score) -> DataFrame:
