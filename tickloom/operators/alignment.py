@@ -24,11 +24,11 @@ def session_days(sessions: DataFrame) -> DataFrame:
 
 
 def asof_session(articles: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Adds session: the first whose close is after published_at; null past the last close.  News at the close belongs to the next."""
+    """Adds session: the first whose close is after published_at; null past the last close or without a time.  News at the close belongs to the next."""
     first = sessions.agg(F.min("session").alias("__first"))  # one row
     a = articles.crossJoin(F.broadcast(first)).withColumn("__day", F.greatest(F.col("published_at").cast("date"), F.col("__first"))).drop("__first")
     days = session_days(sessions).select(F.col("day").alias("__on"), F.col("session").alias("__s"), "close_utc", "next_session")
-    session = F.when(F.col("published_at") < F.col("close_utc"), F.col("__s")).otherwise(F.col("next_session"))
+    session = F.when(F.col("published_at") < F.col("close_utc"), F.col("__s")).when(F.col("published_at") >= F.col("close_utc"), F.col("next_session"))
     return a.join(days, F.col("__day") == F.col("__on"), "left").withColumn("session", session).drop("__day", "__on", "__s", "close_utc", "next_session")
 
 
