@@ -3,34 +3,35 @@
 Lines are sets of words (A-Z lower-cased, split at ASCII spaces).  A line goes if an earlier line - by document id, then line
 number - has Jaccard similarity of at least the threshold with it; blank lines stay.
 
-1. Equal lines of a batch are collapsed to the first of them.
+1. Equal lines of a batch are collapsed to the first of them; lines that are equal over batches meet by their 128-bit digest.
 2. A fixed-size sketch of word counts over the whole corpus (2 MB of counters, whatever the corpus) orders words by rarity.
    Any order that is the same everywhere keeps the prefix filter exact; the sketch errs towards calling a word frequent.
-3. Each line files its rarest words (the prefix) with its size, the word's position and a 128-bit parity sketch of its words.
+3. Each line files its rarest words (the prefix) with its size, the word's position and a 64-bit parity sketch of its words.
    Files are packed by a hash of the word, so Spark moves a few large rows instead of one for every word.
 4. Inside a file, length, position and parity filters leave candidates.  Lines with the same word, size, position and parity
    stand behind the first of them, and each later line names its earliest candidate only; what those settle is verified.  Lines
    that are still open and had other candidates, or ones that others stood behind, then name all of their candidates.  Groups of
-   like lines thus give about one row a line, not all pairs, and no candidate is lost.
-5. Candidates' words are fetched and Jaccard is verified exactly.
+   like lines thus give about one row a line, not all pairs, and no candidate is lost.  Lines that match share more than one word
+   of their prefixes if they are long: pairs that share fewer, counted over all files, go no further.
+5. The earlier line of each candidate pair is taken to the later one's document, where Jaccard is verified exactly.
 
 It is one Spark plan: documents are moved once, by id, and files once, and both exchanges are reused.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import chain, count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import popcount, text_bytes, utf8_list
+from tickloom.llm.common import doc_slices, popcount, text_bytes, utf8_list, worker_cache
 
 CELLS = 1 << 18  # counters of the rarity sketch
 CELL_BITS = 18
@@ -43,17 +44,47 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(lower, SPACES), lambda w: w != ""))
 
 
+BASE = 0x9E3779B97F4A7C15  # of the words' polynomial hash, odd
+PIECE = 4 << 20  # bytes that are hashed at a time
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64, kept by the worker."""
+    cache = worker_cache()
+    if len(cache.get("line_powers", ((),))[0]) < n:
+        n = max(n, 2 * PIECE)
+        grow = lambda x: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))])
+        cache["line_powers"] = grow(BASE), grow(pow(BASE, -1, 1 << 64))
+    return cache["line_powers"]
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of lower-cased text, and where each begins.  All words are hashed at once: differences of a prefix
+    sum of a polynomial, brought to place zero and mixed."""
+    text = np.frombuffer(raw, np.uint8)
+    word = ~IS_SPACE[text]
+    edge = np.diff(np.r_[False, word, False].view(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(len(text))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32)), start
+
+
 def rarity_sketch(texts: DataFrame, text: str) -> np.ndarray:
     """Word counts of the whole corpus in CELLS counters.  Each task sends one row for each of 64 stretches of the counters."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            counts: Counter[bytes] = Counter()
-            for x in utf8_list(batch.column(0)):
-                counts.update(x.lower().split())
-            at = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - CELL_BITS) for w in counts), np.int64, len(counts))
-            cells += np.bincount(at, np.fromiter(counts.values(), np.float64, len(counts)), CELLS).astype(np.int64)
+            found = utf8_list(batch.column(0))
+            for a, b in doc_slices([len(x) for x in found], PIECE):
+                h, _ = hashed_words(b"\n".join(found[a:b]).lower())
+                cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).view(np.int64), minlength=CELLS)
         parts = cells.reshape(64, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "cells"])
 
@@ -65,36 +96,58 @@ def rarity_sketch(texts: DataFrame, text: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.cells, np.int64) for r in sorted(rows, key=lambda r: r.part)]) if rows else np.zeros(CELLS, np.int64)
 
 
-POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("line", "<i4"), ("id", "<i8"), ("lo", "<u8"), ("hi", "<u8")])
+POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("line", "<i4"), ("id", "<i8"), ("parity", "<u8")])
+DIGEST = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("line", "<i4")])
 PLACE = np.dtype([("id", "<i8"), ("line", "<i4")])
-FILED = "file int, postings binary, id long, line int"
+FILED = "file int, postings binary, digests binary, id long, line int"
+
+
+def _squeeze(p: np.ndarray) -> bytes:
+    """Records byte by byte of their columns, compressed: neighbours have much in common."""
+    return len(p).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueeze(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """All records of a column of squeezed pieces."""
+    made = [np.zeros(0, kind)]
+    for raw in column.to_pylist():
+        if raw:
+            n = int.from_bytes(raw[:4], "little")
+            flat = np.frombuffer(pa.decompress(raw[4:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+            made.append(np.ascontiguousarray(flat.reshape(-1, n).T).reshape(-1).view(kind))
+    return np.concatenate(made)
+
+
+def _by_file(records: np.ndarray, key: np.ndarray, files: int) -> tuple[list[int], list[bytes]]:
+    """File numbers and squeezed records of each, in the order of the key."""
+    file = (key % np.array(files, key.dtype)).astype(np.int64)
+    order = np.lexsort((key, file))
+    records, file = records[order], file[order]
+    begin = np.flatnonzero(np.r_[True, file[1:] != file[:-1]]) if len(file) else np.zeros(0, np.int64)
+    return file[begin].tolist(), [_squeeze(x) for x in np.split(records, begin[1:])] if len(file) else []
 
 
 def _postings(lines: list[tuple[int, int, bytes]], counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Postings of (id, line number, text) in the order of the words' rarity."""
-    words = [x[2].split() for x in lines]
-    sizes = np.fromiter(map(len, words), np.int64, len(lines))
-    code_of: defaultdict[bytes, int] = defaultdict(count().__next__)
-    code = np.fromiter(map(code_of.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, code_of), np.uint64, len(code_of))
-    by_rarity = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
+    """Postings of (id, line number, text) in the order of the words' rarity; every line has a word."""
+    ends = np.cumsum(np.fromiter((len(x[2]) + 1 for x in lines), np.int64, len(lines)))
+    hashes, start = hashed_words(b"\n".join(x[2] for x in lines))
+    code, h = pd.factorize(hashes)
+    by_rarity = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).view(np.int64)]))
     rank = np.empty(len(h), np.int64)
     rank[by_rarity] = np.arange(len(h))
-    both = np.repeat(np.arange(len(lines)), sizes) << 32 | rank[code]
+    both = np.searchsorted(ends, start, side="right") << 32 | rank[code]
     both.sort()
     both = both[np.r_[True, both[1:] != both[:-1]]]
     line, code = both >> 32, by_rarity[both & 0xFFFFFFFF]
     begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     size = np.diff(np.r_[begin, len(line)])
-    bit, high = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1) > 0
-    lo = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit)[code], begin)
-    hi = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0))[code], begin)
+    parity = np.bitwise_xor.reduceat((np.uint64(1) << (h & np.uint64(63)))[code], begin)
     pos = np.arange(len(line)) - np.repeat(begin, size)
     prefix = pos < np.repeat(size - -(-num * size // den) + 1, size)
     at, out = line[prefix], np.empty(int(prefix.sum()), POSTING)
     out["word"], out["pos"], out["size"] = (h[code[prefix]] >> np.uint64(16)).astype(np.uint32), pos[prefix], size[at]
     out["id"], out["line"] = np.array([x[0] for x in lines], np.int64)[at], np.array([x[1] for x in lines], np.int32)[at]
-    out["lo"], out["hi"] = lo[at], hi[at]
+    out["parity"] = parity[at]
     return out
 
 
@@ -111,29 +164,26 @@ def _filer(sketch, files: int, num: int, den: int):
                     if held != (i, j):
                         first[line] = min(held, (i, j))
                         again.append(max(held, (i, j)))
-            made, part, n = [], [], 0
-            for line, (i, j) in first.items():
-                if line.strip():
-                    part.append((i, j, line))
-                    n += len(line)
-                    if n > 16 << 20:
-                        made.append(_postings(part, sketch.value, num, den))
-                        part, n = [], 0
-            if part:
-                made.append(_postings(part, sketch.value, num, den))
+            lines = [(i, j, line) for line, (i, j) in first.items() if line.strip()]
+            made = [_postings(lines[a:b], sketch.value, num, den) for a, b in doc_slices([len(x[2]) for x in lines], PIECE)]
             p = np.concatenate(made) if made else np.zeros(0, POSTING)
-            file = p["word"] % files
-            order = np.argsort(file, kind="stable")
-            p, file = p[order], file[order]
-            begin = np.flatnonzero(np.r_[True, file[1:] != file[:-1]]) if len(p) else np.zeros(0, np.int64)
-            packed = [x.tobytes() for x in np.split(p, begin[1:])] if len(p) else []
-            none = [None] * len(packed)
-            lost = [None] * len(again)
-            yield pa.RecordBatch.from_arrays([pa.array([*file[begin].tolist(), *(i % files for i, _ in again)], pa.int32()), pa.array(packed + lost, pa.binary()), pa.array([*none, *(i for i, _ in again)], pa.int64()), pa.array([*none, *(j for _, j in again)], pa.int32())], names=["file", "postings", "id", "line"])
+            equal = np.zeros(len(lines), DIGEST)
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[2]) for x in lines), "<u8").reshape(-1, 2)
+            equal["high"], equal["low"], equal["id"], equal["line"] = both[:, 0], both[:, 1], [x[0] for x in lines], [x[1] for x in lines]
+            p_file, p_part = _by_file(p, p["word"], files)
+            d_file, d_part = _by_file(equal, equal["high"], files)
+            n, m, k = len(p_part), len(d_part), len(again)
+            yield pa.RecordBatch.from_arrays([pa.array([*p_file, *d_file, *(i % files for i, _ in again)], pa.int32()), pa.array([*p_part, *[None] * (m + k)], pa.binary()), pa.array([*[None] * n, *d_part, *[None] * k], pa.binary()), pa.array([*[None] * (n + m), *(i for i, _ in again)], pa.int64()), pa.array([*[None] * (n + m), *(j for _, j in again)], pa.int32())], names=["file", "postings", "digests", "id", "line"])
 
     return each
 
 
+def _least(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many words the prefixes of two matching lines of these sizes share at least: up to (size - overlap) words of a line may
+    stand before or between the shared ones."""
+    return -(-num * (a + b) // (num + den)) + 1 - np.maximum(-(-num * a // den), -(-num * b // den))
+
+
 def _enumerate(p: np.ndarray, anchors: np.ndarray, begin: np.ndarray, end: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (anchor, other) in sorted postings that pass the filters; others of an anchor lie in [begin, end)."""
     size, rest = p["size"].astype(np.int64), p["size"].astype(np.int64) - p["pos"]
@@ -145,9 +195,10 @@ def _enumerate(p: np.ndarray, anchors: np.ndarray, begin: np.ndarray, end: np.nd
         a = np.repeat(anchors[at:to], each[at:to])
         b = np.repeat(begin[at:to] - (edges[at:to] - edges[at]), each[at:to]) + np.arange(len(a))
         need = -(-num * (size[a] + size[b]) // (num + den))
-        ok = (np.minimum(rest[a], rest[b]) >= need) & (a != b)
+        # a match's first shared word leaves `need` words in both lines, the one after it one less, and so on
+        ok = (np.minimum(rest[a], rest[b]) >= need + 1 - _least(size[a], size[b], num, den)) & (a != b)
         a, b, need = a[ok], b[ok], need[ok]
-        ok = popcount(p["lo"][a] ^ p["lo"][b]).astype(np.int64) + popcount(p["hi"][a] ^ p["hi"][b]) <= size[a] + size[b] - 2 * need
+        ok = popcount(p["parity"][a] ^ p["parity"][b]).astype(np.int64) <= size[a] + size[b] - 2 * need
         yield a[ok], b[ok]
         at = to
 
@@ -165,22 +216,23 @@ def _places(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(num: int, den: int):
     """Two functions of a file's rows that give candidates (file, id, line, e_id, e_line, more): for every later line its earliest
-    one and whether there may be others; for the open lines, all."""
+    one and whether there may be others; for the open lines, all.  Lines that are known to equal an earlier one have e_id null."""
 
     def read(table: pa.Table) -> tuple[np.ndarray, int]:
-        raw = [x for x in table.column("postings").to_pylist() if x]
-        p = np.frombuffer(b"".join(raw), POSTING) if raw else np.zeros(0, POSTING)
-        return p[np.lexsort((p["line"], p["id"], p["pos"], p["hi"], p["lo"], p["size"], p["word"]))], table.column("file")[0].as_py() if table.num_rows else 0
+        p = _unsqueeze(table.column("postings"), POSTING)
+        return p[np.lexsort((p["line"], p["id"], p["pos"], p["parity"], p["size"], p["word"]))], table.column("file")[0].as_py() if table.num_rows else 0
 
     def key(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         return p["word"].astype(np.uint64) << np.uint64(32) | np.minimum(size, 0xFFFFFFFF).astype(np.uint64)
 
-    def give(p: np.ndarray, file: int, later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> pa.Table:
-        return pa.table({"file": pa.array(np.full(len(later), file, np.int32)), "id": pa.array(p["id"][later]), "line": pa.array(p["line"][later]), "e_id": pa.array(p["id"][earlier]), "e_line": pa.array(p["line"][earlier]), "more": pa.array(more)})
+    def give(p: np.ndarray, file: int, later: np.ndarray, earlier: np.ndarray, more: np.ndarray, shared: np.ndarray) -> pa.Table:
+        a, b = p["size"][later].astype(np.int64), p["size"][earlier].astype(np.int64)
+        least = _least(a, b, num, den)
+        return pa.table({"file": pa.array(np.full(len(later), file, np.int32)), "id": pa.array(p["id"][later]), "line": pa.array(p["line"][later]), "e_id": pa.array(p["id"][earlier]), "e_line": pa.array(p["line"][earlier]), "more": pa.array(more), "shared": pa.array(shared.astype(np.int32)), "least": pa.array(least.astype(np.int32))})
 
     def earliest(table: pa.Table) -> pa.Table:
         whole, file = read(table)
-        same = np.r_[False, np.logical_and.reduce([whole[c][1:] == whole[c][:-1] for c in ("word", "size", "lo", "hi", "pos")])] if len(whole) else np.zeros(0, bool)
+        same = np.r_[False, np.logical_and.reduce([whole[c][1:] == whole[c][:-1] for c in ("word", "size", "parity", "pos")])] if len(whole) else np.zeros(0, bool)
         heads = np.flatnonzero(~same)
         behind = np.diff(np.r_[heads, len(whole)]) > 1
         p, follows = whole[heads], np.flatnonzero(same)
@@ -202,7 +254,16 @@ def _candidates(num: int, den: int):
         start = np.flatnonzero(np.r_[True, rank[later][1:] != rank[later][:-1]]) if len(later) else np.zeros(0, np.int64)
         last = np.r_[start[1:], len(later)] - 1 if len(later) else start
         more = np.logical_or.reduceat(more, start) | (rank[earlier[start]] != rank[earlier[last]]) if len(later) else more
-        return give(whole, file, later[start], earlier[start], more)
+        pair = np.flatnonzero(np.r_[True, (rank[later][1:] != rank[later][:-1]) | (rank[earlier][1:] != rank[earlier][:-1])]) if len(later) else start
+        many = np.diff(np.r_[pair, len(later)])
+        named = give(whole, file, later[start], earlier[start], more, many[np.searchsorted(pair, start)])
+        again = table.filter(pc.is_valid(table.column("id")))
+        d = np.sort(_unsqueeze(table.column("digests"), DIGEST), order=("high", "low", "id", "line"))
+        d = d[1:][(d["high"][1:] == d["high"][:-1]) & (d["low"][1:] == d["low"][:-1])] if len(d) else d
+        ids, rows = pa.concat_arrays([again.column("id").combine_chunks(), pa.array(d["id"])]), pa.concat_arrays([again.column("line").combine_chunks(), pa.array(d["line"])])
+        n = len(ids)
+        equal = pa.table({"file": pa.array(np.full(n, file, np.int32)), "id": ids, "line": rows, "e_id": pa.nulls(n, pa.int64()), "e_line": pa.nulls(n, pa.int32()), "more": pa.array(np.zeros(n, bool)), "shared": pa.array(np.zeros(n, np.int32)), "least": pa.array(np.zeros(n, np.int32))})
+        return pa.concat_tables([named, equal])
 
     def every(table: pa.Table, open_lines: pa.Table) -> pa.Table:
         p, file = read(table)
@@ -219,42 +280,59 @@ def _candidates(num: int, den: int):
             later.append(x[before])
             earlier.append(y[before])
         later, earlier = np.concatenate(later), np.concatenate(earlier)
-        return give(p, file, later, earlier, np.zeros(len(later), bool))
+        order = np.lexsort((rank[earlier], rank[later]))
+        later, earlier = later[order], earlier[order]
+        pair = np.flatnonzero(np.r_[True, (rank[later][1:] != rank[later][:-1]) | (rank[earlier][1:] != rank[earlier][:-1])]) if len(later) else np.zeros(0, np.int64)
+        return give(p, file, later[pair], earlier[pair], np.zeros(len(pair), bool), np.diff(np.r_[pair, len(later)]))
 
     return earliest, every
 
 
-CANDIDATE = "file int, id long, line int, e_id long, e_line int, more boolean"
+CANDIDATE = "file int, id long, line int, e_id long, e_line int, more boolean, shared int, least int"
 
 
 def repeated_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(texts, gone): texts (id, text) partitioned by id, and gone (g_id, gone), the numbers of the lines that go from each document.
+    """(texts, gone): texts (id, text), and gone (g_id, gone), the numbers of the lines that go from each document.
     Rows with a null id or text are left out; of rows that repeat an id, equal places count as one line, whichever row holds it."""
     part = Fraction(similarity).limit_denominator(1000)
     num, den = part.numerator, part.denominator
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     files = int(min(65536, max(512, text_bytes(source, "text") // file_bytes)))
     sketch = docs.sparkSession.sparkContext.broadcast(rarity_sketch(source, "text"))  # CELLS counters
-    texts = source.repartition("id")
+    texts = source  # every join below deals it by id, and Spark does that once
     filed = source.mapInArrow(_filer(sketch, files, num, den), FILED).repartition("file")
     earliest, every = _candidates(num, den)
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        """Of candidates (id, line, e_id, e_line): later lines that match their earlier one."""
-        pairs = candidates.select("id", "line", "e_id", "e_line").distinct()
-        ends = pairs.select("id", "line").union(pairs.select("e_id", "e_line")).groupBy(F.col("id").alias("n_id")).agg(F.collect_set("line").alias("lines"))
-        line_words = texts.join(ends, F.col("id") == F.col("n_id")).select("id", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-        words = line_words.select("id", "line", _words(F.try_element_at("all", F.col("line") + 1)).alias("words"))
-        first, second = words.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("words").alias("a")), words.select(F.col("id").alias("b_id"), F.col("line").alias("b_line"), F.col("words").alias("b"))
-        joined = pairs.join(first, (F.col("id") == F.col("a_id")) & (F.col("line") == F.col("a_line"))).join(second, (F.col("e_id") == F.col("b_id")) & (F.col("e_line") == F.col("b_line")))
-        return joined.where(F.size(F.array_intersect("a", "b")) * (num + den) >= num * (F.size("a") + F.size("b"))).select("id", "line").distinct()
-
-    first = filed.where("postings is not null").groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE).repartition("id", "line")
-    settled = verified(first)
-    still = first.where("more").join(settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select(F.col("file").alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line")).distinct()
-    rest = filed.where("postings is not null").groupBy("file").cogroup(still.groupBy("o_file")).applyInArrow(every, CANDIDATE)
-    again = filed.where("postings is null").select("id", "line")
-    gone = again.union(settled).union(verified(rest)).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
+    def lines_of(df: DataFrame) -> DataFrame:
+        """Adds all, the lines of text.  The generator holds them, so that a text is split once and not for each line that is asked for."""
+        return df.withColumn("all", F.explode(F.array(F.split("text", "\n"))))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (id, line, e_id, e_line): later lines that match their earlier one.  Pairs of two documents go together:
+        first to the earlier document, whose lines they take along - the only text that moves - then to the later one."""
+        at = pairs.groupBy("e_id", "id").agg(F.collect_list(F.struct("line", "e_line")).alias("at"))
+        pick = lambda n: F.try_element_at("all", n + 1)
+        sent = lines_of(at.join(texts.select(F.col("id").alias("t_id"), "text"), F.col("e_id") == F.col("t_id")))
+        sent = sent.select(F.col("id").alias("l_id"), F.transform("at", lambda x: F.struct(x["line"].alias("line"), pick(x["e_line"]).alias("earlier"))).alias("at"))
+        met = lines_of(sent.join(texts, F.col("l_id") == F.col("id")))
+        sets = F.transform("at", lambda x: F.struct(x["line"].alias("line"), _words(x["earlier"]).alias("a"), _words(pick(x["line"])).alias("b")))
+        alike = F.filter(sets, lambda x: F.size(F.array_intersect(x["a"], x["b"])) * (num + den) >= num * (F.size(x["a"]) + F.size(x["b"])))
+        return met.select("id", F.explode(F.transform(alike, lambda x: x["line"])).alias("line")).distinct()
+
+    # what both rounds read - the files, and each line's candidates, one per word of its prefix - is the same plan and so is made once
+    first = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE).where("id is not null and line is not null").groupBy("id", "line").agg(F.collect_set(F.struct("file", "e_id", "e_line", "more", "shared", "least")).alias("named"))
+    equal = F.exists("named", lambda x: x["e_id"].isNull())
+
+    def enough(named: DataFrame) -> DataFrame:
+        """Pairs that share as many words of their prefixes, over all files, as a match does at least."""
+        return named.groupBy("id", "line", "e_id", "e_line").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("id", "line", "e_id", "e_line")
+
+    settled = verified(enough(first.where(~equal).select("id", "line", F.explode("named").alias("e")).select("id", "line", "e.e_id", "e.e_line", "e.shared", "e.least")))
+    doubt = F.array_distinct(F.transform(F.filter("named", lambda x: x["more"]), lambda x: x["file"]))
+    still = first.where(~equal & (F.size(doubt) > 0)).join(settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select(F.explode(doubt).alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
+    rest = filed.groupBy("file").cogroup(still.groupBy("o_file")).applyInArrow(every, CANDIDATE)
+    again = first.where(equal).select("id", "line")
+    gone = again.union(settled).union(verified(enough(rest.where("id is not null and e_id is not null")))).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
     return texts, gone
 
 
