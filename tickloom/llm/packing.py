@@ -22,29 +22,70 @@ from tickloom.llm.common import cut, hash_bucket, utf8_list, worker_cache
 
 END_ID = 1
 #: Words kept in a task's memory of encoded words; it is emptied when full.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 500_000
+#: The marks that are split off after letters, and how the tokenizer's vocabulary writes a word's last token; fixed values.
+MARKS = (".", ",", ";", ":", "!", "?")
+WORD_END = "</w>"
 
 
 class WordTokenizer:
-    """Encodes texts with a tokenizer that drops white space: each word is encoded once and remembered."""
+    """Encodes texts with a tokenizer that drops white space and ends each word's last token alike: each word is encoded once and
+    remembered.  Words of letters are encoded many at a time and told apart by their end tokens; a mark that follows letters is a
+    word of its own to such a tokenizer, so it is split off.  Other words are encoded one by one."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {m: self._one(m) for m in MARKS} | {"": b""}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, stems: list[str]) -> None:
+        """Encodes words of letters, some hundreds at a time."""
+        groups = [stems[i : i + 256] for i in range(0, len(stems), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(to) == len(group):
+                raw = ids.tobytes()
+                self.stems.update(zip(group, [raw[a:b] for a, b in zip([0, *to], to, strict=False)], strict=True))
+            else:  # a letter to Python that is none to the tokenizer
+                self.stems.update((w, self._one(w)) for w in group)
+
+    def _encode(self, words: list[bytes]) -> None:
+        split, rest = [], []
+        for w in words:
+            text = w.decode()
+            text = text.lower() if text.isascii() else text
+            stem, mark = (text[:-1], text[-1]) if text[-1] in MARKS else (text, "")
+            if stem.isalpha():
+                split.append((w, stem, mark))
+            else:
+                rest.append((w, text))
+        self._learn(list({stem for _, stem, _ in split if stem not in self.stems}))
+        known, stems = self.words, self.stems
+        for w, stem, mark in split:
+            known[w] = stems[stem] + stems[mark]
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Token ids of each text, packed as little-endian unsigned 32-bit numbers."""
         split = [x.split() for x in texts]
         if len(self.words) > WORD_MEMORY:
             self.words.clear()
+        if len(self.stems) > WORD_MEMORY:
+            self.stems = {m: self.stems[m] for m in (*MARKS, "")}
         known = self.words
-        fresh = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self._encode(list({w for words in split for w in words if w not in known}))
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -76,29 +117,31 @@ def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
     Longest first: its gap is looked up in the index of single lengths, of pair sums and of triple sums (a single and a pair of
     the rest); an exact complement is consumed as often as its counts allow.  What no complement fills is packed best-fit.
     """
-    left = counts.astype(np.int64).copy()
-    left = np.concatenate([left, np.zeros(max(0, capacity + 1 - len(left)), np.int64)])
-    pair_index: dict[int, np.ndarray] = {}
-
-    def times(lengths: tuple[int, ...]) -> int:
-        used = np.unique(lengths, return_counts=True)
-        return int((left[used[0]] // used[1]).min())
-
-    def take(lengths: tuple[int, ...], n: int) -> None:
-        np.subtract.at(left, list(lengths), n)
+    left = np.zeros(max(capacity + 1, len(counts)), np.int64)
+    left[: len(counts)] = counts
+    have, out = left > 0, []
+
+    def change(lengths: tuple[int, ...], n: int) -> None:
+        for x in lengths:
+            left[x] += n
+            have[x] = left[x] > 0
+
+    def take(lengths: tuple[int, ...]) -> None:
+        """Uses a pattern as often as its counts allow."""
+        n = min(int(left[x]) // lengths.count(x) for x in lengths)
+        change(lengths, -n)
         out.append((lengths, n))
 
     def pair(total: int, most: int) -> tuple[int, int] | None:
-        """Two lengths with this sum, the larger as large as can be but `most` at most; only lengths that were there at first are indexed."""
-        if total < 2:
+        """Two lengths with this sum that are there, the larger as large as can be but `most` at most."""
+        low, high = (total + 1) // 2, min(most, total - 1)
+        if high < low:
             return None
-        if total not in pair_index:
-            big = np.arange(total - 1, (total - 1) // 2, -1)
-            pair_index[total] = big[(counts_in[big] > 0) & (counts_in[total - big] > 0)]
-        for big in pair_index[total].tolist():
-            if big <= most and left[big] > 0 and left[total - big] > (big * 2 == total):
-                return big, total - big
-        return None
+        both = have[low : high + 1][::-1] & have[total - high : total - low + 1]
+        if low * 2 == total and left[low] < 2:
+            both[-1] = False
+        at = int(both.argmax())
+        return (high - at, total - high + at) if both[at] else None
 
     def complement(length: int) -> tuple[int, ...] | None:
         gap = capacity - length
@@ -106,34 +149,34 @@ def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
             return ()
         if left[gap] > (gap == length):
             return (gap,)
-        left[length] -= 1
+        change((length,), -1)
         try:
             if found := pair(gap, gap - 1):
                 return found
-            for c in np.flatnonzero(left[: max(gap - 1, 0)])[::-1].tolist():
-                left[c] -= 1
+            for c in np.flatnonzero(have[: max(gap - 1, 0)])[::-1].tolist():
+                change((c,), -1)
                 found = pair(gap - c, c)
-                left[c] += 1
+                change((c,), 1)
                 if found:
                     return (c, *found)
         finally:
-            left[length] += 1
+            change((length,), 1)
         return None
 
-    counts_in, out = left.copy(), []
     for length in range(capacity, 0, -1):
         while left[length] > 0 and (rest := complement(length)) is not None:
-            take((length, *rest), times((length, *rest)))
+            take((length, *rest))
     for length in range(capacity, 0, -1):
         while left[length] > 0:
             pattern, gap = [length], capacity - length
-            left[length] -= 1
-            while gap and len(fits := np.flatnonzero(left[: gap + 1])):
-                pattern.append(int(fits[-1]))
-                left[fits[-1]] -= 1
-                gap -= int(fits[-1])
-            np.add.at(left, pattern, 1)
-            take(tuple(pattern), times(tuple(pattern)))
+            change((length,), -1)
+            while gap and (fits := have[gap:0:-1]).any():
+                x = gap - int(fits.argmax())
+                pattern.append(x)
+                change((x,), -1)
+                gap -= x
+            change(tuple(pattern), 1)
+            take(tuple(pattern))
     return out
 
 
