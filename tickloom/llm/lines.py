@@ -179,9 +179,10 @@ def _filer(sketch, files: int, num: int, den: int):
 
 
 def _least(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """How many words the prefixes of two matching lines of these sizes share at least: up to (size - overlap) words of a line may
-    stand before or between the shared ones."""
-    return -(-num * (a + b) // (num + den)) + 1 - np.maximum(-(-num * a // den), -(-num * b // den))
+    """How many shared words are asked for: what the prefixes of two matching lines of these sizes share at least - up to (size -
+    overlap) words of a line may stand before or between them - but three at most, so that only the prefixes' first words are
+    looked at: lines that share three rare words are few."""
+    return np.minimum(-(-num * (a + b) // (num + den)) + 1 - np.maximum(-(-num * a // den), -(-num * b // den)), 3)
 
 
 def _enumerate(p: np.ndarray, anchors: np.ndarray, begin: np.ndarray, end: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
