@@ -61,6 +61,41 @@ def test_equals_all_pairs(spark, seed):
     assert got == cleaned(docs)
 
 
+def test_shared_words_are_counted_over_all_files(spark):
+    """The third line matches the second only; of the three prefix words that show it, the first line has the rarest as well."""
+    shared, other = [f"s{k}" for k in range(178)], [f"z{k}" for k in range(199)]
+    first = " ".join([shared[0], *other])
+    second, third = (" ".join([*shared, *(f"{own}{k}" for k in range(22))]) for own in ("x", "y"))
+    often = shared[3:] + other  # in short lines, which make them frequent words
+    short = "\n".join(" ".join(often[i : i + 20]) for i in range(0, len(often), 20))
+    docs = [(1, first), (2, second), (3, third), *[(10 + k, short) for k in range(5)]]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], SCHEMA).repartition(3)
+    assert (3, 0) in brute(docs)
+    assert {(r.id, r.text) for r in lines.dedup_lines(df).collect()} == cleaned(docs)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_that_drift(spark, seed):
+    """Long lines that change word by word, over many generations, so that lines match some of their family only."""
+    rng = random.Random(seed)
+    docs, at = [], 0
+    for f in range(6):
+        family = [[f"f{f}w{k}" for k in range(rng.randint(60, 200))]]
+        for _ in range(70):
+            new = list(rng.choice(family[-8:]))
+            for k in rng.sample(range(len(new)), rng.randint(1, len(new) // 7)):
+                new[k] = rng.choice([f"f{f}w{rng.randint(0, 260)}", f"own{rng.getrandbits(40)}", f"c{rng.randint(0, 40)}"])
+            family.append(new)
+        for x in family:
+            docs.append((at, " ".join(x)))
+            at += 1
+    ids = list(range(at))
+    rng.shuffle(ids)
+    docs = [(ids[i], t) for i, t in docs]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], SCHEMA).repartition(3)
+    assert {(r.id, r.text) for r in lines.dedup_lines(df).collect()} == cleaned(docs)
+
+
 def test_edges(spark):
     long = " ".join(f"x{k}" for k in range(5000))
     docs = [(1, None), (None, "a b c"), (2, ""), (3, "a b c\n\n \na  b\tc"), (4, "C b a"), (5, long), (6, long + " y"), (7, "\n\n"), (8, "one two"), (8, "one two")]

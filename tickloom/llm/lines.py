@@ -10,9 +10,10 @@ number - has Jaccard similarity of at least the threshold with it; blank lines s
    Files are packed by a hash of the word, so Spark moves a few large rows instead of one for every word.
 4. Inside a file, length, position and parity filters leave candidates.  Lines with the same word, size, position and parity
    stand behind the first of them, and each later line names its earliest candidate only; what those settle is verified.  Lines
-   that are still open and had other candidates, or ones that others stood behind, then name all of their candidates.  Groups of
-   like lines thus give about one row a line, not all pairs, and no candidate is lost.  Lines that match share more than one word
-   of their prefixes if they are long: pairs that share fewer, counted over all files, go no further.
+   that are still open and had other candidates, or ones that others stood behind, in some file, then name all of their candidates
+   in every file they are filed in.  Groups of like lines thus give about one row a line, not all pairs, and no candidate is lost.
+   Lines that match share more than one word of their prefixes if they are long: pairs that share fewer, counted over all files, go
+   no further.  The first round counts a pair only where it is named, so it may settle a line but never closes one that has others.
 5. The earlier line of each candidate pair is taken to the later one's document, where Jaccard is verified exactly.
 
 It is one Spark plan: documents are moved once, by id, and files once, and both exchanges are reused.
@@ -329,8 +330,9 @@ def repeated_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "d
         return named.groupBy("id", "line", "e_id", "e_line").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("id", "line", "e_id", "e_line")
 
     settled = verified(enough(first.where(~equal).select("id", "line", F.explode("named").alias("e")).select("id", "line", "e.e_id", "e.e_line", "e.shared", "e.least")))
-    doubt = F.array_distinct(F.transform(F.filter("named", lambda x: x["more"]), lambda x: x["file"]))
-    still = first.where(~equal & (F.size(doubt) > 0)).join(settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select(F.explode(doubt).alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
+    # an open line's pairs are counted in all of its files: in some of them a pair may have been the only one, in others not named
+    doubt, its_files = F.exists("named", lambda x: x["more"]), F.array_distinct(F.transform("named", lambda x: x["file"]))
+    still = first.where(~equal & doubt).join(settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select(F.explode(its_files).alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
     rest = filed.groupBy("file").cogroup(still.groupBy("o_file")).applyInArrow(every, CANDIDATE)
     again = first.where(equal).select("id", "line")
     gone = again.union(settled).union(verified(enough(rest.where("id is not null and e_id is not null")))).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
