@@ -261,7 +261,8 @@ def _candidates(num: int, den: int):
         named = give(whole, file, later[start], earlier[start], more, many[np.searchsorted(pair, start)])
         again = table.filter(pc.is_valid(table.column("id")))
         d = np.sort(_unsqueeze(table.column("digests"), DIGEST), order=("high", "low", "id", "line"))
-        d = d[1:][(d["high"][1:] == d["high"][:-1]) & (d["low"][1:] == d["low"][:-1])] if len(d) else d
+        there = (d["id"][1:] == d["id"][:-1]) & (d["line"][1:] == d["line"][:-1])  # rows that repeat an id: the same place
+        d = d[1:][(d["high"][1:] == d["high"][:-1]) & (d["low"][1:] == d["low"][:-1]) & ~there] if len(d) else d
         ids, rows = pa.concat_arrays([again.column("id").combine_chunks(), pa.array(d["id"])]), pa.concat_arrays([again.column("line").combine_chunks(), pa.array(d["line"])])
         n = len(ids)
         equal = pa.table({"file": pa.array(np.full(n, file, np.int32)), "id": ids, "line": rows, "e_id": pa.nulls(n, pa.int64()), "e_line": pa.nulls(n, pa.int32()), "more": pa.array(np.zeros(n, bool)), "shared": pa.array(np.zeros(n, np.int32)), "least": pa.array(np.zeros(n, np.int32))})
