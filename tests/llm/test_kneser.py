@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from tickloom.llm import kneser
+from tickloom.llm import kneser, queries
 
 SCHEMA = "doc_id long, text string, lang string, id string, block int"
 
@@ -100,3 +102,13 @@ def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b", "en", "x", 1), (1, "a b", "en", "x", 1), (1, "a b", "en", "x", 1), (2, None, None, None, None)], SCHEMA)
     assert kneser.keep_quality(df, ids).count() == 4
     assert kneser.judge_quality(df, none.select("doc_id")).where("keep").count() == 4
+
+
+def test_thresholds_of_the_query_are_quantiles(spark, sf):
+    """At the 99% quantile a threshold is the perplexity of a held-out document, in the query and in the pipeline."""
+    rows = queries.op1_quality_classifier(spark, sf).collect()
+    seen = {(r.lang, r.perplexity) for r in rows}
+    limits = {(r.lang, r.threshold) for r in rows if r.threshold is not None}
+    assert limits and limits <= seen
+    left = corpus_pipeline.keep_quality(spark, queries.table(spark, sf, "documents"), sf)
+    assert left.count() == sum(r.keep for r in rows)

@@ -31,7 +31,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep for every document; trusted text is what is labelled good."""
-    got = kneser.judge_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    got = kneser.judge_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")), margin=1.0)
     return got.select(F.col("id").alias("doc_id"), "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "keep")
 
 
