@@ -112,3 +112,14 @@ def test_thresholds_of_the_query_are_quantiles(spark, sf):
     assert limits and limits <= seen
     left = corpus_pipeline.keep_quality(spark, queries.table(spark, sf, "documents"), sf)
     assert left.count() == sum(r.keep for r in rows)
+
+
+def test_a_language_without_held_out_documents_has_a_threshold(spark):
+    rng = random.Random(2)
+    trains = [r.id for r in spark.range(200).where(kneser.hash_bucket(F.col("id"), kneser.HELD_OUT, 2) != 0).limit(12).collect()]
+    words = ["rain", "plant", "opens", "after", "long", "winter"]
+    docs = [(i, " ".join(rng.choices(words, k=60)), "en") for i in trains] + [(1000, "".join(rng.choices("qxzj#@%&0123456789", k=300)), "en")]
+    df = spark.createDataFrame([(*x, None, 0) for x in docs], SCHEMA)
+    trusted = spark.createDataFrame([(i,) for i in trains], "doc_id long")
+    got = {r.id: r for r in kneser.judge_quality(df, trusted).collect()}
+    assert all(got[i].keep and got[i].threshold is not None for i in trains) and not got[1000].keep

@@ -246,13 +246,14 @@ def document_scores(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_i
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, margin: float = 1.15, prior_bytes: int = 100, **score) -> DataFrame:
     """(id, lang, perplexity, threshold, keep): perplexity per byte, smoothed; threshold is the quantile of the language's held-out
-    trusted documents times margin.  Empty texts have perplexity null and are kept, as is all text of a language that has no
-    held-out document (threshold null)."""
+    trusted documents, or of its training documents if none is held out, times margin.  Empty texts have perplexity null and are kept, as is all
+    text of a language that has no trusted document (threshold null)."""
     scores = cut(document_scores(docs, trusted, **score))
     means = scores.where("role > 0 and n_bytes > 0").groupBy(F.col("lang").alias("m_lang")).agg((F.sum("logp") / F.sum("n_bytes")).alias("mean"))
     smooth = F.exp(-(F.col("logp") + prior_bytes * F.coalesce("mean", F.lit(0.0))) / (F.col("n_bytes") + F.when(F.col("mean").isNull(), 0).otherwise(prior_bytes)))
     rated = scores.join(means, F.col("lang") == F.col("m_lang"), "left").select("id", "lang", "role", F.when(F.col("n_bytes") > 0, smooth).alias("perplexity"))
-    limits = rated.where("role = 2 and perplexity is not null").groupBy(F.col("lang").alias("t_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    at = lambda role: F.percentile_approx(F.when(F.col("role") == role, F.col("perplexity")), quantile, 10_000)
+    limits = rated.where("role > 0 and perplexity is not null").groupBy(F.col("lang").alias("t_lang")).agg((F.coalesce(at(2), at(1)) * margin).alias("threshold"))
     return rated.join(limits, F.col("lang") == F.col("t_lang"), "left").select("id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 
 
