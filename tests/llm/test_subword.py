@@ -47,3 +47,30 @@ def test_unigram_path_is_the_best_one():
         cuts = ([word[i:j] for i, j in zip((0, *c), (*c, len(word)), strict=True)] for n in range(len(word)) for c in itertools.combinations(range(1, len(word)), n))
         best = max(sum(known[p] for p in parts) for parts in cuts if all(p in known for p in parts))
         assert abs(sum(m.scores[i] for i in ids) - best) < 1e-6 and "".join(m.pieces[i][0] for i in ids) == word
+
+
+def test_a_long_word_needs_memory_in_proportion():
+    import tracemalloc
+    from pathlib import Path
+
+    rng = random.Random(3)
+    word = "".join(rng.choices("etaoinsrhdlu", k=100_000))
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = subword.Subword(Path(path).read_bytes())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    short = word[:5_000]
+    assert np.frombuffer(model.encode([short])[0], "<u4").tolist() == library.encode(short)
+    tracemalloc.start()
+    (raw,) = model.encode([word])
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    assert model.decode(raw) == word
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "i", "j", 5), (1, "a b", "i", "j", 5), (None, None, None, None, None)], "doc_id long, text string, ids string, id string, __text int")
+    path = tokenizer_path("piece_bpe_32k.model")
+    table = subword.encode(df, path, carry=("id", "ids", "__text"))
+    assert table.columns == ["id", "__text", "ids"] and sorted((r.id or 0, r["__text"] or 0, len(r.ids)) for r in table.collect()) == [(0, 0, 0), (1, 5, 8), (1, 5, 8)]
+    back = subword.decode(table, path, keep=("id", "__text"))
+    assert sorted((r.id or 0, r.text) for r in back.collect()) == [(0, ""), (1, "a b"), (1, "a b")]

@@ -19,15 +19,20 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from tickloom.llm.common import worker_cache
+from tickloom.llm.common import doc_slices, worker_cache
 
 MARK = "▁"
 #: Types of pieces and models in the public model format, fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+NOTHING = -1  # no piece: the start of a word, or a character that has none
+PAIR_MEMORY, WORD_BYTES = 400_000, 24 << 20
+SLICE = 2 << 20  # bytes of text, or of ids, that are worked on at a time
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,8 +91,12 @@ class Subword:
         self.unknown = next((i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN), 0)
         self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         self.low = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0) - 10.0
-        self.history: dict[str, tuple | None] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.packed = [struct.pack("<I", i) for i in range(len(self.pieces))]
+        self.sizes = [len(p) for p, _, _ in self.pieces]
+        self.history: dict[int, tuple | None] = {}  # a story for each piece at most
+        self.fits: dict[int, bool] = {}  # of pairs of pieces, emptied at PAIR_MEMORY
+        self.words: dict[str, bytes] = {}  # encoded words, emptied when they hold WORD_BYTES
+        self.word_bytes = 0
 
     def merges(self, word: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """BPE by its definition: pieces of a word, and after each merge its score, the first and the last symbol."""
@@ -103,19 +112,25 @@ class Subword:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             done.append((best, parts[0], parts[-1]))
 
-    def _story(self, piece: str) -> tuple | None:
+    def _story(self, k: int) -> tuple | None:
         """The merges that make a piece out of itself; None if BPE splits it."""
-        if piece not in self.history:
+        if k not in self.history:
+            piece = self.pieces[k][0]
             parts, done = self.merges(piece)
-            self.history[piece] = (piece[0], piece[-1], done) if len(parts) == 1 else None
-        return self.history[piece]
-
-    def pair_fits(self, a: str, b: str) -> bool:
-        """Whether BPE leaves a and b apart.  Their own merges run side by side, better scores first, leftmost on ties; they fit
-        if no merge across the border comes first at any time."""
-        known = self.fits.get((a, b))
+            self.history[k] = (piece[0], piece[-1], done) if len(parts) == 1 else None
+        return self.history[k]
+
+    def pair_fits(self, a: int, b: int) -> bool:
+        """Whether BPE leaves pieces a and b apart.  Their own merges run side by side, better scores first, leftmost on ties; they fit
+        if no merge across the border comes first at any time.  After nothing (a below 0) every piece fits that BPE keeps whole."""
+        if a < 0:
+            return self._story(b) is not None
+        pair = a * len(self.pieces) + b
+        known = self.fits.get(pair)
         if known is None:
-            known = self.fits[a, b] = self._side_by_side(self._story(a), self._story(b))
+            if len(self.fits) >= PAIR_MEMORY:
+                self.fits.clear()
+            known = self.fits[pair] = self._side_by_side(self._story(a), self._story(b))
         return known
 
     def _side_by_side(self, a: tuple | None, b: tuple | None) -> bool:
@@ -140,39 +155,53 @@ class Subword:
         return np.array(ids, "<u4").tobytes()
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of distinct words: depth-first over the trie that the sorted words are."""
+        """Packed ids of distinct words: depth-first over the trie that the sorted words are.  A prefix's state is its last piece, which
+        is also the way back to where that piece begins: a few bytes a character, however long a word is."""
         out, before = {}, ""
         ids, longest, bpe, low = self.ids, self.longest, self.kind == BPE, self.low
-        packed = [struct.pack("<I", i) for i in range(len(self.pieces))]
-        last: list[str | None] = [None]  # last piece of each prefix's encoding; None: none, or a character without a piece
-        path, score = [b""], [0.0]
+        last, score = [NOTHING], [0.0]
         for word in sorted(words):
             shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], path[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                best: tuple | None = None
+                best, top = NOTHING, low
                 for j in range(max(0, i - longest), i):
-                    piece = word[j:i]
-                    k = ids.get(piece)
+                    k = ids.get(word[j:i])
                     if k is None:
                         continue
                     if bpe:
-                        if last[j] is None or self.pair_fits(last[j], piece):
-                            if last[j] is None and self._story(piece) is None:
-                                continue
-                            best = (piece, path[j] + packed[k], 0.0)
+                        if self.pair_fits(last[j], k):
+                            best = k
                             break
-                    elif best is None or score[j] + self.scores[k] > best[2]:
-                        best = (piece, path[j] + packed[k], score[j] + self.scores[k])
-                if best is None:
-                    best = (None, path[i - 1] + self._unknown_ids(word[i - 1]), score[i - 1] + low)
-                last.append(best[0])
-                path.append(best[1])
-                score.append(best[2])
-            out[word] = path[-1]
+                    elif best < 0 or score[j] + self.scores[k] > top:
+                        best, top = k, score[j] + self.scores[k]
+                last.append(best)
+                if not bpe:
+                    score.append(top if best >= 0 else score[i - 1] + low)
+            out[word] = self._way_back(word, last)
             before = word
         return out
 
+    def _way_back(self, word: str, last: list[int]) -> bytes:
+        """Ids of a word from its last piece to its first; a character without a piece stands alone."""
+        found, at = [], len(word)
+        while at:
+            k = last[at]
+            found.append(self._unknown_ids(word[at - 1]) if k < 0 else self.packed[k])
+            at -= 1 if k < 0 else self.sizes[k]
+        return b"".join(reversed(found))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text.  Words that were met before, in any batch, are remembered."""
+        split = [self.split(x) for x in texts]
+        if self.word_bytes > WORD_BYTES:
+            self.words, self.word_bytes = {}, 0
+        known = self.words
+        new = self.encode_words(list({w for words in split for w in words if w not in known}))
+        known.update(new)
+        self.word_bytes += sum(map(len, new)) + sum(map(len, new.values())) + 150 * len(new)
+        return [b"".join([known[w] for w in words]) for words in split]
+
     def split(self, text: str) -> list[str]:
         """Marked words: runs of marks, each with the characters up to the next mark."""
         if not text:
@@ -205,34 +234,36 @@ def _model(raw: bytes) -> Subword:
 def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, ids BINARY): each text's ids, packed as little-endian unsigned 32-bit numbers.
 
-    Null and empty texts have no ids.  Marks (U+2581) in a text count as spaces.  Repeated rows stay rows.  No shuffle.
+    Null and empty texts have no ids.  Marks (U+2581) in a text count as spaces.  Repeated rows stay rows.  No shuffle.  Carried columns
+    called id or ids are left out.
     """
     raw = Path(model_path).read_bytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            distinct: set[str] = set()
-            for x in texts:
-                distinct.update(model.split(x or ""))
-            known = model.encode_words(list(distinct))
-            ids = [b"".join([known[w] for w in model.split(x or "")]) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1).cast(pa.binary())), 0).to_pylist()
+            for a, b in doc_slices(sizes, SLICE):
+                batch = whole.slice(a, b - a)
+                ids = model.encode([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
 
-    rest = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).cast("string").alias("__text"))
-    return rest.mapInArrow(each, rest.drop("__text").withColumn("ids", F.lit(None).cast("binary")).schema)
+    rest = docs.select(F.col(id_col).alias("id"), *[c for c in carry if c not in ("id", "ids")], F.col(text_col).cast("string"))
+    return rest.mapInArrow(each, StructType([*rest.schema.fields[:-1], StructField("ids", BinaryType())]))
 
 
 def decode(table: DataFrame, model_path: str, *, ids_col: str = "ids", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The kept columns and text, decoded from packed ids.  Null ids give null."""
+    """The kept columns and text, decoded from packed ids.  Null ids give null.  A kept column called text is left out."""
     raw = Path(model_path).read_bytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
-        for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
-
-    rest = table.select(*keep, F.col(ids_col).alias("__ids"))
-    return rest.mapInArrow(each, rest.drop("__ids").withColumn("text", F.lit(None).cast("string")).schema)
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_pylist()
+            for a, b in doc_slices(sizes, SLICE):
+                batch = whole.slice(a, b - a)
+                texts = [None if x is None else model.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
+
+    rest = table.select(*[c for c in keep if c != "text"], F.col(ids_col))
+    return rest.mapInArrow(each, StructType([*rest.schema.fields[:-1], StructField("text", StringType())]))
