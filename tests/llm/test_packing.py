@@ -11,7 +11,7 @@ from tickloom.llm import packing
 from tickloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, sequence_id long, offset string"
-TEXTS = ["", None, "Hello, world.", "don't stop: I'm OK!", "Größe ÉTÉ naïve ﬁ ½ x² ΣΑΣ İstanbul", 'say "foo". a.b, c..', "a " * 9000, "<|endoftext|> x", "١٢٣ 456 7,8", "é té.", "日本語 テキスト。 한국어", "\t\n \x0b", "x" * 5000, "ab-cd ... !? ?! ok;"]
+TEXTS = ["", None, "Hello, world.", "don't stop: I'm OK!", "Größe ÉTÉ naïve ﬁ ½ x² ΣΑΣ İstanbul İ. aİ, क़; e\u0301. ǰ! ΐ? ﬃ: Å. ﷺ. ㎏,", 'say "foo". a.b, c..', "a " * 9000, "<|endoftext|> x", "١٢٣ 456 7,8", "é té.", "日本語 テキスト。 한국어", "\t\n \x0b", "x" * 5000, "ab-cd ... !? ?! ok;"]
 
 
 def test_ids_equal_the_tokenizer():
@@ -26,6 +26,39 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_every_letter_before_a_mark():
+    """Each character that Python takes for a letter, alone and after a letter, before a mark."""
+    from tokenizers import Tokenizer
+
+    definition = open(tokenizer_path("word_bpe_49k.json")).read()
+    plain, ours = Tokenizer.from_str(definition), packing.WordTokenizer(definition)
+    texts = [w + packing.MARKS[c % 6] for c in range(128, 0x32000) if chr(c).isalpha() or chr(c).lower().isalpha() for w in (chr(c), "a" + chr(c))]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        for text, raw, e in zip(part, ours.ids([t.encode() for t in part]), plain.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == e.ids, (text, [hex(ord(x)) for x in text])
+
+
+def test_complements_are_found_if_there_are_any():
+    """Singles, pairs and triples against all combinations, while the counts run out."""
+    from collections import Counter
+    from itertools import combinations_with_replacement
+
+    rng = np.random.default_rng(1)
+    counts = np.zeros(41, np.int64)
+    for length in rng.integers(1, 41, 60):
+        counts[length] += 1
+    index = packing.Complements(counts)
+    for length in [int(x) for x in rng.permutation(np.repeat(np.arange(41), counts))]:
+        while index.left[length]:
+            there = [x for n in (0, 1, 2, 3) for x in combinations_with_replacement(range(1, 41), n) if sum(x) == 40 - length and all(index.left[k] >= m for k, m in Counter((length, *x)).items())]
+            found = index.of(length, 40)
+            assert (found is None) == (not there) and (found is None or (tuple(sorted(found)) in there and len(found) == len(there[0])))
+            if found is None:
+                break
+            index.use((length, *found))
+
+
 def holds(rows, capacity=4096):
     """Every sequence is gapless from 0 and fits."""
     by = {}

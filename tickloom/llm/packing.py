@@ -8,7 +8,9 @@ salted groups so that no length, however common, is ranked in one task.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -64,7 +66,8 @@ class WordTokenizer:
             text = w.decode()
             text = text.lower() if text.isascii() else text
             stem, mark = (text[:-1], text[-1]) if text[-1] in MARKS else (text, "")
-            if stem.isalpha():
+            # judged as the tokenizer sees it: in lower case and composed, where a letter may have become a letter and a sign
+            if stem.isascii() and stem.isalpha() or unicodedata.normalize("NFC", stem.lower()).isalpha():
                 split.append((w, stem, mark))
             else:
                 rest.append((w, text))
@@ -111,72 +114,84 @@ def pieces(docs: DataFrame, definition: str, *, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
-def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, multiplicity) that use every piece counted, counts[n] being the pieces of length n.
+class Complements:
+    """Index of the single lengths, pairs and triples of lengths by their sum, under the counts that are left.  Counts only fall, so an
+    entry that they no longer allow is taken out for good, and what was tried in vain is not tried again."""
 
-    Longest first: its gap is looked up in the index of single lengths, of pair sums and of triple sums (a single and a pair of
-    the rest); an exact complement is consumed as often as its counts allow.  What no complement fills is packed best-fit.
-    """
-    left = np.zeros(max(capacity + 1, len(counts)), np.int64)
-    left[: len(counts)] = counts
-    have, out = left > 0, []
+    def __init__(self, counts: np.ndarray) -> None:
+        self.left = counts.tolist()
+        self.have = counts > 0
+        self.pairs: dict[int, list[int]] = {}  # by sum: the larger lengths of its pairs, ascending
+        self.thirds: dict[int, int] = {}  # by sum: the largest length of its triples that may still be there
 
-    def change(lengths: tuple[int, ...], n: int) -> None:
+    def use(self, lengths: tuple[int, ...]) -> int:
+        """Takes a pattern as often as its counts allow."""
+        n = min(self.left[x] // lengths.count(x) for x in lengths)
         for x in lengths:
-            left[x] += n
-            have[x] = left[x] > 0
-
-    def take(lengths: tuple[int, ...]) -> None:
-        """Uses a pattern as often as its counts allow."""
-        n = min(int(left[x]) // lengths.count(x) for x in lengths)
-        change(lengths, -n)
-        out.append((lengths, n))
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """Two lengths with this sum that are there, the larger as large as can be but `most` at most."""
-        low, high = (total + 1) // 2, min(most, total - 1)
-        if high < low:
-            return None
-        both = have[low : high + 1][::-1] & have[total - high : total - low + 1]
-        if low * 2 == total and left[low] < 2:
-            both[-1] = False
-        at = int(both.argmax())
-        return (high - at, total - high + at) if both[at] else None
-
-    def complement(length: int) -> tuple[int, ...] | None:
+            self.left[x] -= n
+            self.have[x] = self.left[x] > 0
+        return n
+
+    def fits(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, most: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two lengths with this sum, the larger as large as can be but `most` at most, beside those that are taken."""
+        held = self.pairs.get(total)
+        if held is None:
+            low = (total + 1) // 2
+            held = self.pairs[total] = (low + np.flatnonzero(self.have[low:total] & self.have[total - low : 0 : -1])).tolist() if total > 1 else []
+        at = bisect_right(held, most)
+        while at:
+            at -= 1
+            a, b = held[at], total - held[at]
+            if not self.fits(a, b):
+                del held[at]
+            elif self.fits(a, b, *taken):
+                return a, b
+        return None
+
+    def triple(self, total: int, taken: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """Three lengths with this sum, the largest as large as can be, beside those that are taken."""
+        c = top = self.thirds.get(total, total - 2)
+        while 3 * c >= total:
+            if self.left[c] and self.fits(c, *taken) and (found := self.pair(total - c, c, (c, *taken))):
+                return (c, *found)
+            if c == top and not (self.left[c] and self.pair(total - c, c, (c,))):
+                top = self.thirds[total] = c - 1
+            c -= 1
+        return None
+
+    def of(self, length: int, capacity: int) -> tuple[int, ...] | None:
+        """What exactly fills the gap that a length leaves: nothing, a single, a pair or a triple."""
         gap = capacity - length
         if not gap:
             return ()
-        if left[gap] > (gap == length):
+        if self.fits(length, gap):
             return (gap,)
-        change((length,), -1)
-        try:
-            if found := pair(gap, gap - 1):
-                return found
-            for c in np.flatnonzero(have[: max(gap - 1, 0)])[::-1].tolist():
-                change((c,), -1)
-                found = pair(gap - c, c)
-                change((c,), 1)
-                if found:
-                    return (c, *found)
-        finally:
-            change((length,), 1)
-        return None
+        return self.pair(gap, gap - 1, (length,)) or self.triple(gap, (length,))
+
+
+def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths, multiplicity) that use every piece counted, counts[n] being the pieces of length n.
 
+    Longest first: its gap is looked up in the index of single lengths, of pair sums and of triple sums; an exact complement is
+    consumed as often as its counts allow.  What no complement fills is packed best-fit.
+    """
+    index, out = Complements(np.pad(counts, (0, max(0, capacity + 1 - len(counts))))), []
     for length in range(capacity, 0, -1):
-        while left[length] > 0 and (rest := complement(length)) is not None:
-            take((length, *rest))
+        while index.left[length] > 0 and (rest := index.of(length, capacity)) is not None:
+            out.append(((length, *rest), index.use((length, *rest))))
     for length in range(capacity, 0, -1):
-        while left[length] > 0:
-            pattern, gap = [length], capacity - length
-            change((length,), -1)
-            while gap and (fits := have[gap:0:-1]).any():
+        while index.left[length] > 0:
+            pattern, gap, free = [length], capacity - length, index.have.copy()
+            free[length] = index.left[length] > 1
+            while gap and (fits := free[gap:0:-1]).any():
                 x = gap - int(fits.argmax())
                 pattern.append(x)
-                change((x,), -1)
+                free[x] = index.left[x] > pattern.count(x)
                 gap -= x
-            change(tuple(pattern), 1)
-            take(tuple(pattern))
+            out.append((tuple(pattern), index.use(tuple(pattern))))
     return out
 
 
