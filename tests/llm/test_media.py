@@ -38,6 +38,40 @@ def test_sample_tables_of_uneven_chunks():
     assert t.offsets.tolist() == [100, 105, 200, 211, 300] and t.keyframe_ranges() == [(105, 7), (300, 3)]
 
 
+def test_deep_nesting_ends():
+    raw = b"".join(struct.pack(">I4s", 8 * (3000 - i), b"moov") for i in range(3000))
+    assert len(list(media.boxes(memoryview(raw)))) == 3000 and media.probe(raw) == []
+    depths = [d for _, d, _, _ in media.boxes(memoryview(box(b"moov", box(b"trak", box(b"free")), box(b"free")) + box(b"free")))]
+    assert depths == [0, 1, 2, 1, 0]
+
+
+def track(number, codec, sizes=(), places=()):
+    tkhd = box(b"tkhd", struct.pack(">IIII", 0, 0, 0, number), bytes(8))
+    stbl = box(b"stbl", box(b"stsd", bytes(4), struct.pack(">I", 1), struct.pack(">I4s", 16, codec), bytes(8)), box(b"stsz", struct.pack(f">III{len(sizes)}I", 0, 0, len(sizes), *sizes)), box(b"stsc", struct.pack(">II", 0, 1), struct.pack(">3I", 1, 1, 1)), box(b"stco", struct.pack(f">II{len(places)}I", 0, len(places), *places)))
+    return box(b"trak", tkhd, box(b"mdia", box(b"mdhd", struct.pack(">IIIIII", 0, 0, 0, 1000, 0, 0)), box(b"minf", stbl)))
+
+
+def test_two_tracks_and_fragments(spark):
+    trex = box(b"mvex", box(b"trex", struct.pack(">IIIIII", 0, 1, 1, 10, 100, 0)), box(b"trex", struct.pack(">IIIIII", 0, 2, 1, 20, 7, 0x10000)))
+    moov = box(b"moov", track(1, b"avc1", [5], [40]), track(2, b"mp4a"), trex)
+
+    def moof(base):
+        one = box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 1)), box(b"trun", struct.pack(">IIi", 0x705, 2, 500), struct.pack(">I", 0), struct.pack(">6I", 10, 30, 0, 10, 40, 0x10000)))
+        two = box(b"traf", box(b"tfhd", struct.pack(">IIQ", 0x1, 2, base)), box(b"trun", struct.pack(">II", 0, 3)))
+        return box(b"moof", box(b"mfhd", bytes(8)), one, two)
+
+    raw = moov + moof(9000) + box(b"mdat", bytes(10)) + moof(9100)
+    first, second = media.probe(raw)
+    at = [len(moov), len(moov) + len(moof(0)) + 18]
+    assert first.codec == "avc1" and first.sizes.tolist() == [5, 30, 40, 30, 40] and first.offsets.tolist() == [40, at[0] + 500, at[0] + 530, at[1] + 500, at[1] + 530]
+    assert first.keyframes.tolist() == [0, 1, 3] and first.duration == 40
+    assert second.codec == "mp4a" and second.offsets.tolist() == [9000, 9007, 9014, 9100, 9107, 9114] and len(second.keyframes) == 0 and second.duration == 120
+    (row,) = media.probe_column(spark.createDataFrame([(1, bytearray(raw))], "id int, media binary")).collect()
+    assert row.samples == 5 and [(t.codec, t.samples) for t in row.others] == [("mp4a", 6)]
+    for cut in range(0, len(raw), 3):
+        media.probe(raw[:cut] + b"\xff\xff\xff\xff" + raw[cut + 4 :])
+
+
 def test_damage_does_not_crash():
     raw = media.store_pcm(media.text_payload(b"abc" * 100))
     for cut in range(0, len(raw), 7):

@@ -27,26 +27,33 @@ TIMESCALE = 8000
 def boxes(data: memoryview, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[bytes, int, int, int]]:
     """(type, depth, body start, body end) of each box, parents first.  Sizes of 64 bits, to the end (0) and user types are read;
     a size that runs out of its parent ends the walk there."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    ends = [len(data) if end is None else end]  # of the boxes that are open
+    while ends:
+        if start + 8 > ends[-1]:
+            start = ends.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
-        if size == 1 and body + 8 <= end:
+        if size == 1 and body + 8 <= ends[-1]:
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         elif size == 0:
-            size = end - start
+            size = ends[-1] - start
         if kind == b"uuid":
             body += 16
-        if size < body - start or start + size > end:
-            return
-        yield kind, depth, body, start + size
+        if size < body - start or start + size > ends[-1]:
+            start = ends.pop()
+            continue
+        yield kind, depth + len(ends) - 1, body, start + size
         if kind in CONTAINERS:
-            yield from boxes(data, body, start + size, depth + 1)
-        start += size
+            ends.append(start + size)
+            start = body
+        else:
+            start += size
 
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -63,36 +70,105 @@ def _table(data: memoryview, at: int, kind: str, columns: int = 1) -> np.ndarray
     return np.frombuffer(data, kind, n * columns, at + 4).astype(np.int64).reshape(n, columns)
 
 
+def _placed(tables: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, sizes and keyframe numbers of the samples that a sample table places; none if a part of it is missing."""
+    none = np.zeros(0, np.int64)
+    if not {"stsc", "chunks", "sizes"} <= tables.keys():
+        return none, none, none
+    chunks, sizes, runs = tables["chunks"], tables["sizes"], tables["stsc"]
+    per_chunk = np.zeros(len(chunks), np.int64)
+    for i, (first, n, _) in enumerate(runs.tolist()):
+        per_chunk[first - 1 : runs[i + 1, 0] - 1 if i + 1 < len(runs) else None] = n
+    held = np.cumsum(per_chunk)  # samples up to each chunk; a damaged count makes no more samples than there are sizes
+    chunk = np.searchsorted(held, np.arange(min(len(sizes), int(held[-1]) if len(held) else 0)), side="right")
+    sizes = sizes[: len(chunk)]
+    before = np.cumsum(sizes) - sizes
+    begin = np.r_[True, chunk[1:] != chunk[:-1]] if len(chunk) else np.zeros(0, bool)
+    offsets = chunks[chunk] + before - before[begin][np.cumsum(begin) - 1] if len(chunk) else chunks[:0]
+    keys = tables.get("stss")
+    return offsets, sizes, np.arange(len(sizes)) if keys is None else keys[(keys >= 0) & (keys < len(sizes))]
+
+
+#: Bits of a movie fragment's flags, and the bit of a sample's flags that says it is no keyframe (ISO/IEC 14496-12), fixed values.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST_FLAGS, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_TIME = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_KEYFRAME = 0x10000
+
+
+@dataclass
+class _Fragment:
+    """What a track fragment's header sets for its runs."""
+
+    track: Track
+    base: int
+    duration: int
+    size: int
+    flags: int
+
+
+def _header(data: memoryview, at: int, moof: int, base: int, defaults: dict[int, tuple[int, int, int]], tracks: list[Track]) -> _Fragment:
+    set_, number = struct.unpack_from(">II", data, at)
+    at += 8
+    if set_ & BASE_OFFSET:
+        base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+    elif set_ & BASE_IS_MOOF:
+        base = moof
+    at += 4 * bool(set_ & DESCRIPTION)
+    values = list(defaults.get(number, (0, 0, 0)))
+    for i, bit in enumerate((DURATION, SIZE, FLAGS)):
+        if set_ & bit:
+            values[i], at = struct.unpack_from(">I", data, at)[0], at + 4
+    return _Fragment(next((t for t in tracks if t.number == number), Track()), base, *values)
+
+
+def _run(data: memoryview, at: int, f: _Fragment) -> int:
+    """Adds a run's samples to its track; gives the place after them."""
+    set_, n = struct.unpack_from(">II", data, at)
+    at, start, first = at + 8, f.base, None
+    if set_ & RUN_OFFSET:
+        start, at = f.base + struct.unpack_from(">i", data, at)[0], at + 4
+    if set_ & RUN_FIRST_FLAGS:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    columns = [bit for bit in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_TIME) if set_ & bit]
+    if not columns and n > len(data):
+        raise ValueError("more samples than bytes")
+    rows = np.frombuffer(data, ">u4", n * len(columns), at).astype(np.int64).reshape(n, len(columns))
+    column = lambda bit, default: rows[:, columns.index(bit)] if bit in columns else np.full(n, default, np.int64)
+    sizes, flags = column(RUN_SIZE, f.size), column(RUN_FLAGS, f.flags)
+    if first is not None and n and RUN_FLAGS not in columns:
+        flags[0] = first
+    t, held = f.track, len(f.track.sizes)
+    t.keyframes = np.r_[t.keyframes, held + np.flatnonzero(flags & NO_KEYFRAME == 0)]
+    t.offsets, t.sizes = np.r_[t.offsets, start + np.cumsum(sizes) - sizes], np.r_[t.sizes, sizes]
+    t.duration += int(column(RUN_DURATION, f.duration).sum())
+    return start + int(sizes.sum())
+
+
 def probe(raw: bytes) -> list[Track]:
-    """The tracks of a container; a damaged or missing table leaves its track without samples."""
-    data, tracks, tables = memoryview(raw), [], {}
+    """The tracks of a container, with the samples of its sample tables and of its movie fragments.  A damaged or missing table leaves
+    its track without samples; a damaged run adds none."""
+    data, tracks, tables, defaults = memoryview(raw), [], {}, {}
+    moof = after = 0
+    fragment: _Fragment | None = None
 
     def finish() -> None:
-        if not tracks or not {"stsc", "chunks", "sizes"} <= tables.keys():
-            return
-        t, chunks, sizes, runs = tracks[-1], tables["chunks"], tables["sizes"], tables["stsc"]
-        per_chunk = np.zeros(len(chunks), np.int64)
-        for i, (first, n, _) in enumerate(runs.tolist()):
-            per_chunk[first - 1 : runs[i + 1, 0] - 1 if i + 1 < len(runs) else None] = n
-        held = np.cumsum(per_chunk)  # samples up to each chunk; a damaged count makes no more samples than there are sizes
-        chunk = np.searchsorted(held, np.arange(min(len(sizes), int(held[-1]) if len(held) else 0)), side="right")
-        sizes = sizes[: len(chunk)]
-        before = np.cumsum(sizes) - sizes
-        begin = np.r_[True, chunk[1:] != chunk[:-1]] if len(chunk) else np.zeros(0, bool)
-        t.offsets, t.sizes = chunks[chunk] + before - before[begin][np.cumsum(begin) - 1] if len(chunk) else chunks[:0], sizes
-        keys = tables.get("stss")
-        t.keyframes = np.arange(len(sizes)) if keys is None else keys[(keys >= 0) & (keys < len(sizes))]
+        if tracks and tables:
+            tracks[-1].offsets, tracks[-1].sizes, tracks[-1].keyframes = _placed(tables)
+            tables.clear()
 
     for kind, _, at, end in boxes(data):
         if kind == b"trak":
             finish()
             tracks.append(Track())
-            tables = {}
-            continue
+        elif kind == b"moof":
+            finish()
+            moof = after = at - 8
         if not tracks or end - at < 8:
             continue
         try:
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                tracks[-1].number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+            elif kind == b"mdhd":
                 wide = data[at] == 1
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
             elif kind == b"stsd":
@@ -108,7 +184,13 @@ def probe(raw: bytes) -> list[Track]:
                 tables["sizes"] = np.full(n, one, np.int64) if one else _table(data, at + 8, ">u4")[:, 0]
             elif kind == b"stss":
                 tables["stss"] = _table(data, at + 4, ">u4")[:, 0] - 1
-        except (struct.error, ValueError):
+            elif kind == b"trex":
+                defaults[struct.unpack_from(">I", data, at + 4)[0]] = struct.unpack_from(">III", data, at + 12)
+            elif kind == b"tfhd":
+                fragment = _header(data, at, moof, after, defaults, tracks)
+            elif kind == b"trun" and fragment is not None:
+                fragment.base = after = _run(data, at, fragment)
+        except (struct.error, ValueError, OverflowError):
             continue
     finish()
     return tracks
@@ -179,13 +261,21 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("media")).schema)
 
 
-MEDIA_SCHEMA = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:bigint,length:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+MEDIA_SCHEMA = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:bigint,length:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, others array<struct<codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:array<struct<start:bigint,length:bigint>>>>"
 
 
 def probe_column(table: DataFrame, *, media_col: str = "media", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The kept columns and, of the container's first track: codec, timescale, duration, samples, keyframe byte ranges; and digests of the
-    bytes its sample table points at and of the stored form.  Null or unreadable media give an empty codec and no samples."""
-    types = pa.struct([("start", pa.int64()), ("length", pa.int64())])
+    """The kept columns and, of the container's first track: codec, timescale, duration, samples, keyframe byte ranges; digests of the
+    bytes its sample table points at and of the stored form; and `others`, the same features of its further tracks.  Null or unreadable
+    media give an empty codec and no samples.  Repeated rows stay rows; kept columns may not have the names of what is added."""
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    track = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", ranges)])
+    schema = pa.schema([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", ranges), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("others", pa.list_(track))])
+
+    def features(t: Track) -> dict:
+        small = lambda x: min(x, (1 << 63) - 1)
+        keys = [{"start": a, "length": n} for a, n in t.keyframe_ranges()]
+        return {"codec": t.codec, "timescale": t.timescale, "duration": small(t.duration), "samples": len(t.sizes), "keyframes": keys}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -194,11 +284,12 @@ def probe_column(table: DataFrame, *, media_col: str = "media", keep: tuple[str,
                 rows = []
                 for raw in batch.column(batch.num_columns - 1).to_pylist():
                     raw = raw or b""
-                    t = next(iter(probe(raw)), Track())
-                    body = payload(raw, t)
-                    rows.append((t.codec, t.timescale, t.duration, len(t.sizes), [{"start": a, "length": n} for a, n in t.keyframe_ranges()], len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest()))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(types), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*batch.schema.names[:-1], *(x.split()[0] for x in MEDIA_SCHEMA.split(", "))])
+                    first, *rest = probe(raw) or [Track()]
+                    body = payload(raw, first)
+                    digests = {"payload_bytes": len(body), "payload_sha256": hashlib.sha256(body).hexdigest(), "tail_crc32": zlib.crc32(body[-UNIT:]), "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest()}
+                    rows.append(features(first) | digests | {"others": [features(t) for t in rest]})
+                made = pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.columns], names=[*batch.schema.names[:-1], *schema.names])
 
     rest = table.select(*keep, F.col(media_col).alias("__media"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields[:-1])
