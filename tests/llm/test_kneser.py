@@ -35,8 +35,8 @@ def discounts(all_counts):
 
 
 def log_p(models, lang, gram):
-    d = {k: discounts([m[k] for m in models.values()]) for k in (1, 2, 3, 4)}
     model, p = models.get(lang), 1 / 256
+    d = {k: discounts([model[k]]) for k in (1, 2, 3, 4)} if model else {}
     for k in (1, 2, 3, 4):
         g = gram[4 - k :]
         follow = model["by_context"][k].get(g[:-1]) if model else None

@@ -56,6 +56,14 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
+def free_name(base: str, names: list[str]) -> str:
+    """A column name that is not taken; names are told apart as Spark does, without regard to case."""
+    taken = {x.lower() for x in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def hash_bucket(column: Column, n: int, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(n)).cast("int")
 

@@ -8,20 +8,24 @@ the corpus.
 
 Trusted documents are split: four fifths train the model, one fifth (by hash of the id) sets each language's threshold, a
 quantile of their perplexities.  Perplexities of short texts are drawn to their language's mean, as if they went on for
-`prior_bytes` of average text.  Discounts are estimated over all languages together.
+`prior_bytes` of average text.  Each language has its own discounts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, doc_slices, hash_bucket, text_bytes, utf8_list
+from tickloom.llm.common import cut, doc_slices, free_name, hash_bucket, text_bytes, utf8_list
 
 ORDER = 4
 PAD = b"\n" * (ORDER - 1)  # what precedes a text
+SLICE = 1 << 20  # bytes of text that are worked on at a time
 HELD_OUT = 5  # one in so many trusted documents sets thresholds
 
 
@@ -36,17 +40,23 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[valid], sizes
 
 
-def _texts_by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Of a block's documents (kind 0) and labels (kind 1): by language row numbers, texts and roles (0 none, 1 trains, 2 held out)."""
+def _slices(table: pa.Table) -> Iterator[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
+    """Of a block's documents (kind 0) and labels (kind 1), SLICE bytes of text of a language at a time: the language, row numbers, texts
+    and roles (0 none, 1 trains, 2 held out).  Only a slice is held beside the block."""
     kind, ids = table.column("kind").to_numpy(), table.column("id").to_pylist()
     fold = table.column("fold").to_numpy()
     trusted = {i for i, k in zip(ids, kind.tolist(), strict=True) if k == 1}
-    rows, texts, langs = np.flatnonzero(kind == 0), utf8_list(table.column("text")), table.column("lang").to_pylist()
+    rows, langs = np.flatnonzero(kind == 0), table.column("lang").to_pylist()
+    column = table.column("text").cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
     found: dict[str, list[int]] = {}
     for r in rows.tolist():
         found.setdefault(langs[r], []).append(r)
-    role = {r: (2 if fold[r] == 0 else 1) if ids[r] is not None and ids[r] in trusted else 0 for r in rows.tolist()}
-    return {k: (np.array(v), [texts[r] for r in v], np.array([role[r] for r in v])) for k, v in sorted(found.items())}
+    role = np.array([(2 if fold[r] == 0 else 1) if k == 0 and ids[r] is not None and ids[r] in trusted else 0 for r, k in enumerate(kind.tolist())])
+    for lang, members in sorted(found.items()):
+        at = np.array(members)
+        for a, b in doc_slices(sizes[at].tolist(), SLICE):
+            yield lang, at[a:b], utf8_list(column.take(pa.array(at[a:b]))), role[at[a:b]]
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -88,15 +98,18 @@ def _namer(shards: int):
 
     def each(table: pa.Table) -> pa.Table:
         block, rows = table.column("block")[0].as_py(), []
-        for lang, (_, texts, role) in _texts_by_language(table).items():
-            every, trained = [], []
-            for a, b in doc_slices([len(x) for x in texts], 4 << 20):
-                g, sizes = grams(texts[a:b])
-                own = _counted(g)[0]
-                every.append((own, np.zeros(len(own), np.int64)))
-                if (role[a:b] == 1).any():
-                    trained.append(_counted(g[np.repeat(role[a:b] == 1, sizes)]))
-            gram, n = _tally(every + trained)
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, _, texts, role in _slices(table):
+            g, sizes = grams(texts)
+            own = _counted(g)[0]
+            held = parts.setdefault(lang, [])
+            held.append((own, np.zeros(len(own), np.int64)))
+            if (role == 1).any():
+                held.append(_counted(g[np.repeat(role == 1, sizes)]))
+            if len(held) > 16:
+                held[:] = [_tally(held)]
+        for lang, held in parts.items():
+            gram, n = _tally(held)
             shard = gram.view(np.int32).astype(np.int64) % shards
             order = np.lexsort((gram, shard))
             edges = np.r_[_runs(shard[order]), len(gram)]
@@ -154,18 +167,20 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
         known: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, many, g, v in zip(*(answers.column(c).to_pylist() for c in ("lang", "many", "grams", "logp")), strict=True):
             known.setdefault(lang, []).append((_unsqueeze(g, many, "<u4"), _unsqueeze(v, many, "<f4")))
-        for lang, (rows, texts, role) in _texts_by_language(docs).items():
-            keys, logp = (np.concatenate(x) for x in zip(*known.get(lang, [(np.zeros(0, np.uint32), np.zeros(0, np.float32))]), strict=True))
-            order = np.argsort(keys)
-            keys, logp = keys[order], logp[order].astype(np.float64)
-            for a, b in doc_slices([len(x) for x in texts], 4 << 20):
-                g, n = grams(texts[a:b])
-                pairs = np.sort(g.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(n), dtype=np.uint64), n))
-                gram = (pairs >> np.uint64(32)).astype(np.uint32)
-                begin = _runs(gram)
-                each = np.repeat(logp[np.searchsorted(keys, gram[begin])], np.diff(np.r_[begin, len(gram)]))
-                sums.append(np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), each, len(n)))
-                sizes.append(n)
+        ready: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for lang, rows, texts, role in _slices(docs):
+            if lang not in ready:
+                keys, logp = (np.concatenate(x) for x in zip(*known.pop(lang, [(np.zeros(0, np.uint32), np.zeros(0, np.float32))]), strict=True))
+                order = np.argsort(keys)
+                ready = {lang: (keys[order], logp[order].astype(np.float64))}  # slices come language by language
+            keys, logp = ready[lang]
+            g, n = grams(texts)
+            pairs = np.sort(g.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(n), dtype=np.uint64), n))
+            gram = (pairs >> np.uint64(32)).astype(np.uint32)
+            begin = _runs(gram)
+            each = np.repeat(logp[np.searchsorted(keys, gram[begin])], np.diff(np.r_[begin, len(gram)]))
+            sums.append(np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), each, len(n)))
+            sizes.append(n)
             ids += all_ids.take(pa.array(rows)).to_pylist()
             langs += [lang] * len(rows)
             roles.append(role)
@@ -180,12 +195,12 @@ def _context(a: DataFrame, key: str) -> DataFrame:
 
 
 def _discounts(a: DataFrame) -> DataFrame:
-    """One row: the three discounts of an order, from how many n-grams were seen once to four times (Chen and Goodman, 1999)."""
-    n = a.agg(*[F.count_if(F.col("a") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    """For each language the three discounts of an order, from how many n-grams were seen once to four times (Chen and Goodman, 1999)."""
+    n = a.groupBy(F.col("lang").alias("d_lang")).agg(*[F.count_if(F.col("a") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     ready = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
     d = [F.least(F.lit(float(k)), F.greatest(F.lit(0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))) for k in (1, 2, 3)]
-    return n.select(*[F.when(ready, x).otherwise(F.lit(0.75 * k / (0.5 + 0.5 * k))).alias(f"d{k}") for k, x in zip((1, 2, 3), d, strict=True)])
+    return n.select("d_lang", *[F.when(ready, x).otherwise(F.lit(0.75 * k / (0.5 + 0.5 * k))).alias(f"d{k}") for k, x in zip((1, 2, 3), d, strict=True)])
 
 
 def _discounted(a: Column) -> Column:
@@ -196,7 +211,8 @@ def _order(wanted: DataFrame, key: str, a: DataFrame, lower: DataFrame, lower_ma
     """(lang, key, p) for wanted (lang, key, a): a is the n-gram's count or number of left neighbours, 0 if unseen;
     lower (l_lang, l_key, l_p) has the probability of the n-gram without its first byte."""
     rows = wanted.join(_context(a, key), (F.col("lang") == F.col("c_lang")) & (F.shiftrightunsigned(F.col(key), 8) == F.col("ctx")), "left")
-    rows = rows.crossJoin(F.broadcast(_discounts(a)))  # one row
+    by_language = _discounts(a)  # a row for each language: Spark broadcasts it if it is small, and splits a large language's rows if not
+    rows = rows.join(by_language, F.col("lang") == F.col("d_lang"), "left")
     rows = rows.join(lower, (F.col("lang") == F.col("l_lang")) & (F.col(key).bitwiseAND(F.lit(lower_mask)) == F.col("l_key")))
     own = F.when(F.col("a") > 0, _discounted(F.col("a"))).otherwise(F.lit(0.0))
     back = F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")
@@ -259,5 +275,6 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99
 
 def keep_quality(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", **judge) -> DataFrame:
     """documents without those the classifier rejects; all columns stay.  Rows without an id stay."""
-    bad = judge_quality(docs, trusted, id_col=id_col, **judge).where("not keep and id is not null").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    name = free_name("bad", docs.columns)
+    bad = judge_quality(docs, trusted, id_col=id_col, **judge).where("not keep and id is not null").select(F.col("id").alias(name)).distinct()
+    return docs.join(bad, F.col(id_col).cast("long") == F.col(name), "left_anti")
