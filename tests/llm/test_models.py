@@ -40,6 +40,56 @@ def test_toxicity_of_odd_input(spark):
     assert toxicity.reject_toxic(df.limit(0), none).count() == 0
 
 
+def test_two_models_in_one_worker(spark):
+    """Models that differ only in weights far down, and the same labels turned round."""
+    rows = [(i, "calm rain" if i % 2 else "vile noise", 0, "s") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for turn in (0, 1, 0):
+        labels = spark.createDataFrame([(i, (i + turn) % 2) for i in range(40)], "doc_id long, toxic int")
+        got = {r.doc_id: r.severity for r in toxicity.expected_severity(df, toxicity.train(df, labels)).collect()}
+        assert all((got[i] > 0.5) == bool((i + turn) % 2) for i in range(40))
+
+
+def test_the_fit_is_the_maximum_of_the_plain_likelihood():
+    """Against the likelihood written out document by document: no small step away from the fit is better by more than a little."""
+    rng = np.random.default_rng(3)
+    n, width = 300, 12
+    sizes = np.full(n, 3)
+    col = np.concatenate([rng.choice(width, 3, replace=False) for _ in range(n)]).astype(np.int32)
+    val = rng.uniform(0.5, 1.5, len(col)).astype(np.float32)
+    truth = rng.normal(size=width)
+    grades = np.digitize((val * truth[col]).reshape(n, 3).sum(axis=1) + rng.logistic(size=n), [-0.5, 1.0])
+    model = toxicity.fit_ordinal(sizes, col, val.copy(), grades, np.ones(n), width=width, stems=(), l2=0.0, steps=3000)
+
+    def plain(w, cuts):
+        total = 0.0
+        for r in range(n):
+            s = sum(float(val[3 * r + i]) * w[col[3 * r + i]] for i in range(3))
+            at_most = lambda k: 0.0 if k < 0 else 1.0 if k >= len(cuts) else 1 / (1 + np.exp(-(cuts[k] - s)))  # noqa: B023, E731
+            total += np.log(at_most(grades[r]) - at_most(grades[r] - 1))
+        return total / n
+
+    w, cuts = model.weights.astype(float), model.thresholds
+    best = plain(w, cuts)
+    for i in range(width):
+        for step in (-0.1, 0.1):
+            assert plain(w + step * (np.arange(width) == i), cuts) < best + 1e-4
+    assert all(plain(w, cuts + [d, e]) < best + 1e-4 for d, e in ((0.1, 0), (-0.1, 0), (0, 0.1), (0, -0.1)))
+    severity = model.expected(np.array([0.3]))[0]
+    assert abs(severity - sum(1 - 1 / (1 + np.exp(-(c - 0.3))) for c in cuts)) < 1e-9
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    rows = [(1, "vile", 1, "a", 1, 2), (1, "vile", 1, "a", 1, 2), (2, "calm", 0, "b", 1, 2), (3, None, 0, None, 1, 2)] * 4 + [(k, "calm sea", 0, "b", 1, 2) for k in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int, severity string, __text int, severity_ int")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int").union(spark.range(10, 20).selectExpr("id", "0"))
+    model = toxicity.train(df, labels)
+    got = {(min(r.doc_id, 10), round(r.severity, 6)) for r in toxicity.expected_severity(df, model, keep=("doc_id", "severity", "__text")).collect()}
+    assert len(got) == 4
+    left = toxicity.reject_toxic(df, labels)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {2, 3, *range(10, 20)} and {r.severity for r in left.collect()} == {"b", None}
+
+
 def plain_rule(host, path):
     fits = [(len(r), r, a) for r, a in URL_RULES if (host == (h := r.partition("/")[0]) or host.endswith("." + h)) and path.startswith("/" + r.partition("/")[2])]
     return max(fits)[1:] if fits else (None, None)

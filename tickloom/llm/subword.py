@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from tickloom.llm.common import doc_slices, worker_cache
+from tickloom.llm.common import doc_slices, free_name, worker_cache
 
 MARK = "▁"
 #: Types of pieces and models in the public model format, fixed values.
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
                 ids = model.encode([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
 
-    rest = docs.select(F.col(id_col).alias("id"), *[c for c in carry if c not in ("id", "ids")], F.col(text_col).cast("string"))
+    rest = docs.select(F.col(id_col).alias("id"), *[c for c in carry if c not in ("id", "ids")], F.col(text_col).cast("string").alias(free_name("text", ["id", *carry])))
     return rest.mapInArrow(each, StructType([*rest.schema.fields[:-1], StructField("ids", BinaryType())]))
 
 
@@ -265,5 +265,5 @@ def decode(table: DataFrame, model_path: str, *, ids_col: str = "ids", keep: tup
                 texts = [None if x is None else model.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    rest = table.select(*[c for c in keep if c != "text"], F.col(ids_col))
+    rest = table.select(*[c for c in keep if c != "text"], F.col(ids_col).alias(free_name("ids", list(keep))))
     return rest.mapInArrow(each, StructType([*rest.schema.fields[:-1], StructField("text", StringType())]))

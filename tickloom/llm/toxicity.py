@@ -9,6 +9,7 @@ The score w.x is a sum over words, so a task looks each distinct word up once.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,11 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tickloom.llm.common import worker_cache
+from tickloom.llm.common import free_name, worker_cache
 
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|-_/\\0123456789¿¡«»…"
-WORD_MEMORY = 500_000
+WORD_MEMORY = 300_000
 
 
 def word_features(word: str, width: int, stems: tuple[int, ...]) -> list[int]:
@@ -57,112 +59,128 @@ class OrdinalModel:
         return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))).sum(axis=1)
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight: np.ndarray, *, width: int, stems: tuple[int, ...], least_rows: int = 3, l2: float = 1e-4, steps: int = 200, rate: float = 0.05) -> OrdinalModel:
-    """Weighted maximum likelihood by Adam; thresholds are a first value and positive gaps, so they stay ordered.  Features of fewer
-    than least_rows rows are left out."""
-    k = int(grades.max()) if len(grades) else 1
-    sizes = np.array([len(i) for i, _ in rows], np.int64)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    col = np.concatenate([i for i, _ in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
-    val = np.concatenate([v for _, v in rows] or [np.zeros(0)]).astype(np.float64)
-    used, col = np.unique(col, return_inverse=True)
-    scale = np.zeros(len(used))
+CHUNK = 1 << 19  # features that are worked on at a time
+
+
+def fit_ordinal(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, weight: np.ndarray, *, width: int, stems: tuple[int, ...], least_rows: int = 3, l2: float = 1e-4, steps: int = 200, rate: float = 0.05) -> OrdinalModel:
+    """Weighted maximum likelihood by Adam; thresholds are a first value and positive gaps, so they stay ordered.  Row r has the next
+    sizes[r] of the features col (int32, below width) with values val (float32).  Features of fewer than least_rows rows are left out."""
+    k, n_rows = int(grades.max()) if len(grades) else 1, len(sizes)
+    seen = np.bincount(col, minlength=width) if len(col) else np.zeros(width, np.int64)
+    doc = np.repeat(np.arange(n_rows, dtype=np.int32), sizes)
+    scale = np.zeros(width)
     for j in range(1, k + 1):
-        high = grades[doc] >= j
-        p, q = np.bincount(col[high], minlength=len(used)), np.bincount(col[~high], minlength=len(used))
-        n = (grades >= j).sum()
-        scale = np.maximum(scale, np.abs(np.log((p + 1) / (n + 2)) - np.log((q + 1) / (len(rows) - n + 2))))
-    scale[np.bincount(col, minlength=len(used)) < least_rows] = 0
-    val = val * scale[col]
+        p = np.bincount(col[(grades >= j)[doc]], minlength=width)
+        n = int((grades >= j).sum())
+        scale = np.maximum(scale, np.abs(np.log((p + 1) / (n + 2)) - np.log((seen - p + 1) / (n_rows - n + 2))))
+    scale[seen < least_rows] = 0
+    kept = scale[col] > 0
+    doc, col, val = doc[kept], col[kept], val[kept]
+    parts = [slice(i, i + CHUNK) for i in range(0, len(col), CHUNK)]
+    for x in parts:
+        val[x] *= scale[col[x]]
     weight = weight / max(weight.sum(), 1e-12)
     share = np.array([np.clip((weight * (grades >= j)).sum(), 1e-3, 1 - 1e-3) for j in range(1, max(k, 1) + 1)])
     start = np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(len(share)))
     theta = np.r_[start[0], np.log(np.maximum(np.diff(start), 1e-2))]
-    p = np.concatenate([np.zeros(len(used)), theta])
+    p = np.concatenate([np.zeros(width), theta])
     m, v = np.zeros_like(p), np.zeros_like(p)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-    at = np.arange(len(rows))
-    for step in range(1, steps + 1 if len(rows) and k else 1):
-        w, raw = p[: len(used)], p[len(used) :]
+    at = np.arange(n_rows)
+    for step in range(1, steps + 1 if n_rows and k else 1):
+        w, raw = p[:width], p[width:]
         cuts = np.cumsum(np.r_[raw[0], np.exp(raw[1:])])
-        s = np.bincount(doc, val * w[col], len(rows))
+        s = sum((np.bincount(doc[x], val[x] * w[col[x]], n_rows) for x in parts), np.zeros(n_rows))
         upper = np.r_[cuts, np.inf][grades]
         lower = np.r_[-np.inf, cuts][grades]
         a, b = np.where(np.isinf(upper), 1.0, sig(upper - s)), np.where(np.isinf(lower), 0.0, sig(lower - s))
         prob = np.maximum(a - b, 1e-12)
         da, db = a * (1 - a) / prob * weight, b * (1 - b) / prob * weight
-        g_cut = np.zeros((len(rows), k + 1))
+        g_cut = np.zeros((n_rows, k + 1))
         np.add.at(g_cut, (at, grades), -da)
         np.add.at(g_cut, (at[grades > 0], grades[grades > 0] - 1), db[grades > 0])
-        by_cut = g_cut[:, :k].sum(axis=0)
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, val * (da - db)[doc], len(used)) + l2 * w, np.r_[tail[0], tail[1:] * np.exp(raw[1:])]])
+        tail = np.cumsum(g_cut[:, :k].sum(axis=0)[::-1])[::-1]
+        slope = da - db
+        of_w = sum((np.bincount(col[x], val[x] * slope[doc[x]], width) for x in parts), l2 * w)
+        g = np.concatenate([of_w, np.r_[tail[0], tail[1:] * np.exp(raw[1:])]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(width, np.float32)
-    weights[used] = p[: len(used)] * scale
-    raw = p[len(used) :]
-    return OrdinalModel(weights, np.cumsum(np.r_[raw[0], np.exp(raw[1:])]) if k else np.array([np.inf]), stems)
+    raw = p[width:]
+    return OrdinalModel((p[:width] * scale).astype(np.float32), np.cumsum(np.r_[raw[0], np.exp(raw[1:])]) if k else np.array([np.inf]), stems)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_grade: int = 3000, max_grade: int = 15, width: int = 1 << 18, stems: tuple[int, ...] = (4, 5, 6)) -> OrdinalModel:
-    """Fits on at most `per_grade` labelled rows of each grade 0..max_grade, those with the smallest hash of their id.
+def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000, row_features: int = 4096, max_grade: int = 15, width: int = 1 << 18, stems: tuple[int, ...] = (4, 5, 6)) -> OrdinalModel:
+    """Fits on at most `sample_rows` labelled rows, in equal parts for the grades 0..max_grade, those with the smallest hash of their id, and
+    on at most `row_features` distinct features of each, those with the smallest hash: 8 bytes a feature, 200 MB at the most.
 
     Rows stand for all labelled rows of their grade (weights correct the sampling).  Null labels, ids or texts are left out,
-    as are grades outside the range; a repeated label counts once, the highest grade.  Without labels the model says 0.
+    as are grades outside the range; a repeated label counts once, the highest grade, and every row of a repeated id counts.  Without
+    labels the model says 0.
     """
     grades = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, max_grade)).groupBy("id").agg(F.max("grade").alias("grade"))
     counts = {r.grade: r["count"] for r in grades.groupBy("grade").count().collect()}  # max_grade + 1 rows at most
     if not counts:
         return OrdinalModel(np.zeros(width, np.float32), np.array([np.inf]), stems)
-    parts = [grades.where(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(per_grade) for g in sorted(counts)]
+    parts = [grades.where(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(sample_rows // len(counts)) for g in sorted(counts)]
     chosen = parts[0]
     for x in parts[1:]:
         chosen = chosen.union(x)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols, vals = [], []
-            for text in batch.column(1).to_pylist():
-                found: dict[int, float] = {}
-                for w, c in Counter(text.lower().split()).items():
-                    for f in word_features(w, width, stems):
-                        found[f] = found.get(f, 0.0) + log1p(c)
-                cols.append(np.fromiter(found.keys(), np.int32, len(found)).tobytes())
-                vals.append(np.fromiter(found.values(), np.float32, len(found)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names=["grade", "cols", "vals"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                cols, vals = [], []
+                for text in batch.column(2).to_pylist():
+                    found: dict[int, float] = {}
+                    for w, c in Counter(text.lower().split()).items():
+                        for f in word_features(w, width, stems):
+                            found[f] = found.get(f, 0.0) + log1p(c)
+                    some = sorted(found)[:row_features]
+                    cols.append(np.array(some, "<i4").tobytes())
+                    vals.append(np.array([found[f] for f in some], "<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names=["id", "grade", "cols", "vals"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("grade", "text").mapInArrow(each, "grade int, cols binary, vals binary").collect()  # per_grade rows of a grade at most
-    y = np.array([r.grade for r in rows], np.int64)
-    got = Counter(y.tolist())
-    weight = np.array([counts[g] / got[g] for g in y.tolist()], np.float64)
-    order = np.argsort([f"{r.grade} {bytes(r.cols[:64]).hex()}" for r in rows], kind="stable") if rows else []  # rows arrive in any order
-    return fit_ordinal([(np.frombuffer(rows[i].cols, np.int32), np.frombuffer(rows[i].vals, np.float32)) for i in order], y[order] if rows else y, weight[order] if rows else weight, width=width, stems=stems)
+    sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "grade", "text").mapInArrow(each, "id long, grade int, cols binary, vals binary")
+    got = sample.toArrow()  # sample_rows rows of row_features at most (more only for repeated ids)
+    cols, vals = got.column("cols").to_pylist(), got.column("vals").to_pylist()
+    order = sorted(range(len(cols)), key=lambda i: (got.column("id")[i].as_py(), cols[i], vals[i]))  # rows arrive in any order
+    y = got.column("grade").to_numpy().astype(np.int64)[order]
+    cols, vals = [cols[i] for i in order], [vals[i] for i in order]
+    of_grade = np.bincount(y, minlength=max_grade + 1)
+    weight = np.array([counts[g] / of_grade[g] for g in y.tolist()], np.float64)
+    sizes = np.array([len(x) // 4 for x in cols], np.int64)
+    return fit_ordinal(sizes, np.frombuffer(b"".join(cols), "<i4"), np.frombuffer(b"".join(vals), "<f4"), y, weight, width=width, stems=stems)
 
 
 def expected_severity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", out_col: str = "severity", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and the expected severity (double).  Null and empty texts have severity of an empty text."""
-    name = f"{model.weights[:4096].tobytes().__hash__()}"
+    """The kept columns and the expected severity (double), which replaces a kept column of that name.  Null and empty texts have the
+    severity of an empty text; equal texts have equal severities, repeated rows stay rows."""
+    name = hashlib.sha256(model.weights.tobytes() + repr((model.thresholds.tolist(), model.stems)).encode()).hexdigest()
     box = docs.sparkSession.sparkContext.broadcast(model.weights)  # width floats, a fixed size
     thresholds, stems = model.thresholds, model.stems
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, m = worker_cache(), OrdinalModel(box.value, thresholds, stems)
-        for batch in batches:
-            words = cache.setdefault(f"toxic {name}", {})
-            if len(words) > WORD_MEMORY:
-                words.clear()
-            s = np.array([m.score(x or "", words) for x in batch.column("__text").to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(m.expected(s), pa.float64())], names=[*batch.schema.names[:-1], out_col])
+        if cache.get("toxic_model") != name:  # the words of one model at a time
+            cache |= {"toxic_model": name, "toxic_words": {}}
+        words = cache["toxic_words"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                if len(words) > WORD_MEMORY:
+                    words.clear()
+                s = np.array([m.score(x or "", words) for x in batch.column(batch.num_columns - 1).to_pylist()], np.float64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(m.expected(s), pa.float64())], names=[*batch.schema.names[:-1], out_col])
 
-    rest = docs.select(*[c for c in keep if c != out_col], F.col(text_col).cast("string").alias("__text"))
-    schema = rest.drop("__text").withColumn(out_col, F.lit(0.0)).schema
-    return rest.mapInArrow(each, schema)
+    rest = docs.select(*[c for c in keep if c != out_col], F.col(text_col).cast("string").alias(free_name("text", list(keep))))
+    return rest.mapInArrow(each, StructType([*rest.schema.fields[:-1], StructField(out_col, DoubleType())]))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **fit) -> DataFrame:
     """documents without those whose expected severity is at the threshold or above; all columns stay."""
     model = train(docs, labels, **fit)
     names = docs.columns
-    return expected_severity(docs, model, keep=tuple(names), out_col="__severity").where(F.col("__severity") < threshold).select(*names)
+    grade = free_name("severity", names)
+    return expected_severity(docs, model, keep=tuple(names), out_col=grade).where(F.col(grade) < threshold).select(*names)
