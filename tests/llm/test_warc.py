@@ -11,7 +11,7 @@ SCHEMA = "page_id long, url string, html string, first string, payload int"
 
 def pages():
     trap = "".join(map(chr, (0x1F, 0x8B, 0x08))) * 50
-    rows = [(1, "http://a/", "same"), (2, "http://b/\nx", "same"), (3, None, None), (4, "u", ""), (5, "u", "é" * 70_000), (6, "u", trap), (7, "u", "same"), (None, "u", "lone"), (8, "u", "x" * 300_000)]
+    rows = [(1, "http://a/", "same"), (None, "v", "lone"), (2, "http://b/\nx", "same"), (3, None, None), (4, "u", ""), (5, "u", "é" * 70_000), (6, "u", trap), (7, "u", "same"), (None, "u", "lone"), (8, "u", "x" * 300_000)]
     return [(*r, "c", 0) for r in rows]
 
 
@@ -37,11 +37,39 @@ def test_small_payloads_are_all_responses_and_empty_tables_give_none(spark):
     df = spark.createDataFrame(pages(), SCHEMA)
     folder = warc.archive_folder(spark)
     got = warc.read_archives(warc.write_archives(df, folder, min_bytes=5), folder)
-    assert got.where("warc_type = 'revisit'").count() == 0 and got.count() == 9
+    assert got.where("warc_type = 'revisit'").count() == 0 and got.count() == 10
     folder = warc.archive_folder(spark)
     assert warc.read_archives(warc.write_archives(df.limit(0), folder), folder).count() == 0
 
 
+def test_every_range_is_a_task(spark):
+    df = spark.createDataFrame([(i, "u", f"{i} " * 3000) for i in range(300)], "page_id long, url string, html string").repartition(2)
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(df, folder)
+    got = warc.read_archives(manifest, folder, split_bytes=2048)
+    assert got.rdd.getNumPartitions() >= manifest.agg({"n_bytes": "sum"}).first()[0] // 2048 > 4
+    assert got.count() == 300
+
+
+def test_an_archive_inside_a_record_stays_inside(spark, tmp_path):
+    """A payload that deflate stores as it is holds a whole member; ranges of every size start inside it."""
+    import zlib
+
+    inner = warc.record_bytes("response", "9", "u", b"inner", warc.payload_digest(b"inner"), None)
+    body = b"." * 500 + inner + b"." * 500
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    raw = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    last = warc.record_bytes("response", "2", "u", b"last", warc.payload_digest(b"last"), None)
+    whole = z.compress(raw) + z.flush() + last
+    (tmp_path / "y.warc.gz").write_bytes(whole)
+    manifest = spark.createDataFrame([(str(tmp_path / "y.warc.gz"), len(whole))], "path string, n_bytes long")
+    for split in (64, 100, 10_000):
+        got = warc.read_archives(manifest, f"file://{tmp_path}", split_bytes=split).collect()
+        assert sorted(len(r.payload) for r in got) == [4, len(body)]
+    assert [bytes(r.payload) for r in warc.read_archives(manifest, f"file://{tmp_path}", max_record_bytes=900).collect()] == [b"last"]
+
+
 def test_foreign_members_are_passed_over(spark, tmp_path):
     record = warc.record_bytes("response", "1", "http://a/", b"body", warc.payload_digest(b"body"), None)
     raw = gzip.compress(b"no archive") + b"junk\x1f\x8b\x08" + record + gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n") + record[:-9]

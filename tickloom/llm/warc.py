@@ -100,55 +100,98 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     return cut(ready.sortWithinPartitions("id", "url").mapInArrow(each, "path string, n_bytes long, records long"))
 
 
-def _members(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int, size: int) -> Iterator[bytes]:
-    """Decoded members of a file that start in [start, end) and whose header is WARC."""
-    with fs.open_input_file(path) as f:
-
-        def inflate(at: int) -> tuple[bytes, int] | None:
-            """A whole member and the place after it; None if what stands there is no gzip member with a WARC header."""
-            z, parts, checked, place = zlib.decompressobj(31), [], False, at
-            try:
-                while not z.eof:
-                    raw = f.read_at(min(READ_BYTES if parts else 1 << 14, size - place), place)
-                    if not raw:
-                        return None
-                    parts.append(z.decompress(raw))
-                    place += len(raw)
-                    if not checked and sum(map(len, parts)) >= 5:
+class _Archive:
+    """An open file of size bytes, of which members are decoded."""
+
+    def __init__(self, file: pa.NativeFile, size: int, most: int) -> None:
+        self.file, self.size, self.most = file, size, most
+
+    def member(self, at: int, whole: bool = True) -> tuple[bytes, int] | None:
+        """The member that begins at a place, and the place after it; None if what stands there is no gzip member with a WARC header.
+        If not whole, its first bytes do.  Of a member that inflates to more than `most` bytes only the place after it is told."""
+        z, parts, held, place, checked = zlib.decompressobj(31), [], 0, at, False
+        try:
+            while not z.eof:
+                raw = self.file.read_at(min(READ_BYTES if checked else 1 << 14, self.size - place), place)
+                if not raw:
+                    return None
+                place += len(raw)
+                while raw and not z.eof:
+                    part = z.decompress(raw, READ_BYTES)
+                    raw, held = z.unconsumed_tail, held + len(part)
+                    if held <= self.most:
+                        parts.append(part)
+                    if not checked and held >= 5:
                         checked = True
                         if not b"".join(parts).startswith(b"WARC/"):
                             return None
-            except zlib.error:
-                return None
-            return (b"".join(parts), place - len(z.unused_data)) if checked else None
-
+                        if not whole:
+                            return b"", place
+        except zlib.error:
+            return None
+        return (b"".join(parts) if held <= self.most else b"", place - len(z.unused_data)) if checked else None
+
+    def candidates(self, start: int, end: int) -> Iterator[int]:
+        """Places of the gzip magic in [start, end)."""
         at = start
         while at < end:
-            window = f.read_at(min(READ_BYTES + len(MAGIC) - 1, size - at), at)
+            window = self.file.read_at(min(READ_BYTES + len(MAGIC) - 1, self.size - at), at)
             k = window.find(MAGIC)
             if k < 0:
                 at += READ_BYTES
-                continue
-            at += k
-            if at >= end:
+            elif at + k >= end:
                 return
-            found = inflate(at)
-            if found is None:
-                at += 1
+            else:
+                yield at + k
+                at += k + 1
+
+    def walk(self, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+        """Members one after the other from a place where one begins or where there is none around; what does not decode is passed over."""
+        at = start
+        while at < end:
+            begin = next((x for x in self.candidates(at, end)), None)
+            if begin is None:
+                return
+            found = self.member(begin)
+            if found is not None:
+                yield begin, found[0]
+            at = begin + 1 if found is None else found[1]
+
+    def synchronised(self, start: int, end: int) -> int:
+        """Where the first member that starts in [start, end) begins (end if none does).  The bytes of a member may hold a whole archive
+        member, so a candidate counts if the next member, or the file's end, follows it; if something else does, the file is walked
+        from its start, which settles it."""
+        for at in self.candidates(start, end):
+            if (found := self.member(at)) is None:
                 continue
-            yield found[0]
-            at = found[1]  # the next record starts here; nothing inside this one is looked at
+            if found[1] == self.size or self.member(found[1], whole=False) is not None:
+                return at
+            return next((x for x, _ in self.walk(0, end) if x >= start), end)
+        return end
+
+
+def _members(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int, size: int, most: int) -> Iterator[bytes]:
+    """Decoded members of a file that start in [start, end) and whose header is WARC."""
+    with fs.open_input_file(path) as f:
+        archive = _Archive(f, size, most)
+        for _, raw in archive.walk(archive.synchronised(start, end) if start else 0, end):
+            if raw:
+                yield raw
 
 
 RECORD = "warc_type string, record_id string, url string, refers_to string, payload_digest string, payload_length long, payload binary"
 
 
-def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 20) -> DataFrame:
-    """The response and revisit records of the files in a manifest (path, n_bytes), in ranges of split_bytes.
+def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 20, max_record_bytes: int = 1 << 30) -> DataFrame:
+    """The response and revisit records of the files in a manifest (path, n_bytes), in ranges of split_bytes, or of a 50,000th of all
+    bytes if that is more, so that the tasks of a stage stay countable.  Each range is a task of its own.
 
     payload is null for revisits; payload_digest is computed from a response's payload and read from a revisit's header, as is
-    payload_length.  Members that do not decode or are of other types are passed over.
+    payload_length.  Members that do not decode or are of other types are passed over, as are those that inflate to more than
+    max_record_bytes, which a cell of a table could not hold.  An empty manifest gives no rows.
     """
+    total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    split_bytes = max(split_bytes, -(-total // 50_000))
     ranges = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +205,7 @@ def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 2
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for raw in _members(fs, path, start, min(start + split_bytes, size), size):
+                for raw in _members(fs, path, start, min(start + split_bytes, size), size, max_record_bytes):
                     r = parse_record(raw)
                     if r is None or r.get("warc-type") not in ("response", "revisit"):
                         continue
@@ -177,7 +220,9 @@ def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 2
                 if rows:
                     yield pack(rows)
 
-    return ranges.repartition("path", "start").select("path", "n_bytes", "start").mapInArrow(each, RECORD)
+    # a number of partitions, as Spark would else put all these small rows, and so all reading, into one task
+    tasks = max(1, -(-total // split_bytes))
+    return ranges.select("path", "n_bytes", "start").repartition(tasks, "path", "start").mapInArrow(each, RECORD)
 
 
 def archive_folder(spark: SparkSession) -> str:
