@@ -80,3 +80,15 @@ def test_one_of_each_component_stays(spark):
     left = sorted((r.doc_id or -1, r.fp) for r in simhash.keep_first(df).collect())
     assert left == [(-1, "d"), (3, "b"), (3, "e"), (9, "c")]
     assert simhash.keep_first(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_without_an_id_link_and_shared_ids_do_not(spark, monkeypatch):
+    """Fingerprints 0, 15 and 255: the middle one, whose row has no id, is within four bits of both.  Two far ones share an id."""
+    far = 0x0F0F0F0F00000000
+    prints = {"a": 0, "b": 15, "c": 255, "d": far, "e": far ^ (1 << 63) - 1}
+    fps = spark.createDataFrame([(1, 0), (None, 15), (2, 255), (7, prints["d"]), (7, prints["e"]), (9, prints["e"] ^ 1), (None, 0x3333333333333333)], "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **_: fps)
+    got = {(r.id, r.fp): r.component for r in simhash.near_duplicates(fps).collect()}
+    assert got[1, 0] == got[None, 15] == got[2, 255] == 1
+    assert got[7, prints["d"]] == 7 and got[7, prints["e"]] == got[9, prints["e"] ^ 1] == 7
+    assert got[None, 0x3333333333333333] is None

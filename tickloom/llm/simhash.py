@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, popcount, utf8_list
+from tickloom.llm.common import cut, free_name, popcount, utf8_list
 from tickloom.llm.components import components
 
 
@@ -128,22 +128,25 @@ def close_links(classes: DataFrame, *, radius: int = 4, spare: int = 3) -> DataF
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, spare: int = 3) -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id reachable over links, the row's own included.
 
-    Null text is empty, and empty texts share fingerprint zero.  A row whose id is null keeps its fingerprint; it lends no id,
-    so a class of such rows only has component null.  Repeated ids are rows like any other.  No rows give no rows.
+    Null text is empty, and empty texts share fingerprint zero.  A row whose id is null keeps its fingerprint and its links, but lends
+    no id, so a component of such rows only is null.  Repeated ids are rows like any other.  No rows give no rows.
     Extra columns are ignored whatever their names.
     """
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
-    # a row id that is repeated under several fingerprints joins their classes
-    found = components(close_links(classes, radius=radius, spare=spare))
-    labelled = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component"))
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    # the nodes are fingerprints: classes that share an id, or have none, stay apart or link as their bits say
+    found = components(close_links(classes.select("fp", F.col("fp").alias("rep")), radius=radius, spare=spare))
+    joined = classes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("root"), "rep")
+    least = joined.groupBy(F.col("root").alias("l_root")).agg(F.min("rep").alias("component"))
+    labelled = joined.join(least, F.col("root") == F.col("l_root")).select("class_fp", "component")
     return fps.join(labelled, F.col("fp") == F.col("class_fp"), "left").select("id", "fp", "component")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **detect) -> DataFrame:
     """documents of which each component keeps the row or rows with its smallest id; rows with a null id stay.  All columns stay."""
     found = near_duplicates(docs, id_col=id_col, **detect)
-    away = found.where("id is not null and id <> component").select(F.col("id").alias("__away"))
-    stay = found.where("id = component").select(F.col("id").alias("__stay"))
-    gone = away.join(stay, F.col("__away") == F.col("__stay"), "left_anti").distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__away"), "left_anti")
+    name = free_name("away", docs.columns)
+    away = found.where("id is not null and id <> component").select(F.col("id").alias(name))
+    stay = found.where("id = component").select(F.col("id").alias("stay"))
+    gone = away.join(stay, F.col(name) == F.col("stay"), "left_anti").distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
