@@ -95,7 +95,7 @@ def plain_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     rng = random.Random(4)
     urls = [None, "", "no scheme/com/en/", "http://A.Example.COM/en/7?x#y", "https://example.com", "ftp://x.com/en/://z", "http://com/en/1", "http://xcom/en/1", "http://example.net/de/8", "http://m.example.net/de/9", "http://a.org/es/x", "a://b.org?q=/es/"]
     bad = lambda: f"http://{rng.choice('abc')}{rng.randint(10**6, 10**9)}.example.org/{rng.randint(0, 10**9)}?a={rng.random()}&b=1&c=2"
@@ -119,3 +119,37 @@ def test_urls(spark):
     test = [(len(urls) + i, y) for i, (_, y) in enumerate(made) if i % 2 == 0]
     assert np.mean([(got[i].verdict == "block") == bool(y) for i, y in test]) > 0.95
     assert urlfilter.judge(df.limit(0), labelled.limit(0), URL_RULES).count() == 0
+    monkeypatch.setattr(urlfilter, "FEW_SUFFIXES", 1)  # the join that is not a broadcast one
+    assert {r.id: r.verdict for r in urlfilter.judge(df.union(df), labelled, URL_RULES).collect()} == {i: r.verdict for i, r in got.items()}
+    assert urlfilter.judge(df, labelled.limit(0), URL_RULES).where("score > 0.5 or score is null").count() == 0
+
+
+def test_trees_equal_plain_boosting():
+    """The fitted trees against boosting written out with every cut tried on every row."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(scale=0.3, size=120) > 0.7).astype(float)
+    model = urlfilter.BoostedTrees.fit(x, y, trees=4, depth=2, rate=0.3, bins=16, ridge=2.0)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])) for j in range(3)]
+    score = np.full(120, np.log(y.mean() / (1 - y.mean())))
+    worth = lambda g, h: g.sum() ** 2 / (h.sum() + 2.0)
+
+    def grow(rows, g, h, level):
+        if level == 2:
+            return {int(r): 0.3 * g[rows].sum() / (h[rows].sum() + 2.0) for r in rows}
+        best = (1e-6, 0, np.inf)
+        for j in range(3):
+            for c in edges[j]:
+                low = rows[x[rows, j] <= c]
+                high = rows[x[rows, j] > c]
+                gain = worth(g[low], h[low]) + worth(g[high], h[high]) - worth(g[rows], h[rows])
+                if gain > best[0] + 1e-12:
+                    best = (gain, j, c)
+        _, j, c = best
+        return grow(rows[x[rows, j] <= c], g, h, level + 1) | grow(rows[x[rows, j] > c], g, h, level + 1)
+
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-score))
+        step = grow(np.arange(120), y - p, p * (1 - p), 0)
+        score = score + np.array([step[r] for r in range(120)])
+    assert np.allclose(model.raw(x), score)

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import cut
+
+FEW_SUFFIXES = 50_000  # suffixes whose statistics are broadcast: some 5 MB
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "host_length", "host_labels", "hyphens", "suffix_log_count", "suffix_bad_share")
 
 
@@ -112,10 +115,12 @@ def suffix_statistics(urls: DataFrame, labelled: DataFrame, *, prior: float = 20
     return seen.join(bad, F.col("suffix") == F.col("s"), "left").crossJoin(F.broadcast(total)).select("suffix", F.log1p("n").alias("suffix_log_count"), share.alias("suffix_bad_share"))
 
 
-def features(urls: DataFrame, stats: DataFrame, carry: list[str]) -> DataFrame:
+def features(urls: DataFrame, stats: DataFrame, carry: list[str], *, small: bool = False) -> DataFrame:
     """The carried columns and x, the features as an array.  urls has url, host and path; a URL takes its suffix's statistics by
-    an equi-join on the suffix, where Spark splits a suffix that holds much of the table."""
+    an equi-join on the suffix: a broadcast one if they are known to be small, else one where Spark splits a suffix that holds much of
+    the table."""
     stats = stats.select(F.col("suffix").alias("__suffix"), "suffix_log_count", "suffix_bad_share")
+    stats = F.broadcast(stats) if small else stats
     joined = urls.join(stats, suffix_of(F.col("host")) == F.col("__suffix"), "left")
     flat = joined.select(*carry, F.coalesce("url", F.lit("")).alias("__u"), F.col("host").alias("__h"), F.col("path").alias("__p"), F.coalesce("suffix_log_count", F.lit(0.0)).alias("__c"), F.coalesce("suffix_bad_share", F.lit(0.0)).alias("__b"))
     n = len(carry)
@@ -141,10 +146,11 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], *
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     urls = with_rule(urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))), rules)
     labelled = labelled.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad")).where("bad is not null")
-    stats = suffix_statistics(urls, labelled)
+    stats = cut(suffix_statistics(urls, labelled))
+    small = stats.agg(F.count("*").alias("n"), F.sum(F.octet_length("suffix")).alias("b")).where(f"n <= {FEW_SUFFIXES} and coalesce(b, 0) <= 64 * {FEW_SUFFIXES}").count() > 0
     some = labelled.orderBy(F.xxhash64("url"), "url", "bad").limit(sample)
     some = some.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    rows = features(some, stats, ["bad"]).collect()  # `sample` rows at most
+    rows = features(some, stats, ["bad"], small=small).collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r.bad, r.x))
     model = BoostedTrees.fit(np.array([r.x for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r.bad for r in rows], np.float64))
 
@@ -153,7 +159,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], *
             x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.probability(x))], names=[*batch.schema.names[:-1], "score"])
 
-    ready = features(urls, stats, ["id", "host", "path", "rule", "rule_action"])
+    ready = features(urls, stats, ["id", "host", "path", "rule", "rule_action"], small=small)
     scored = ready.mapInArrow(each, ready.drop("x").withColumn("score", F.lit(0.0)).schema)
     verdict = F.coalesce("rule_action", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return scored.select("id", "host", "path", "rule", verdict.alias("verdict"), "score")
