@@ -109,7 +109,7 @@ class _Archive:
     def member(self, at: int, whole: bool = True) -> tuple[bytes, int] | None:
         """The member that begins at a place, and the place after it; None if what stands there is no gzip member with a WARC header.
         If not whole, its first bytes do.  Of a member that inflates to more than `most` bytes only the place after it is told."""
-        z, parts, held, place, checked = zlib.decompressobj(31), [], 0, at, False
+        z, parts, head, held, place, checked = zlib.decompressobj(31), [], b"", 0, at, False
         try:
             while not z.eof:
                 raw = self.file.read_at(min(READ_BYTES if checked else 1 << 14, self.size - place), place)
@@ -121,9 +121,10 @@ class _Archive:
                     raw, held = z.unconsumed_tail, held + len(part)
                     if held <= self.most:
                         parts.append(part)
+                    head += part[: max(0, 5 - len(head))]
                     if not checked and held >= 5:
                         checked = True
-                        if not b"".join(parts).startswith(b"WARC/"):
+                        if head != b"WARC/":
                             return None
                         if not whole:
                             return b"", place
