@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import pytest
 
-from tickloom.llm import lines
+from tickloom.llm import lines, setjoin
 
 SCHEMA = "doc_id long, text string, n_chars int, id string"
 
@@ -100,13 +100,47 @@ def test_edges(spark):
     long = " ".join(f"x{k}" for k in range(5000))
     docs = [(1, None), (None, "a b c"), (2, ""), (3, "a b c\n\n \na  b\tc"), (4, "C b a"), (5, long), (6, long + " y"), (7, "\n\n"), (8, "one two"), (8, "one two")]
     df = spark.createDataFrame([(i, t, 0, None) for i, t in docs], SCHEMA)
-    got = sorted((r.id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect())
-    assert got == sorted([(2, "", 1, 0), (3, "a b c\n\n ", 4, 1), (4, "", 1, 1), (5, long, 1, 0), (6, "", 1, 1), (7, "\n\n", 3, 0), (8, "one two", 1, 0), (8, "one two", 1, 0)])
+    got = sorted(((r.id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()), key=str)
+    assert got == sorted([(1, None, 0, 0), (None, "a b c", 1, 0), (2, "", 1, 0), (3, "a b c\n\n ", 4, 1), (4, "", 1, 1), (5, long, 1, 0), (6, "", 1, 1), (7, "\n\n", 3, 0), (8, "one two", 1, 0), (8, "one two", 1, 0)], key=str)
     kept = sorted(((r.doc_id, r.text, r.n_chars) for r in lines.clean_documents(df).collect()), key=str)
     assert (1, None, 0) in kept and (None, "a b c", 0) in kept and (3, "a b c\n\n ", 8) in kept
     assert not {4, 6} & {r[0] for r in kept}
 
 
+def test_rows_that_repeat_an_id_lose_no_line_of_another(spark):
+    a, b, c = ("one two three four five", "six seven eight nine ten", "a b c d e f")
+    df = spark.createDataFrame([(1, a, 0, None), (5, f"{b}\n{c}", 0, None), (5, f"{a}\nlone words here", 0, None), (5, f"{b}\n{c}", 0, None)], SCHEMA)
+    got = sorted((r.id, r.text) for r in lines.dedup_lines(df).collect())
+    assert got == sorted([(1, a), (5, f"{b}\n{c}"), (5, f"{b}\n{c}"), (5, "lone words here")]) or got == sorted([(1, ""), (5, f"{b}\n{c}"), (5, f"{b}\n{c}"), (5, f"{a}\nlone words here")])
+    kept = sorted((r.doc_id, r.text) for r in lines.clean_documents(df).collect())
+    assert kept == [x for x in got if x[1]]
+
+
+def test_a_decoy_hides_no_match(spark):
+    """A line and its match, once alone and once with an earlier line, not alike enough, that shares rare words with the later one."""
+    rng = random.Random(7)
+    for decoys in (0, 1, 2, 5):
+        words_ = [f"m{k}" for k in range(20)]
+        earlier, later = words_[:18] + ["x1", "x2"], words_[:18] + ["y1", "y2"]
+        docs = [(k, " ".join(rng.sample([*later[:17], f"d{k}a", f"d{k}b", f"d{k}c"], 20))) for k in range(decoys)] + [(50, " ".join(earlier)), (60, " ".join(later))]
+        df = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], SCHEMA).repartition(3)
+        assert {(r.id, r.text) for r in lines.dedup_lines(df).collect()} == cleaned(docs)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_many_lines_share_rare_words(spark, most):
+    """Hundreds of lines around the threshold, of which each has many candidates that do not match."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(400):
+        group = rng.randrange(4)
+        n = rng.choice([9, 30, 120, 260])
+        docs.append((i, " ".join(rng.sample([f"g{group}w{k}" for k in range(int(n * 1.12))], n))))
+    source = spark.createDataFrame([(i, i, t) for i, t in docs], "key long, id long, text string").repartition(3)
+    got = {(r.g_id, k) for r in lines.repeated_lines(source, most=most).collect() for k in r.gone}
+    assert got == brute(docs) and 50 < len(got) < 390
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lines.dedup_lines(df).count() == 0 and lines.clean_documents(df).count() == 0
@@ -114,7 +148,7 @@ def test_empty(spark):
 
 def test_word_hashes_tell_words_apart():
     raw = b"a b ab ba  a\tb\n" + b" ".join(b"k%d" % k for k in range(5000))
-    h, start = lines.hashed_words(raw)
+    h, start = setjoin.hashed_words(raw)
     found = raw.split()
     assert len(h) == len(found) == len(start)
     assert len(set(h.tolist())) == len(set(found))

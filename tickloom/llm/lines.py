@@ -6,15 +6,9 @@ number - has Jaccard similarity of at least the threshold with it; blank lines s
 1. Equal lines of a batch are collapsed to the first of them; lines that are equal over batches meet by their 128-bit digest.
 2. A fixed-size sketch of word counts over the whole corpus (2 MB of counters, whatever the corpus) orders words by rarity.
    Any order that is the same everywhere keeps the prefix filter exact; the sketch errs towards calling a word frequent.
-3. Each line files its rarest words (the prefix) with its size, the word's position and a 64-bit parity sketch of its words.
-   Files are packed by a hash of the word, so Spark moves a few large rows instead of one for every word.
-4. Inside a file, length, position and parity filters leave candidates.  Lines with the same word, size, position and parity
-   stand behind the first of them, and each later line names its earliest candidate only; what those settle is verified.  Lines
-   that are still open and had other candidates, or ones that others stood behind, in some file, then name all of their candidates
-   in every file they are filed in.  Groups of like lines thus give about one row a line, not all pairs, and no candidate is lost.
-   Lines that match share more than one word of their prefixes if they are long: pairs that share fewer, counted over all files, go
-   no further.  The first round counts a pair only where it is named, so it may settle a line but never closes one that has others.
-5. The earlier line of each candidate pair is taken to the later one's document, where Jaccard is verified exactly.
+3. `setjoin` files the rarest words of each line and names candidates: prefix, positional and length filters, and a parity sketch.
+4. The earlier line of each candidate pair is taken to the later one's document, where Jaccard is verified exactly.  Lines that their
+   earliest candidates do not settle, and that have more, are tried against all of their candidates.
 
 It is one Spark plan: documents are moved once, by id, and files once, and both exchanges are reused.
 """
@@ -25,19 +19,19 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import doc_slices, popcount, text_bytes, utf8_list, worker_cache
+from tickloom.llm.common import cut, doc_slices, free_name, text_bytes, utf8_list
+from tickloom.llm.setjoin import PIECE, PLACE, POSTING, by_file, file_count, first_round, open_in, pairs_of, postings, rarity_sketch, second_round, unsqueeze, words_of
 
-CELLS = 1 << 18  # counters of the rarity sketch
-CELL_BITS = 18
 #: White space of `[\x20\x09-\x0D]`.
 SPACES = r"[\x20\x09-\x0D]+"
+FEW_REPEATS = 100_000  # repeated ids that are broadcast: some 2 MB
+DIGEST = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("line", "<i4")])
+FILED = "file int, postings binary, digests binary, id long, line int"
 
 
 def _words(line: Column) -> Column:
@@ -45,115 +39,8 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(lower, SPACES), lambda w: w != ""))
 
 
-BASE = 0x9E3779B97F4A7C15  # of the words' polynomial hash, odd
-PIECE = 4 << 20  # bytes that are hashed at a time
-IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64, kept by the worker."""
-    cache = worker_cache()
-    if len(cache.get("line_powers", ((),))[0]) < n:
-        n = max(n, 2 * PIECE)
-        grow = lambda x: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))])
-        cache["line_powers"] = grow(BASE), grow(pow(BASE, -1, 1 << 64))
-    return cache["line_powers"]
-
-
-def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of lower-cased text, and where each begins.  All words are hashed at once: differences of a prefix
-    sum of a polynomial, brought to place zero and mixed."""
-    text = np.frombuffer(raw, np.uint8)
-    word = ~IS_SPACE[text]
-    edge = np.diff(np.r_[False, word, False].view(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(text))
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(32)), start
-
-
-def rarity_sketch(texts: DataFrame, text: str) -> np.ndarray:
-    """Word counts of the whole corpus in CELLS counters.  Each task sends one row for each of 64 stretches of the counters."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            found = utf8_list(batch.column(0))
-            for a, b in doc_slices([len(x) for x in found], PIECE):
-                h, _ = hashed_words(b"\n".join(found[a:b]).lower())
-                cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).view(np.int64), minlength=CELLS)
-        parts = cells.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "cells"])
-
-    def total(table: pa.Table) -> pa.Table:
-        cells = sum(np.frombuffer(x, np.int64) for x in table.column("cells").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "cells": pa.array([cells.tobytes()], pa.binary())})
-
-    rows = texts.select(text).mapInArrow(each, "part int, cells binary").groupBy("part").applyInArrow(total, "part int, cells binary").collect()  # 64 rows of CELLS / 64 counters
-    return np.concatenate([np.frombuffer(r.cells, np.int64) for r in sorted(rows, key=lambda r: r.part)]) if rows else np.zeros(CELLS, np.int64)
-
-
-POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("line", "<i4"), ("id", "<i8"), ("parity", "<u8")])
-DIGEST = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("line", "<i4")])
-PLACE = np.dtype([("id", "<i8"), ("line", "<i4")])
-FILED = "file int, postings binary, digests binary, id long, line int"
-
-
-def _squeeze(p: np.ndarray) -> bytes:
-    """Records byte by byte of their columns, compressed: neighbours have much in common."""
-    return len(p).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes(), "zstd", asbytes=True)
-
-
-def _unsqueeze(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
-    """All records of a column of squeezed pieces."""
-    made = [np.zeros(0, kind)]
-    for raw in column.to_pylist():
-        if raw:
-            n = int.from_bytes(raw[:4], "little")
-            flat = np.frombuffer(pa.decompress(raw[4:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
-            made.append(np.ascontiguousarray(flat.reshape(-1, n).T).reshape(-1).view(kind))
-    return np.concatenate(made)
-
-
-def _by_file(records: np.ndarray, key: np.ndarray, files: int) -> tuple[list[int], list[bytes]]:
-    """File numbers and squeezed records of each, in the order of the key."""
-    file = (key % np.array(files, key.dtype)).astype(np.int64)
-    order = np.lexsort((key, file))
-    records, file = records[order], file[order]
-    begin = np.flatnonzero(np.r_[True, file[1:] != file[:-1]]) if len(file) else np.zeros(0, np.int64)
-    return file[begin].tolist(), [_squeeze(x) for x in np.split(records, begin[1:])] if len(file) else []
-
-
-def _postings(lines: list[tuple[int, int, bytes]], counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Postings of (id, line number, text) in the order of the words' rarity; every line has a word."""
-    ends = np.cumsum(np.fromiter((len(x[2]) + 1 for x in lines), np.int64, len(lines)))
-    hashes, start = hashed_words(b"\n".join(x[2] for x in lines))
-    code, h = pd.factorize(hashes)
-    by_rarity = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).view(np.int64)]))
-    rank = np.empty(len(h), np.int64)
-    rank[by_rarity] = np.arange(len(h))
-    both = np.searchsorted(ends, start, side="right") << 32 | rank[code]
-    both.sort()
-    both = both[np.r_[True, both[1:] != both[:-1]]]
-    line, code = both >> 32, by_rarity[both & 0xFFFFFFFF]
-    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    size = np.diff(np.r_[begin, len(line)])
-    parity = np.bitwise_xor.reduceat((np.uint64(1) << (h & np.uint64(63)))[code], begin)
-    pos = np.arange(len(line)) - np.repeat(begin, size)
-    prefix = pos < np.repeat(size - -(-num * size // den) + 1, size)
-    at, out = line[prefix], np.empty(int(prefix.sum()), POSTING)
-    out["word"], out["pos"], out["size"] = (h[code[prefix]] >> np.uint64(16)).astype(np.uint32), pos[prefix], size[at]
-    out["id"], out["line"] = np.array([x[0] for x in lines], np.int64)[at], np.array([x[1] for x in lines], np.int32)[at]
-    out["parity"] = parity[at]
-    return out
-
-
 def _filer(sketch, files: int, num: int, den: int):
-    """Turns (id, text) into packed postings by file, and lines that equal an earlier line of the batch into rows of their own."""
+    """Turns (id, text) into packed postings and digests by file, and lines that equal an earlier line of the batch into rows of their own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,146 +52,53 @@ def _filer(sketch, files: int, num: int, den: int):
                     if held != (i, j):
                         first[line] = min(held, (i, j))
                         again.append(max(held, (i, j)))
-            lines = [(i, j, line) for line, (i, j) in first.items() if line.strip()]
-            made = [_postings(lines[a:b], sketch.value, num, den) for a, b in doc_slices([len(x[2]) for x in lines], PIECE)]
-            p = np.concatenate(made) if made else np.zeros(0, POSTING)
-            equal = np.zeros(len(lines), DIGEST)
-            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[2]) for x in lines), "<u8").reshape(-1, 2)
-            equal["high"], equal["low"], equal["id"], equal["line"] = both[:, 0], both[:, 1], [x[0] for x in lines], [x[1] for x in lines]
-            p_file, p_part = _by_file(p, p["word"], files)
-            d_file, d_part = _by_file(equal, equal["high"], files)
+            texts = [line for line in first if line.strip()]
+            places = np.array([first[x] for x in texts], PLACE)
+            made = [np.zeros(0, POSTING)]
+            for a, b in doc_slices([len(x) for x in texts], PIECE):
+                made.append(postings(places[a:b], *words_of(texts[a:b]), sketch.value, num, den))
+            p = np.concatenate(made)
+            equal = np.zeros(len(texts), DIGEST)
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
+            equal["high"], equal["low"], equal["id"], equal["line"] = both[:, 0], both[:, 1], places["id"], places["line"]
+            p_file, p_part = by_file(p, p["word"], files)
+            d_file, d_part = by_file(equal, equal["high"], files)
             n, m, k = len(p_part), len(d_part), len(again)
-            yield pa.RecordBatch.from_arrays([pa.array([*p_file, *d_file, *(i % files for i, _ in again)], pa.int32()), pa.array([*p_part, *[None] * (m + k)], pa.binary()), pa.array([*[None] * n, *d_part, *[None] * k], pa.binary()), pa.array([*[None] * (n + m), *(i for i, _ in again)], pa.int64()), pa.array([*[None] * (n + m), *(j for _, j in again)], pa.int32())], names=["file", "postings", "digests", "id", "line"])
+            columns = [pa.array([*p_file, *d_file, *[None] * k], pa.int32()), pa.array([*p_part, *[None] * (m + k)], pa.binary()), pa.array([*[None] * n, *d_part, *[None] * k], pa.binary())]
+            columns += [pa.array([*[None] * (n + m), *(x[c] for x in again)], kind) for c, kind in ((0, pa.int64()), (1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "postings", "digests", "id", "line"])
 
     return each
 
 
-def _least(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """How many shared words are asked for: what the prefixes of two matching lines of these sizes share at least - up to (size -
-    overlap) words of a line may stand before or between them - but three at most, so that only the prefixes' first words are
-    looked at: lines that share three rare words are few."""
-    return np.minimum(-(-num * (a + b) // (num + den)) + 1 - np.maximum(-(-num * a // den), -(-num * b // den)), 3)
-
-
-def _enumerate(p: np.ndarray, anchors: np.ndarray, begin: np.ndarray, end: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (anchor, other) in sorted postings that pass the filters; others of an anchor lie in [begin, end)."""
-    size, rest = p["size"].astype(np.int64), p["size"].astype(np.int64) - p["pos"]
-    each = end - begin
-    edges = np.concatenate([[0], np.cumsum(each)])
-    at = 0
-    while at < len(anchors):
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + 1_000_000, side="right")) - 1)
-        a = np.repeat(anchors[at:to], each[at:to])
-        b = np.repeat(begin[at:to] - (edges[at:to] - edges[at]), each[at:to]) + np.arange(len(a))
-        need = -(-num * (size[a] + size[b]) // (num + den))
-        # a match's first shared word leaves `need` words in both lines, the one after it one less, and so on
-        ok = (np.minimum(rest[a], rest[b]) >= need + 1 - _least(size[a], size[b], num, den)) & (a != b)
-        a, b, need = a[ok], b[ok], need[ok]
-        ok = popcount(p["parity"][a] ^ p["parity"][b]).astype(np.int64) <= size[a] + size[b] - 2 * need
-        yield a[ok], b[ok]
-        at = to
-
-
-def _places(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of postings, and each posting's line as a number in the corpus's order."""
-    place = np.zeros(len(p), PLACE)
-    place["id"], place["line"] = p["id"], p["line"]
-    order = np.lexsort((p["line"], p["id"]))
-    new = np.r_[False, place[order][1:] != place[order][:-1]] if len(p) else np.zeros(0, bool)
-    rank = np.empty(len(p), np.int64)
-    rank[order] = np.cumsum(new)
-    return place, rank
-
+def _equal(table: pa.Table) -> pa.Table:
+    """(id, line) of the lines of a file that equal an earlier one."""
+    d = np.sort(unsqueeze(table.column("digests"), DIGEST), order=("high", "low", "id", "line"))
+    there = (d["id"][1:] == d["id"][:-1]) & (d["line"][1:] == d["line"][:-1])  # equal rows of one key: the same place
+    d = d[1:][(d["high"][1:] == d["high"][:-1]) & (d["low"][1:] == d["low"][:-1]) & ~there] if len(d) else d
+    return pa.table({"id": pa.array(d["id"]), "line": pa.array(d["line"])})
 
-def _candidates(num: int, den: int):
-    """Two functions of a file's rows that give candidates (file, id, line, e_id, e_line, more): for every later line its earliest
-    one and whether there may be others; for the open lines, all.  Lines that are known to equal an earlier one have e_id null."""
 
-    def read(table: pa.Table) -> tuple[np.ndarray, int]:
-        p = _unsqueeze(table.column("postings"), POSTING)
-        return p[np.lexsort((p["line"], p["id"], p["pos"], p["parity"], p["size"], p["word"]))], table.column("file")[0].as_py() if table.num_rows else 0
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, text) of rows with both.  key is the id, and for rows that repeat an id with another text a number of their own."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    h = F.xxhash64("text")
+    unlike = cut(rows.groupBy(F.col("id").alias("u_id")).agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("u_id"))
+    n = unlike.count()
+    if not n:
+        return rows.select(F.col("id").alias("key"), "id", "text")
+    marked = rows.join(F.broadcast(unlike) if n <= FEW_REPEATS else unlike, F.col("id") == F.col("u_id"), "left")
+    return marked.select(F.when(F.col("u_id").isNull(), F.col("id")).otherwise(F.xxhash64("id", "text")).alias("key"), "id", "text")
 
-    def key(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return p["word"].astype(np.uint64) << np.uint64(32) | np.minimum(size, 0xFFFFFFFF).astype(np.uint64)
 
-    def give(p: np.ndarray, file: int, later: np.ndarray, earlier: np.ndarray, more: np.ndarray, shared: np.ndarray) -> pa.Table:
-        a, b = p["size"][later].astype(np.int64), p["size"][earlier].astype(np.int64)
-        least = _least(a, b, num, den)
-        return pa.table({"file": pa.array(np.full(len(later), file, np.int32)), "id": pa.array(p["id"][later]), "line": pa.array(p["line"][later]), "e_id": pa.array(p["id"][earlier]), "e_line": pa.array(p["line"][earlier]), "more": pa.array(more), "shared": pa.array(shared.astype(np.int32)), "least": pa.array(least.astype(np.int32))})
-
-    def earliest(table: pa.Table) -> pa.Table:
-        whole, file = read(table)
-        same = np.r_[False, np.logical_and.reduce([whole[c][1:] == whole[c][:-1] for c in ("word", "size", "parity", "pos")])] if len(whole) else np.zeros(0, bool)
-        heads = np.flatnonzero(~same)
-        behind = np.diff(np.r_[heads, len(whole)]) > 1
-        p, follows = whole[heads], np.flatnonzero(same)
-        begin = np.arange(len(p)) + 1
-        end = np.searchsorted(key(p, p["size"]), key(p, p["size"].astype(np.int64) * den // num), side="right")
-        _, rank = _places(whole)
-        later, earlier, more = [follows], [heads[np.cumsum(~same) - 1][follows]], [np.ones(len(follows), bool)]
-        for a, b in _enumerate(p, np.arange(len(p)), begin, np.maximum(begin, end), num, den):
-            swap = rank[heads[a]] > rank[heads[b]]
-            x, y = np.where(swap, a, b), np.where(swap, b, a)
-            later.append(heads[x])
-            earlier.append(heads[y])
-            more.append(behind[y])
-        later, earlier, more = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
-        keep = rank[later] != rank[earlier]
-        later, earlier, more = later[keep], earlier[keep], more[keep]
-        order = np.lexsort((rank[earlier], rank[later]))
-        later, earlier, more = later[order], earlier[order], more[order]
-        start = np.flatnonzero(np.r_[True, rank[later][1:] != rank[later][:-1]]) if len(later) else np.zeros(0, np.int64)
-        last = np.r_[start[1:], len(later)] - 1 if len(later) else start
-        more = np.logical_or.reduceat(more, start) | (rank[earlier[start]] != rank[earlier[last]]) if len(later) else more
-        pair = np.flatnonzero(np.r_[True, (rank[later][1:] != rank[later][:-1]) | (rank[earlier][1:] != rank[earlier][:-1])]) if len(later) else start
-        many = np.diff(np.r_[pair, len(later)])
-        named = give(whole, file, later[start], earlier[start], more, many[np.searchsorted(pair, start)])
-        again = table.filter(pc.is_valid(table.column("id")))
-        d = np.sort(_unsqueeze(table.column("digests"), DIGEST), order=("high", "low", "id", "line"))
-        there = (d["id"][1:] == d["id"][:-1]) & (d["line"][1:] == d["line"][:-1])  # rows that repeat an id: the same place
-        d = d[1:][(d["high"][1:] == d["high"][:-1]) & (d["low"][1:] == d["low"][:-1]) & ~there] if len(d) else d
-        ids, rows = pa.concat_arrays([again.column("id").combine_chunks(), pa.array(d["id"])]), pa.concat_arrays([again.column("line").combine_chunks(), pa.array(d["line"])])
-        n = len(ids)
-        equal = pa.table({"file": pa.array(np.full(n, file, np.int32)), "id": ids, "line": rows, "e_id": pa.nulls(n, pa.int64()), "e_line": pa.nulls(n, pa.int32()), "more": pa.array(np.zeros(n, bool)), "shared": pa.array(np.zeros(n, np.int32)), "least": pa.array(np.zeros(n, np.int32))})
-        return pa.concat_tables([named, equal])
-
-    def every(table: pa.Table, open_lines: pa.Table) -> pa.Table:
-        p, file = read(table)
-        place, rank = _places(p)
-        want = np.zeros(open_lines.num_rows, PLACE)
-        want["id"], want["line"] = open_lines.column("o_id").to_numpy(), open_lines.column("o_line").to_numpy()
-        anchors = np.flatnonzero(np.isin(place.view("V12"), want.view("V12"))) if len(p) and len(want) else np.zeros(0, np.int64)
-        a, by = p[anchors], key(p, p["size"])
-        begin = np.searchsorted(by, key(a, -(-a["size"].astype(np.int64) * num // den)))
-        end = np.searchsorted(by, key(a, a["size"].astype(np.int64) * den // num), side="right")
-        later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in _enumerate(p, anchors, begin, end, num, den):
-            before = rank[y] < rank[x]
-            later.append(x[before])
-            earlier.append(y[before])
-        later, earlier = np.concatenate(later), np.concatenate(earlier)
-        order = np.lexsort((rank[earlier], rank[later]))
-        later, earlier = later[order], earlier[order]
-        pair = np.flatnonzero(np.r_[True, (rank[later][1:] != rank[later][:-1]) | (rank[earlier][1:] != rank[earlier][:-1])]) if len(later) else np.zeros(0, np.int64)
-        return give(p, file, later[pair], earlier[pair], np.zeros(len(pair), bool), np.diff(np.r_[pair, len(later)]))
-
-    return earliest, every
-
-
-CANDIDATE = "file int, id long, line int, e_id long, e_line int, more boolean, shared int, least int"
-
-
-def repeated_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(texts, gone): texts (id, text), and gone (g_id, gone), the numbers of the lines that go from each document.
-    Rows with a null id or text are left out; of rows that repeat an id, equal places count as one line, whichever row holds it."""
+def repeated_lines(source: DataFrame, *, similarity: float = 0.8, file_bytes: int = 4 << 20, most: int = 3) -> DataFrame:
+    """(g_id, gone) of source (key, id, text), texts not null: the numbers of the lines that go from each key.  Rows of one key are equal."""
     part = Fraction(similarity).limit_denominator(1000)
     num, den = part.numerator, part.denominator
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    files = int(min(65536, max(512, text_bytes(source, "text") // file_bytes)))
-    sketch = docs.sparkSession.sparkContext.broadcast(rarity_sketch(source, "text"))  # CELLS counters
-    texts = source  # every join below deals it by id, and Spark does that once
-    filed = source.mapInArrow(_filer(sketch, files, num, den), FILED).repartition("file")
-    earliest, every = _candidates(num, den)
+    files = file_count(text_bytes(source, "text"), file_bytes)
+    sketch = source.sparkSession.sparkContext.broadcast(rarity_sketch(source, "text"))  # a fixed number of counters
+    texts = source.select("key", "text")
+    filed = texts.mapInArrow(_filer(sketch, files, num, den), FILED).repartition("file")
 
     def lines_of(df: DataFrame) -> DataFrame:
         """Adds all, the lines of text.  The generator holds them, so that a text is split once and not for each line that is asked for."""
@@ -315,50 +109,56 @@ def repeated_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "d
         first to the earlier document, whose lines they take along - the only text that moves - then to the later one."""
         at = pairs.groupBy("e_id", "id").agg(F.collect_list(F.struct("line", "e_line")).alias("at"))
         pick = lambda n: F.try_element_at("all", n + 1)
-        sent = lines_of(at.join(texts.select(F.col("id").alias("t_id"), "text"), F.col("e_id") == F.col("t_id")))
+        sent = lines_of(at.join(texts, F.col("e_id") == F.col("key")))
         sent = sent.select(F.col("id").alias("l_id"), F.transform("at", lambda x: F.struct(x["line"].alias("line"), pick(x["e_line"]).alias("earlier"))).alias("at"))
-        met = lines_of(sent.join(texts, F.col("l_id") == F.col("id")))
+        met = lines_of(sent.join(texts, F.col("l_id") == F.col("key")))
         sets = F.transform("at", lambda x: F.struct(x["line"].alias("line"), _words(x["earlier"]).alias("a"), _words(pick(x["line"])).alias("b")))
         alike = F.filter(sets, lambda x: F.size(F.array_intersect(x["a"], x["b"])) * (num + den) >= num * (F.size(x["a"]) + F.size(x["b"])))
-        return met.select("id", F.explode(F.transform(alike, lambda x: x["line"])).alias("line")).distinct()
-
-    # what both rounds read - the files, and each line's candidates, one per word of its prefix - is the same plan and so is made once
-    first = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE).where("id is not null and line is not null").groupBy("id", "line").agg(F.collect_set(F.struct("file", "e_id", "e_line", "more", "shared", "least")).alias("named"))
-    equal = F.exists("named", lambda x: x["e_id"].isNull())
+        return met.select(F.col("l_id").alias("id"), F.explode(F.transform(alike, lambda x: x["line"])).alias("line")).distinct()
 
-    def enough(named: DataFrame) -> DataFrame:
-        """Pairs that share as many words of their prefixes, over all files, as a match does at least."""
-        return named.groupBy("id", "line", "e_id", "e_line").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("id", "line", "e_id", "e_line")
-
-    settled = verified(enough(first.where(~equal).select("id", "line", F.explode("named").alias("e")).select("id", "line", "e.e_id", "e.e_line", "e.shared", "e.least")))
-    # an open line's pairs are counted in all of its files: in some of them a pair may have been the only one, in others not named
-    doubt, its_files = F.exists("named", lambda x: x["more"]), F.array_distinct(F.transform("named", lambda x: x["file"]))
-    still = first.where(~equal & doubt).join(settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line")), (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti").select(F.explode(its_files).alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
-    rest = filed.groupBy("file").cogroup(still.groupBy("o_file")).applyInArrow(every, CANDIDATE)
-    again = first.where(equal).select("id", "line")
-    gone = again.union(settled).union(verified(enough(rest.where("id is not null and e_id is not null")))).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
-    return texts, gone
+    again = filed.where("id is not null").select("id", "line")
+    digests, posted = filed.where("digests is not null"), filed.where("postings is not null").select("file", "postings")
+    equal = again.union(digests.groupBy("file").applyInArrow(lambda t: _equal(t), "id long, line int")).distinct()
+    same = equal.select(F.col("id").alias("s_id"), F.col("line").alias("s_line"))
+    named = first_round(posted, num, den, most).join(same, (F.col("id") == F.col("s_id")) & (F.col("line") == F.col("s_line")), "left_anti")
+    settled = verified(pairs_of(named))
+    late = verified(second_round(posted, open_in(named, settled), num, den))
+    return equal.union(settled).union(late).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_lines, n_removed): each document's text without repeated lines, blank lines kept where they are.
 
-    Rows with a null id or text are not in the result.  Rows that repeat an id are cleaned alike: a line stays in each of them.
+    Every row of docs has a row here.  Rows with a null id or text are left as they are (a null text has no lines) and settle no other
+    row's lines.  Equal rows of one id are cleaned alike: a line stays in each of them.  Rows that repeat an id with another text are
+    documents of their own, whose place among the others is set by a hash.  No rows give no rows; other columns are not read.
     """
-    texts, gone = repeated_lines(docs, similarity=similarity, id_col=id_col, text_col=text_col)
-    joined = texts.join(gone, F.col("id") == F.col("g_id"), "left").select("id", F.split("text", "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    source = _keyed(docs, id_col, text_col)
+    gone = repeated_lines(source, similarity=similarity)
+    joined = source.join(gone, F.col("key") == F.col("g_id"), "left").select("id", F.split("text", "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stays = F.filter("all", lambda x, i: ~F.array_contains("gone", i) | (F.regexp_replace(x, SPACES, "") == ""))
     out = joined.select("id", F.size("all").alias("n_lines"), stays.alias("left"))
-    return out.select("id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"))
+    out = out.select("id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"))
+    rest = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is null or text is null")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return out.union(rest.select("id", "text", lines.alias("n_lines"), F.lit(0).alias("n_removed")))
 
 
-def clean_documents(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:
-    """documents with repeated lines taken out and n_chars counted anew.  A document that loses every line with a word
-    goes; all others stay, rows with a null id or text as they are."""
+def clean_documents(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """documents with repeated lines taken out and n_chars, if there is such a column, counted anew.  A document that loses every line
+    with a word goes; all others stay, rows with a null id or text as they are."""
     names = docs.columns
-    cleaned = dedup_lines(docs, similarity=similarity).where("n_removed > 0").groupBy(F.col("id").alias("__id")).agg(F.min("text").alias("__text"))
-    cleaned = cleaned.select("__id", "__text", (F.regexp_replace("__text", SPACES, "") == "").alias("__empty"))
-    joined = docs.join(cleaned, F.col("doc_id").cast("long") == F.col("__id"), "left").where(~F.coalesce("__empty", F.lit(False)) | F.col("text").isNull())
-    text = F.when(F.col("__id").isNotNull() & F.col("text").isNotNull(), F.col("__text")).otherwise(F.col("text"))
-    renewed = {"text": text, "n_chars": F.when(F.col("__id").isNotNull() & F.col("text").isNotNull(), F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in names else None}
+    key, old, new = (free_name(x, names) for x in ("clean_id", "clean_old", "clean_text"))
+    source = _keyed(docs, id_col, text_col)
+    gone = repeated_lines(source, similarity=similarity)
+    met = source.join(gone, F.col("key") == F.col("g_id")).select("id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("all"), "gone")
+    stays = F.filter("all", lambda x, i: ~F.array_contains("gone", i) | (F.regexp_replace(x, SPACES, "") == ""))
+    cleaned = met.select("id", "h", stays.alias("left"), (F.size("all") - F.size(stays)).alias("n")).where("n > 0")
+    cleaned = cleaned.groupBy(F.col("id").alias(key), F.col("h").alias(old)).agg(F.first(F.array_join("left", "\n")).alias(new))
+    joined = docs.join(cleaned, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(old)) & F.col(text_col).isNotNull(), "left")
+    joined = joined.where(F.col(key).isNull() | (F.regexp_replace(new, SPACES, "") != ""))
+    text = F.when(F.col(key).isNull(), F.col(text_col)).otherwise(F.col(new))
+    renewed = {text_col: text}
+    if count_col in names:
+        renewed[count_col] = F.when(F.col(key).isNull(), F.col(count_col)).otherwise(F.char_length(new).cast(docs.schema[count_col].dataType))
     return joined.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in names])
