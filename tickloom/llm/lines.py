@@ -20,12 +20,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, doc_slices, free_name, text_bytes, utf8_list
-from tickloom.llm.setjoin import PIECE, PLACE, POSTING, by_file, file_count, first_round, open_in, pairs_of, postings, rarity_sketch, second_round, unsqueeze, words_of
+from tickloom.llm.setjoin import PIECE, PLACE, POSTING, by_file, candidates_table, file_count, first_round, open_in, pairs_of, postings, rarity_sketch, second_round, unsqueeze, words_of
 
 #: White space of `[\x20\x09-\x0D]`.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -64,7 +65,7 @@ def _filer(sketch, files: int, num: int, den: int):
             p_file, p_part = by_file(p, p["word"], files)
             d_file, d_part = by_file(equal, equal["high"], files)
             n, m, k = len(p_part), len(d_part), len(again)
-            columns = [pa.array([*p_file, *d_file, *[None] * k], pa.int32()), pa.array([*p_part, *[None] * (m + k)], pa.binary()), pa.array([*[None] * n, *d_part, *[None] * k], pa.binary())]
+            columns = [pa.array([*p_file, *d_file, *(i % files for i, _ in again)], pa.int32()), pa.array([*p_part, *[None] * (m + k)], pa.binary()), pa.array([*[None] * n, *d_part, *[None] * k], pa.binary())]
             columns += [pa.array([*[None] * (n + m), *(x[c] for x in again)], kind) for c, kind in ((0, pa.int64()), (1, pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["file", "postings", "digests", "id", "line"])
 
@@ -72,11 +73,12 @@ def _filer(sketch, files: int, num: int, den: int):
 
 
 def _equal(table: pa.Table) -> pa.Table:
-    """(id, line) of the lines of a file that equal an earlier one."""
+    """Candidates without an earlier line: the lines of a file that equal an earlier one."""
     d = np.sort(unsqueeze(table.column("digests"), DIGEST), order=("high", "low", "id", "line"))
     there = (d["id"][1:] == d["id"][:-1]) & (d["line"][1:] == d["line"][:-1])  # equal rows of one key: the same place
     d = d[1:][(d["high"][1:] == d["high"][:-1]) & (d["low"][1:] == d["low"][:-1]) & ~there] if len(d) else d
-    return pa.table({"id": pa.array(d["id"]), "line": pa.array(d["line"])})
+    again = table.filter(pc.is_valid(table.column("id")))
+    return candidates_table(np.concatenate([d["id"], again.column("id").to_numpy()]), np.concatenate([d["line"], again.column("line").to_numpy()]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,13 +118,10 @@ def repeated_lines(source: DataFrame, *, similarity: float = 0.8, file_bytes: in
         alike = F.filter(sets, lambda x: F.size(F.array_intersect(x["a"], x["b"])) * (num + den) >= num * (F.size(x["a"]) + F.size(x["b"])))
         return met.select(F.col("l_id").alias("id"), F.explode(F.transform(alike, lambda x: x["line"])).alias("line")).distinct()
 
-    again = filed.where("id is not null").select("id", "line")
-    digests, posted = filed.where("digests is not null"), filed.where("postings is not null").select("file", "postings")
-    equal = again.union(digests.groupBy("file").applyInArrow(lambda t: _equal(t), "id long, line int")).distinct()
-    same = equal.select(F.col("id").alias("s_id"), F.col("line").alias("s_line"))
-    named = first_round(posted, num, den, most).join(same, (F.col("id") == F.col("s_id")) & (F.col("line") == F.col("s_line")), "left_anti")
+    named = first_round(filed, num, den, most, _equal)
     settled = verified(pairs_of(named))
-    late = verified(second_round(posted, open_in(named, settled), num, den))
+    late = verified(second_round(filed, open_in(named, settled), num, den))
+    equal = named.where("repeats").select("id", "line")
     return equal.union(settled).union(late).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
 
 

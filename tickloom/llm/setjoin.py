@@ -250,15 +250,25 @@ class _File:
 CANDIDATE = "file int, id long, line int, e_id long, e_line int, more boolean"
 
 
-def first_round(filed: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(id, line, named, files): of each set that has candidates the `most` earliest of each file, and the files that have more."""
+def candidates_table(ids: np.ndarray, lines: np.ndarray) -> pa.Table:
+    """Rows of CANDIDATE without an earlier set, for sets that are known to repeat one."""
+    n = len(ids)
+    return pa.table({"file": pa.array(np.zeros(n, np.int32)), "id": pa.array(ids), "line": pa.array(lines), "e_id": pa.nulls(n, pa.int64()), "e_line": pa.nulls(n, pa.int32()), "more": pa.array(np.zeros(n, bool))})
+
+
+def first_round(filed: DataFrame, num: int, den: int, most: int, known: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+    """(id, line, named, files, repeats): of each set that has candidates the `most` earliest of each file, and the files that have more.
+    known gives rows of candidates_table for a file's rows; repeats tells the sets that it has.  filed is read whole in both rounds, so
+    that Spark moves it once."""
 
     def earliest(table: pa.Table) -> pa.Table:
         f = _File(table, num, den)
-        return f.named(np.arange(len(f.p)), most)
+        rows = f.named(np.arange(len(f.p)), most)
+        return pa.concat_tables([rows, known(table)]) if known else rows
 
     rows = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE)
-    return rows.groupBy("id", "line").agg(F.collect_set(F.struct("e_id", "e_line")).alias("named"), F.collect_set(F.when(F.col("more"), F.col("file"))).alias("files"))
+    named = F.collect_set(F.when(F.col("e_id").isNotNull(), F.struct("e_id", "e_line")))
+    return rows.groupBy("id", "line").agg(named.alias("named"), F.collect_set(F.when(F.col("more"), F.col("file"))).alias("files"), F.max(F.col("e_id").isNull()).alias("repeats"))
 
 
 def second_round(filed: DataFrame, still: DataFrame, num: int, den: int) -> DataFrame:
@@ -274,13 +284,13 @@ def second_round(filed: DataFrame, still: DataFrame, num: int, den: int) -> Data
 
 def pairs_of(named: DataFrame) -> DataFrame:
     """(id, line, e_id, e_line) of the first round's rows."""
-    return named.select("id", "line", F.explode("named").alias("e")).select("id", "line", "e.e_id", "e.e_line")
+    return named.where(~F.col("repeats")).select("id", "line", F.explode("named").alias("e")).select("id", "line", "e.e_id", "e.e_line")
 
 
 def open_in(named: DataFrame, settled: DataFrame) -> DataFrame:
     """(o_file, o_id, o_line): the files that have more candidates of sets that are not in settled (id, line)."""
     done = settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line"))
-    rest = named.where(F.size("files") > 0).join(done, (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti")
+    rest = named.where(~F.col("repeats") & (F.size("files") > 0)).join(done, (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti")
     return rest.select(F.explode("files").alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
 
 
