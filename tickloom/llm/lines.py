@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, doc_slices, free_name, text_bytes, utf8_list
-from tickloom.llm.setjoin import PIECE, PLACE, POSTING, by_file, candidates_table, file_count, first_round, open_in, pairs_of, postings, rarity_sketch, second_round, unsqueeze, words_of
+from tickloom.llm.setjoin import PIECE, PLACE, POSTING, by_file, candidates_table, file_count, first_round, open_in, pairs_of, postings, rarity_sketch, repeats, second_round, unsqueeze, words_of
 
 #: White space of `[\x20\x09-\x0D]`.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -82,19 +82,20 @@ def _equal(table: pa.Table) -> pa.Table:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text) of rows with both.  key is the id, and for rows that repeat an id with another text a number of their own."""
+    """(key, text) of rows with an id and a text, and id if it is not the key: rows that repeat an id with another text have a number of
+    their own as key.  Where no row does, all joins are on (key, text), which Spark moves once."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     h = F.xxhash64("text")
     unlike = cut(rows.groupBy(F.col("id").alias("u_id")).agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("u_id"))
     n = unlike.count()
     if not n:
-        return rows.select(F.col("id").alias("key"), "id", "text")
+        return rows.select(F.col("id").alias("key"), "text")
     marked = rows.join(F.broadcast(unlike) if n <= FEW_REPEATS else unlike, F.col("id") == F.col("u_id"), "left")
     return marked.select(F.when(F.col("u_id").isNull(), F.col("id")).otherwise(F.xxhash64("id", "text")).alias("key"), "id", "text")
 
 
 def repeated_lines(source: DataFrame, *, similarity: float = 0.8, file_bytes: int = 4 << 20, most: int = 3) -> DataFrame:
-    """(g_id, gone) of source (key, id, text), texts not null: the numbers of the lines that go from each key.  Rows of one key are equal."""
+    """(g_id, gone) of source (key, text), texts not null: the numbers of the lines that go from each key.  Rows of one key are equal."""
     part = Fraction(similarity).limit_denominator(1000)
     num, den = part.numerator, part.denominator
     files = file_count(text_bytes(source, "text"), file_bytes)
@@ -121,7 +122,7 @@ def repeated_lines(source: DataFrame, *, similarity: float = 0.8, file_bytes: in
     named = first_round(filed, num, den, most, _equal)
     settled = verified(pairs_of(named))
     late = verified(second_round(filed, open_in(named, settled), num, den))
-    equal = named.where("repeats").select("id", "line")
+    equal = named.where(repeats()).select("id", "line")
     return equal.union(settled).union(late).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))
 
 
@@ -134,7 +135,8 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_
     """
     source = _keyed(docs, id_col, text_col)
     gone = repeated_lines(source, similarity=similarity)
-    joined = source.join(gone, F.col("key") == F.col("g_id"), "left").select("id", F.split("text", "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    own = "id" if "id" in source.columns else "key"
+    joined = source.join(gone, F.col("key") == F.col("g_id"), "left").select(F.col(own).alias("id"), F.split("text", "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stays = F.filter("all", lambda x, i: ~F.array_contains("gone", i) | (F.regexp_replace(x, SPACES, "") == ""))
     out = joined.select("id", F.size("all").alias("n_lines"), stays.alias("left"))
     out = out.select("id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"))
@@ -150,7 +152,8 @@ def clean_documents(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "
     key, old, new = (free_name(x, names) for x in ("clean_id", "clean_old", "clean_text"))
     source = _keyed(docs, id_col, text_col)
     gone = repeated_lines(source, similarity=similarity)
-    met = source.join(gone, F.col("key") == F.col("g_id")).select("id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("all"), "gone")
+    own = "id" if "id" in source.columns else "key"
+    met = source.join(gone, F.col("key") == F.col("g_id")).select(F.col(own).alias("id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("all"), "gone")
     stays = F.filter("all", lambda x, i: ~F.array_contains("gone", i) | (F.regexp_replace(x, SPACES, "") == ""))
     cleaned = met.select("id", "h", stays.alias("left"), (F.size("all") - F.size(stays)).alias("n")).where("n > 0")
     cleaned = cleaned.groupBy(F.col("id").alias(key), F.col("h").alias(old)).agg(F.first(F.array_join("left", "\n")).alias(new))

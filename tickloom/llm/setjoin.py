@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import doc_slices, popcount, utf8_list, worker_cache
@@ -29,7 +29,7 @@ BASE = 0x9E3779B97F4A7C15  # of the words' polynomial hash, odd
 PIECE = 2 << 20  # bytes that are hashed at a time
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Sizes above which a sketch has 128 and 256 bits instead of 64.
-WIDER, WIDEST = 80, 180
+WIDER, WIDEST = 100, 220
 PAIRS = 1 << 19  # that are tried at a time
 
 
@@ -115,7 +115,7 @@ def unsqueeze(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
 def by_file(records: np.ndarray, key: np.ndarray, files: int) -> tuple[list[int], list[bytes]]:
     """File numbers and squeezed records of each, in the order of the key."""
     file = (key % np.array(files, key.dtype)).astype(np.int64)
-    order = np.lexsort((key, file))
+    order = np.argsort(file << 32 | key.astype(np.int64)) if key.dtype.itemsize == 4 else np.lexsort((key, file))
     records, file = records[order], file[order]
     begin = np.flatnonzero(np.r_[True, file[1:] != file[:-1]]) if len(file) else np.zeros(0, np.int64)
     return file[begin].tolist(), [squeeze(x) for x in np.split(records, begin[1:])] if len(file) else []
@@ -257,9 +257,9 @@ def candidates_table(ids: np.ndarray, lines: np.ndarray) -> pa.Table:
 
 
 def first_round(filed: DataFrame, num: int, den: int, most: int, known: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
-    """(id, line, named, files, repeats): of each set that has candidates the `most` earliest of each file, and the files that have more.
-    known gives rows of candidates_table for a file's rows; repeats tells the sets that it has.  filed is read whole in both rounds, so
-    that Spark moves it once."""
+    """(id, line, named): of each set that has candidates the `most` earliest of each file, and whether the file has more.  known gives
+    rows of candidates_table for a file's rows.  filed is read whole in both rounds, and named has all in one column, so that Spark
+    makes and moves either once."""
 
     def earliest(table: pa.Table) -> pa.Table:
         f = _File(table, num, den)
@@ -267,8 +267,12 @@ def first_round(filed: DataFrame, num: int, den: int, most: int, known: Callable
         return pa.concat_tables([rows, known(table)]) if known else rows
 
     rows = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE)
-    named = F.collect_set(F.when(F.col("e_id").isNotNull(), F.struct("e_id", "e_line")))
-    return rows.groupBy("id", "line").agg(named.alias("named"), F.collect_set(F.when(F.col("more"), F.col("file"))).alias("files"), F.max(F.col("e_id").isNull()).alias("repeats"))
+    return rows.groupBy("id", "line").agg(F.collect_set(F.struct("file", "e_id", "e_line", "more")).alias("named"))
+
+
+def repeats() -> Column:
+    """Whether a set of the first round is known to repeat an earlier one."""
+    return F.exists("named", lambda x: x["e_id"].isNull())
 
 
 def second_round(filed: DataFrame, still: DataFrame, num: int, den: int) -> DataFrame:
@@ -284,14 +288,15 @@ def second_round(filed: DataFrame, still: DataFrame, num: int, den: int) -> Data
 
 def pairs_of(named: DataFrame) -> DataFrame:
     """(id, line, e_id, e_line) of the first round's rows."""
-    return named.where(~F.col("repeats")).select("id", "line", F.explode("named").alias("e")).select("id", "line", "e.e_id", "e.e_line")
+    return named.where(~repeats()).select("id", "line", F.explode(F.array_distinct(F.transform("named", lambda x: F.struct(x["e_id"].alias("e_id"), x["e_line"].alias("e_line"))))).alias("e")).select("id", "line", "e.e_id", "e.e_line")
 
 
 def open_in(named: DataFrame, settled: DataFrame) -> DataFrame:
     """(o_file, o_id, o_line): the files that have more candidates of sets that are not in settled (id, line)."""
     done = settled.select(F.col("id").alias("g_id"), F.col("line").alias("g_line"))
-    rest = named.where(~F.col("repeats") & (F.size("files") > 0)).join(done, (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti")
-    return rest.select(F.explode("files").alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
+    files = F.array_distinct(F.transform(F.filter("named", lambda x: x["more"]), lambda x: x["file"]))
+    rest = named.where(~repeats() & F.exists("named", lambda x: x["more"])).join(done, (F.col("id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti")
+    return rest.select(F.explode(files).alias("o_file"), F.col("id").alias("o_id"), F.col("line").alias("o_line"))
 
 
 def file_count(total_bytes: int, file_bytes: int) -> int:
