@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, for tokenizers and the like."""
-    return sys.modules.setdefault("_tickloom_worker", types.ModuleType("_tickloom_worker")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, for tokenizers and the like.  It serves one operator at a time: what the
+    one before has left goes."""
+    held = sys.modules.setdefault("_tickloom_worker", types.ModuleType("_tickloom_worker"))
+    if getattr(held, "owner", None) != owner:
+        held.owner, held.cache = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return held.cache
 
 
 def utf8_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -51,6 +59,14 @@ def doc_slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def small(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices whose text column (its number) holds about `most` bytes, at least one row each."""
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(text).cast(pa.binary())), 0).to_pylist()
+        for a, b in doc_slices(sizes, most):
+            yield whole.slice(a, b - a)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Total UTF-8 bytes of a text column: one narrow scan."""
     return int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)

@@ -25,11 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, doc_slices, free_name, text_bytes, utf8_list
+from tickloom.llm.common import cut, doc_slices, free_name, small, text_bytes, utf8_list
 from tickloom.llm.setjoin import PIECE, PLACE, POSTING, by_file, candidates_table, file_count, first_round, open_in, pairs_of, postings, rarity_sketch, repeats, second_round, unsqueeze, words_of
 
 #: White space of `[\x20\x09-\x0D]`.
 SPACES = r"[\x20\x09-\x0D]+"
+BATCH = 8 << 20  # bytes of text whose lines are collapsed and filed together
 FEW_REPEATS = 100_000  # repeated ids that are broadcast: some 2 MB
 DIGEST = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("line", "<i4")])
 FILED = "file int, postings binary, digests binary, id long, line int"
@@ -44,7 +45,7 @@ def _filer(sketch, files: int, num: int, den: int):
     """Turns (id, text) into packed postings and digests by file, and lines that equal an earlier line of the batch into rows of their own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1, BATCH):
             first: dict[bytes, tuple[int, int]] = {}
             again: list[tuple[int, int]] = []
             for i, x in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
@@ -82,15 +83,14 @@ def _equal(table: pa.Table) -> pa.Table:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text) of rows with an id and a text, and id if it is not the key: rows that repeat an id with another text have a number of
-    their own as key.  Where no row does, all joins are on (key, text), which Spark moves once."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    h = F.xxhash64("text")
-    unlike = cut(rows.groupBy(F.col("id").alias("u_id")).agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("u_id"))
-    n = unlike.count()
+    """(key, text) of rows with an id and a text, and id if it is not the key: rows that repeat an id have a number that id and text
+    give as key.  Where no row does, all joins are on (key, text), which Spark moves once."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    again = cut(rows.where("id is not null").groupBy(F.col("id").alias("u_id")).count().where("count > 1").select("u_id"))
+    n, rows = again.count(), rows.where("id is not null and text is not null")
     if not n:
         return rows.select(F.col("id").alias("key"), "text")
-    marked = rows.join(F.broadcast(unlike) if n <= FEW_REPEATS else unlike, F.col("id") == F.col("u_id"), "left")
+    marked = rows.join(F.broadcast(again) if n <= FEW_REPEATS else again, F.col("id") == F.col("u_id"), "left")
     return marked.select(F.when(F.col("u_id").isNull(), F.col("id")).otherwise(F.xxhash64("id", "text")).alias("key"), "id", "text")
 
 
@@ -130,8 +130,8 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_
     """(id, text, n_lines, n_removed): each document's text without repeated lines, blank lines kept where they are.
 
     Every row of docs has a row here.  Rows with a null id or text are left as they are (a null text has no lines) and settle no other
-    row's lines.  Equal rows of one id are cleaned alike: a line stays in each of them.  Rows that repeat an id with another text are
-    documents of their own, whose place among the others is set by a hash.  No rows give no rows; other columns are not read.
+    row's lines.  Rows that repeat an id are documents of their own, whose place among the others is set by a hash; equal ones are
+    cleaned alike: a line stays in each of them.  No rows give no rows; other columns are not read.
     """
     source = _keyed(docs, id_col, text_col)
     gone = repeated_lines(source, similarity=similarity)

@@ -24,7 +24,7 @@ from tickloom.llm.common import cut, hash_bucket, utf8_list, worker_cache
 
 END_ID = 1
 #: Words kept in a task's memory of encoded words; it is emptied when full.
-WORD_MEMORY = 500_000
+WORD_MEMORY = 200_000
 #: The marks that are split off after letters, and how the tokenizer's vocabulary writes a word's last token; fixed values.
 MARKS = (".", ",", ";", ":", "!", "?")
 WORD_END = "</w>"
@@ -96,13 +96,13 @@ def pieces(docs: DataFrame, definition: str, *, id_col: str = "doc_id", text_col
     """(doc_id, piece, start, length, ids_crc32, ids): documents as token ids, the end id after each, cut only if longer than capacity."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("packing")
         if cache.get("word_definition") != definition:
             cache |= {"word_definition": definition, "word_tokenizer": WordTokenizer(definition)}
         end = np.array([END_ID], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 rows: list[tuple] = []
                 for doc, ids in zip(batch.column(0).to_pylist(), cache["word_tokenizer"].ids(utf8_list(batch.column(1))), strict=True):
                     ids += end

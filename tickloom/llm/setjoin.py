@@ -26,7 +26,7 @@ from tickloom.llm.common import doc_slices, popcount, utf8_list, worker_cache
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS  # counters of the rarity sketch
 BASE = 0x9E3779B97F4A7C15  # of the words' polynomial hash, odd
-PIECE = 2 << 20  # bytes that are hashed at a time
+PIECE = 1 << 19  # bytes that are hashed at a time
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Sizes above which a sketch has 128 and 256 bits instead of 64.
 WIDER, WIDEST = 100, 220
@@ -35,7 +35,7 @@ PAIRS = 1 << 19  # that are tried at a time
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64, kept by the worker."""
-    cache = worker_cache()
+    cache = worker_cache("setjoin")
     if len(cache.get("line_powers", ((),))[0]) < n:
         n = max(n, 2 * PIECE)
         grow = lambda x: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))])
@@ -166,10 +166,10 @@ class _File:
     """The postings of a file, sorted by member, size class and place.  Sizes of matching sets are in the same or in neighbouring
     classes, each of which is den / num times as wide as the one before."""
 
-    def __init__(self, table: pa.Table, num: int, den: int) -> None:
+    def __init__(self, table: pa.Table, num: int, den: int, wanted: np.ndarray | None = None) -> None:
         self.num, self.den = num, den
         self.file = table.column("file")[0].as_py() if table.num_rows else 0
-        p = unsqueeze(table.column("postings"), POSTING)
+        p = self._shared(unsqueeze(table.column("postings"), POSTING), wanted)
         rank = _ranks(p)
         step = np.log(den / num) if den > num else np.inf
         key = p["word"].astype(np.int64) << 16 | (np.log(np.maximum(p["size"], 1)) / step).astype(np.int64) + 1
@@ -182,6 +182,16 @@ class _File:
         self.keys = self.key[new]
         self.place = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(p)])) << 32 | self.rank
 
+    @staticmethod
+    def _shared(p: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+        """Postings of members that two sets or more have filed and, if only some sets (PLACE) are wanted, one of them has."""
+        order = np.argsort(p["word"], kind="stable")  # pieces are sorted, so this merges them
+        word = p["word"][order]
+        same = word[1:] == word[:-1]
+        keep = np.r_[False, same] | np.r_[same, False] if len(p) else np.zeros(0, bool)
+        p = p[order[keep]]
+        return p if wanted is None else p[np.isin(p["word"], p["word"][_at(p, wanted)])]
+
     def passes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which of the pairs pass the filters."""
         both = self.size[a] + self.size[b]
@@ -240,11 +250,13 @@ class _File:
         p = self.p
         return pa.table({"file": pa.array(np.full(len(a), self.file, np.int32)), "id": pa.array(p["id"][a]), "line": pa.array(p["line"][a]), "e_id": pa.array(p["id"][b]), "e_line": pa.array(p["line"][b]), "more": pa.array(more)})
 
-    def postings_of(self, ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
-        """Places of the postings of the given sets."""
-        want, mine = np.zeros(len(ids), PLACE), np.zeros(len(self.p), PLACE)
-        want["id"], want["line"], mine["id"], mine["line"] = ids, lines, self.p["id"], self.p["line"]
-        return np.flatnonzero(np.isin(mine.view("V12"), want.view("V12"))) if len(mine) and len(want) else np.zeros(0, np.int64)
+
+def _at(p: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the postings of the wanted sets are."""
+    some = np.flatnonzero(np.isin(p["id"], wanted["id"]))
+    mine = np.zeros(len(some), PLACE)
+    mine["id"], mine["line"] = p["id"][some], p["line"][some]
+    return some[np.isin(mine.view("V12"), wanted.view("V12"))] if len(some) else some
 
 
 CANDIDATE = "file int, id long, line int, e_id long, e_line int, more boolean"
@@ -279,8 +291,10 @@ def second_round(filed: DataFrame, still: DataFrame, num: int, den: int) -> Data
     """(id, line, e_id, e_line): all candidates of the sets in still (o_file, o_id, o_line), in those files."""
 
     def every(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        f = _File(table, num, den)
-        return f.named(f.postings_of(wanted.column("o_id").to_numpy(), wanted.column("o_line").to_numpy()), 1 << 62)
+        sets = np.zeros(wanted.num_rows, PLACE)
+        sets["id"], sets["line"] = wanted.column("o_id").to_numpy(), wanted.column("o_line").to_numpy()
+        f = _File(table.slice(0, table.num_rows if len(sets) else 0), num, den, sets)
+        return f.named(_at(f.p, sets), 1 << 62)
 
     rows = filed.groupBy("file").cogroup(still.groupBy("o_file")).applyInArrow(lambda a, b: every(a, b), CANDIDATE)
     return rows.select("id", "line", "e_id", "e_line").distinct()

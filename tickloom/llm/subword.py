@@ -225,7 +225,7 @@ class Subword:
 
 
 def _model(raw: bytes) -> Subword:
-    cache = worker_cache()
+    cache = worker_cache("subword")
     if cache.get("subword_raw") != raw:
         cache |= {"subword_raw": raw, "subword": Subword(raw)}
     return cache["subword"]

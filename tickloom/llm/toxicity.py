@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tickloom.llm.common import free_name, worker_cache
 
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|-_/\\0123456789¿¡«»…"
-WORD_MEMORY = 300_000
+WORD_MEMORY = 200_000
 
 
 def word_features(word: str, width: int, stems: tuple[int, ...]) -> list[int]:
@@ -162,7 +162,7 @@ def expected_severity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "
     thresholds, stems = model.thresholds, model.stems
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, m = worker_cache(), OrdinalModel(box.value, thresholds, stems)
+        cache, m = worker_cache("toxicity"), OrdinalModel(box.value, thresholds, stems)
         if cache.get("toxic_model") != name:  # the words of one model at a time
             cache |= {"toxic_model": name, "toxic_words": {}}
         words = cache["toxic_words"]
