@@ -191,3 +191,35 @@ def test_null_and_empty_text(spark):
     df = spark.createDataFrame([(None,), ("",), ("x" * 100_000,)], "t string")
     got = df.select(H.price_recap(F.col("t")), H.low_value(F.col("t")), F.size(H.title_tokens(F.col("t"))), C.lexicon_score(F.col("t"))["score"]).collect()
     assert [tuple(r)[:2] for r in got] == [(False, False)] * 3 and [r[2] for r in got] == [0, 0, 1] and got[0][3] == 0.0
+
+
+#: Headlines of our own, some for each rule and each exception.
+RECAPS = """Bolt stock jumps on a new order|Bolt shares were still falling at noon|Bolt stock (BLT) slips again|Shares of Bolt Motors tumbled|Bolt trades lower after the open|Bolt touches an all-time high
+Bolt notches a record low|Premarket movers: Bolt, Acme|Top midday movers today|Stocks making the biggest moves|What's moving in Singapore|Buyers return after a 9% drop|Bolt gains more than the market
+Bolt lags the market again|Bolt extends its rally|Bolt erases losses|Bolt plunges as much as 12%|Bolt, a maker of pumps, climbs 4 percent|Bolt edges higher|Bolt inches lower in thin dealing|Bolt dives 7%|Bolt craters 30%|Bolt stock rockets""".replace("\n", "|").split("|")
+NO_RECAPS = """Bolt could jump 20% this year|Bolt shares may fall further|Is Bolt stock set to rise?|Bolt revenue climbs 14%|Bolt profit slips 3% on costs|Bolt takes a 12% stake in Acme|Bolt gains 5% market share|Oil prices edge higher|Bond yields drift lower
+Bolt stock gains traction with funds|Bolt shares move to a new exchange|Bolt hits record high revenue|Bolt opens a pump works|Bolt will pay a dividend|Bolt dividend up 5%|Bolt hires 400 people||Bolt margin drops, deliveries rise 5%""".replace("\n", "|").split("|")
+REPORTS = """Reed Capital LLC Raises Stake in Bolt Motors $BLT|Reed Advisors Trims Position in Bolt Motors Inc. (NYSE: BLT)|Reed Bank Buys New Stake in Bolt (BLT)|Reed Fund Sells 3,100 Shares of Bolt Motors $BLT|Reed Trust Has $4.1 Million Stock Position in Bolt
+Holdings in Bolt Lifted by Reed Wealth Partners|Reed Cut Its Holding by 900 Shares|9,000 Shares of Bolt $BLT Acquired by Reed|Bolt Motors $BLT Stock Sold by Reed Capital|Bolt Motors $BLT Shares Purchased by Reed Bank|BLT Motors USD 41.20|Bolt stock price and chart|Bolt stock quote|Bolt closes at $41.20""".replace("\n", "|").split("|")
+NO_REPORTS = """Bolt director buys 3,100 shares of Bolt (BLT)|Sen. Reed sells 400 shares of Bolt (BLT)|Activist Reed raises stake in Bolt $BLT|Bolt sells its stake in a pump works|Bolt raises prices|Reed Capital hires a trader|Bolt buys Acme||Bolt cuts 400 jobs|Holding on to winter stocks""".replace("\n", "|").split("|")
+
+
+def test_headline_rules(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import headline_rules as R
+    from tickloom.plans.news import SHAPES
+
+    def wrong(rule, good, bad):
+        rows = [(x, True) for x in good] + [(x, False) for x in bad] + [(None, False)]
+        df = spark.createDataFrame(rows, "title string, want boolean")
+        return [r.title for r in df.where(rule(F.col("title")) != F.col("want")).collect()]
+
+    assert wrong(R.price_recap, RECAPS + [x for x, a, _ in SHAPES if a], NO_RECAPS + REPORTS[:10] + [x for x, a, _ in SHAPES if not a]) == []
+    assert wrong(R.low_value, REPORTS + [x for x, _, b in SHAPES if b], NO_REPORTS + RECAPS + [x for x, _, b in SHAPES if not b]) == []
+
+
+def test_word_forms():
+    from tickloom.operators.headline_rules import forms
+
+    assert set("slip slips slipped slipping carry carries carried carrying rise rises rose rising reach reaches reached".split()) <= set(forms("slip carry rise reach"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators import headline_rules as R
 from tickloom.operators import headlines as H
 from tickloom.plans.registry import query
 from tickloom.sources import views as V
@@ -131,8 +132,25 @@ SHAPES = [
 ]
 
 
-def _shape_sql(column: int) -> str:
-    return f"SELECT o_orderkey, CASE o_orderkey % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {x[column]}" for i, x in enumerate(SHAPES)) + " END AS hit FROM orders"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _kinds_sql(rewrites, looks, kinds, lower: bool) -> str:
+    """SQL for the letters of a headline's words."""
+    text = "lower(title)" if lower else "title"
+    for pattern, by in rewrites:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    cases = "".join(f" WHEN regexp_matches(w, {_quoted(look)}) THEN '{letter}'" for letter, look in looks.items())
+    cases += "".join(f" WHEN lower(w) IN ({', '.join(map(_quoted, words))}) THEN '{letter}'" for letter, words in kinds.items())
+    return f"coalesce(list_aggregate(list_transform(list_filter(string_split({text}, ' '), lambda w: w <> ''), lambda w: CASE WHEN w = '/' THEN '/'{cases} ELSE 'o' END), 'string_agg', ''), '')"
+
+
+_TITLES_SQL = f"SELECT o_orderkey, CASE o_orderkey % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {_quoted(x[0])}" for i, x in enumerate(SHAPES)) + " END AS title FROM orders"
+_RECAP_SQL = " OR ".join("(" + " AND ".join([f"regexp_matches(c, '{rule}')", *(f"NOT regexp_matches(c, '{x}')" for x in unless)]) + ")" for rule, unless in R.RECAPS)
+_MATCH = lambda rules: " OR ".join(f"regexp_matches(k, '{x}')" for x in rules)
+_NEWS_RECAP = f"WITH t AS ({_TITLES_SQL}) SELECT o_orderkey, len(list_filter(string_split({_kinds_sql(R.PRICE_REWRITES, R.PRICE_LOOKS, R.PRICE_KINDS, True)}, '/'), lambda c: {_RECAP_SQL})) > 0 AS hit FROM t"
+_NEWS_LOW = f"WITH t AS ({_TITLES_SQL}), l AS (SELECT o_orderkey, {_kinds_sql(R.HOLDING_REWRITES, R.HOLDING_LOOKS, R.HOLDING_KINDS, False)} AS k FROM t) SELECT o_orderkey, ({_MATCH(R.STAMPS)}) OR (({_MATCH(R.REPORTS)}) AND NOT contains(k, 'r')) AS hit FROM l"
 
 
 def _headlines(spark, d):
@@ -140,14 +158,14 @@ def _headlines(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(x[0]) for x in SHAPES]), i).alias("title"))
 
 
-@query("news_recap", _shape_sql(1))
+@query("news_recap", _NEWS_RECAP)
 def news_recap(spark, d):
-    return _headlines(spark, d).select("o_orderkey", H.price_recap(F.col("title")).alias("hit"))
+    return _headlines(spark, d).select("o_orderkey", R.price_recap(F.col("title")).alias("hit"))
 
 
-@query("news_low_value", _shape_sql(2))
+@query("news_low_value", _NEWS_LOW)
 def news_low_value(spark, d):
-    return _headlines(spark, d).select("o_orderkey", H.low_value(F.col("title")).alias("hit"))
+    return _headlines(spark, d).select("o_orderkey", R.low_value(F.col("title")).alias("hit"))
 
 
 @query("shared_words", with_views(T, ", wd AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS word FROM titles), n AS (SELECT lang, count(*) AS n FROM titles GROUP BY lang HAVING count(*) >= 10) SELECT lang, word, count(*) AS titles FROM wd JOIN n USING (lang) GROUP BY lang, word, n HAVING count(*) >= 0.5 * n"))
