@@ -31,8 +31,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 NOTHING = -1  # no piece: the start of a word, or a character that has none
-PAIR_MEMORY, WORD_BYTES = 400_000, 24 << 20
-SLICE = 2 << 20  # bytes of text, or of ids, that are worked on at a time
+PAIR_MEMORY, WORD_BYTES = 1_000_000, 32 << 20
+SLICE = 4 << 20  # bytes of text, or of ids, that are worked on at a time
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,7 +86,9 @@ class Subword:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that go on past a mark are not supported")
         self.scores = [s for _, s, _ in self.pieces]
-        self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}  # length of the longest piece that ends with these two characters
+        for piece in self.ids:
+            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN), 0)
         self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
@@ -95,7 +97,8 @@ class Subword:
         self.sizes = [len(p) for p, _, _ in self.pieces]
         self.history: dict[int, tuple | None] = {}  # a story for each piece at most
         self.fits: dict[int, bool] = {}  # of pairs of pieces, emptied at PAIR_MEMORY
-        self.words: dict[str, bytes] = {}  # encoded words, emptied when they hold WORD_BYTES
+        self.words: dict[str, bytes] = {}  # encoded words; when they hold WORD_BYTES they become the older ones, which then go
+        self.older: dict[str, bytes] = {}
         self.word_bytes = 0
 
     def merges(self, word: str) -> tuple[list[str], list[tuple[float, str, str]]]:
@@ -158,14 +161,14 @@ class Subword:
         """Packed ids of distinct words: depth-first over the trie that the sorted words are.  A prefix's state is its last piece, which
         is also the way back to where that piece begins: a few bytes a character, however long a word is."""
         out, before = {}, ""
-        ids, longest, bpe, low = self.ids, self.longest, self.kind == BPE, self.low
+        ids, reach, bpe, low = self.ids, self.reach, self.kind == BPE, self.low
         last, score = [NOTHING], [0.0]
         for word in sorted(words):
             shared = len(commonprefix((before, word)))
             del last[shared + 1 :], score[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 best, top = NOTHING, low
-                for j in range(max(0, i - longest), i):
+                for j in range(max(0, i - reach.get(word[i - 2 : i], 1)) if i > 1 else 0, i):
                     k = ids.get(word[j:i])
                     if k is None:
                         continue
@@ -195,11 +198,13 @@ class Subword:
         """Packed ids of each text.  Words that were met before, in any batch, are remembered."""
         split = [self.split(x) for x in texts]
         if self.word_bytes > WORD_BYTES:
-            self.words, self.word_bytes = {}, 0
-        known = self.words
-        new = self.encode_words(list({w for words in split for w in words if w not in known}))
-        known.update(new)
-        self.word_bytes += sum(map(len, new)) + sum(map(len, new.values())) + 150 * len(new)
+            self.older, self.words, self.word_bytes = self.words, {}, 0
+        known, older = self.words, self.older
+        new = {w for words in split for w in words if w not in known}
+        kept = {w: older[w] for w in new if w in older}
+        made = self.encode_words([w for w in new if w not in kept]) | kept
+        known.update(made)
+        self.word_bytes += sum(map(len, made)) + sum(map(len, made.values())) + 150 * len(made)
         return [b"".join([known[w] for w in words]) for words in split]
 
     def split(self, text: str) -> list[str]:
