@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import doc_slices, popcount, utf8_list, worker_cache
+from tickloom.llm.common import cut, doc_slices, popcount, utf8_list, worker_cache
 
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS  # counters of the rarity sketch
@@ -270,8 +270,7 @@ def candidates_table(ids: np.ndarray, lines: np.ndarray) -> pa.Table:
 
 def first_round(filed: DataFrame, num: int, den: int, most: int, known: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
     """(id, line, named): of each set that has candidates the `most` earliest of each file, and whether the file has more.  known gives
-    rows of candidates_table for a file's rows.  filed is read whole in both rounds, and named has all in one column, so that Spark
-    makes and moves either once."""
+    rows of candidates_table for a file's rows.  The rows are stored, as three plans read them."""
 
     def earliest(table: pa.Table) -> pa.Table:
         f = _File(table, num, den)
@@ -279,7 +278,7 @@ def first_round(filed: DataFrame, num: int, den: int, most: int, known: Callable
         return pa.concat_tables([rows, known(table)]) if known else rows
 
     rows = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE)
-    return rows.groupBy("id", "line").agg(F.collect_set(F.struct("file", "e_id", "e_line", "more")).alias("named"))
+    return cut(rows.groupBy("id", "line").agg(F.collect_set(F.struct("file", "e_id", "e_line", "more")).alias("named")))
 
 
 def repeats() -> Column:
