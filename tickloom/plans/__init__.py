@@ -1,4 +1,4 @@
 """Queries over the operators; importing this package registers them all."""
 
-from tickloom.plans import feed, macro, news, streams, technical, upkeep  # noqa: F401
+from tickloom.plans import feed, macro, news, reading, streams, technical, upkeep  # noqa: F401
 from tickloom.plans.registry import ORACLES, QUERIES  # noqa: F401

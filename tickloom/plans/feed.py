@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.series import rounded
 from tickloom.operators import alignment as A
+from tickloom.operators import reading as R
 from tickloom.operators import screening as C
 from tickloom.operators import upkeep as U
 from tickloom.plans import macro as M
@@ -48,19 +49,22 @@ def news_page(spark, d):
     return C.news_page(stored(spark, d), "A", before=(at, "k5"), since=F.lit("1995-01-01").cast("timestamp_ntz")).select("key", "published_at", "place", "more")
 
 
-@query("month_counts", with_views("articles", f", {STORED_SQL} SELECT symbol, strftime(published_at - INTERVAL 5 HOUR, '%Y-%m') AS month, count(*) AS articles FROM sa WHERE {SHOWN} GROUP BY ALL"))
+ZONE = "America/New_York"
+
+
+@query("month_counts", with_views("articles", f", {STORED_SQL} SELECT symbol, strftime(published_at AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}', '%Y-%m') AS month, count(*) AS articles FROM sa WHERE {SHOWN} GROUP BY ALL"))
 def month_counts(spark, d):
-    """Showable articles by the exchange's month; here the exchange is five hours behind UTC all year."""
-    local = F.col("published_at") - F.expr("INTERVAL 5 HOURS")
-    return shown(stored(spark, d)).groupBy("symbol", F.date_format(local, "yyyy-MM").alias("month")).agg(F.count("*").alias("articles"))
+    """Showable articles by the exchange's month, summer time included."""
+    return shown(stored(spark, d)).groupBy("symbol", R.local_month(F.col("published_at"), ZONE).alias("month")).agg(F.count("*").alias("articles"))
 
 
-@query("month_window", with_views("articles", "SELECT DISTINCT strftime(published_at, '%Y-%m') AS month, greatest(date_trunc('month', published_at) + INTERVAL 5 HOUR, TIMESTAMP '1995-03-10') AS start_utc, date_trunc('month', published_at) + INTERVAL 1 MONTH + INTERVAL 5 HOUR AS end_utc FROM articles WHERE published_at >= TIMESTAMP '1995-03-10'"))
+@query("month_window", with_views("articles", f"""SELECT DISTINCT strftime(m, '%Y-%m') AS month, greatest(m AT TIME ZONE '{ZONE}' AT TIME ZONE 'UTC', TIMESTAMP '1995-03-10') AS start_utc, (m + INTERVAL 1 MONTH) AT TIME ZONE '{ZONE}' AT TIME ZONE 'UTC' AS end_utc
+    FROM (SELECT date_trunc('month', published_at) AS m FROM articles) WHERE (m + INTERVAL 1 MONTH) AT TIME ZONE '{ZONE}' AT TIME ZONE 'UTC' > TIMESTAMP '1995-03-10' AND m AT TIME ZONE '{ZONE}' AT TIME ZONE 'UTC' <= TIMESTAMP '1998-02-10'"""))
 def month_window(spark, d):
-    a = V.articles(spark, d).where(F.col("published_at") >= F.lit("1995-03-10").cast("timestamp_ntz"))
-    m = F.date_trunc("MONTH", "published_at").cast("timestamp_ntz")
-    start = F.greatest(m + F.expr("INTERVAL 5 HOURS"), F.lit("1995-03-10").cast("timestamp_ntz"))
-    return a.select(F.date_format("published_at", "yyyy-MM").alias("month"), start.alias("start_utc"), (m + F.expr("INTERVAL 1 MONTH") + F.expr("INTERVAL 5 HOURS")).alias("end_utc")).distinct()
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    months = V.articles(spark, d).select(F.date_format("published_at", "yyyy-MM").alias("month")).distinct()
+    w = months.select("month", R.month_bounds(F.col("month"), ZONE, since=at("1995-03-10"), now=at("1998-02-10")).alias("w"))
+    return w.where("w is not null").select("month", F.col("w.start").alias("start_utc"), F.col("w.end").alias("end_utc"))
 
 
 @query("month_windows", with_views("articles", ", e AS (SELECT symbol, CAST(max(published_at) AS DATE) AS e FROM articles GROUP BY symbol) SELECT symbol, CAST(e - to_months(CAST(k AS INTEGER)) AS DATE) AS \"start\", CAST(e - to_months(CAST(k - 1 AS INTEGER)) AS DATE) AS \"end\" FROM e, range(1, 25) r(k)"))
