@@ -61,7 +61,7 @@ def cursor_codec(spark, d):
     e AS (SELECT symbol, month, head, published_at AS mp, key AS mk, 0 AS told, key AS dup, published_at AS pt FROM r
         UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.symbol = t.symbol AND r.month = t.month AND r.key = t.dup)),
     o AS (SELECT *, row_number() OVER (PARTITION BY symbol, month, head, dup ORDER BY told, mp DESC, mk DESC, pt DESC) AS n FROM e)
-    SELECT m.symbol, m.month, m.head, m.key, round(any_value(m.mean), 8) AS score, CASE WHEN any_value(m.mean) > 0.3 THEN 'positive' WHEN any_value(m.mean) < -0.3 THEN 'negative' WHEN any_value(m.mean) IS NULL THEN 'not_scored' ELSE 'neutral' END AS label,
+    SELECT m.symbol, m.month, m.head, m.key, round(any_value(m.mean), 12) AS score, CASE WHEN any_value(m.mean) > 0.3 THEN 'positive' WHEN any_value(m.mean) < -0.3 THEN 'negative' WHEN any_value(m.mean) IS NULL THEN 'not_scored' ELSE 'neutral' END AS label,
         coalesce(string_agg(o.dup, ',' ORDER BY o.pt DESC, o.dup DESC), '') AS similar
     FROM m LEFT JOIN o ON o.symbol = m.symbol AND o.month = m.month AND o.head = m.head AND o.n = 1 AND o.dup <> m.key WHERE m.n = 1 GROUP BY m.symbol, m.month, m.head, m.key"""))
 def page_groups(spark, d):
@@ -71,7 +71,7 @@ def page_groups(spark, d):
     similar = F.when(k % 3 == 0, F.array(other(1, F.concat(F.lit("k"), (k + 1).cast("string"))), other(2, F.concat(F.lit("d"), (k % 50).cast("string")))))
     rows = feed.shown(feed.stored(spark, d)).select("symbol", F.date_format("published_at", "yyyy-MM").alias("month"), F.concat(F.lit("h"), (F.dayofmonth("published_at") % 5).cast("string")).alias("head"), "key", "published_at", F.col("key").alias("title"), "score", similar.alias("similar"))
     g = R.group_page(rows, ["symbol", "month"])
-    return g.select("symbol", "month", "head", "key", F.round("score", 8).alias("score"), "label", F.array_join(F.transform("similar", lambda x: x["dup_key"]), ",").alias("similar"))
+    return g.select("symbol", "month", "head", "key", F.round("score", 12).alias("score"), "label", F.array_join(F.transform("similar", lambda x: x["dup_key"]), ",").alias("similar"))
 
 
 @query("retro_fold", """WITH dup AS (SELECT o_custkey % 300 AS c, 'd' || o_orderkey AS dup, o_orderdate AS pt FROM orders), hd AS (SELECT c, max(pt) AS pt FROM dup GROUP BY c),
