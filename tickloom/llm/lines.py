@@ -117,10 +117,10 @@ def repeated_lines(source: DataFrame, *, similarity: float = 0.8, file_bytes: in
         met = lines_of(sent.join(texts, F.col("l_id") == F.col("key")))
         sets = F.transform("at", lambda x: F.struct(x["line"].alias("line"), _words(x["earlier"]).alias("a"), _words(pick(x["line"])).alias("b")))
         alike = F.filter(sets, lambda x: F.size(F.array_intersect(x["a"], x["b"])) * (num + den) >= num * (F.size(x["a"]) + F.size(x["b"])))
-        return met.select(F.col("l_id").alias("id"), F.explode(F.transform(alike, lambda x: x["line"])).alias("line")).distinct()
+        return met.select(F.col("l_id").alias("id"), F.explode(F.transform(alike, lambda x: x["line"])).alias("line")).where("id is not null and line is not null").distinct()
 
     named = first_round(filed, num, den, most, _equal)
-    settled = verified(pairs_of(named))
+    settled = verified(pairs_of(named)).repartition("id", "line")  # two plans read this exchange
     late = verified(second_round(filed, open_in(named, settled), num, den))
     equal = named.where(repeats()).select("id", "line")
     return equal.union(settled).union(late).groupBy(F.col("id").alias("g_id")).agg(F.collect_set("line").alias("gone"))

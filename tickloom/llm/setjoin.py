@@ -271,14 +271,15 @@ def candidates_table(ids: np.ndarray, lines: np.ndarray) -> pa.Table:
 def first_round(filed: DataFrame, num: int, den: int, most: int, known: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
     """(id, line, named): of each set that has candidates the `most` earliest of each file, and whether the file has more.  known gives
     rows of candidates_table for a file's rows.  filed is read whole in both rounds, and named has all in one column, so that Spark
-    makes and moves either once."""
+    makes and moves either once.  Joins on id and line add a test for nulls to the plans that read named; it stands here already, so that
+    these plans stay the same."""
 
     def earliest(table: pa.Table) -> pa.Table:
         f = _File(table, num, den)
         rows = f.named(np.arange(len(f.p)), most)
         return pa.concat_tables([rows, known(table)]) if known else rows
 
-    rows = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE)
+    rows = filed.groupBy("file").applyInArrow(lambda t: earliest(t), CANDIDATE).where("id is not null and line is not null")
     return rows.groupBy("id", "line").agg(F.collect_set(F.struct("file", "e_id", "e_line", "more")).alias("named"))
 
 
