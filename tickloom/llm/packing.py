@@ -8,6 +8,7 @@ salted groups so that no length, however common, is ranked in one task.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -38,6 +39,7 @@ class WordTokenizer:
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(definition)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -63,6 +65,9 @@ class WordTokenizer:
     def _encode(self, words: list[bytes]) -> None:
         split, rest = [], []
         for w in words:
+            if w.isalpha():  # ASCII letters only
+                split.append((w, w.lower().decode(), ""))
+                continue
             text = w.decode()
             text = text.lower() if text.isascii() else text
             stem, mark = (text[:-1], text[-1]) if text[-1] in MARKS else (text, "")
@@ -88,8 +93,8 @@ class WordTokenizer:
         if len(self.stems) > WORD_MEMORY:
             self.stems = {m: self.stems[m] for m in (*MARKS, "")}
         known = self.words
-        self._encode(list({w for words in split for w in words if w not in known}))
-        return [b"".join([known[w] for w in words]) for words in split]
+        self._encode(list(set().union(*split).difference(known)))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def pieces(docs: DataFrame, definition: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
