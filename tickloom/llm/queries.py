@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import covertree, kneser, lines, media, packing, simhash, subword, toxicity, urlfilter, warc
+from tickloom.llm import covertree, divergence, infill, kneser, lines, media, packing, simhash, subword, toxicity, urlfilter, warc
 
 #: The URL rules of the query, fixed values.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -99,8 +99,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: how far the sources of a language are apart, and the ten terms that set each apart most."""
+    return divergence.audit(table(spark, sf_dir, "documents"), k=10, least_docs=10)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars and the SHA-256 of every document's rearranged text and of the text rebuilt from it."""
+    got = infill.transform(table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return got.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_top_k_search, op3_simhash, op4_warc, op5_sentencepiece, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_media)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_top_k_search, op3_simhash, op4_warc, op5_sentencepiece, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_media, op11_divergence, op13_infill)}
 
 
 #: A page's base32 SHA-1, five bits at a time out of the hex digest.
@@ -121,4 +134,28 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
             SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+        "op11_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+            t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+            v AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+            a AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0)::HUGEINT AS n, v.n::HUGEINT AS m FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+            p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS p, 1 + (1000000000 * (m + 2)) // (sum(m) OVER w + 2 * count(*) OVER w) AS q
+                  FROM a WINDOW w AS (PARTITION BY lang, source)),
+            s AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+            f AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+                  LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+                  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+            r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
+        "op13_infill": """
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+            u AS (SELECT *, len(w) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS d FROM t),
+            c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+            x AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:n], '') AS suf FROM c)
+            SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM x""",
     }
