@@ -52,9 +52,12 @@ def term_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
 
 
 def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
-    """(lang, source, term, n, total): terms in at least that many documents of their language; total is the language's count."""
-    by_lang = counts.groupBy(F.col("lang").alias("l_lang"), F.col("term").alias("l_term")).agg(F.sum("n").alias("total"), F.sum("d").alias("d")).where(F.col("d") >= least_docs)
-    return counts.join(by_lang, (F.col("lang") == F.col("l_lang")) & (F.col("term") == F.col("l_term"))).select("lang", "source", "term", "n", "total")
+    """(lang, source, term, n, d, total): terms in at least that many documents of their language; total is the language's count.
+
+    Both sides read the same columns of counts, so that its exchange is made once.
+    """
+    by_lang = counts.groupBy(F.col("lang").alias("l_lang"), F.col("term").alias("l_term")).agg(F.sum("n").alias("total"), F.sum("d").alias("l_d")).where(F.col("l_d") >= least_docs)
+    return counts.join(by_lang, (F.col("lang") == F.col("l_lang")) & (F.col("term") == F.col("l_term"))).select("lang", "source", "term", "n", counts["d"], "total")
 
 
 def _groups(docs: DataFrame, kept: DataFrame, lang_col: str, source_col: str) -> DataFrame:
