@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import covertree, divergence, infill, kneser, lines, media, packing, simhash, subword, toxicity, urlfilter, warc
+from tickloom.llm import covertree, ctxmix, divergence, infill, kneser, lines, media, packing, simhash, subword, toxicity, urlfilter, warc
 
 #: The URL rules of the query, fixed values.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -104,6 +104,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), k=10, least_docs=10)
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return ctxmix.score(docs).withColumnRenamed("id", "doc_id")
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars and the SHA-256 of every document's rearranged text and of the text rebuilt from it."""
     got = infill.transform(table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
@@ -113,7 +119,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_top_k_search, op3_simhash, op4_warc, op5_sentencepiece, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_media, op11_divergence, op13_infill)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_top_k_search, op3_simhash, op4_warc, op5_sentencepiece, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_media, op11_divergence, op12_context_mixing, op13_infill)}
 
 
 #: A page's base32 SHA-1, five bits at a time out of the hex digest.
