@@ -12,6 +12,7 @@ from tickloom.operators import alignment as A
 from tickloom.operators import event_study as E
 from tickloom.operators import headlines as H
 from tickloom.operators import indicators as I
+from tickloom.operators import scan as N
 from tickloom.operators import screening as C
 from tickloom.operators import statistics as S
 
@@ -33,14 +34,6 @@ def near(a, b, digits=6):
     return [None if x is None or x != x else round(x, digits) for x in a] == [None if x is None else round(x, digits) for x in b]
 
 
-def test_recursions_by_hand():
-    assert near(I.ema(np.array([1, 2, 3, 4, 8, 2.0]), 3), [None, None, 2, 3, 5.5, 3.75])
-    assert near(I.rsi(np.array([10, 11, 10.5, 11.5, 11, 12, 11]), 3)[3:], [80, 61.538462, 77.272727, 47.887324])
-    h, low, c = np.array([10, 11, 12, 11.5, 13]), np.array([9, 10, 10.5, 10, 11.0]), np.array([9.5, 10.5, 11, 11, 12.5])
-    assert near(I.true_range(h, low, c), [1, 1.5, 1.5, 1.5, 2])
-    assert near(I.smooth(I.true_range(h, low, c), 3, 1 / 3)[2:], [1.333333, 1.388889, 1.592593])
-
-
 def test_wilson_by_hand(spark):
     df = spark.createDataFrame([(9, 12), (15, 15), (0, 10), (0, 0)], "k long, n long")
     low, high = wilson(F.col("k"), F.col("n"))
@@ -146,80 +139,14 @@ def test_buckets_and_labels_at_their_edges(spark):
 
 def test_indicators_do_not_look_ahead_and_keep_symbols_apart(spark):
     cols = ["symbol", "session", "sma20", "ema9", "rsi14", "macd", "atr14", "trend"]
-    f = lambda b: {(r.symbol, r.session): tuple(r)[2:] for r in I.with_trend(I.with_sma(I.with_recursive(b))).select(*cols).collect()}
+    f = lambda b: {(r.symbol, r.session): tuple(r)[2:] for r in I.with_trend(I.with_sma(N.with_recursive(b))).select(*cols).collect()}
     short, long_, two = f(bars(spark, 60)), f(bars(spark, 80)), f(bars(spark, 60, ("A", "B")).repartition(7))
     assert all(long_[k] == v for k, v in short.items())
     assert all(two[k] == v for k, v in short.items())
 
 
-def test_clusters_equal_the_plain_procedure(spark):
-    rng = random.Random(9)
-    vocabulary = ["acme", "plant", "ohio", "opens", "rises", "falls", "q1", "q2", "deal", "bolt", "court", "not", "delay", "chip"]
-    stories = [("S", i % 3, 0 if rng.random() < 0.3 else 1, i, f"k{i:03d}", sorted(set(rng.choices(vocabulary, k=rng.randint(0, 7))))) for i in range(150)]
-    df = spark.createDataFrame(stories, "symbol string, day int, stored_first int, published_at int, key string, tokens array<string>")
-    got = {r.key: r.head for r in H.cluster_stories(df).collect()}
-    judge, want = H.Judge(), {}
-    for day in range(3):
-        heads = []
-        for s in sorted((s for s in stories if s[1] == day), key=lambda s: (s[2], s[3], s[4])):
-            tokens = frozenset(s[5])
-            at = next((h for h in heads if judge(tokens, h[0])), None)
-            if at is None:
-                heads.append(at := (tokens, s[4]))
-            want[s[4]] = at[1]
-    assert got == want
-
-
-def test_similarity_agrees_in_columns_and_python(spark):
-    rng = random.Random(2)
-    words = [*"acme plant ohio open rise fall q1 q2 deal bolt".split(), "not"]
-    pairs = [(rng.sample(words, rng.randint(0, 7)), rng.sample(words, rng.randint(0, 7))) for _ in range(300)]
-    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
-    got = [(r.a, r.b, r.s) for r in df.select("a", "b", H.similar(F.col("a"), F.col("b")).alias("s")).collect()]
-    judge = H.Judge()
-    assert all(s == judge(frozenset(a), frozenset(b)) for a, b, s in got) and any(s for *_, s in got)
-
-
 def test_stems(spark):
     words = "shares launches loss pushing news rising gains boxes passes class using".split()
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(H.stem(F.col("w"))).collect()]
     assert got == [H.plain_stem(w) for w in words] == "share launch loss push news ris gain box pass class using".split()
-
-
-def test_null_and_empty_text(spark):
-    df = spark.createDataFrame([(None,), ("",), ("x" * 100_000,)], "t string")
-    got = df.select(H.price_recap(F.col("t")), H.low_value(F.col("t")), F.size(H.title_tokens(F.col("t"))), C.lexicon_score(F.col("t"))["score"]).collect()
-    assert [tuple(r)[:2] for r in got] == [(False, False)] * 3 and [r[2] for r in got] == [0, 0, 1] and got[0][3] == 0.0
-
-
-#: Headlines of our own, some for each rule and each exception.
-RECAPS = """Bolt stock jumps on a new order|Bolt shares were still falling at noon|Bolt stock (BLT) slips again|Shares of Bolt Motors tumbled|Bolt trades lower after the open|Bolt touches an all-time high
-Bolt notches a record low|Premarket movers: Bolt, Acme|Top midday movers today|Stocks making the biggest moves|What's moving in Singapore|Buyers return after a 9% drop|Bolt gains more than the market
-Bolt lags the market again|Bolt extends its rally|Bolt erases losses|Bolt plunges as much as 12%|Bolt, a maker of pumps, climbs 4 percent|Bolt edges higher|Bolt inches lower in thin dealing|Bolt dives 7%|Bolt craters 30%|Bolt stock rockets""".replace("\n", "|").split("|")
-NO_RECAPS = """Bolt could jump 20% this year|Bolt shares may fall further|Is Bolt stock set to rise?|Bolt revenue climbs 14%|Bolt profit slips 3% on costs|Bolt takes a 12% stake in Acme|Bolt gains 5% market share|Oil prices edge higher|Bond yields drift lower
-Bolt stock gains traction with funds|Bolt shares move to a new exchange|Bolt hits record high revenue|Bolt opens a pump works|Bolt will pay a dividend|Bolt dividend up 5%|Bolt hires 400 people||Bolt margin drops, deliveries rise 5%""".replace("\n", "|").split("|")
-REPORTS = """Reed Capital LLC Raises Stake in Bolt Motors $BLT|Reed Advisors Trims Position in Bolt Motors Inc. (NYSE: BLT)|Reed Bank Buys New Stake in Bolt (BLT)|Reed Fund Sells 3,100 Shares of Bolt Motors $BLT|Reed Trust Has $4.1 Million Stock Position in Bolt
-Holdings in Bolt Lifted by Reed Wealth Partners|Reed Cut Its Holding by 900 Shares|9,000 Shares of Bolt $BLT Acquired by Reed|Bolt Motors $BLT Stock Sold by Reed Capital|Bolt Motors $BLT Shares Purchased by Reed Bank|BLT Motors USD 41.20|Bolt stock price and chart|Bolt stock quote|Bolt closes at $41.20""".replace("\n", "|").split("|")
-NO_REPORTS = """Bolt director buys 3,100 shares of Bolt (BLT)|Sen. Reed sells 400 shares of Bolt (BLT)|Activist Reed raises stake in Bolt $BLT|Bolt sells its stake in a pump works|Bolt raises prices|Reed Capital hires a trader|Bolt buys Acme||Bolt cuts 400 jobs|Holding on to winter stocks""".replace("\n", "|").split("|")
-
-
-def test_headline_rules(spark):
-    from pyspark.sql import functions as F
-
-    from tickloom.operators import headline_rules as R
-    from tickloom.plans.news import SHAPES
-
-    def wrong(rule, good, bad):
-        rows = [(x, True) for x in good] + [(x, False) for x in bad] + [(None, False)]
-        df = spark.createDataFrame(rows, "title string, want boolean")
-        return [r.title for r in df.where(rule(F.col("title")) != F.col("want")).collect()]
-
-    assert wrong(R.price_recap, RECAPS + [x for x, a, _ in SHAPES if a], NO_RECAPS + REPORTS[:10] + [x for x, a, _ in SHAPES if not a]) == []
-    assert wrong(R.low_value, REPORTS + [x for x, _, b in SHAPES if b], NO_REPORTS + RECAPS + [x for x, _, b in SHAPES if not b]) == []
-
-
-def test_word_forms():
-    from tickloom.operators.headline_rules import forms
-
-    assert set("slip slips slipped slipping carry carries carried carrying rise rises rose rising reach reaches reached".split()) <= set(forms("slip carry rise reach"))

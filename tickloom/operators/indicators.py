@@ -1,13 +1,11 @@
 """Technical indicators for every symbol at once.
 
 Window indicators share one window specification, so Spark plans one exchange and one sort.  Recursive ones (EMA, Wilder
-smoothing) are folds: each symbol's bounded history is folded in one Arrow batch per symbol.
+smoothing) are in scan.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,59 +60,6 @@ def with_forward_return(bars: DataFrame, horizon: int = 5, order: str = "session
     return bars.withColumn("forward_return", F.try_divide(F.lead("close", horizon).over(w), F.lead("open", 1).over(w)) - 1)
 
 
-def smooth(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """Exponential smoothing seeded with the mean of the first n values; leading NaN are skipped, a later NaN spoils the rest."""
-    out = np.full(len(x), np.nan)
-    start = int(np.argmax(~np.isnan(x))) if (~np.isnan(x)).any() else len(x)
-    if start + n > len(x):
-        return out
-    value = x[start : start + n].mean()
-    out[start + n - 1] = value
-    for i in range(start + n, len(x)):
-        value += alpha * (x[i] - value)
-        out[i] = value
-    return out
-
-
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    return smooth(x, n, 2.0 / (n + 1))
-
-
-def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
-    delta = np.diff(close, prepend=np.nan)
-    gain, loss = smooth(np.where(np.isnan(delta), np.nan, np.maximum(delta, 0)), n, 1 / n), smooth(np.where(np.isnan(delta), np.nan, np.maximum(-delta, 0)), n, 1 / n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        value = 100 - 100 / (1 + gain / loss)
-    return np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), value)
-
-
-def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = np.r_[np.nan, close[:-1]]
-    return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
-
-
-RECURSIVE = ("ema9", "ema21", "rsi14", "macd", "signal", "histogram", "atr14")
-
-
-def with_recursive(bars: DataFrame, order: str = "session") -> DataFrame:
-    """Adds EMA 9 and 21, RSI 14, MACD (12, 26, 9) and ATR 14; NULL in warm-up.  A symbol's history is one group."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        o = {c: table.column(c).to_numpy().astype(float) for c in ("high", "low", "close")}
-        close = o["close"]
-        line = ema(close, 12) - ema(close, 26)
-        signal = ema(line, 9)
-        found = {"ema9": ema(close, 9), "ema21": ema(close, 21), "rsi14": rsi(close), "macd": line, "signal": signal, "histogram": line - signal, "atr14": smooth(true_range(o["high"], o["low"], close), 14, 1 / 14)}
-        for name in RECURSIVE:
-            table = table.append_column(name, pa.array(found[name], pa.float64(), from_pandas=True))
-        return table
-
-    base = bars.drop(*RECURSIVE)
-    schema = base.withColumns({n: F.lit(None).cast("double") for n in RECURSIVE}).schema
-    return base.groupBy("symbol").applyInArrow(fold, schema)
-
-
 def with_ema_cross(bars: DataFrame, order: str = "session") -> DataFrame:
     """Side of EMA 9 against 21 and whether it changed in the last 3 bars."""
     from tickloom.functions.series import sign_with_tolerance

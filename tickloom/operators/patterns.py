@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import by_symbol, sign_with_tolerance, wilson
-from tickloom.operators.indicators import with_anchored_vwap, with_ema_cross, with_forward_return, with_recursive, with_trend
+from tickloom.functions.storage import stored
+from tickloom.operators.indicators import with_anchored_vwap, with_ema_cross, with_forward_return, with_trend
+from tickloom.operators.scan import with_recursive
 
 #: key, bias, candles, trends allowed before the first candle (None: any, also unknown); fixed values, in registry order.
 SPECS = [
@@ -30,6 +32,12 @@ SPECS = [
 ]
 
 
+def label(key: Column) -> Column:
+    """A pattern's name to show."""
+    words = F.replace(key, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
+
+
 class Candle:
     """Expressions of the candle `back` rows ago."""
 
@@ -80,6 +88,12 @@ def prepare(bars: DataFrame) -> DataFrame:
     return with_forward_return(with_trend(with_recursive(bars))).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
 
+def analysed(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prepared bars and the hits in them, both stored: what reads them several times neither folds nor scans again."""
+    p = stored(prepare(bars))
+    return p, stored(detect(p))
+
+
 def detect(prepared: DataFrame, candles: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(symbol, session, pos, key, bias, forward_return): one row per hit; unknown values never match."""
     w = by_symbol()
@@ -170,11 +184,14 @@ def outlook(prepared: DataFrame, recent_hits: DataFrame) -> DataFrame:
 
 def technical_report(bars: DataFrame) -> DataFrame:
     """The technical analysis of every symbol: outlook, patterns of the last three sessions newest first, else the latest older one."""
-    p = prepare(bars)
-    hits = detect(p)
-    stats = reliability(p, hits)
-    rec = recent(p, hits, stats)
+    p, hits = analysed(bars)
+    stats = stored(reliability(p, hits))  # a row for each symbol and pattern
+    rec = stored(recent(p, hits, stats))
     listed = rec.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct((-F.col("pos")).alias("order"), "key", "bias", "session", "n", "hit_rate", "base_rate", "edge", "sufficient"))).alias("recent_patterns"))
-    older = hits.groupBy("symbol").agg(F.max(F.struct("pos", "session", "key", "bias")).alias("latest"))
-    o = outlook(p, rec).join(listed, "symbol", "left").join(older, "symbol", "left")
-    return o.withColumn("latest_pattern", F.when(F.col("recent_patterns").isNull(), F.col("latest"))).drop("latest").withColumn("expected_range_coverage", F.lit(0.9))
+    places = F.create_map(*[x for i, (key, *_) in enumerate(SPECS) for x in (F.lit(key), F.lit(-i))])  # of a session's hits the first in the registry is shown
+    older = hits.groupBy("symbol").agg(F.max(F.struct("pos", F.element_at(places, F.col("key")).alias("place"), "session", "key", "bias")).alias("latest"))
+    ends = p.groupBy("symbol").agg(F.max("pos").alias("last_pos"))
+    o = outlook(p, rec).join(listed, "symbol", "left").join(older, "symbol", "left").join(ends, "symbol", "left")
+    latest = F.struct(F.col("latest.session").alias("date"), F.col("latest.key").alias("key"), label(F.col("latest.key")).alias("label"), F.col("latest.bias").alias("bias"), (F.col("last_pos") - F.col("latest.pos")).alias("sessions_ago"))
+    shown = F.when(F.col("recent_patterns").isNull() & F.col("latest").isNotNull(), latest)
+    return o.withColumn("latest_pattern", shown).drop("latest", "last_pos").withColumn("expected_range_coverage", F.lit(0.9))

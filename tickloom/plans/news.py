@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tickloom.operators import headline_rules as R
+from tickloom.operators import headline_model as M
 from tickloom.operators import headlines as H
+from tickloom.operators import leaders
 from tickloom.plans.registry import query
+from tickloom.sources import headlines as L
 from tickloom.sources import views as V
 from tickloom.sources.views import with_views
 
@@ -67,29 +68,41 @@ def title_tokens(spark, d):
     return V.titles(spark, d).select("doc_id", F.array_join(F.array_sort(H.title_tokens(F.col("title"))), " ").alias("tokens"))
 
 
-@query("title_similarity", with_views(T, f", {TOKENS_SQL}, pr AS (SELECT doc_id, lag(doc_id) OVER w AS before, tokens AS a, lag(tokens) OVER w AS b FROM tk WINDOW w AS (PARTITION BY lang ORDER BY title, doc_id)) SELECT doc_id, before, {similar_sql('a', 'b')} AS similar FROM pr WHERE before IS NOT NULL"))
+_SETS = "SELECT lang AS symbol, day, min(doc_id) AS name, tokens FROM (SELECT * REPLACE (list_sort(tokens) AS tokens) FROM tk) WHERE len(tokens) >= 3 GROUP BY ALL"
+
+
+@query("title_similarity", with_views(T, f", {TOKENS_SQL}, st AS ({_SETS}) SELECT a.symbol AS lang, a.day, a.name AS doc_id, b.name AS before FROM st a JOIN st b ON a.symbol = b.symbol AND a.day = b.day AND b.name < a.name AND {similar_sql('a.tokens', 'b.tokens')}"))
 def title_similarity(spark, d):
-    """Each title against the one before it in the alphabet, by language."""
-    w = Window.partitionBy("lang").orderBy("title", "doc_id")
-    t = V.titles(spark, d).withColumn("a", H.title_tokens(F.col("title")))
-    p = t.select("doc_id", F.lag("doc_id").over(w).alias("before"), "a", F.lag("a").over(w).alias("b")).where("before is not null")
-    return p.select("doc_id", "before", H.similar(F.col("a"), F.col("b")).alias("similar"))
+    """Similar titles of a language's day, equal ones as one: pairs with the earlier one, found by their rare tokens."""
+    t = V.titles(spark, d).select("lang", "day", "doc_id", F.array_sort(H.title_tokens(F.col("title"))).alias("tokens")).where(F.size("tokens") >= leaders.LEAST_SHARED)
+    sets = t.groupBy("lang", "day", "tokens").agg(F.min("doc_id").alias("name")).withColumn("first", F.col("name"))
+    return leaders.similar_pairs(sets, ["lang", "day"], H.similar).select("lang", "day", F.col("name").alias("doc_id"), F.col("head").alias("before"))
 
 
 def _stories(spark, d):
-    """Titles as stories: some hundred to a day, a third of them stored already."""
+    """Titles as stories of their day (a source), a third of them stored already."""
     t = V.titles(spark, d)
-    return t.select(F.col("lang").alias("symbol"), F.floor(F.col("doc_id") / 100).alias("day"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("stored_first"), F.col("doc_id").alias("published_at"), F.col("doc_id").cast("string").alias("key"), H.title_tokens(F.col("title")).alias("tokens"))
+    return t.select(F.col("lang").alias("symbol"), "day", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("stored_first"), F.col("doc_id").alias("published_at"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"), H.title_tokens(F.col("title")).alias("tokens"))
+
+
+def _led_sql(stored_first: str) -> str:
+    """Titles with their head, one title of each day after the other: a row's list has the day's leaders so far."""
+    return f"""{TOKENS_SQL}, ti AS (SELECT doc_id, lang AS symbol, day, {stored_first} AS sf, list_sort(tokens) AS tokens FROM tk),
+        se AS (SELECT symbol, day, tokens, min([sf, doc_id]) AS first FROM ti WHERE len(tokens) >= 3 GROUP BY ALL), sn AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY first) AS n FROM se),
+        ld AS (SELECT DISTINCT symbol, day, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, tokens VARCHAR[])[]) AS led, CAST(NULL AS VARCHAR[]) AS tokens, CAST(NULL AS BIGINT) AS head FROM se
+            UNION ALL SELECT symbol, day, n, CASE WHEN found IS NULL THEN list_append(led, {{id: id, tokens: tokens}}) ELSE led END, tokens, coalesce(found, id) FROM
+            (SELECT ld.symbol, ld.day, sn.n, ld.led, sn.tokens, sn.first[2] AS id, list_filter(ld.led, lambda l: {similar_sql('sn.tokens', 'l.tokens')})[1].id AS found FROM ld JOIN sn ON sn.symbol = ld.symbol AND sn.day = ld.day AND sn.n = ld.n + 1)),
+        hd AS (SELECT ti.symbol, ti.day, ti.doc_id, ti.sf, coalesce(ld.head, ti.doc_id) AS head FROM ti LEFT JOIN ld ON ld.symbol = ti.symbol AND ld.day = ti.day AND ld.tokens = ti.tokens)"""
 
 
-@query("cluster_stories")
+@query("cluster_stories", with_views(T, f", {_led_sql('0')} SELECT symbol, day, doc_id, head FROM hd", recursive=True))
 def cluster_stories(spark, d):
-    """Greedy leaders by day in order of publication; tests hold it against the plain procedure."""
+    """Greedy leaders by day in order of publication."""
     s = H.cluster_stories(_stories(spark, d).withColumn("stored_first", F.lit(0)))
     return s.select("symbol", "day", F.col("key").cast("long").alias("doc_id"), F.col("head").cast("long").alias("head"))
 
 
-@query("fold_duplicates")
+@query("fold_duplicates", with_views(T, f", {_led_sql('CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END')} SELECT symbol, day, doc_id, head AS main FROM hd WHERE sf = 1 AND head <> doc_id", recursive=True))
 def fold_duplicates(spark, d):
     """New stories that a stored or earlier new story of the day already tells, with that story."""
     s = H.cluster_stories(_stories(spark, d)).where((F.col("stored_first") == 1) & (F.col("key") != F.col("head")))
@@ -102,70 +115,72 @@ def news_relevant(spark, d):
     return V.table(spark, d, "documents").select("doc_id", H.relevant(F.col("text"), F.lit("Aneres.SI"), F.lit("And The Group Ltd")).alias("relevant"))
 
 
-#: Headline shapes of our own: text (n stands for the order's number), price recap?, low value?
-SHAPES = [
-    ("Acme stock drops 6% on weak demand", True, False),
-    ("Acme shares are up after the call", True, False),
-    ("Shares of Acme slide as rivals cut prices", True, False),
-    ("Acme trading down 3% at noon", True, False),
-    ("Acme hits a new 52-week high", True, False),
-    ("Stocks making the biggest moves midday", True, False),
-    ("Buyers return after a 12% gain", True, False),
-    ("Acme rises more than the market", True, False),
-    ("Acme rallies 4.5% and Bolt follows", True, False),
-    ("Acme climbs higher in late dealing", True, False),
-    ("Acme could surge 30% next year, says broker", False, False),
-    ("Acme revenue rises 12% in the quarter", False, False),
-    ("Acme gains 12% market share in Asia", False, False),
-    ("Acme opens a plant in Ohio", False, False),
-    ("Gold prices climb higher", False, False),
-    ("Acme names a new finance chief", False, False),
-    ("Bolt Advisors LLC Cuts Stake in Acme Inc. $ACME", False, True),
-    ("Acme Inc. $ACME Stock Bought by Bolt Wealth LLC", False, True),
-    ("3,412 Shares of Acme Inc. $ACME Purchased by Bolt Capital", False, True),
-    ("Acme Inc. $ACME Shares Acquired by Bolt Bank", False, True),
-    ("Stake in Acme Inc. Trimmed by Bolt Management", False, True),
-    ("Bolt Trust Sells 7,000 Shares of Acme Inc. $ACME", False, True),
-    ("Bolt Has $12.5 Million Stock Holdings in Acme", False, True),
-    ("Acme CEO sells 7,000 shares of Acme (ACME)", False, False),
-    ("Acme sells stake in Ohio stores", False, False),
-]
-
-
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _kinds_sql(rewrites, looks, kinds, lower: bool) -> str:
-    """SQL for the letters of a headline's words."""
-    text = "lower(title)" if lower else "title"
-    for pattern, by in rewrites:
+def _headlines_sql(of: dict[str, str]) -> str:
+    """Orders as headlines: o_orderkey, kind, shape's number and title."""
+    every = L.shapes(of)
+    name = lambda n: f"({_list(L.NAMES)})[1 + ({n}) % {len(L.NAMES)}]"
+    n = "(o_orderkey % 900 + 101)"
+    slots = {
+        "{C}": "company",
+        "{O}": "other",
+        "{F}": "other || ([' Capital LLC', ' Advisors Inc.', ' Wealth Partners LP', ' Trust Co'])[1 + o_orderkey % 4]",
+        "{T}": "'$' || upper(substr(company, 1, 4))",
+        "{N}": f"({n} // 10) || ',' || {n}",
+        "{D}": f"'$' || {n} || ([' million', '.5 million', ' billion'])[1 + o_orderkey % 3]",
+        "{P}": "((o_orderkey % 290 + 10) / 10) || '%'",
+    }
+    title = f"([{', '.join(_quoted(x) for _, x in every)}])[1 + nth]"
+    for slot, value in slots.items():
+        title = f"replace({title}, '{slot}', {value})"
+    return f"""SELECT o_orderkey, nth, ({_list([k for k, _ in every])})[1 + nth] AS kind, {title} AS title
+        FROM (SELECT o_orderkey, o_orderkey % {len(every)} AS nth, {name("o_custkey")} AS company, {name("o_custkey + o_orderkey + 1")} AS other FROM orders)"""
+
+
+def _features_sql(source: str) -> str:
+    """Distinct words and pairs of neighbours of the titles of a CTE."""
+    text = "coalesce(title, '')"
+    for pattern, by in M.LOOKS:
         text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
-    cases = "".join(f" WHEN regexp_matches(w, {_quoted(look)}) THEN '{letter}'" for letter, look in looks.items())
-    cases += "".join(f" WHEN lower(w) IN ({', '.join(map(_quoted, words))}) THEN '{letter}'" for letter, words in kinds.items())
-    return f"coalesce(list_aggregate(list_transform(list_filter(string_split({text}, ' '), lambda w: w <> ''), lambda w: CASE WHEN w = '/' THEN '/'{cases} ELSE 'o' END), 'string_agg', ''), '')"
+    words = f"SELECT *, list_filter(string_split(lower({text}), ' '), lambda w: w <> '') AS w FROM {source}"
+    edged = f"SELECT *, list_concat(['<'], w, ['>']) AS e FROM ({words})"
+    return f"SELECT * EXCLUDE (w, e), list_distinct(list_concat(w, list_transform(range(1, len(e)), lambda i: e[i] || ' ' || e[i + 1]))) AS f FROM ({edged})"
+
+
+#: Scores over which a headline is flagged: high enough that fewer than one in twenty news headlines is.
+LEAST = {"recap": 2.0, "fund": 10.0}
 
 
-_TITLES_SQL = f"SELECT o_orderkey, CASE o_orderkey % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {_quoted(x[0])}" for i, x in enumerate(SHAPES)) + " END AS title FROM orders"
-_RECAP_SQL = " OR ".join("(" + " AND ".join([f"regexp_matches(c, '{rule}')", *(f"NOT regexp_matches(c, '{x}')" for x in unless)]) + ")" for rule, unless in R.RECAPS)
-_MATCH = lambda rules: " OR ".join(f"regexp_matches(k, '{x}')" for x in rules)
-_NEWS_RECAP = f"WITH t AS ({_TITLES_SQL}) SELECT o_orderkey, len(list_filter(string_split({_kinds_sql(R.PRICE_REWRITES, R.PRICE_LOOKS, R.PRICE_KINDS, True)}, '/'), lambda c: {_RECAP_SQL})) > 0 AS hit FROM t"
-_NEWS_LOW = f"WITH t AS ({_TITLES_SQL}), l AS (SELECT o_orderkey, {_kinds_sql(R.HOLDING_REWRITES, R.HOLDING_LOOKS, R.HOLDING_KINDS, False)} AS k FROM t) SELECT o_orderkey, ({_MATCH(R.STAMPS)}) OR (({_MATCH(R.REPORTS)}) AND NOT contains(k, 'r')) AS hit FROM l"
+def _flag_sql(kind: str) -> str:
+    """Naive Bayes over the training headlines, each shape once, for the judged ones."""
+    return f"""WITH tr0 AS ({_headlines_sql(L.TRAIN)}), tr1 AS (SELECT nth, arg_min(title, o_orderkey) AS title, any_value(kind) = '{kind}' AS y FROM tr0 GROUP BY nth), tr AS ({_features_sql("tr1")}),
+        n AS (SELECT count(*) FILTER (y) AS n1, count(*) FILTER (NOT y) AS n0 FROM tr),
+        c AS (SELECT f, count(*) FILTER (y) AS c1, count(*) FILTER (NOT y) AS c0 FROM (SELECT y, unnest(f) AS f FROM tr) GROUP BY f),
+        w AS (SELECT f, ln((c1 + 0.5) / (n1 + 1)) - ln((c0 + 0.5) / (n0 + 1)) AS w FROM c, n), j0 AS ({_headlines_sql(L.JUDGED)}), j AS ({_features_sql("j0")}),
+        s AS (SELECT o_orderkey, sum(w) AS s FROM (SELECT o_orderkey, unnest(f) AS f FROM j) JOIN w USING (f) GROUP BY o_orderkey)
+        SELECT j.o_orderkey, round(coalesce(s, 0) + ln(n1 / n0), 6) AS score, s IS NOT NULL AND coalesce(s, 0) + ln(n1 / n0) > {LEAST[kind]} AS hit FROM j CROSS JOIN n LEFT JOIN s USING (o_orderkey)"""
 
 
-def _headlines(spark, d):
-    i = (F.col("o_orderkey") % len(SHAPES) + 1).cast("int")
-    return V.table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(x[0]) for x in SHAPES]), i).alias("title"))
+def _flagged(spark, d, kind: str):
+    """Headlines of shapes that the filter has not seen, judged by what it learned from others."""
+    every = F.element_at(F.array(*[F.lit(i) for i in range(len(L.shapes(L.TRAIN)))]), (F.col("o_orderkey") % len(L.shapes(L.TRAIN)) + 1).cast("int"))
+    once = L.headlines(spark, d, L.TRAIN).groupBy(every.alias("nth"), "kind").agg(F.min_by("title", "o_orderkey").alias("title"))
+    weights = M.train(once.withColumn("label", F.col("kind") == kind))
+    got = M.flag(L.headlines(spark, d, L.JUDGED), weights, ["o_orderkey"], least=LEAST[kind])
+    return got.select("o_orderkey", F.round("score", 6).alias("score"), "hit")
 
 
-@query("news_recap", _NEWS_RECAP)
+@query("news_recap", _flag_sql("recap"))
 def news_recap(spark, d):
-    return _headlines(spark, d).select("o_orderkey", R.price_recap(F.col("title")).alias("hit"))
+    return _flagged(spark, d, "recap")
 
 
-@query("news_low_value", _NEWS_LOW)
+@query("news_low_value", _flag_sql("fund"))
 def news_low_value(spark, d):
-    return _headlines(spark, d).select("o_orderkey", R.low_value(F.col("title")).alias("hit"))
+    return _flagged(spark, d, "fund")
 
 
 @query("shared_words", with_views(T, ", wd AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS word FROM titles), n AS (SELECT lang, count(*) AS n FROM titles GROUP BY lang HAVING count(*) >= 10) SELECT lang, word, count(*) AS titles FROM wd JOIN n USING (lang) GROUP BY lang, word, n HAVING count(*) >= 0.5 * n"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.series import by_symbol, rounded, wilson
 from tickloom.operators import indicators as I
+from tickloom.operators import scan as N
 from tickloom.operators import patterns as P
 from tickloom.plans.registry import query
 from tickloom.sources import views as V
@@ -118,7 +119,7 @@ def visible_from(spark, d):
 
 @query("ema", with_views(BARS, f", {fold_sql('f', 'bars', 'close', 9, '0.2')}, {fold_sql('s', 'bars', 'close', 21, '(2.0 / 22)')} SELECT b.symbol, b.session, round(f.y, 8) AS ema9, round(s.y, 8) AS ema21 FROM bars b LEFT JOIN f USING (symbol, pos) LEFT JOIN s USING (symbol, pos)"))
 def ema(spark, d):
-    return I.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["ema9", "ema21"], 8))
+    return N.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["ema9", "ema21"], 8))
 
 
 RSI_SQL = f"""dl AS (SELECT symbol, pos, greatest(close - lag(close) OVER {W}, 0) AS g, greatest(lag(close) OVER {W} - close, 0) AS l FROM bars), dz AS (SELECT symbol, pos, CASE WHEN pos > 0 THEN g END AS g, CASE WHEN pos > 0 THEN l END AS l FROM dl),
@@ -129,29 +130,40 @@ ATR_SQL = f"""tru AS (SELECT symbol, pos, greatest(high - low, coalesce(abs(high
 
 @query("rsi", with_views(BARS, f", {RSI_SQL} SELECT b.symbol, b.session, round(rsi, 8) AS rsi14 FROM bars b LEFT JOIN rsi USING (symbol, pos)"))
 def rsi(spark, d):
-    return I.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["rsi14"], 8))
+    return N.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["rsi14"], 8))
 
 
 @query("macd", with_views(BARS, f", {MACD_SQL} SELECT b.symbol, b.session, round(ml.line, 8) AS macd, round(ms.y, 8) AS signal, round(ml.line - ms.y, 8) AS histogram FROM bars b LEFT JOIN ml USING (symbol, pos) LEFT JOIN ms USING (symbol, pos)"))
 def macd(spark, d):
-    return I.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["macd", "signal", "histogram"], 8))
+    return N.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["macd", "signal", "histogram"], 8))
 
 
 @query("atr", with_views(BARS, f", {ATR_SQL} SELECT b.symbol, b.session, round(ar.y, 8) AS atr14 FROM bars b LEFT JOIN ar USING (symbol, pos)"))
 def atr(spark, d):
-    return I.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["atr14"], 8))
+    return N.with_recursive(V.bars_daily(spark, d)).select("symbol", "session", *rounded(["atr14"], 8))
+
+
+@query("extend_indicators", with_views(BARS, f", {MACD_SQL}, {RSI_SQL}, {ATR_SQL} SELECT b.symbol, b.session, round(rsi, 8) AS rsi14, round(ms.y, 8) AS signal, round(ar.y, 8) AS atr14 FROM bars b LEFT JOIN rsi USING (symbol, pos) LEFT JOIN ms USING (symbol, pos) LEFT JOIN ar USING (symbol, pos) WHERE b.session > DATE '1996-12-31'"))
+def extend_indicators(spark, d):
+    """Bars since 1997 in two batches, from the state of those before: the same values as over the whole history."""
+    b = V.bars_daily(spark, d)
+    day = lambda x: F.lit(x).cast("date")
+    state = N.state(b.where(F.col("session") <= day("1996-12-31")))
+    one, state = N.extend(state, b.where(F.col("session") <= day("1997-06-30")))
+    two, _ = N.extend(state, b)
+    return one.unionByName(two).select("symbol", "session", *rounded(["rsi14", "signal", "atr14"], 8))
 
 
 @query("ema_cross", with_views(BARS, f""", {fold_sql('f', 'bars', 'close', 9, '0.2')}, {fold_sql('s', 'bars', 'close', 21, '(2.0 / 22)')}, c AS (SELECT symbol, pos, CASE WHEN abs(f.y - s.y) <= 1e-9 * greatest(abs(s.y), 1) THEN 0 WHEN f.y > s.y THEN 1 ELSE -1 END AS side FROM f JOIN s USING (symbol, pos)),
     x AS (SELECT *, CASE WHEN lag(side) OVER (PARTITION BY symbol ORDER BY pos) <> side THEN 1 ELSE 0 END AS ch FROM c), y AS (SELECT *, max(ch) OVER (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING) = 1 AS fresh FROM x)
     SELECT b.symbol, b.session, y.side AS ema_side, coalesce(y.fresh, FALSE) AS fresh_cross FROM bars b LEFT JOIN y USING (symbol, pos)"""))
 def ema_cross(spark, d):
-    return I.with_ema_cross(I.with_recursive(V.bars_daily(spark, d))).select("symbol", "session", "ema_side", "fresh_cross")
+    return I.with_ema_cross(N.with_recursive(V.bars_daily(spark, d))).select("symbol", "session", "ema_side", "fresh_cross")
 
 
 @query("expected_range", with_views(BARS, f", {ATR_SQL}, r AS (SELECT b.*, ar.y AS a, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) AS n FROM bars b LEFT JOIN ar USING (symbol, pos)) SELECT symbol, round(close - a * sqrt(5), 8) AS low, round(close + a * sqrt(5), 8) AS high FROM r WHERE n = 1"))
 def expected_range(spark, d):
-    last = I.with_recursive(V.bars_daily(spark, d)).groupBy("symbol").agg(F.max_by(F.struct("close", "atr14"), "session").alias("b"))
+    last = N.with_recursive(V.bars_daily(spark, d)).groupBy("symbol").agg(F.max_by(F.struct("close", "atr14"), "session").alias("b"))
     spread = F.col("b.atr14") * 5**0.5
     return last.select("symbol", F.round(F.col("b.close") - spread, 8).alias("low"), F.round(F.col("b.close") + spread, 8).alias("high"))
 

@@ -35,7 +35,11 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Scored articles: article_id, symbol, published_at, score."""
-    o = table(spark, d, "orders")
+    return articles_of(table(spark, d, "orders"))
+
+
+def articles_of(o: DataFrame) -> DataFrame:
+    """Orders, as a table or as a stream, read as articles."""
     symbol = F.when(F.col("o_custkey") % 3 == 0, "A").when(F.col("o_custkey") % 3 == 1, "N").otherwise("R")
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("o_totalprice") - 250000) / 250000))
     return o.select(F.col("o_orderkey").alias("article_id"), symbol.alias("symbol"), (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("published_at"), score.alias("score"))
