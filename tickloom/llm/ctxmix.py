@@ -24,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, small, text_bytes, utf8_list
+from tickloom.llm.common import cut, doc_slices, small, text_bytes, utf8_list
 
 ORDERS = (2, 3, 5, 6)  # bytes of the predictors' contexts; the sixth byte of the last one is hashed from three more
 HEAD = 8  # bytes before a piece that its contexts need
 END = b"\xff"
-SEGMENT = 2048
+SEGMENT = 1024
 DELTA = 0.1
 START = (0.1, 0.2, 0.3, 0.4)  # weights that the mixing starts with
 SCALES = (1.0, 2.5, 1.7, 1.2, 1.0)  # by how many predictors know the node
@@ -40,9 +41,11 @@ RATE, SCALE_RATE = 0.012, 0.004
 UNIT = 16.0  # logits are kept as eighths of a byte's range: whole sixteenths within +-127/16
 PIECE = 1 << 20
 BATCH = 8 << 20
+SLICE = 3 << 20  # bytes of a block that are mixed at a time
 FIXED = 1 << 20  # bits are summed as whole numbers of 1/FIXED bit
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-WORDS = -1  # the kind of a row of words; other kinds are predictors
+WORDS = -1
+KINDS = (WORDS, *ORDERS)  # what a row of names holds, each kind in its place
 
 
 def pieces(text: bytes, most: int = PIECE) -> Iterator[bytes]:
@@ -117,16 +120,16 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def levels(by_key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of sorted keys, for each order from the longest: its distinct grams and where each begins among those of the order before (at
-    first: among the keys)."""
+def levels(by_key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Of sorted keys, for each order from the longest: its distinct grams, where each begins among those of the order before (at
+    first: among the keys), and how many these are."""
     out, keys, width = [], by_key, 7
     for k in reversed(ORDERS):
-        keys = keys >> np.uint64(8 * (width - k - 1))
-        width = k + 1
+        keys = keys >> np.uint64(8 * (width - k - 1)) if width > k + 1 else keys
+        width, above = k + 1, len(keys)
         begin = _runs(keys)
         keys = keys[begin]
-        out.append((keys, begin))
+        out.append((keys, begin, above))
     return out
 
 
@@ -175,40 +178,54 @@ def _words(table: pa.Table) -> tuple[list[bytes], list[int]]:
     return words, [found[w] for w in words]
 
 
-NAMED = "shard int, block int, kind int, many int, names binary, counts binary"
+NAMED = "shard int, block int, many array<int>, names array<binary>, counts array<binary>"
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    """A table of a DDL schema whose types are these few."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _namer(shards: int):
     """The distinct grams and words of a block, packed by shard, with their counts if the block trains."""
 
     def each(table: pa.Table) -> pa.Table:
-        block, held, rows = table.column("block")[0].as_py(), table.column("held")[0].as_py(), []
+        block, held = table.column("block")[0].as_py(), table.column("held")[0].as_py()
+        cells: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        empty = lambda: [(0, b"", b"")] * len(KINDS)
         key, sizes = grams(*_bodies(table))
-        weight = np.repeat(table.column("copies").to_numpy(), sizes)
-        if held or weight.max(initial=1) == 1:
-            key = np.sort(key)
-            n = None
+        copies, n = table.column("copies").to_numpy(), None
+        if held or copies.max(initial=1) == 1:
+            key.sort()
         else:
             order = np.argsort(key)
-            key, n = key[order], weight[order]
-        for k, (gram, begin) in zip(reversed(ORDERS), levels(key), strict=True):
-            n = np.diff(np.r_[begin, len(key)]) if n is None else np.add.reduceat(n, begin)
+            key, n = key[order], np.repeat(copies, sizes)[order]
+            del order
+        for k, (gram, begin, width) in zip(reversed(ORDERS), levels(key), strict=True):
+            n = np.diff(np.r_[begin, width]) if n is None else np.add.reduceat(n, begin)
             shard = _shard(gram, k, shards)
             order = np.argsort(shard, kind="stable")
             for x in np.split(order, _runs(shard[order])[1:]):
-                rows.append((int(shard[x[0]]), block, k, len(x), _pack(gram[x]), b"" if held else _pack(n[x])))
+                cells.setdefault(int(shard[x[0]]), empty())[KINDS.index(k)] = (len(x), _pack(gram[x]), b"" if held else _pack(n[x]))
         words, many = _words(table)
-        by_shard: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_shard.setdefault(_word_shard(w, shards), []).append(i)
-        for shard, x in by_shard.items():
-            rows.append((shard, block, WORDS, len(x), pa.compress(b" ".join(words[i] for i in x), "zstd", asbytes=True), b"" if held else _pack(np.array([many[i] for i in x], np.int64))))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in NAMED.split(", ")])
+        for shard, x in _dealt_words(words, shards).items():
+            cells.setdefault(shard, empty())[0] = (len(x), pa.compress(b" ".join(words[i] for i in x), "zstd", asbytes=True), b"" if held else _pack(np.array([many[i] for i in x], np.int64)))
+        return _rows([(shard, block, *map(list, zip(*cell, strict=True))) for shard, cell in cells.items()], NAMED)
 
     return each
 
 
+def _dealt_words(words: list[bytes], shards: int) -> dict[int, list[int]]:
+    """Places of a block's words by shard."""
+    found: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        found.setdefault(_word_shard(w, shards), []).append(i)
+    return found
+
+
 def logits(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For sorted distinct grams with the byte last: the logits of its eight bits, a byte each, of what comes against what does not."""
     out = np.empty((len(gram), 8), np.int8)
@@ -227,43 +244,54 @@ def logits(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-ANSWER = "block int, shard int, kind int, many int, answers binary, fresh long"
+ANSWER = "block int, shard int, many array<int>, answers array<binary>, fresh long"
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """A shard's answers to every row of names; fresh is the number of words that are counted in no earlier block."""
-    rows: list[tuple] = []
-    by_kind: dict[int, list[tuple]] = {}
-    for r in zip(*(table.column(c).to_pylist() for c in ("shard", "block", "kind", "many", "names", "counts")), strict=True):
-        by_kind.setdefault(r[2], []).append(r)
-    for kind, named in by_kind.items():
+    table = table.sort_by("block")
+    many = table.column("many").to_pylist()
+    answers: list[list[bytes]] = [[] for _ in many]
+    for place, kind in enumerate(KINDS):
+        names, counts = (pc.list_element(table.column(c), place).to_pylist() for c in ("names", "counts"))
+        sizes = [m[place] for m in many]
         if kind == WORDS:
-            rows += _word_answers(sorted(named))
-            continue
-        key = np.concatenate([_unpack(r[4], r[3], "<u8") for r in named])
-        n = np.concatenate([_unpack(r[5], r[3], "<i8") if r[5] else np.zeros(r[3], np.int64) for r in named])
-        by_context = _context(key, kind) << np.uint64(8) | key >> np.uint64(8 * kind)  # the byte last
-        order = np.argsort(by_context)
-        by_context = by_context[order]
-        begin = _runs(by_context)
-        value = np.empty(len(key), np.uint64)
-        value[order] = np.repeat(logits(by_context[begin], np.add.reduceat(n[order], begin)), np.diff(np.r_[begin, len(key)]))
-        ends = np.cumsum([r[3] for r in named])
-        rows += [(r[1], r[0], kind, r[3], _pack(value[e - r[3] : e]), 0) for r, e in zip(named, ends.tolist(), strict=True)]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
-
-
-def _word_answers(named: list[tuple]) -> list[tuple]:
+            found, fresh = _word_answers(names, counts, sizes)
+        else:
+            found = _gram_answers(kind, names, counts, sizes)
+        for mine, x in zip(answers, found, strict=True):
+            mine.append(x)
+    return _rows(list(zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), many, answers, fresh, strict=True)), ANSWER)
+
+
+def _gram_answers(k: int, names: list[bytes], counts: list[bytes], sizes: list[int]) -> list[bytes]:
+    if not sum(sizes):
+        return [b""] * len(sizes)
+    key = np.concatenate([_unpack(x, m, "<u8") for x, m in zip(names, sizes, strict=True) if m])
+    n = np.concatenate([_unpack(x, m, "<i8") if x else np.zeros(m, np.int64) for x, m in zip(counts, sizes, strict=True) if m])
+    by_context = _context(key, k) << np.uint64(8) | key >> np.uint64(8 * k)  # the byte last
+    del key
+    order = np.argsort(by_context)
+    by_context, n = by_context[order], n[order]
+    begin = _runs(by_context)
+    each = logits(by_context[begin], np.add.reduceat(n, begin))
+    value = np.empty(len(n), np.uint64)
+    value[order] = np.repeat(each, np.diff(np.r_[begin, len(n)]))
+    ends = np.cumsum(sizes).tolist()
+    return [_pack(value[e - m : e]) if m else b"" for m, e in zip(sizes, ends, strict=True)]
+
+
+def _word_answers(names: list[bytes], counts: list[bytes], sizes: list[int]) -> tuple[list[bytes], list[int]]:
+    """Counts of every row's words, and how many of its words no earlier row counts."""
     total: dict[bytes, int] = {}
-    fresh, split = [], [_text(r[4]).split(b" ") for r in named]
-    for r, words in zip(named, split, strict=True):
+    fresh, split = [], [_text(x).split(b" ") if m else [] for x, m in zip(names, sizes, strict=True)]
+    for words, own, m in zip(split, counts, sizes, strict=True):
         before = len(total)
-        if r[5]:
-            for w, c in zip(words, _unpack(r[5], r[3], "<i8").tolist(), strict=True):
+        if own:
+            for w, c in zip(words, _unpack(own, m, "<i8").tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         fresh.append(len(total) - before)
-    return [(r[1], r[0], WORDS, r[3], _pack(np.array([total.get(w, 0) for w in words], np.int64)), f) for r, words, f in zip(named, split, fresh, strict=True)]
+    return [_pack(np.array([total.get(w, 0) for w in words], np.int64)) if words else b"" for words in split], fresh
 
 
 def _text(raw: bytes) -> bytes:
@@ -307,17 +335,15 @@ def _scorer(docs: pa.Table, answers: pa.Table) -> pa.Table:
     kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     if not docs.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    by_kind: dict[int, list[tuple]] = {}
-    for r in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "many", "answers", "fresh")), strict=True):
-        by_kind.setdefault(r[0], []).append(r)
+    answers = answers.sort_by("shard")
+    many = answers.column("many").to_pylist()
+    of_kind = lambda place: pc.list_element(answers.column("answers"), place).to_pylist()
     shards = int(docs.column("shards")[0].as_py())
-    known: dict[bytes, int] = {}
-    if WORDS in by_kind:
-        words, of_shard = _words(docs)[0], {}
-        for w in words:
-            of_shard.setdefault(_word_shard(w, shards), []).append(w)
-        for r in by_kind[WORDS]:
-            known.update(zip(of_shard[r[1]], _unpack(r[3], r[2], "<i8").tolist(), strict=True))
+    words, known = _words(docs)[0], {}
+    dealt = _dealt_words(words, shards)
+    for shard, m, raw in zip(answers.column("shard").to_pylist(), many, of_kind(0), strict=True):
+        if m[0]:
+            known.update(zip((words[i] for i in dealt[shard]), _unpack(raw, m[0], "<i8").tolist(), strict=True))
     heard = {w: math.log10(c + 0.1) for w, c in known.items()}
     tokens, seen, base = [], [], []
     for body in utf8_list(docs.column("body")):
@@ -325,8 +351,8 @@ def _scorer(docs: pa.Table, answers: pa.Table) -> pa.Table:
         tokens.append(len(own))
         seen.append(sum(map(bool, map(known.__getitem__, own))))
         base.append(math.fsum(map(heard.__getitem__, own)))
-    bits = _bits(docs, by_kind, shards)
-    fresh = [sum(r[4] for r in by_kind.get(WORDS, []))] + [0] * (docs.num_rows - 1)
+    bits = _bits(docs, {k: [_unpack(raw, m[i], "<u8") for m, raw in zip(many, of_kind(i), strict=True) if m[i]] for i, k in enumerate(KINDS) if k != WORDS}, shards)
+    fresh = [sum(answers.column("fresh").to_pylist())] + [0] * (docs.num_rows - 1)
     columns = [docs.column("id"), docs.column("held"), docs.column("digest"), docs.column("last"), docs.column("copies"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(np.rint(bits * FIXED).astype(np.int64)), pa.array(fresh, pa.int64())]
     return pa.table(columns, names=names)
 
@@ -334,39 +360,54 @@ def _scorer(docs: pa.Table, answers: pa.Table) -> pa.Table:
 SCORED = "id long, held boolean, digest binary, last boolean, copies long, words long, known long, base double, bits long, fresh long"
 
 
-def _bits(docs: pa.Table, by_kind: dict[int, list[tuple]], shards: int) -> np.ndarray:
-    key, sizes = grams(*_bodies(docs))
+def _bits(docs: pa.Table, by_kind: dict[int, list[np.ndarray]], shards: int) -> np.ndarray:
+    """Bits of every piece.  The block's grams, in the order in which they were named, meet their answers first; then a slice of the
+    pieces at a time is sorted, finds its grams among the block's, and is mixed."""
+    before, bodies = _bodies(docs)
+    key = grams(before, bodies)[0]
+    key.sort()
+    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k, (gram, _, _) in zip(reversed(ORDERS), levels(key), strict=True):
+        own = np.empty(len(gram), np.uint64)
+        own[np.argsort(_shard(gram, k, shards), kind="stable")] = np.concatenate(by_kind.pop(k))
+        table[k] = gram, own
+    del key
+    slices = doc_slices([len(x) for x in bodies], SLICE)
+    return np.concatenate([_slice_bits(before[a:b], bodies[a:b], table) for a, b in slices] or [np.zeros(0)])
+
+
+def _slice_bits(before: list[bytes], bodies: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    key, sizes = grams(before, bodies)
     # segments, longest first, and where each byte's logits go
     each = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(sizes)), each)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     length = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
     by_length = np.argsort(-length, kind="stable")
-    rank = np.empty(len(owner), np.int64)
-    rank[by_length] = np.arange(len(owner))
+    rank = np.empty(len(owner), np.int32)
+    rank[by_length] = np.arange(len(owner), dtype=np.int32)
     many = len(length) - np.searchsorted(np.sort(length), np.arange(length.max(initial=0)), side="right")
-    base = np.cumsum(many) - many
-    t = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+    base = (np.cumsum(many) - many).astype(np.int32)
+    t = np.arange(len(key), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
     goes = base[t] + np.repeat(rank, length)
     del t
     key, order = ordered(key)
     goes = goes[order]
     del order
-    values, begins = np.empty((len(ORDERS), len(key)), np.uint64), []
-    for i, (k, (gram, begin)) in enumerate(zip(reversed(ORDERS), levels(key), strict=True)):
-        shard = _shard(gram, k, shards)
-        own = np.empty(len(gram), np.uint64)
-        own[np.argsort(shard, kind="stable")] = np.concatenate([_unpack(r[3], r[2], "<u8") for r in sorted(by_kind[k])])
+    values, above = np.empty((len(ORDERS), len(key)), np.uint64), []
+    for i, (k, (gram, begin, width)) in enumerate(zip(reversed(ORDERS), levels(key), strict=True)):
+        grams_of_block, answers = table[k]
+        own = answers[np.searchsorted(grams_of_block, gram)]
         # from an order's grams to those of the next longer one, and at last to the bytes
-        begins.append((begin, len(begins) and len(begins[-1][0]) or len(key)))
-        for starts, n in reversed(begins):
-            own = np.repeat(own, np.diff(np.r_[starts, n]))
+        above.append(np.diff(np.r_[begin, width]))
+        for times in reversed(above):
+            own = np.repeat(own, times)
         values[len(ORDERS) - 1 - i, goes] = own
     cost = mix(values, many)
     return np.bincount(owner, cost[rank], len(sizes))
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Rows whose crc32(id as text) mod 10 is not 0 train.  Tokens are words (runs of what is no ASCII white space) and one end; base_score

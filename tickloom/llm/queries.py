@@ -105,7 +105,7 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every document."""
     docs = table(spark, sf_dir, "documents")
     return ctxmix.score(docs).withColumnRenamed("id", "doc_id")
 
