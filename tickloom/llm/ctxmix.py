@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, doc_slices, small, text_bytes, utf8_list
 
-ORDERS = (2, 3, 5, 6)  # bytes of the predictors' contexts; the sixth byte of the last one is hashed from three more
+ORDERS = (2, 3, 4, 5)  # bytes of the predictors' contexts; the fifth byte of the last one is hashed from two
 HEAD = 8  # bytes before a piece that its contexts need
 END = b"\xff"
 SEGMENT = 1024
@@ -38,7 +38,7 @@ DELTA = 0.1
 START = (0.1, 0.2, 0.3, 0.4)  # weights that the mixing starts with
 SCALES = (1.0, 2.5, 1.7, 1.2, 1.0)  # by how many predictors know the node
 RATE, SCALE_RATE = 0.012, 0.004
-UNIT = 16.0  # logits are kept as eighths of a byte's range: whole sixteenths within +-127/16
+UNIT = 4.0  # logits are kept as whole quarters, which pack well and cost nothing that could be seen
 PIECE = 1 << 20
 BATCH = 8 << 20
 SLICE = 3 << 20  # bytes of a block that are mixed at a time
@@ -80,14 +80,13 @@ PIECES = "id long, held boolean, digest binary, part int, last boolean, copies l
 
 
 def grams(before: list[bytes], bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every body a key of seven bytes: the byte itself, the five before it, nearest first, and a byte hashed from the
-    three before those.  A key's first k + 1 bytes are the gram of order k.  Also the number of bytes of each body."""
+    """For every byte of every body a key of six bytes: the byte itself, the four before it, nearest first, and a byte hashed from the two
+    before those.  A key's first k + 1 bytes are the gram of order k.  Also the number of bytes of each body."""
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     raw = b"".join(x for pair in zip(before, bodies, strict=True) for x in pair)
-    u = np.frombuffer(raw, np.uint8)
     eight = np.ndarray(max(0, len(raw) - HEAD), "<u8", raw, 1, (1,))  # each byte and the seven before it
-    far = (eight & np.uint64(0xFFFF)).astype(np.uint32) << np.uint32(8) | u[: len(eight)]
-    key = eight >> np.uint64(16) << np.uint64(8) | (far * np.uint32(0x9E3779B1) >> np.uint32(24))
+    far = (eight >> np.uint64(8)).astype(np.uint16) * np.uint16(0x9E37) >> np.uint16(8)
+    key = eight >> np.uint64(24) << np.uint64(8) | far
     starts = np.cumsum(sizes + HEAD) - (sizes + HEAD)
     valid = np.ones(len(key), bool)
     valid[(starts[1:, None] - HEAD + np.arange(HEAD)).ravel()] = False
@@ -104,13 +103,13 @@ def _dense(x: np.ndarray) -> tuple[np.ndarray, int]:
 
 def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and where each stood.  Key and place are sorted as one number where both fit in 64 bits, which is much faster."""
-    high, low, place_bits = key >> np.uint64(32), key >> np.uint64(8) & np.uint64(0xFFFFFF), len(key).bit_length()
-    a, a_bits = _dense(high.astype(np.int32))
-    b, b_bits = _dense(low.astype(np.int32))
-    if a_bits + b_bits + 8 + place_bits > 64:
+    place_bits = len(key).bit_length()
+    a, a_bits = _dense((key >> np.uint64(24)).astype(np.int32))
+    b, b_bits = _dense((key & np.uint64(0xFFFFFF)).astype(np.int32))
+    if a_bits + b_bits + place_bits > 64:
         order = np.argsort(key, kind="stable")
     else:
-        both = ((a << np.uint64(b_bits) | b) << np.uint64(8) | key & np.uint64(255)) << np.uint64(place_bits) | np.arange(len(key), dtype=np.uint64)
+        both = (a << np.uint64(b_bits) | b) << np.uint64(place_bits) | np.arange(len(key), dtype=np.uint64)
         both.sort()
         order = (both & np.uint64((1 << place_bits) - 1)).astype(np.int64)
     return key[order], order
@@ -123,7 +122,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
 def levels(by_key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Of sorted keys, for each order from the longest: its distinct grams, where each begins among those of the order before (at
     first: among the keys), and how many these are."""
-    out, keys, width = [], by_key, 7
+    out, keys, width = [], by_key, 6
     for k in reversed(ORDERS):
         keys = keys >> np.uint64(8 * (width - k - 1)) if width > k + 1 else keys
         width, above = k + 1, len(keys)
@@ -237,7 +236,7 @@ def logits(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
         parent = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(keys)]))
         other = up[parent] - total
         value = np.log((total + np.float32(DELTA)).astype(np.float32) / (other + np.float32(DELTA)).astype(np.float32))
-        value = np.clip(np.rint(value * np.float32(UNIT)), -127, 127).astype(np.int8)
+        value = np.clip(np.rint(value * np.float32(UNIT)), -40, 40).astype(np.int8)
         out[:, bit] = value if index is None else value[index]
         index = parent if index is None else parent[index]
         keys, total = keys_up[begin], up
@@ -278,7 +277,7 @@ def _gram_answers(k: int, names: list[bytes], counts: list[bytes], sizes: list[i
     value = np.empty(len(n), np.uint64)
     value[order] = np.repeat(each, np.diff(np.r_[begin, len(n)]))
     ends = np.cumsum(sizes).tolist()
-    return [_pack(value[e - m : e]) if m else b"" for m, e in zip(sizes, ends, strict=True)]
+    return [pa.compress(value[e - m : e].tobytes(), "zstd", asbytes=True) if m else b"" for m, e in zip(sizes, ends, strict=True)]
 
 
 def _word_answers(names: list[bytes], counts: list[bytes], sizes: list[int]) -> tuple[list[bytes], list[int]]:
@@ -351,7 +350,7 @@ def _scorer(docs: pa.Table, answers: pa.Table) -> pa.Table:
         tokens.append(len(own))
         seen.append(sum(map(bool, map(known.__getitem__, own))))
         base.append(math.fsum(map(heard.__getitem__, own)))
-    bits = _bits(docs, {k: [_unpack(raw, m[i], "<u8") for m, raw in zip(many, of_kind(i), strict=True) if m[i]] for i, k in enumerate(KINDS) if k != WORDS}, shards)
+    bits = _bits(docs, {k: [np.frombuffer(pa.decompress(raw, 8 * m[i], "zstd", asbytes=True), np.uint64) for m, raw in zip(many, of_kind(i), strict=True) if m[i]] for i, k in enumerate(KINDS) if k != WORDS}, shards)
     fresh = [sum(answers.column("fresh").to_pylist())] + [0] * (docs.num_rows - 1)
     columns = [docs.column("id"), docs.column("held"), docs.column("digest"), docs.column("last"), docs.column("copies"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(np.rint(bits * FIXED).astype(np.int64)), pa.array(fresh, pa.int64())]
     return pa.table(columns, names=names)
