@@ -21,7 +21,8 @@ def test_ids_equal_the_tokenizer():
     plain, ours = Tokenizer.from_str(definition), packing.WordTokenizer(definition)
     rng = random.Random(1)
     pool = [w for t in TEXTS if t for w in t.split()] + ["".join(rng.choices("abcdeéß.,'\"1²Σσ", k=rng.randint(1, 9))) for _ in range(3000)]
-    texts = [t or "" for t in TEXTS] + [" ".join(rng.choices(pool, k=30)) for _ in range(300)]
+    added = [f"{a}{w}{b}" for w in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|EndOfText|>") for a in ("", "x", "X.") for b in ("", "Y", "!")]
+    texts = [*added, " ".join(added)] + [t or "" for t in TEXTS] + [" ".join(rng.choices(pool, k=30)) for _ in range(300)]
     for text, raw in zip(texts, ours.ids([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
 

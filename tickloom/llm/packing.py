@@ -75,7 +75,7 @@ class WordTokenizer:
             if stem.isascii() and stem.isalpha() or unicodedata.normalize("NFC", stem.lower()).isalpha():
                 split.append((w, stem, mark))
             else:
-                rest.append((w, text))
+                rest.append((w, w.decode()))  # as it is: the tokenizer's added tokens are matched before it lowers letters
         self._learn(list({stem for _, stem, _ in split if stem not in self.stems}))
         known, stems = self.words, self.stems
         for w, stem, mark in split:
