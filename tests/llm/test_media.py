@@ -41,7 +41,7 @@ def test_sample_tables_of_uneven_chunks():
 def test_deep_nesting_ends():
     raw = b"".join(struct.pack(">I4s", 8 * (3000 - i), b"moov") for i in range(3000))
     assert len(list(media.boxes(memoryview(raw)))) == 3000 and media.probe(raw) == []
-    depths = [d for _, d, _, _ in media.boxes(memoryview(box(b"moov", box(b"trak", box(b"free")), box(b"free")) + box(b"free")))]
+    depths = [d for _, d, *_ in media.boxes(memoryview(box(b"moov", box(b"trak", box(b"free")), box(b"free")) + box(b"free")))]
     assert depths == [0, 1, 2, 1, 0]
 
 
@@ -72,6 +72,16 @@ def test_two_tracks_and_fragments(spark):
         media.probe(raw[:cut] + b"\xff\xff\xff\xff" + raw[cut + 4 :])
 
 
+def test_defaults_before_tracks_and_wide_sizes():
+    trex = box(b"mvex", box(b"trex", struct.pack(">IIIIII", 0, 1, 1, 10, 100, 0)))
+    moov = box(b"moov", trex, track(1, b"avc1"))
+    traf = box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 1)), box(b"trun", struct.pack(">IIi", 0x1, 3, 8)))
+    moof = struct.pack(">I4sQ", 1, b"moof", 16 + len(traf)) + traf  # a size of 64 bits: the box begins 16 bytes before its body
+    (t,) = media.probe(moov + moof)
+    assert t.sizes.tolist() == [100] * 3 and t.duration == 30
+    assert t.offsets.tolist() == [len(moov) + 8 + 100 * i for i in range(3)]
+
+
 def test_damage_does_not_crash():
     raw = media.store_pcm(media.text_payload(b"abc" * 100))
     for cut in range(0, len(raw), 7):

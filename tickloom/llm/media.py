@@ -24,8 +24,8 @@ SAMPLES_IN_CHUNK = 64
 TIMESCALE = 8000
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[bytes, int, int, int]]:
-    """(type, depth, body start, body end) of each box, parents first.  Sizes of 64 bits, to the end (0) and user types are read;
+def boxes(data: memoryview, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """(type, depth, box start, body start, body end) of each box, parents first.  Sizes of 64 bits, to the end (0) and user types are read;
     a size that runs out of its parent ends the walk there."""
     ends = [len(data) if end is None else end]  # of the boxes that are open
     while ends:
@@ -43,7 +43,7 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, depth: int =
         if size < body - start or start + size > ends[-1]:
             start = ends.pop()
             continue
-        yield kind, depth + len(ends) - 1, body, start + size
+        yield kind, depth + len(ends) - 1, start, body, start + size
         if kind in CONTAINERS:
             ends.append(start + size)
             start = body
@@ -156,17 +156,21 @@ def probe(raw: bytes) -> list[Track]:
             tracks[-1].offsets, tracks[-1].sizes, tracks[-1].keyframes = _placed(tables)
             tables.clear()
 
-    for kind, _, at, end in boxes(data):
+    for kind, _, begin, at, end in boxes(data):
         if kind == b"trak":
             finish()
             tracks.append(Track())
         elif kind == b"moof":
             finish()
-            moof = after = at - 8
-        if not tracks or end - at < 8:
+            moof = after = begin
+        if end - at < 8:
             continue
         try:
-            if kind == b"tkhd":
+            if kind == b"trex":  # defaults may stand before the tracks
+                defaults[struct.unpack_from(">I", data, at + 4)[0]] = struct.unpack_from(">III", data, at + 12)
+            elif not tracks:
+                continue
+            elif kind == b"tkhd":
                 tracks[-1].number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
             elif kind == b"mdhd":
                 wide = data[at] == 1
@@ -184,8 +188,6 @@ def probe(raw: bytes) -> list[Track]:
                 tables["sizes"] = np.full(n, one, np.int64) if one else _table(data, at + 8, ">u4")[:, 0]
             elif kind == b"stss":
                 tables["stss"] = _table(data, at + 4, ">u4")[:, 0] - 1
-            elif kind == b"trex":
-                defaults[struct.unpack_from(">I", data, at + 4)[0]] = struct.unpack_from(">III", data, at + 12)
             elif kind == b"tfhd":
                 fragment = _header(data, at, moof, after, defaults, tracks)
             elif kind == b"trun" and fragment is not None:
