@@ -67,7 +67,19 @@ def test_an_archive_inside_a_record_stays_inside(spark, tmp_path):
     for split in (64, 100, 10_000):
         got = warc.read_archives(manifest, f"file://{tmp_path}", split_bytes=split).collect()
         assert sorted(len(r.payload) for r in got) == [4, len(body)]
-    assert [bytes(r.payload) for r in warc.read_archives(manifest, f"file://{tmp_path}", max_record_bytes=900).collect()] == [b"last"]
+    for split in (64, 10_000):  # the long one keeps its row, digest and length, but for the payload
+        rows = sorted(warc.read_archives(manifest, f"file://{tmp_path}", split_bytes=split, max_cell_bytes=900).collect(), key=lambda r: r.payload_length)
+        assert [(r.payload and bytes(r.payload), r.payload_kept, r.payload_length, r.payload_digest) for r in rows] == [(b"last", True, 4, warc.payload_digest(b"last")), (None, False, len(body), warc.payload_digest(body))]
+
+
+def test_long_records_digest_as_they_are_read(spark):
+    df = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "x"), (3, "u", "ab" * 2_000_000)], "page_id long, url string, html string")
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(df, folder)
+    columns = ["record_id", "warc_type", "payload_digest", "payload_length", "url"]
+    whole, cut = (warc.read_archives(manifest, folder, split_bytes=1000, max_cell_bytes=most) for most in (1 << 30, 100_000))
+    assert sorted(map(tuple, cut.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
+    assert cut.where("payload is null and not payload_kept").count() == 2 and whole.where("payload_kept").count() == 3
 
 
 def test_foreign_members_are_passed_over(spark, tmp_path):

@@ -44,17 +44,45 @@ def record_bytes(kind: str, record_id: str, url: str | None, payload: bytes, dig
     return z.compress(raw) + z.flush()
 
 
-def parse_record(raw: bytes) -> dict | None:
-    """Header fields (names in lower case) and block of a decoded member; None if it is no WARC record."""
+def _header(raw: bytes) -> tuple[dict, int, bytes] | None:
+    """Header fields (names in lower case) of what begins a record, the length of its block, and what follows the header."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not mark or not lines[0].startswith(b"WARC/"):
         return None
-    fields = {k.strip().lower().decode(): v.strip().decode(errors="replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
+    fields = {k.strip().lower().decode(errors="replace"): v.strip().decode(errors="replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
     length = fields.get("content-length", "")
-    if not length.isdigit() or len(rest) < int(length):
+    return (fields, int(length), rest) if length.isdigit() else None
+
+
+def parse_record(raw: bytes) -> dict | None:
+    """Header fields and block of a decoded member; None if it is no WARC record."""
+    found = _header(raw)
+    if found is None or len(found[2]) < found[1]:
         return None
-    return fields | {"block": rest[: int(length)]}
+    return found[0] | {"block": found[2][: found[1]]}
+
+
+class LongRecord:
+    """A record whose payload no cell could hold: its header, and its payload's digest and length, made while it is inflated."""
+
+    def __init__(self, begun: bytes) -> None:
+        """begun: the record's first bytes, its headers among them."""
+        fields, length, rest = _header(begun) or ({}, 0, b"")
+        body, self.stated = http_payload(rest[:length])
+        self.fields, self.left, self.sha, self.length = fields, length - len(rest[:length]), hashlib.sha1(body), len(body)
+
+    def add(self, part: bytes) -> None:
+        part = part[: self.left]
+        self.left -= len(part)
+        self.length += len(part)
+        self.sha.update(part)
+
+    def record(self) -> dict | None:
+        return self.fields if self.fields and not self.left else None
+
+    def digest(self) -> str:
+        return base64.b32encode(self.sha.digest()).decode()
 
 
 def http_payload(block: bytes) -> tuple[bytes, int]:
@@ -106,10 +134,11 @@ class _Archive:
     def __init__(self, file: pa.NativeFile, size: int, most: int) -> None:
         self.file, self.size, self.most = file, size, most
 
-    def member(self, at: int, whole: bool = True) -> tuple[bytes, int] | None:
+    def member(self, at: int, whole: bool = True) -> tuple[bytes | LongRecord, int] | None:
         """The member that begins at a place, and the place after it; None if what stands there is no gzip member with a WARC header.
-        If not whole, its first bytes do.  Of a member that inflates to more than `most` bytes only the place after it is told."""
+        If not whole, its first bytes do.  A member that inflates to more than `most` bytes is a LongRecord."""
         z, parts, head, held, place, checked = zlib.decompressobj(31), [], b"", 0, at, False
+        long: LongRecord | None = None
         try:
             while not z.eof:
                 raw = self.file.read_at(min(READ_BYTES if checked else 1 << 14, self.size - place), place)
@@ -119,8 +148,12 @@ class _Archive:
                 while raw and not z.eof:
                     part = z.decompress(raw, READ_BYTES)
                     raw, held = z.unconsumed_tail, held + len(part)
-                    if held <= self.most:
+                    if long is not None:
+                        long.add(part)
+                    else:
                         parts.append(part)
+                        if held > self.most:
+                            long, parts = LongRecord(b"".join(parts)), []
                     head += part[: max(0, 5 - len(head))]
                     if not checked and held >= 5:
                         checked = True
@@ -130,7 +163,7 @@ class _Archive:
                             return b"", place
         except zlib.error:
             return None
-        return (b"".join(parts) if held <= self.most else b"", place - len(z.unused_data)) if checked else None
+        return (long or b"".join(parts), place - len(z.unused_data)) if checked else None
 
     def candidates(self, start: int, end: int) -> Iterator[int]:
         """Places of the gzip magic in [start, end)."""
@@ -146,7 +179,7 @@ class _Archive:
                 yield at + k
                 at += k + 1
 
-    def walk(self, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    def walk(self, start: int, end: int) -> Iterator[tuple[int, bytes | LongRecord]]:
         """Members one after the other from a place where one begins or where there is none around; what does not decode is passed over."""
         at = start
         while at < end:
@@ -171,7 +204,7 @@ class _Archive:
         return end
 
 
-def _members(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int, size: int, most: int) -> Iterator[bytes]:
+def _members(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int, size: int, most: int) -> Iterator[bytes | LongRecord]:
     """Decoded members of a file that start in [start, end) and whose header is WARC."""
     with fs.open_input_file(path) as f:
         archive = _Archive(f, size, most)
@@ -180,16 +213,17 @@ def _members(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int, size: i
                 yield raw
 
 
-RECORD = "warc_type string, record_id string, url string, refers_to string, payload_digest string, payload_length long, payload binary"
+RECORD = "warc_type string, record_id string, url string, refers_to string, payload_digest string, payload_length long, payload binary, payload_kept boolean"
 
 
-def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 20, max_record_bytes: int = 1 << 30) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 20, max_cell_bytes: int = 1 << 30) -> DataFrame:
     """The response and revisit records of the files in a manifest (path, n_bytes), in ranges of split_bytes, or of a 50,000th of all
     bytes if that is more, so that the tasks of a stage stay countable.  Each range is a task of its own.
 
     payload is null for revisits; payload_digest is computed from a response's payload and read from a revisit's header, as is
-    payload_length.  Members that do not decode or are of other types are passed over, as are those that inflate to more than
-    max_record_bytes, which a cell of a table could not hold.  An empty manifest gives no rows.
+    payload_length.  Members that do not decode or are of other types are passed over.  Of a record that inflates to more than
+    max_cell_bytes, which a cell of a table could not hold, digest and length are made while it is inflated; its payload is null and
+    payload_kept false.  An empty manifest gives no rows.
     """
     total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
     split_bytes = max(split_bytes, -(-total // 50_000))
@@ -197,7 +231,7 @@ def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 2
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_())
         names = [x.split()[0] for x in RECORD.split(", ")]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -206,15 +240,17 @@ def read_archives(manifest: DataFrame, folder: str, *, split_bytes: int = 8 << 2
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for raw in _members(fs, path, start, min(start + split_bytes, size), size, max_record_bytes):
-                    r = parse_record(raw)
+                for raw in _members(fs, path, start, min(start + split_bytes, size), size, max_cell_bytes):
+                    long = isinstance(raw, LongRecord)
+                    r = raw.record() if long else parse_record(raw)
                     if r is None or r.get("warc-type") not in ("response", "revisit"):
                         continue
-                    body, stated = http_payload(r["block"])
+                    body, stated = (None, raw.stated) if long else http_payload(r["block"])
                     revisit = r["warc-type"] == "revisit"
-                    digest = r.get("warc-payload-digest", "").removeprefix(EMPTY_DIGEST_PREFIX) if revisit else payload_digest(body)
-                    rows.append((r["warc-type"], r.get("warc-record-id"), r.get("warc-target-uri"), r.get("warc-refers-to"), digest, stated if revisit else len(body), None if revisit else body))
-                    held += len(raw)
+                    made = (raw.digest(), raw.length) if long else (payload_digest(body), len(body))
+                    digest, length = (r.get("warc-payload-digest", "").removeprefix(EMPTY_DIGEST_PREFIX), stated) if revisit else made
+                    rows.append((r["warc-type"], r.get("warc-record-id"), r.get("warc-target-uri"), r.get("warc-refers-to"), digest, length, None if revisit else body, revisit or not long))
+                    held += 0 if long else len(raw)
                     if held > 4 << 20:
                         yield pack(rows)
                         rows, held = [], 0
