@@ -109,15 +109,15 @@ def fit_ordinal(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.
     return OrdinalModel((p[:width] * scale).astype(np.float32), np.cumsum(np.r_[raw[0], np.exp(raw[1:])]) if k else np.array([np.inf]), stems)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000, row_features: int = 4096, max_grade: int = 15, width: int = 1 << 18, stems: tuple[int, ...] = (4, 5, 6)) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000, max_grade: int = 15, width: int = 1 << 18, stems: tuple[int, ...] = (4, 5, 6)) -> OrdinalModel:
     """Fits on at most `sample_rows` labelled rows, in equal parts for the grades 0..max_grade, those with the smallest hash of their id, and
-    on at most `row_features` distinct features of each, those with the smallest hash: 8 bytes a feature, 200 MB at the most.
+    on all features of their whole texts: 8 bytes a distinct feature, of which a text has some thousand and `width` at the most.
 
     Rows stand for all labelled rows of their grade (weights correct the sampling).  Null labels, ids or texts are left out,
-    as are grades outside the range; a repeated label counts once, the highest grade, and every row of a repeated id counts.  Without
+    as are negative grades; those over max_grade count as max_grade; a repeated label counts once, the highest grade, and every row of a repeated id counts.  Without
     labels the model says 0.
     """
-    grades = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, max_grade)).groupBy("id").agg(F.max("grade").alias("grade"))
+    grades = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where(F.col("id").isNotNull() & (F.col("grade") >= 0)).groupBy("id").agg(F.least(F.max("grade"), F.lit(max_grade)).alias("grade"))
     counts = {r.grade: r["count"] for r in grades.groupBy("grade").count().collect()}  # max_grade + 1 rows at most
     if not counts:
         return OrdinalModel(np.zeros(width, np.float32), np.array([np.inf]), stems)
@@ -136,14 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_co
                     for w, c in Counter(text.lower().split()).items():
                         for f in word_features(w, width, stems):
                             found[f] = found.get(f, 0.0) + log1p(c)
-                    some = sorted(found)[:row_features]
+                    some = sorted(found)
                     cols.append(np.array(some, "<i4").tobytes())
                     vals.append(np.array([found[f] for f in some], "<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names=["id", "grade", "cols", "vals"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "grade", "text").mapInArrow(each, "id long, grade int, cols binary, vals binary")
-    got = sample.toArrow()  # sample_rows rows of row_features at most (more only for repeated ids)
+    got = sample.toArrow()  # sample_rows rows at most (more only for repeated ids)
     cols, vals = got.column("cols").to_pylist(), got.column("vals").to_pylist()
     order = sorted(range(len(cols)), key=lambda i: (got.column("id")[i].as_py(), cols[i], vals[i]))  # rows arrive in any order
     y = got.column("grade").to_numpy().astype(np.int64)[order]
