@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ RATE, SCALE_RATE = 0.012, 0.004
 UNIT = 4.0  # logits are kept as whole quarters, which pack well and cost nothing that could be seen
 PIECE = 1 << 20
 BATCH = 8 << 20
-SLICE = 3 << 20  # bytes of a block that are mixed at a time
+SLICE = 4 << 20  # bytes of a block that are mixed at a time
 FIXED = 1 << 20  # bits are summed as whole numbers of 1/FIXED bit
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 WORDS = -1
@@ -70,13 +71,13 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = raw.lower()  # A-Z only, as these are bytes
                 digest, parts, before = hashlib.blake2b(text, digest_size=16).digest(), list(pieces(text)), b"\0" * HEAD
                 for i, part in enumerate(parts):
-                    rows.append((key, held, digest, i, i == len(parts) - 1, copies, before, part))
+                    rows.append((key, held, digest, i, i == len(parts) - 1, copies, before, len(part), pa.compress(part, "zstd", asbytes=True) if part else b""))
                     before = (before + part)[-HEAD:]
-            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
 
-PIECES = "id long, held boolean, digest binary, part int, last boolean, copies long, before binary, body binary"
+PIECES = "id long, held boolean, digest binary, part int, last boolean, copies long, before binary, size int, body binary"
 
 
 def grams(before: list[bytes], bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def _shard(gram: np.ndarray, k: int, shards: int) -> np.ndarray:
 
 
 def _word_shard(word: bytes, shards: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little") % shards
+    return zlib.crc32(word) % shards
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -155,9 +156,14 @@ def _unpack(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(-1, n).T).reshape(-1).view(kind)
 
 
+def _texts(table: pa.Table) -> list[bytes]:
+    """The pieces' texts, which travel packed."""
+    return [pa.decompress(x, n, "zstd", asbytes=True) if n else b"" for x, n in zip(table.column("body").to_pylist(), table.column("size").to_pylist(), strict=True)]
+
+
 def _bodies(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
     """The pieces' heads and bodies, the end symbol included, in a defined order."""
-    return utf8_list(table.column("before")), [x + END if last else x for x, last in zip(utf8_list(table.column("body")), table.column("last").to_pylist(), strict=True)]
+    return utf8_list(table.column("before")), [x + END if last else x for x, last in zip(_texts(table), table.column("last").to_pylist(), strict=True)]
 
 
 def _sorted_pieces(table: pa.Table) -> pa.Table:
@@ -167,7 +173,7 @@ def _sorted_pieces(table: pa.Table) -> pa.Table:
 def _words(table: pa.Table) -> tuple[list[bytes], list[int]]:
     """Distinct words of a block in order, and how often its documents use each, copies included."""
     found: Counter[bytes] = Counter()
-    for body, copies in zip(utf8_list(table.column("body")), table.column("copies").to_pylist(), strict=True):
+    for body, copies in zip(_texts(table), table.column("copies").to_pylist(), strict=True):
         if copies == 1:
             found.update(body.split())
         else:
@@ -208,7 +214,7 @@ def _namer(shards: int):
             shard = _shard(gram, k, shards)
             order = np.argsort(shard, kind="stable")
             for x in np.split(order, _runs(shard[order])[1:]):
-                cells.setdefault(int(shard[x[0]]), empty())[KINDS.index(k)] = (len(x), _pack(gram[x]), b"" if held else _pack(n[x]))
+                cells.setdefault(int(shard[x[0]]), empty())[KINDS.index(k)] = (len(x), _pack(np.diff(gram[x], prepend=np.uint64(0))), b"" if held else _pack(n[x]))
         words, many = _words(table)
         for shard, x in _dealt_words(words, shards).items():
             cells.setdefault(shard, empty())[0] = (len(x), pa.compress(b" ".join(words[i] for i in x), "zstd", asbytes=True), b"" if held else _pack(np.array([many[i] for i in x], np.int64)))
@@ -266,7 +272,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def _gram_answers(k: int, names: list[bytes], counts: list[bytes], sizes: list[int]) -> list[bytes]:
     if not sum(sizes):
         return [b""] * len(sizes)
-    key = np.concatenate([_unpack(x, m, "<u8") for x, m in zip(names, sizes, strict=True) if m])
+    key = np.concatenate([np.cumsum(_unpack(x, m, "<u8"), dtype=np.uint64) for x, m in zip(names, sizes, strict=True) if m])
     n = np.concatenate([_unpack(x, m, "<i8") if x else np.zeros(m, np.int64) for x, m in zip(counts, sizes, strict=True) if m])
     by_context = _context(key, k) << np.uint64(8) | key >> np.uint64(8 * k)  # the byte last
     del key
@@ -306,6 +312,7 @@ def mix(values: np.ndarray, many: np.ndarray) -> np.ndarray:
     weights[:] = (np.array(START, np.float32) / UNIT)[None, :, None]
     scales = np.repeat(np.array(SCALES, np.float32), width)
     place, rate, scale_rate = np.arange(width), np.float32(RATE / UNIT**2), np.float32(SCALE_RATE)
+    low, high, least, most = (np.float32(x) for x in (-10, 10, 0.2, 8))
     eight = values.view(np.int8).reshape(k, -1, 8)
     for m in many.tolist():
         x8 = eight[:, at : at + m]
@@ -317,13 +324,15 @@ def mix(values: np.ndarray, many: np.ndarray) -> np.ndarray:
             own, w = x[bit], weights[bit, :, :m]
             plain = np.einsum("km,km->m", w, own)
             gate = known[bit] * width + place[:m]
-            scale = scales[gate]
-            e = np.exp(-np.clip(plain * scale, -10, 10))
+            scale = scales.take(gate)
+            e = np.exp(np.minimum(np.maximum(-plain * scale, low), high))
             up = e + np.float32(1)
             costs *= up
             miss = e / up
-            scales[gate] = np.clip(scale + scale_rate * miss * plain, 0.2, 8)
-            w += (rate * miss * scale) * own
+            scales[gate] = np.minimum(np.maximum(scale + scale_rate * miss * plain, least), most)
+            miss *= rate * scale
+            own *= miss
+            w += own
         bits[:m] += np.log2(costs)
     return bits
 
@@ -345,10 +354,11 @@ def _scorer(docs: pa.Table, answers: pa.Table) -> pa.Table:
             known.update(zip((words[i] for i in dealt[shard]), _unpack(raw, m[0], "<i8").tolist(), strict=True))
     heard = {w: math.log10(c + 0.1) for w, c in known.items()}
     tokens, seen, base = [], [], []
-    for body in utf8_list(docs.column("body")):
+    trains = not docs.column("held")[0].as_py()
+    for body in _texts(docs):
         own = body.split()
         tokens.append(len(own))
-        seen.append(sum(map(bool, map(known.__getitem__, own))))
+        seen.append(len(own) if trains else sum(map(bool, map(known.__getitem__, own))))  # words that train are known
         base.append(math.fsum(map(heard.__getitem__, own)))
     bits = _bits(docs, {k: [np.frombuffer(pa.decompress(raw, 8 * m[i], "zstd", asbytes=True), np.uint64) for m, raw in zip(many, of_kind(i), strict=True) if m[i]] for i, k in enumerate(KINDS) if k != WORDS}, shards)
     fresh = [sum(answers.column("fresh").to_pylist())] + [0] * (docs.num_rows - 1)
