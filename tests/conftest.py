@@ -15,7 +15,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     scratch = tempfile.mkdtemp(prefix="spark-")
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.local.dir": scratch, "spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.driver.memory": "4g", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.local.dir": scratch, "spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.checkpoint.dir": f"file://{scratch}/shared", "spark.driver.memory": "4g", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
     session = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -178,3 +178,20 @@ def test_late_articles_change_only_the_open_window(spark, tmp_path):
     assert {(s, p) for s, p, *_ in seen[0]} == {("A", 3)}
     assert {(s, p) for s, p, *_ in seen[2]} == {("A", 3), ("A", 21)}
     assert ("A", 3, 0.5, 1) in seen[2]
+
+
+def test_late_articles_reach_their_session(spark, tmp_path):
+    from tickloom.operators.alignment import daily_sentiment
+    from tickloom.streaming.pipelines import upsert_daily
+
+    body = upsert_daily(f"file://{tmp_path}", daily_sentiment)
+    day = lambda n: dt.date(2024, 1, n)
+    rows = lambda *x: spark.createDataFrame([(s, d, v) for s, d, v in x], "symbol string, session date, score double")
+    held = lambda: sorted((r.symbol, r.session, r.mean_score, r.article_count) for r in spark.read.parquet(f"file://{tmp_path}/daily").collect())
+    body(rows(("A", day(2), 0.5), ("A", day(3), 0.1), ("B", day(3), 0.2), ("B", None, 0.9)), 0)
+    body(rows(("A", day(2), 0.7)), 1)  # late
+    want = [("A", day(2), 0.6, 2), ("A", day(3), 0.1, 1), ("B", day(3), 0.2, 1)]
+    assert held() == want
+    body(rows(("A", day(2), 0.7)), 1)  # once more
+    body(rows(), 2)
+    assert held() == want

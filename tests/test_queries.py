@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tickloom.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = "market_source news_source news_first_vendor stream_upsert backfill_news stream_select_events cluster_stories fold_duplicates title_similarity extend_indicators rsi macd atr bollinger session_vwap ema detect_patterns outlook asof_session weekly_timeline event_cars welch_test title_tokens news_recap news_low_value core_name html_strip news_page screen_value status_combine table_sort replace_range upsert_articles append_similar needs_refresh build_overdue parse_news_ts skip_bad_rows stream_bars month_counts month_window scored_articles save_scores cursor_codec page_groups retro_fold coverage_state keep_stale sparkline_rows unscored_articles".split()
+FEW = "exchange_sessions rss_feed symbol_grammar screen_fund_filter pattern_sentence macro_report market_source stream_upsert stream_select_events cluster_stories fold_duplicates title_similarity rsi macd atr bollinger session_vwap ema detect_patterns outlook asof_session weekly_timeline event_cars welch_test title_tokens news_recap news_low_value core_name html_strip news_page screen_value status_combine table_sort replace_range upsert_articles append_similar needs_refresh build_overdue parse_news_ts skip_bad_rows stream_bars month_counts month_window scored_articles save_scores cursor_codec page_groups retro_fold coverage_state keep_stale sparkline_rows unscored_articles".split()
 
 
 def plain(value):

@@ -139,6 +139,15 @@ def reliability(prepared: DataFrame, hits: DataFrame, min_samples: int = 15) ->
     return s.withColumn("edge", F.col("hit_rate") - F.col("base_rate")).withColumn("sufficient", F.col("n") >= min_samples).drop("down_count")
 
 
+def sentence(min_samples: int = 15) -> Column:
+    """A pattern's record in words, from columns bias, n, hit_rate, base_rate and sufficient: wording of ours."""
+    rate = lambda c: F.concat(F.bround(F.col(c) * 100).cast("int"), F.lit("%"))
+    way = F.when(F.col("bias") == "bullish", "higher").otherwise("lower")
+    known = F.concat(F.lit("Closed "), way, F.lit(" a week later in "), rate("hit_rate"), F.lit(" of "), F.col("n"), F.lit(" cases, against "), F.coalesce(rate("base_rate"), F.lit("an unknown share")), F.lit(" of comparable days"))
+    few = F.concat(F.lit("Seen "), F.coalesce("n", F.lit(0)), F.when(F.col("n") == 1, F.lit(" time")).otherwise(F.lit(" times")), F.lit(f", too few to judge (fewer than {min_samples})"))
+    return F.when(~F.coalesce("sufficient", F.lit(False)), few).when(F.col("bias") == "neutral", F.concat(F.lit("Seen "), F.col("n"), F.lit(" times; it points neither way"))).otherwise(known)
+
+
 def recent(prepared: DataFrame, hits: DataFrame, stats: DataFrame, sessions: int = 3) -> DataFrame:
     """Hits of each symbol's last sessions with their pattern's statistics, and how long ago they were."""
     last = prepared.groupBy("symbol").agg(F.max("pos").alias("last_pos"))

@@ -27,18 +27,31 @@ def traded_value() -> Column:
     return F.col("avg_volume_3m") * F.col("price")
 
 
-def is_fund(name: Column) -> Column:
-    return F.coalesce(name.rlike(r"(?i)\b(fund|etf|trust)s?\b"), F.lit(False))
+#: Words that name a fund, words that name a fund's vehicle, and the industry that funds are filed under.
+FUND_WORDS = ("fund", "etf")
+VEHICLE_WORDS = ("trust", "income", "opportunity", "opportunities", "municipal", "portfolio", "fund")
+MANAGERS = "Asset Management"
+
+
+def is_fund(name: Column, industry: Column | None = None, employees: Column | None = None) -> Column:
+    """Whether a share is a fund's: by a word of its name; or, where a profile files it under asset management, because nobody works there
+    or its name is a vehicle's.  A trust by name alone stays, as banks and property companies are trusts too.  Unknown is no fund."""
+    has = lambda words: name.rlike(rf"(?i)\b({'|'.join(words)})\b")
+    found = F.coalesce(has(FUND_WORDS), F.lit(False))
+    if industry is None or employees is None:
+        return found
+    return found | F.coalesce((industry == MANAGERS) & (employees.isNull() | has(VEHICLE_WORDS)), F.lit(False))
 
 
 def screen(quotes: DataFrame, preset: Preset, size: int = 10) -> DataFrame:
     """The preset's best `size` rows with their place: quotes needs exchange, market_cap, avg_volume_3m, pe_ratio, price, name and, to
-    rank by it, week_move.  Rows that cannot be ranked are left out, but unknown moves come last.  Ties go to smaller symbols."""
+    rank by it, week_move; industry and employees tell funds better where they are there.  Rows that cannot be ranked are left out, but unknown moves come last.  Ties go to smaller symbols."""
     keep = (F.col("exchange") == preset.region) & F.col("market_cap").between(preset.min_cap, preset.max_cap) & (F.col("avg_volume_3m") >= preset.min_volume)
     if preset.max_pe is not None:
         keep &= (F.col("pe_ratio") > 0) & (F.col("pe_ratio") <= preset.max_pe)
     if preset.no_funds:
-        keep &= ~is_fund(F.col("name"))
+        known = {"industry", "employees"} <= set(quotes.columns)
+        keep &= ~(is_fund(F.col("name"), F.col("industry"), F.col("employees")) if known else is_fund(F.col("name")))
     q = quotes.where(keep)
     if preset.rank == "pe":
         q = q.where("pe_ratio > 0").withColumn("__key", F.col("pe_ratio").cast("double"))

@@ -159,6 +159,18 @@ def verdicts(tested: DataFrame, difference: DataFrame) -> DataFrame:
     return buckets.unionByName(overall)
 
 
+EARNINGS_NOTE = "Most of the effect comes from news around earnings: without those days no clear effect is left."
+
+
+def earnings_note(tested: DataFrame, difference: DataFrame) -> DataFrame:
+    """(symbol, earnings_note): set where some test of all events, of a bucket or of the difference, is clear and none of the events away
+    from earnings is; null otherwise, and where a symbol has one of the scopes only."""
+    labels = tested.select(*KEYS, "label").unionByName(difference.select(*KEYS, "label"))
+    clear = lambda scope: F.count_if((F.col("scope") == scope) & (F.col("label") == "clear_effect"))
+    both = F.count_distinct("scope") == 2
+    return labels.groupBy("symbol").agg(F.when(both & (clear("all") > 0) & (clear("ex") == 0), EARNINGS_NOTE).alias("earnings_note"))
+
+
 def findings(tested: DataFrame, difference: DataFrame, correlation: DataFrame, min_link: float = 0.1, caveat: float = 0.01) -> DataFrame:
     """(symbol, scope, kind, bucket, based_on, label, text): a sentence for every tested bucket, its moves before the news, the gap and the link."""
     move, pre = F.col("mean_car_0_1"), F.col("mean_car_pre_5")

@@ -69,6 +69,11 @@ def exchange_of(symbol: Column) -> Column:
     return F.when(F.upper(symbol).endswith(".SI") | (F.upper(symbol) == "^STI"), "SGX").otherwise("US")
 
 
+def valid_symbol(symbol: Column) -> Column:
+    """Whether a text is a ticker: one to fifteen capitals, digits, dots, dashes and carets, neither dot nor dash first; null is none."""
+    return F.coalesce(symbol.rlike(r"\A[A-Z0-9^][A-Z0-9.^-]{0,14}\z"), F.lit(False))
+
+
 def root_ticker(symbol: Column) -> Column:
     return F.regexp_replace(F.upper(symbol), r"\.SI$", "")
 
@@ -78,15 +83,28 @@ def last_session(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.where(F.col("close_utc") <= now).agg(F.max("session").alias("last_session"), F.max("close_utc").alias("last_close"))
 
 
-def needs_refresh(state: DataFrame, last: DataFrame, *, start: Column, now: Column) -> DataFrame:
+#: How many days of bars are kept by their width: three years for the daily ones, two months for the hourly ones.
+HISTORY_DAYS = {"1d": 1100, "1h": 60}
+
+
+def history_start(interval: Column, now: Column) -> Column:
+    """Start of the kept history: midnight for daily bars; null for other widths."""
+    back = lambda i: now - F.make_dt_interval(days=F.lit(HISTORY_DAYS[i]))
+    return F.when(interval == "1d", F.date_trunc("DAY", back("1d")).cast("timestamp_ntz")).when(interval == "1h", back("1h"))
+
+
+def needs_refresh(state: DataFrame, last: DataFrame, *, start: Column, now: Column, live: Column | None = None) -> DataFrame:
     """Adds needs_refresh: no state, coverage over 7 days late, fetched before the last close, or - 15 minutes after the last fetch -
-    the newest bar is older than the last session.  last has one row (last_session, last_close)."""
+    the newest bar is older than the last session, or the bars are `live`: hourly ones while their exchange is open.
+
+    last has one row (last_session, last_close)."""
+    live = F.lit(False) if live is None else F.coalesce(live, F.lit(False))
     s = state.crossJoin(F.broadcast(last))
     rule = (
         F.when(F.col("last_fetched_at").isNull() | (F.col("covered_start") > start + F.expr("INTERVAL 7 DAYS")), True)
         .when(F.col("last_fetched_at") < F.col("last_close"), True)
         .when(F.col("last_fetched_at") + F.expr("INTERVAL 15 MINUTES") > now, False)
-        .otherwise(F.col("last_bar_at").isNull() | (F.col("last_bar_at").cast("date") < F.col("last_session")))
+        .otherwise(F.col("last_bar_at").isNull() | (F.col("last_bar_at").cast("date") < F.col("last_session")) | live)
     )
     return s.withColumn("needs_refresh", rule).drop("last_session", "last_close")
 

@@ -111,7 +111,7 @@ def _quotes(spark, d):
 
 def _screen(name, preset):
     key = {"pe": "CAST(pe_ratio AS DOUBLE)", "traded_value": "-(avg_volume_3m * price)", "week_move": "coalesce(-abs(week_move), 'inf'::DOUBLE)"}[preset.rank]
-    more = (f" AND pe_ratio > 0 AND pe_ratio <= {preset.max_pe}" if preset.max_pe else "") + (" AND NOT regexp_matches(name, '(?i)\\b(fund|etf|trust)s?\\b')" if preset.no_funds else "")
+    more = (f" AND pe_ratio > 0 AND pe_ratio <= {preset.max_pe}" if preset.max_pe else "") + (" AND NOT regexp_matches(name, '(?i)\\b(fund|etf)\\b')" if preset.no_funds else "")
     sql = with_views("quotes", f", {MOVE_SQL}, q AS (SELECT *, row_number() OVER (ORDER BY {key}, symbol) AS place FROM quotes LEFT JOIN mv ON l_partkey = symbol WHERE exchange = '{preset.region}' AND market_cap BETWEEN {preset.min_cap} AND {preset.max_cap} AND avg_volume_3m >= {preset.min_volume}{more}) SELECT symbol, name, CAST(place AS INTEGER) AS place, round(price, 8) AS price, round(avg_volume_3m * price, 6) AS traded_value FROM q WHERE place <= 10")
 
     @query(name, sql)
@@ -125,11 +125,18 @@ def _screen(name, preset):
 screen_movers, screen_value, screen_sg = (_screen(*x) for x in PRESETS.items())
 
 
-@query("screen_fund_filter", "SELECT p_partkey AS symbol, p_partkey % 3 = 0 OR p_partkey % 3 = 1 AND p_size > 40 AS fund FROM part")
+#: Names, industries and headcounts that tell funds from managers and trusts, by number.
+_NAMED = ["Growth Fund", "Yield ETF", "Fundamental Corp", "Bank Trust", "Property Trust", "Hill", "Municipal Income", "Opportunities"]
+_FILED = ["Asset Management", "Banks", "Asset Management", None]
+
+
+@query("screen_fund_filter", f"""WITH q AS (SELECT p_partkey AS symbol, ({_NAMED})[1 + p_partkey % 8] AS kind, ([{", ".join("NULL" if x is None else f"'{x}'" for x in _FILED)}])[1 + p_size % 4] AS industry, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS employees FROM part)
+    SELECT symbol, kind IN ('Growth Fund', 'Yield ETF') OR coalesce(industry = 'Asset Management' AND (employees IS NULL OR kind IN ('Bank Trust', 'Property Trust', 'Municipal Income', 'Opportunities')), FALSE) AS fund FROM q""")
 def screen_fund_filter(spark, d):
-    k = F.col("p_partkey") % 3
-    name = F.when(k == 0, F.concat("p_name", F.lit(" Growth Fund"))).when((k == 1) & (F.col("p_size") > 40), F.concat("p_name", F.lit(" ETF"))).otherwise(F.concat("p_name", F.lit(" Fundamental Corp")))
-    return V.table(spark, d, "part").select(F.col("p_partkey").alias("symbol"), C.is_fund(name).alias("fund"))
+    pick = lambda of, n: F.element_at(F.array(*map(F.lit, of)), (n + 1).cast("int"))
+    name = F.concat_ws(" ", "p_name", pick(_NAMED, F.col("p_partkey") % 8))
+    employees = F.when(F.col("p_size") % 3 != 0, F.col("p_size"))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("symbol"), C.is_fund(name, pick(_FILED, F.col("p_size") % 4), employees).alias("fund"))
 
 
 @query("overview_rows", with_views("ticks bars watchers", """, r AS (SELECT symbol, close, lag(close, 5) OVER (PARTITION BY symbol ORDER BY session) AS c5, session, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS n FROM bars),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions.series import rounded
+from tickloom.functions.storage import stored
 from tickloom.operators import alignment as A
 from tickloom.operators import event_study as E
 from tickloom.operators import statistics as S
@@ -76,6 +77,12 @@ def _events(spark, d):
     return E.event_study(V.bars_daily(spark, d), V.bench_daily(spark, d), _daily(spark, d), V.earnings(spark, d))
 
 
+def _study(spark, d):
+    """Daily sentiment and events, each made once and stored: what reads them several times scans nothing again."""
+    daily = stored(_daily(spark, d))
+    return daily, stored(E.event_study(V.bars_daily(spark, d), V.bench_daily(spark, d), daily, V.earnings(spark, d)))
+
+
 def _as_of(spark, d):
     """The test tables' bars go on for years after the last article, so a symbol's report is as of its last news."""
     return _daily(spark, d).groupBy("symbol").agg(F.max("session").alias("as_of"))
@@ -222,8 +229,8 @@ def pct_text(spark, d):
 
 
 def _tested(spark, d):
-    used = S.scoped(_events(spark, d))
-    stats = S.bucket_stats(used)
+    used = stored(S.scoped(_events(spark, d)))
+    stats = stored(S.bucket_stats(used))
     return used, S.with_bucket_test(stats), S.welch(stats)
 
 
@@ -262,7 +269,8 @@ def _headlines(spark, d, most):
 @query("top_events", with_views(VIEWS, f", {TOP_SQL} SELECT t.symbol, t.session, t.place, round(car_0_1, 8) AS car_0_1, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY h) AS headlines FROM te t LEFT JOIN hl ON hl.symbol = t.symbol AND hl.session = t.session AND h <= 3 WHERE place <= 10 GROUP BY ALL", recursive=True))
 def top_events(spark, d):
     """The ten largest moves of the last three months of each symbol, with the three most extreme articles of the day."""
-    e = _events(spark, d).join(_as_of(spark, d), "symbol").where((F.col("status") == "ok") & F.col("car_0_1").isNotNull() & (F.col("session") >= F.add_months("as_of", -3)))
+    daily, events = _study(spark, d)
+    e = events.join(daily.groupBy("symbol").agg(F.max("session").alias("as_of")), "symbol").where((F.col("status") == "ok") & F.col("car_0_1").isNotNull() & (F.col("session") >= F.add_months("as_of", -3)))
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.abs(F.round("car_0_1", 10))), "session"))
     e = e.withColumn("place", place).where("place <= 10")
     h = _headlines(spark, d, 3).groupBy("symbol", "session").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "article_id"))), lambda x: x["article_id"].cast("string")), ",").alias("headlines"))
@@ -276,23 +284,26 @@ def event_points(spark, d):
     return e.join(h, ["symbol", "session"], "left").select("symbol", "session", *rounded(["car_0_1", "sentiment"], 8), "article_count", "near_earnings", "headline")
 
 
-REPORT_SQL = f"""{VERDICT_SQL}, {REGIME_SQL.replace(DAILY_SQL + ', ', '')}, nu AS (SELECT e.symbol, count(*) AS events_total, count(*) FILTER (status <> 'ok') AS events_insufficient, count(*) FILTER (status = 'ok' AND car_0_1 IS NOT NULL) AS n_all, count(*) FILTER (status = 'ok' AND car_0_1 IS NOT NULL AND NOT near_earnings) AS n_ex FROM ev e GROUP BY e.symbol)
-    SELECT nu.symbol, events_total, events_insufficient, n_all, n_ex, CASE WHEN n_all = n_ex THEN 'all_events' ELSE 'excluding_earnings' END AS primary_scope, CASE WHEN n_all <> n_ex THEN 'all_events' END AS secondary_scope,
+REPORT_SQL = f"""{VERDICT_SQL}, {REGIME_SQL.replace(DAILY_SQL + ', ', '')}, en AS (SELECT symbol, count(DISTINCT scope) AS scopes, count(*) FILTER (scope = 'all' AND label = 'clear_effect') AS ca, count(*) FILTER (scope = 'ex' AND label = 'clear_effect') AS ce FROM (SELECT symbol, scope, label FROM bt UNION ALL SELECT symbol, scope, label FROM wl) GROUP BY symbol), nu AS (SELECT e.symbol, count(*) AS events_total, count(*) FILTER (status <> 'ok') AS events_insufficient, count(*) FILTER (status = 'ok' AND car_0_1 IS NOT NULL) AS n_all, count(*) FILTER (status = 'ok' AND car_0_1 IS NOT NULL AND NOT near_earnings) AS n_ex FROM ev e GROUP BY e.symbol)
+    SELECT nu.symbol, events_total, events_insufficient, n_all, n_ex, n_all <> n_ex AND coalesce(ca > 0 AND ce = 0 AND scopes = 2, FALSE) AS earnings_note, CASE WHEN n_all = n_ex THEN 'all_events' ELSE 'excluding_earnings' END AS primary_scope, CASE WHEN n_all <> n_ex THEN 'all_events' END AS secondary_scope,
         CASE WHEN rg.z >= 1 THEN 'more_positive_than_usual' WHEN rg.z <= -1 THEN 'more_negative_than_usual' WHEN rg.z IS NOT NULL THEN 'typical' END AS regime,
         max(CASE WHEN id = 'good_news' THEN answer_kind END) AS good_news, max(CASE WHEN id = 'bad_news' THEN answer_kind END) AS bad_news, max(CASE WHEN id = 'overall' THEN answer_kind END) AS overall
-    FROM nu LEFT JOIN rg ON rg.symbol = nu.symbol LEFT JOIN vd ON vd.symbol = nu.symbol AND vd.scope = CASE WHEN n_all = n_ex THEN 'all' ELSE 'ex' END GROUP BY ALL"""
+    FROM nu LEFT JOIN en ON en.symbol = nu.symbol LEFT JOIN rg ON rg.symbol = nu.symbol LEFT JOIN vd ON vd.symbol = nu.symbol AND vd.scope = CASE WHEN n_all = n_ex THEN 'all' ELSE 'ex' END GROUP BY ALL"""
 
 
 @query("macro_report", with_views(VIEWS, f", {REPORT_SQL}", recursive=True))
 def macro_report(spark, d):
-    """Every symbol's report in one plan: counts, scopes, regime and the answers of the primary scope."""
-    daily, events = _daily(spark, d), _events(spark, d)
+    """Every symbol's report: counts, scopes, regime, the answers of the primary scope and whether the effect comes from earnings."""
+    daily, events = _study(spark, d)
     used = (F.col("status") == "ok") & F.col("car_0_1").isNotNull()
     n = events.groupBy("symbol").agg(F.count("*").alias("events_total"), F.count_if(F.col("status") != "ok").alias("events_insufficient"), F.count_if(used).alias("n_all"), F.count_if(used & ~F.col("near_earnings")).alias("n_ex"))
     same = F.col("n_all") == F.col("n_ex")
     n = n.withColumns({"primary_scope": F.when(same, "all_events").otherwise("excluding_earnings"), "secondary_scope": F.when(~same, "all_events"), "scope": F.when(same, "all").otherwise("ex")})
-    scoped = S.scoped(events)
-    stats = S.bucket_stats(scoped)
-    said = S.verdicts(S.with_bucket_test(stats), S.welch(stats)).groupBy("symbol", "scope").agg(*[F.max(F.when(F.col("id") == k, F.col("answer_kind"))).alias(k) for k in ("good_news", "bad_news", "overall")])
-    regime = A.sentiment_regime(daily, _as_of(spark, d)).select("symbol", F.col("label").alias("regime"))
-    return n.join(regime, "symbol", "left").join(said, ["symbol", "scope"], "left").drop("scope")
+    stats = stored(S.bucket_stats(S.scoped(events)))
+    tested, gap = stored(S.with_bucket_test(stats)), stored(S.welch(stats))  # some rows a symbol
+    note = S.earnings_note(tested, gap).select("symbol", F.col("earnings_note").isNotNull().alias("noted"))
+    said = S.verdicts(tested, gap).groupBy("symbol", "scope").agg(*[F.max(F.when(F.col("id") == k, F.col("answer_kind"))).alias(k) for k in ("good_news", "bad_news", "overall")])
+    as_of = daily.groupBy("symbol").agg(F.max("session").alias("as_of"))
+    regime = A.sentiment_regime(daily, as_of).select("symbol", F.col("label").alias("regime"))
+    out = n.join(regime, "symbol", "left").join(said, ["symbol", "scope"], "left").join(note, "symbol", "left").drop("scope")
+    return out.withColumn("earnings_note", ~same & F.coalesce("noted", F.lit(False))).drop("noted")

@@ -1,25 +1,18 @@
 """Streaming queries over the test tables, run to the end of their input (availableNow) and read back.
 
-Output and checkpoints go to the folder that spark.checkpoint.dir names, or to a temporary one where none is set (tests)."""
+Output and checkpoints go to the folder that spark.checkpoint.dir names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.storage import new_folder
 from tickloom.plans.registry import query
 from tickloom.sources.views import with_views
 from tickloom.streaming import pipelines as S
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
     path = f"{d}/{name}.parquet"
@@ -34,7 +27,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and reads its output."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 

@@ -235,18 +235,27 @@ def base_rates(spark, d):
 
 @query("pattern_reliability", with_views(BARS, f", {STATS_SQL} SELECT symbol, key, bias, n, up AS up_count, ok AS success_count, round(hit, 8) AS hit_rate, round(CASE WHEN n > 0 AND ok IS NOT NULL THEN greatest(0, wl) END, 8) AS wilson_low, round(CASE WHEN n > 0 AND ok IS NOT NULL THEN least(1, wh) END, 8) AS wilson_high, round(mean, 8) AS mean_return, round(med, 8) AS median_return, round(base, 8) AS base_rate, round(hit - base, 8) AS edge, bn AS base_n, n >= 15 AS sufficient FROM st3"))
 def pattern_reliability(spark, d):
-    p = P.prepare(V.bars_daily(spark, d))
-    s = P.reliability(p, P.detect(p))
+    p, hits = P.analysed(V.bars_daily(spark, d))
+    s = P.reliability(p, hits)
     return s.select("symbol", "key", "bias", "n", "up_count", "success_count", *rounded(["hit_rate", "wilson_low", "wilson_high", "mean_return", "median_return", "base_rate", "edge"], 8), "base_n", "sufficient")
 
 
 @query("recent_patterns", with_views(BARS, f", {STATS_SQL}, lp AS (SELECT symbol, max(pos) AS lp FROM bars GROUP BY symbol) SELECT h.symbol, h.session, h.key, lp - pos AS sessions_ago, st3.n, round(hit - base, 8) AS edge FROM hits h JOIN lp ON lp.symbol = h.symbol LEFT JOIN st3 ON st3.symbol = h.symbol AND st3.key = h.key WHERE lp - pos < 3"))
 def recent_patterns(spark, d):
-    p = P.prepare(V.bars_daily(spark, d))
-    hits = P.detect(p)
+    p, hits = P.analysed(V.bars_daily(spark, d))
     return P.recent(p, hits, P.reliability(p, hits)).select("symbol", "session", "key", "sessions_ago", "n", *rounded(["edge"], 8))
 
 
+_RATE = lambda c: f"CAST(CAST(round_even({c} * 100, 0) AS INTEGER) AS VARCHAR) || '%'"
+
+
+@query("pattern_sentence", with_views(BARS, f""", {STATS_SQL} SELECT symbol, key, upper(substr(key, 1, 1)) || replace(substr(key, 2), '_', ' ') AS label, CASE WHEN n < 15 THEN 'Seen ' || n || CASE WHEN n = 1 THEN ' time' ELSE ' times' END || ', too few to judge (fewer than 15)' WHEN bias = 'neutral' THEN 'Seen ' || n || ' times; it points neither way'
+    ELSE 'Closed ' || CASE bias WHEN 'bullish' THEN 'higher' ELSE 'lower' END || ' a week later in ' || {_RATE('hit')} || ' of ' || n || ' cases, against ' || coalesce({_RATE('base')}, 'an unknown share') || ' of comparable days' END AS sentence FROM st3"""))
+def pattern_sentence(spark, d):
+    p, hits = P.analysed(V.bars_daily(spark, d))
+    return P.reliability(p, hits).select("symbol", "key", P.label(F.col("key")).alias("label"), P.sentence().alias("sentence"))
+
+
 OUTLOOK_SQL = f"""{STATS_SQL}, {RSI_SQL}, {MACD_SQL}, {fold_sql('e9', 'bars', 'close', 9, '0.2')}, {fold_sql('e21', 'bars', 'close', 21, '(2.0 / 22)')}, lp AS (SELECT symbol, max(pos) AS lp FROM bars GROUP BY symbol),
     pm AS (SELECT h.symbol, avg(least((hit - base) / 0.2, 1) * CASE st3.bias WHEN 'bullish' THEN 1 ELSE -1 END) AS mean FROM hits h JOIN lp ON lp.symbol = h.symbol JOIN st3 ON st3.symbol = h.symbol AND st3.key = h.key WHERE lp - pos < 3 AND n >= 15 AND base IS NOT NULL AND wl > base AND st3.bias <> 'neutral' GROUP BY h.symbol),
     vw AS (SELECT b.symbol, sum((high + low + close) / 3 * volume) / sum(volume) AS v FROM bars b JOIN lp ON lp.symbol = b.symbol AND b.pos >= lp - 4 GROUP BY b.symbol),
@@ -260,12 +269,19 @@ OUTLOOK_SQL = f"""{STATS_SQL}, {RSI_SQL}, {MACD_SQL}, {fold_sql('e9', 'bars', 'c
 
 @query("outlook", with_views(BARS, f", {OUTLOOK_SQL}"))
 def outlook(spark, d):
-    p = P.prepare(V.bars_daily(spark, d))
-    hits = P.detect(p)
+    p, hits = P.analysed(V.bars_daily(spark, d))
     o = P.outlook(p, P.recent(p, hits, P.reliability(p, hits)))
     return o.select("symbol", "as_of", *rounded(["last_close"], 8), "lean", *rounded(["score"], 8), *rounded(["range_low", "range_high"], 8))
 
 
+@query("technical_signals", with_views(BARS, f""", {OUTLOOK_SQL.rsplit("SELECT symbol, session AS as_of", 1)[0]} , x AS (SELECT symbol, unnest([{{'key': 'patterns', 'direction': sign(mean), 'weight': abs(mean)}}, {{'key': 'rsi14', 'direction': CAST(r AS DOUBLE), 'weight': 0.75}}, {{'key': 'ema_cross', 'direction': CAST(e AS DOUBLE), 'weight': 0.75}}, {{'key': 'vwap', 'direction': CAST(v AS DOUBLE), 'weight': 0.5}}, {{'key': 'macd_momentum', 'direction': CAST(m AS DOUBLE), 'weight': 0.5}}]) AS s FROM sc)
+    SELECT symbol, s.key AS key, CAST(s.direction AS INTEGER) AS direction, round(s.weight, 8) AS weight FROM x WHERE s.direction IS NOT NULL"""))
+def technical_signals(spark, d):
+    """The signals of every symbol's outlook, one a row."""
+    r = P.technical_report(V.bars_daily(spark, d))
+    return r.select("symbol", F.explode("signals").alias("s")).select("symbol", "s.key", "s.direction", F.round("s.weight", 8).alias("weight"))
+
+
 @query("technical_report", with_views(BARS, f", {OUTLOOK_SQL}".replace("SELECT symbol, session AS as_of, round(close, 8) AS last_close,", "SELECT symbol, session AS as_of, round(close, 8) AS last_close, 0.9 AS expected_range_coverage, CAST((SELECT count(*) FROM hits h JOIN lp ON lp.symbol = h.symbol WHERE h.symbol = sc.symbol AND lp - pos < 3) AS INTEGER) AS n_recent,")))
 def technical_report(spark, d):
     """The flagship: every symbol's report in one plan."""

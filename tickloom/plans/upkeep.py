@@ -128,12 +128,30 @@ def session_open(spark, d):
 
 
 @query("needs_refresh", with_views("articles ticks bench sessions", f""", ls AS (SELECT max(session) AS ls, max(close_utc) AS lc FROM sessions WHERE close_utc <= {NOW}), st AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE {NOW} - INTERVAL 10 MINUTE * (c_custkey % 300) END AS fetched, {NOW} - INTERVAL 1100 DAY + INTERVAL 1 DAY * (c_custkey % 9) AS covered, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {NOW} - INTERVAL 1 DAY * (c_custkey % 4) END AS bar FROM customer)
-    SELECT c_custkey, CASE WHEN fetched IS NULL OR covered > {NOW} - INTERVAL 1100 DAY + INTERVAL 7 DAY THEN TRUE WHEN fetched < lc THEN TRUE WHEN fetched + INTERVAL 15 MINUTE > {NOW} THEN FALSE ELSE bar IS NULL OR CAST(bar AS DATE) < ls END AS needs_refresh FROM st, ls"""))
+    SELECT c_custkey, CASE WHEN fetched IS NULL OR covered > {NOW} - INTERVAL 1100 DAY + INTERVAL 7 DAY THEN TRUE WHEN fetched < lc THEN TRUE WHEN fetched + INTERVAL 15 MINUTE > {NOW} THEN FALSE ELSE bar IS NULL OR CAST(bar AS DATE) < ls OR c_custkey % 4 = 1 END AS needs_refresh FROM st, ls"""))
 def needs_refresh(spark, d):
     k = F.col("c_custkey").cast("int")
     start = now() - F.expr("INTERVAL 1100 DAYS")
     state = V.table(spark, d, "customer").select("c_custkey", F.when(k % 6 != 0, now() - F.make_dt_interval(mins=k % 300 * 10)).alias("last_fetched_at"), (start + F.make_dt_interval(days=k % 9)).alias("covered_start"), F.when(k % 5 != 0, now() - F.make_dt_interval(days=k % 4)).alias("last_bar_at"))
-    return U.needs_refresh(state, U.last_session(V.sessions(spark, d), now()), start=start, now=now()).select("c_custkey", "needs_refresh")
+    live = (k % 2 == 1) & (k % 4 < 2)  # every other symbol has hourly bars, every other pair's exchange is open
+    return U.needs_refresh(state, U.last_session(V.sessions(spark, d), now()), start=start, now=now(), live=live).select("c_custkey", "needs_refresh")
+
+
+TICKERS = ["D05.SI", "^STI", "brk-b", "BRK-B", "A", "", "A B", ".X", "-X", "ABCDEFGHIJKLMNO", "ABCDEFGHIJKLMNOP", "7203"]
+
+
+@query("symbol_grammar", f"SELECT o_orderkey, coalesce(regexp_full_match(CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE ({TICKERS})[1 + o_orderkey % 12] END, '[A-Z0-9^][A-Z0-9.^-]{{0,14}}'), FALSE) AS valid FROM orders")
+def symbol_grammar(spark, d):
+    k = F.col("o_orderkey")
+    ticker = F.when(k % 17 != 0, F.element_at(F.array(*map(F.lit, TICKERS)), (k % 12 + 1).cast("int")))
+    return V.table(spark, d, "orders").select("o_orderkey", U.valid_symbol(ticker).alias("valid"))
+
+
+@query("history_start", "SELECT event_id, date_trunc('day', ts - INTERVAL 1100 DAY) AS daily, ts - INTERVAL 60 DAY AS hourly FROM events")
+def history_start(spark, d):
+    """What each width of bars would be kept from, as of every event."""
+    at = lambda i: U.history_start(F.lit(i), F.col("ts"))
+    return V.table(spark, d, "events").select("event_id", at("1d").alias("daily"), at("1h").alias("hourly"))
 
 
 @query("build_overdue", "SELECT event_id, b AS last_build, ts - b > INTERVAL 1 DAY + INTERVAL 1 HOUR AS overdue FROM (SELECT event_id, ts, a - INTERVAL 1 DAY * (CASE dayofweek(a) WHEN 6 THEN 1 WHEN 0 THEN 2 ELSE 0 END) AS b FROM (SELECT event_id, ts, CASE WHEN date_trunc('day', ts) + INTERVAL 1350 MINUTE <= ts THEN date_trunc('day', ts) + INTERVAL 1350 MINUTE ELSE date_trunc('day', ts) - INTERVAL 90 MINUTE END AS a FROM events))")

@@ -37,14 +37,18 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 h
 def upsert_daily(folder: str, aggregate: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch body: adds the batch to the raw rows under folder/raw and rewrites, under folder/daily, the sessions it touches.
 
-    Raw rows are stored under the batch's number, so a batch that is repeated replaces itself; daily results are partitioned by
-    session and overwritten dynamically."""
+    Raw rows are stored under the batch's number and their session, so a batch that is repeated replaces itself and only the folders of
+    the sessions that it touches are read; daily results are partitioned by session and overwritten dynamically.  Rows without a
+    session are left out."""
 
     def body(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/raw/batch={number}")
-        touched = spark.read.parquet(f"{folder}/raw/batch={number}").select("session").distinct()
-        rows = spark.read.parquet(f"{folder}/raw").join(touched, "session", "left_semi")
-        aggregate(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(f"{folder}/daily")
+        spark, own = batch.sparkSession, f"{folder}/raw/batch={number}"
+        batch.where("session is not null").write.mode("overwrite").partitionBy("session").parquet(own)
+        schema = batch.schema
+        read = lambda path: spark.read.schema(schema).option("basePath", f"{folder}/raw").parquet(path)
+        touched = [r[0] for r in read(own).select("session").distinct().collect()]  # a batch's days, not its rows
+        if touched:
+            rows = read(f"{folder}/raw").where(F.col("session").isin(touched)).select(*schema.names)
+            aggregate(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(f"{folder}/daily")
 
     return body
