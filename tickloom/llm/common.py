@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 import types
 from collections.abc import Iterator
 
@@ -14,15 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.storage import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  A folder of our own is set only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        sc.setCheckpointDir(named)
-    return named
+    """The folder all executors share."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
