@@ -69,6 +69,21 @@ def test_many_variants_of_a_headline_are_not_paired_with_each_other(spark, monke
     assert sum(p.count() for p in made) < 2 * 3000 + 16 * 16
 
 
+def test_few_pairs_are_compared_word_by_word(spark):
+    """Titles of common words: nearly all pairs share one of their rarer words, few as many as similar ones must."""
+    rnd = random.Random(4)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    titles = [sorted(rnd.sample(words, rnd.choice([4, 8, 12, 12, 30]))) for _ in range(300)]
+    titles += [sorted({*rnd.choice(titles), rnd.choice(words)}) for _ in range(100)]
+    titles = [list(t) for t in dict.fromkeys(map(tuple, titles))]
+    sets = spark.createDataFrame([("S", i, i, t) for i, t in enumerate(titles)], "day string, name int, first int, tokens array<string>")
+    pairs = [(i, j) for i in range(len(titles)) for j in range(i)]
+    want = {(i, j) for i, j in pairs if plain_similar(frozenset(titles[i]), frozenset(titles[j]))}
+    assert {(r.name, r.head) for r in leaders.similar_pairs(sets, ["day"], H.similar).collect()} == want
+    compared = leaders.similar_pairs(sets, ["day"], lambda a, b: F.lit(True)).count()
+    assert len(want) <= compared < len(pairs) / 10
+
+
 def test_no_stories(spark):
     assert H.cluster_stories(spark.createDataFrame([], SCHEMA)).count() == 0
 

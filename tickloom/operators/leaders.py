@@ -5,8 +5,10 @@ the first titles of every day that are not decided yet (more each round), and pa
 Within it, what has no earlier partner left leads, its later partners follow, and so on until no pair is left.  Then all titles that are
 not decided are held against the round's leaders only, so the many variants of one headline are never paired with each other.
 
-No group is gathered: a day of any size is spread by its tokens.  Candidates are exact: of two similar token sets the smaller one shares
-three tokens at least, and half of its own, so one of its rarest few is in the other.
+No group is gathered: a day of any size is spread by its tokens.  Candidates are exact: similar sets of a and b tokens, a the fewer, share three
+at least, and a third of a + b or four fifths of a.  So the rarest token that they share is among the first of either, how far depends on both
+sizes, and each has few bits that the other lacks in a bitmap of 256 bits.  Both are judged on narrow rows; the tokens themselves
+are only fetched for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -21,42 +23,69 @@ from pyspark.sql.window import Window
 from tickloom.functions.storage import stored
 
 LEAST_SHARED = 3
+BITS = 4  # longs of a bitmap
 FIRST_ROUND = 1024  # titles of a day; each later round takes so many times as many:
 GROWTH = 8
 
 Similar = Callable[[Column, Column], Column]
 
 
+def _same(keys: list[str], mark: str = "_") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{mark}{k}")) for k in keys])
+
+
+def _marked(df: DataFrame, mark: str = "_") -> list[Column]:
+    return [F.col(c).alias(f"{mark}{c}") for c in df.columns]
+
+
+def needed(a: Column, b: Column) -> Column:
+    """How many tokens similar sets of these sizes share at least."""
+    small = F.least(a, b)
+    return F.greatest(F.lit(LEAST_SHARED), F.least(F.floor((a + b + 2) / 3), F.floor((4 * small + 4) / 5))).cast("int")
+
+
 def _by_rarity(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds rare, the tokens in order of how few titles of the day have them, and prefix, how many of them must be looked up."""
+    """Adds rare, the tokens in order of how few titles of the day have them, and bits, their bitmap."""
     words = sets.select(*keys, "name", F.explode("tokens").alias("token"))
     often = words.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("token").alias("_token")).agg(F.count("*").alias("often"))
-    met = words.join(often, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("token") == F.col("_token")))
-    rare = met.groupBy(*keys, "name").agg(F.sort_array(F.collect_list(F.struct("often", "token")))["token"].alias("rare"))
+    met = words.join(often, _same(keys) & (F.col("token") == F.col("_token"))).withColumn("h", F.xxhash64("token"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    bits = [F.coalesce(F.bit_or(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(BITS - 1)) == i, bit)), F.lit(0).cast("long")).alias(f"bits{i}") for i in range(BITS)]
+    rare = met.groupBy(*keys, "name").agg(F.sort_array(F.collect_list(F.struct("often", "token")))["token"].alias("rare"), *bits)
+    named = rare.select(_marked(rare)).withColumnRenamed("_rare", "rare").withColumnsRenamed({f"_bits{i}": f"bits{i}" for i in range(BITS)})
+    return sets.join(named, _same(keys) & (F.col("name") == F.col("_name"))).drop("_name", *[f"_{k}" for k in keys])
+
+
+def _filed(df: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """A narrow row for each token by which a set can be the smaller one of two (few), or the larger one: token, its place at and the set's size."""
     n = F.size("rare")
-    prefix = n - F.greatest(F.lit(LEAST_SHARED), F.ceil(n / 2).cast("int")) + 1
-    named = rare.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("name").alias("_name"), "rare", prefix.alias("prefix"))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("name") == F.col("_name"))
-    return sets.join(named, on).drop("_name", *[f"_{k}" for k in keys])
+    far = n - (needed(n, n) if few else F.lit(LEAST_SHARED)) + 1
+    narrow = df.select(*keys, "name", "first", n.alias("n"), *[f"bits{i}" for i in range(BITS)], F.posexplode(F.slice("rare", F.lit(1), far)).alias("at", "token"))
+    return narrow.withColumn("token", F.xxhash64("token", *keys))
 
 
 def _pairs(titles: DataFrame, leaders: DataFrame, keys: list[str], similar: Similar) -> DataFrame:
     """(keys, name, first, head, head_first): titles with the earlier ones of `leaders` that they are similar to."""
-    a = titles.select(*keys, "name", "first", "rare", "prefix")
-    b = leaders.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("name").alias("head"), F.col("first").alias("head_first"), F.col("rare").alias("head_rare"), F.col("prefix").alias("head_prefix"))
-    day = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    later = (F.col("head_first") < F.col("first")) & (F.col("token") == F.col("_token"))
-    few = lambda df, rare, prefix, name: df.withColumn(name, F.explode(F.slice(rare, F.lit(1), F.col(prefix))))
-    all_of = lambda df, rare, name: df.withColumn(name, F.explode(rare))
-    smaller = few(a, "rare", "prefix", "token").join(all_of(b, "head_rare", "_token"), day & later & (F.size("rare") <= F.size("head_rare")))
-    larger = all_of(a, "rare", "token").join(few(b, "head_rare", "head_prefix", "_token"), day & later & (F.size("rare") > F.size("head_rare")))
-    met = smaller.unionByName(larger).where(similar(F.col("rare"), F.col("head_rare")))
-    return met.select(*keys, "name", "first", "head", "head_first").distinct()
+    need, c = needed(F.col("n"), F.col("_n")), F.col
+    lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(c(f"{a}bits{i}").bitwiseAND(F.bitwise_not(c(f"{b}bits{i}")))) for i in range(BITS)])
+    spare, _spare = c("n") - need, c("_n") - need
+    may = (c("at") <= spare) & (c("_at") <= _spare) & (lacks("", "_") <= spare) & (lacks("_", "") <= _spare)
+    on = (c("token") == c("_token")) & _same(keys) & (c("_first") < c("first")) & may
+
+    def met(few: bool, sizes: Column) -> DataFrame:
+        b = _filed(leaders, keys, not few)
+        return _filed(titles, keys, few).join(b.select(_marked(b)), on & sizes).select(*keys, "name", c("_name").alias("head"))
+
+    named = met(True, c("n") <= c("_n")).unionByName(met(False, c("n") > c("_n"))).distinct()
+    of = lambda df, name, mark: df.select(*[c(k).alias(f"{mark}{k}") for k in keys], c("name").alias(f"{mark}{name}"), c("first").alias(f"{mark}first"), c("rare").alias(f"{mark}rare"))
+    late = named.join(of(titles, "name", "a_"), _same(keys, "a_") & (c("name") == c("a_name")))
+    both = late.join(of(leaders, "head", "b_"), _same(keys, "b_") & (c("head") == c("b_head")))
+    return both.where(similar(c("a_rare"), c("b_rare"))).select(*keys, "name", c("a_first").alias("first"), "head", c("b_first").alias("head_first"))
 
 
 def similar_pairs(sets: DataFrame, keys: list[str], similar: Similar) -> DataFrame:
     """(keys, name, first, head, head_first): every set with the earlier ones of its day that it is similar to; sets as for `lead`."""
-    rows = stored(_by_rarity(sets, keys))
+    rows = stored(_by_rarity(stored(sets), keys))  # sets are read three times
     return _pairs(rows, rows, keys, similar)
 
 
