@@ -180,6 +180,21 @@ def test_late_articles_change_only_the_open_window(spark, tmp_path):
     assert ("A", 3, 0.5, 1) in seen[2]
 
 
+def test_a_symbols_state_gets_sessions_not_articles():
+    """A hot symbol's articles are summed where they are read; rows without score or position keep their time, which moves the watermark."""
+    import pyarrow as pa
+
+    schema = pa.schema([("symbol", pa.string()), ("pos", pa.int64()), ("at", pa.timestamp("us", "UTC")), ("score", pa.float64())])
+    at = [c.replace(tzinfo=dt.UTC) for c in closes(7)]
+    batches = [pa.RecordBatch.from_pylist([{"symbol": "A", "pos": i % 7, "at": at[i % 7], "score": 0.5 if i % 10 else None} for i in range(1000)], schema) for _ in range(200)]
+    batches += [pa.RecordBatch.from_pylist([{"symbol": "", "pos": None, "at": at[6], "score": None}], schema)]
+    got = [r for b in event_choice.summed(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == 8
+    assert sum(r["many"] for r in got) == 200 * 900 and sum(r["total"] or 0 for r in got) == 200 * 450
+    assert [r for r in got if r["pos"] is None] == [{"symbol": "", "pos": None, "at": at[6], "total": None, "many": 0}]
+    assert list(event_choice.summed(iter([]))) == []
+
+
 def test_late_articles_reach_their_session(spark, tmp_path):
     from tickloom.operators.alignment import daily_sentiment
     from tickloom.streaming.pipelines import upsert_daily
