@@ -150,3 +150,21 @@ def test_stems(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(H.stem(F.col("w"))).collect()]
     assert got == [H.plain_stem(w) for w in words] == "share launch loss push news ris gain box pass class using".split()
+
+
+def test_places_of_a_large_table_are_whole(spark, tmp_path):
+    """A range sort cuts by a sample: counts and numbers must come from one and the same sort."""
+    from tickloom.plans import QUERIES
+
+    n = F.col("id")
+    parts = spark.range(120_000).select(n.alias("p_partkey"), F.lit("x").alias("p_name"), (F.xxhash64(n) % 1000).cast("int").alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    parts.repartition(7).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(300).select(n.alias("l_partkey"), F.lit(2.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many ranges as a large table has
+    try:
+        got = {r.symbol: r.place for r in QUERIES["table_sort"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    size = {r.p_partkey: r.p_size for r in parts.collect()}
+    order = sorted(size, key=lambda k: (size[k] % 5 == 0, -size[k] if size[k] % 5 else 0, k))
+    assert got == {k: i + 1 for i, k in enumerate(order)}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.functions.storage import stored
+
 
 @dataclass(frozen=True)
 class Preset:
@@ -92,6 +94,17 @@ def table_sort(rows: DataFrame, column: str, descending: bool = False, ordinal:
     return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "id")
 
 
+def with_places(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in rows that are ordered as a whole: its number in its partition and the rows of those before.
+
+    The numbered rows are stored once: a sort that ran twice could cut its ranges elsewhere, and the counts would not fit the numbers."""
+    at = stored(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    part, n = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = at.groupBy(part.alias("__p")).agg(F.count("*").alias("__rows"))  # a row for each partition
+    before = counts.select("__p", F.coalesce(F.sum("__rows").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return at.join(F.broadcast(before), part == F.col("__p")).withColumn(place, F.col("__before") + n + 1).drop("__at", "__p", "__before")
+
+
 def status_combine(statuses: DataFrame, keys: list[str]) -> DataFrame:
     """Worst state of a group (ok, stale, partial, unavailable); unavailable beside usable is partial; oldest as_of; distinct reasons."""
     rank = F.when(F.col("state") == "ok", 0).when(F.col("state") == "stale", 1).when(F.col("state") == "partial", 2).when(F.col("state") == "unavailable", 3)

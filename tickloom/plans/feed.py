@@ -155,12 +155,7 @@ def overview_rows(spark, d):
 @query("table_sort", with_views("quotes", "SELECT symbol, row_number() OVER (ORDER BY pe_ratio DESC NULLS LAST, symbol) AS place FROM quotes"))
 def table_sort(spark, d):
     """Places in the order of P/E, highest first, unknown last: a range sort, then each partition's offset from its counts."""
-    s = C.table_sort(V.quotes(spark, d).withColumn("id", F.col("symbol")), "pe_ratio", descending=True).select("symbol", F.monotonically_increasing_id().alias("at"))
-    part, n = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    s = s.select("symbol", part.alias("part"), n.alias("n"))
-    counts = s.groupBy("part").agg(F.count("*").alias("rows"))  # a row for each partition
-    before = counts.select(F.col("part").alias("p"), F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return s.join(F.broadcast(before), F.col("part") == F.col("p")).select("symbol", (F.col("before") + F.col("n") + 1).alias("place"))
+    return C.with_places(C.table_sort(V.quotes(spark, d).withColumn("id", F.col("symbol")), "pe_ratio", descending=True).select("symbol"))
 
 
 @query("country_options", with_views("watchers", "SELECT country, count(DISTINCT owner_id) AS owners, lower(country) AS sort_key FROM watchers GROUP BY country"))
