@@ -117,3 +117,12 @@ def test_pattern_sentences(spark):
     rows = [("bullish", 20, 0.55, 0.5, True), ("bearish", 20, 0.555, None, True), ("neutral", 40, None, None, True), ("bullish", 1, 1.0, 0.5, False), ("bullish", None, None, None, None)]
     df = spark.createDataFrame(rows, "bias string, n int, hit_rate double, base_rate double, sufficient boolean")
     assert [r[0] for r in df.select(P.sentence()).collect()] == ["Closed higher a week later in 55% of 20 cases, against 50% of comparable days", "Closed lower a week later in 56% of 20 cases, against an unknown share of comparable days", "Seen 40 times; it points neither way", "Seen 1 time, too few to judge (fewer than 15)", "Seen 0 times, too few to judge (fewer than 15)"]
+
+
+def test_an_items_text_is_parsed_once(spark, tmp_path):
+    """Conditions on parsed fields do not repeat the parsing."""
+    from tickloom.sources import feeds
+
+    spark.createDataFrame([("<item><title>A - B</title><link>https://x.example/1</link></item>",)], "value string").write.text(f"{tmp_path}/feed")
+    got = feeds.read_feed(feeds.read_items(spark, f"{tmp_path}/feed")).where("fault is null")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1

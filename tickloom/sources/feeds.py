@@ -21,7 +21,7 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     at = cut.select(F.posexplode(parts).alias("i", "part"), (F.size(parts) - 1).alias("last")).where(F.col("part").rlike(r"\A<item[\s>]"))
     item = F.when(F.col("i") == F.col("last"), F.concat("part", F.lit("</item>"))).otherwise(F.col("part"))
     read = F.from_xml(item, ITEM, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "damaged", "rowTag": "item", "ignoreNamespace": "true"})
-    return at.select(read.alias("item")).select("item.*")
+    return at.select(F.inline(F.array(read)))  # a generator: conditions on an item's fields stay above it, so each item is parsed once
 
 
 def feed_time(raw: Column) -> Column:
