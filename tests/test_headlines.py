@@ -152,3 +152,14 @@ def test_filters_without_text_or_labels(spark):
 def test_looks(spark):
     df = spark.createDataFrame([("Acme's (NYSE: ACM) up 4.5% to $12.5 million, 1,200 sold",)], "t string")
     assert df.select(M.words(F.col("t"))).first()[0] == "acme _tick up _rate to _sum _mark _count sold".split()
+
+
+def test_a_judged_headlines_words_are_read_once(spark, sf):
+    """Its features are not shuffled to the weights, and its looks are replaced once, not for each use of the words."""
+    from tickloom.plans import QUERIES
+
+    plan = QUERIES["news_recap"](spark, sf)._jdf.queryExecution().optimizedPlan()
+    assert "broadcast" in plan.toString().split("Join LeftOuter")[1].split("\n")[0]
+    titles = spark.range(1).select(F.col("id").alias("k"), F.concat(F.lit("Acme falls "), F.col("id"), F.lit("%")).alias("title"))
+    weights = spark.createDataFrame([("acme", 1.0)], "feature string, weight double")
+    assert M.flag(titles, weights, ["k"])._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1

@@ -26,7 +26,11 @@ def words(title: Column) -> Column:
 
 def features(title: Column) -> Column:
     """Distinct words, and pairs of neighbours with the headline's edges."""
-    w = words(title)
+    return features_of(words(title))
+
+
+def features_of(w: Column) -> Column:
+    """Features from a headline's words: a column of its own, as it is read several times and `words` is costly."""
     edged = F.concat(F.array(F.lit("<")), w, F.array(F.lit(">")))
     pairs = F.zip_with(F.slice(edged, F.lit(1), F.size(edged) - 1), F.slice(edged, F.lit(2), F.size(edged) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.concat(w, pairs))
@@ -48,7 +52,8 @@ def train(labelled: DataFrame, title: str = "title", label: str = "label") -> Da
 def flag(headlines: DataFrame, weights: DataFrame, key: list[str], title: str = "title", least: float = 0.0) -> DataFrame:
     """(key, score, hit): the summed weights of each headline's features, and whether they are over `least`.  A title with no known word
     is never flagged, whatever the kind's share; key must tell rows apart."""
-    f = headlines.select(*key, F.explode(F.concat(F.array(F.lit("")), features(F.col(title)))).alias("f"))
+    read = headlines.select(*key, words(F.col(title)).alias("__words"))
+    f = read.select(*key, F.explode(F.concat(F.array(F.lit("")), features_of(F.col("__words")))).alias("f"))
     met = f.join(weights, F.col("f") == F.col("feature"), "left")
     known = F.count_if((F.col("f") != "") & F.col("weight").isNotNull()) > 0
     scored = met.groupBy(*key).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score"), known.alias("known"))

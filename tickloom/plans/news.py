@@ -168,7 +168,7 @@ def _flagged(spark, d, kind: str):
     """Headlines of shapes that the filter has not seen, judged by what it learned from others."""
     every = F.element_at(F.array(*[F.lit(i) for i in range(len(L.shapes(L.TRAIN)))]), (F.col("o_orderkey") % len(L.shapes(L.TRAIN)) + 1).cast("int"))
     once = L.headlines(spark, d, L.TRAIN).groupBy(every.alias("nth"), "kind").agg(F.min_by("title", "o_orderkey").alias("title"))
-    weights = M.train(once.withColumn("label", F.col("kind") == kind))
+    weights = F.broadcast(M.train(once.withColumn("label", F.col("kind") == kind)))  # features of the fixed shapes, so a headline's features stay where they are
     got = M.flag(L.headlines(spark, d, L.JUDGED), weights, ["o_orderkey"], least=LEAST[kind])
     return got.select("o_orderkey", F.round("score", 6).alias("score"), "hit")
 
