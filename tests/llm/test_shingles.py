@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tickloom.llm import setjoin, shingles as near, simhash
 
 SCHEMA = "doc_id long, text string, id string, gone int"
 
@@ -48,3 +49,19 @@ def test_the_stage_equals_all_pairs(spark):
 
 def test_no_rows(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_simhash_links_are_made_and_checked(spark, monkeypatch):
+    """Fingerprints link copies and one pair that shares but a repeated word; the copies go, even if the join names nothing."""
+    rng = random.Random(7)
+    text = [f"w{rng.randint(0, 900)}" for _ in range(400)]
+    docs = [(1, " ".join(text)), (2, " ".join(text)), (3, " ".join([*text[:399], "own"])), (4, "a " * 900 + "b c d e f"), (5, "a " * 900 + "g h i j k"), (6, "l m n o p q"), (7, "L m n\to p q")]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], SCHEMA)
+    made = []
+    plain = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    monkeypatch.setattr(near, "first_round", lambda filed, num, den, most: setjoin.first_round(filed.where("file < 0"), num, den, most))
+    left = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5, 6]
+    assert {(r.id, r.component) for r in made[0].where("id <> component").collect()} == {(2, 1), (3, 1), (5, 4), (7, 6)}
+    assert brute(docs) == {2, 3, 7}
