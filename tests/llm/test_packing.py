@@ -110,3 +110,18 @@ def test_no_rows_and_bad_lengths(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), tokenizer_path("word_bpe_49k.json")).count() == 0
     with pytest.raises(ValueError, match="does not fit"):
         packing.pack(spark.createDataFrame([(1, 0, 5000)], "doc_id long, piece int, length int"))
+
+
+def test_runs_of_marks_are_split_off_and_letters_are_learned_once():
+    from tokenizers import Tokenizer
+
+    definition = open(tokenizer_path("word_bpe_49k.json")).read()
+    plain, ours = Tokenizer.from_str(definition), packing.WordTokenizer(definition)
+    rng = random.Random(3)
+    stems = ["rain", "RAIN", "Größe", "ÿ", "ΣΑΣ", "K", "ẞ", "é", "µ", "l'eau", "don't", "x²", "日本"]
+    words = [a + "".join(rng.choices(packing.MARKS, k=rng.randint(0, 4))) + b for a in stems for b in ("", "s", "'s", "S'", "̸") for _ in range(40)]
+    for word, raw in zip(words, ours.ids([w.encode() for w in words]), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(word, add_special_tokens=False).ids, word
+    ours = packing.WordTokenizer(definition)
+    ours.ids([b"rain.### Rain$$$ RAIN!! rain"])
+    assert set(ours.stems) == {"rain"} and len(ours.words) == 4

@@ -9,6 +9,8 @@ salted groups so that no length, however common, is ranked in one task.
 from __future__ import annotations
 
 import os
+import re
+import string
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -25,61 +27,89 @@ from tickloom.llm.common import cut, hash_bucket, utf8_list, worker_cache
 
 END_ID = 1
 #: Words kept in a task's memory of encoded words; it is emptied when full.
-WORD_MEMORY = 200_000
-#: The marks that are split off after letters, and how the tokenizer's vocabulary writes a word's last token; fixed values.
-MARKS = (".", ",", ";", ":", "!", "?")
+WORD_MEMORY = 500_000
+#: ASCII marks, which are split off after letters; letters of Latin-1 in lower case; how the tokenizer's vocabulary writes a word's last
+#: token; fixed values.
+MARKS = ".,;:!?" + "".join(x for x in string.punctuation if x not in ".,;:!?")
+LATIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 WORD_END = "</w>"
 
 
 class WordTokenizer:
     """Encodes texts with a tokenizer that drops white space and ends each word's last token alike: each word is encoded once and
-    remembered.  Words of letters are encoded many at a time and told apart by their end tokens; a mark that follows letters is a
-    word of its own to such a tokenizer, so it is split off.  Other words are encoded one by one."""
+    remembered.  Marks that follow letters are a word of their own to such a tokenizer, so they are split off.  Letters of Latin-1, which
+    have one lower-case form and compose with nothing, are put in lower case here and encoded many at a time by the model alone; other
+    letters go through the whole tokenizer, many at a time too.  Both are told apart by their end tokens.  Other words are encoded one by
+    one."""
 
     def __init__(self, definition: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer, self.model = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {m: self._one(m) for m in MARKS} | {"": b""}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, stems: list[str]) -> None:
+    def _learn(self, stems: list[str], tokenizer) -> None:
         """Encodes words of letters, some hundreds at a time."""
         groups = [stems[i : i + 256] for i in range(0, len(stems), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(to) == len(group):
-                raw = ids.tobytes()
-                self.stems.update(zip(group, [raw[a:b] for a, b in zip([0, *to], to, strict=False)], strict=True))
-            else:  # a letter to Python that is none to the tokenizer
-                self.stems.update((w, self._one(w)) for w in group)
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, e in zip(part, tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(to) == len(group):
+                    raw = ids.tobytes()
+                    self.stems.update(zip(group, [raw[a:b] for a, b in zip([0, *to], to, strict=False)], strict=True))
+                else:  # a letter to Python that is none to the tokenizer
+                    self.stems.update((w, self._one(w)) for w in group)
 
     def _encode(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        text = b" ".join(words).decode()
+        lowered = text.lower().split(" ")  # letter for letter where it is used, below
+        stems = [w.rstrip(MARKS) for w in lowered]
+        plain = [s.isalpha() and (s.isascii() or LATIN(s) is not None) for s in stems]
+        known, learned, marks = self.words, self.stems, self.marks
+        self._learn(list({s for s, ok in zip(stems, plain, strict=True) if ok}.difference(learned)), self.model)
+        rest = []
+        for w, low, stem, ok in zip(words, lowered, stems, plain, strict=True):
+            if ok:
+                tail = low[len(stem) :]
+                if tail not in marks:
+                    marks[tail] = self._one(tail)
+                known[w] = learned[stem] + marks[tail]
+            else:
+                rest.append(w)
+        if rest:
+            self._encode_others(rest)
+
+    def _encode_others(self, words: list[bytes]) -> None:
         split, rest = [], []
         for w in words:
-            if w.isalpha():  # ASCII letters only
-                split.append((w, w.lower().decode(), ""))
-                continue
             text = w.decode()
-            text = text.lower() if text.isascii() else text
-            stem, mark = (text[:-1], text[-1]) if text[-1] in MARKS else (text, "")
+            stem = text.rstrip(MARKS)
             # judged as the tokenizer sees it: in lower case and composed, where a letter may have become a letter and a sign
-            if stem.isascii() and stem.isalpha() or unicodedata.normalize("NFC", stem.lower()).isalpha():
-                split.append((w, stem, mark))
+            if unicodedata.normalize("NFC", stem.lower()).isalpha():
+                split.append((w, stem, text[len(stem) :]))
             else:
-                rest.append((w, w.decode()))  # as it is: the tokenizer's added tokens are matched before it lowers letters
-        self._learn(list({stem for _, stem, _ in split if stem not in self.stems}))
-        known, stems = self.words, self.stems
-        for w, stem, mark in split:
-            known[w] = stems[stem] + stems[mark]
+                rest.append((w, text))  # as it is: the tokenizer's added tokens are matched before it lowers letters
+        known, stems, marks = self.words, self.stems, self.marks
+        self._learn(list({stem for _, stem, _ in split}.difference(stems)), self.tokenizer)
+        for w, stem, tail in split:
+            if tail not in marks:
+                marks[tail] = self._one(tail)
+            known[w] = stems[stem] + marks[tail]
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
@@ -91,7 +121,9 @@ class WordTokenizer:
         if len(self.words) > WORD_MEMORY:
             self.words.clear()
         if len(self.stems) > WORD_MEMORY:
-            self.stems = {m: self.stems[m] for m in (*MARKS, "")}
+            self.stems.clear()
+        if len(self.marks) > WORD_MEMORY:
+            self.marks = {"": b""}
         known = self.words
         self._encode(list(set().union(*split).difference(known)))
         return [b"".join(map(known.__getitem__, words)) for words in split]
