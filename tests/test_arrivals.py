@@ -210,3 +210,12 @@ def test_late_articles_reach_their_session(spark, tmp_path):
     body(rows(("A", day(2), 0.7)), 1)  # once more
     body(rows(), 2)
     assert held() == want
+
+
+def test_a_part_is_not_scattered_over_files(spark, table):
+    """Rows of every month in every task of the merge: each month goes to one file."""
+    rows = spark.range(0, 600, 1, 8).selectExpr("concat('k', id) AS key", "concat('2024-', lpad(id % 6 + 1, 2, '0')) AS month", "'X' AS symbol", "timestamp '2024-01-01' AS at", "id AS n")
+    table.merge = lambda stored, new: stored.unionByName(new)
+    table.commit("s", 0, rows)
+    assert table.read().count() == 600 and len(table.manifest().parts) == 6
+    assert all(len([f for f in table.files.names(f"data/{folder}") if f.endswith(".parquet")]) == 1 for folder in table.manifest().parts.values())

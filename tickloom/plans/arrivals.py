@@ -23,20 +23,24 @@ def merge_stories(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return U.upsert_articles(stored, batch)
 
 
-def _story_files(spark: SparkSession, d: str) -> str:
-    """Orders as fetched stories, in four files: a story is a customer's month, found under the symbols of its orders' states."""
+#: Batches that the stories come in, and rows that a file of theirs holds about.
+BATCHES, FILE_ROWS = 4, 500_000
+
+
+def _story_files(spark: SparkSession, d: str) -> tuple[str, int]:
+    """Orders as fetched stories, in as many files for each batch as their number asks for (given too): a story is a customer's month, found under the symbols of its orders' states."""
     o = V.table(spark, d, "orders")
     month = F.date_format("o_orderdate", "yyyy-MM")
     rows = o.select(F.concat_ws("|", F.col("o_custkey").cast("string"), month).alias("key"), month.alias("month"), F.array("o_orderstatus").alias("symbols"), F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.col("o_orderpriority").alias("title"))
-    folder = new_folder(spark, "stories")
-    rows.repartition(4, "key", "symbol").write.parquet(folder)
-    return folder
+    folder, each = new_folder(spark, "stories"), -(-max(1, o.count()) // (BATCHES * FILE_ROWS))
+    rows.repartition(BATCHES * each, "key", "symbol").write.parquet(folder)
+    return folder, each
 
 
 def _upserted(spark: SparkSession, d: str) -> versions.VersionedTable:
-    folder = _story_files(spark, d)
+    folder, each = _story_files(spark, d)
     table = versions.VersionedTable(spark, new_folder(spark, "story-table"), f"{STORY}, symbol string", "month", lambda a, b: merge_stories(a.drop("symbol"), b.drop("symbol")).withColumn("symbol", F.lit(None).cast("string")), ("symbol", "published_at"))
-    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", each).parquet(folder)
     versions.ingest(stream, table, "orders", new_folder(spark, "story-checkpoint"), keys=["key", "symbol"], time="published_at", late="20000 days")
     return table
 

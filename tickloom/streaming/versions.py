@@ -17,6 +17,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -90,7 +91,11 @@ class VersionedTable:
 
     def _parts(self, m: Manifest, only: Sequence[str] | None) -> DataFrame:
         paths = [f"{self.folder}/data/{f}" for p, f in sorted(m.parts.items()) if only is None or p in only]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self._empty(self.schema)
+
+    def _empty(self, schema: StructType) -> DataFrame:
+        """No rows, made without a Python worker."""
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
     def state(self, version: int | None = None) -> DataFrame:
         """(symbol, covered_start, newest, rows): over all rows that batches brought, repeated ones included."""
@@ -98,7 +103,7 @@ class VersionedTable:
         if m.state:
             return self.spark.read.parquet(f"{self.folder}/data/{m.state}")
         time = self.schema[self.covers[1]].dataType.simpleString()
-        return self.spark.createDataFrame([], f"symbol string, covered_start {time}, newest {time}, rows long")
+        return self._empty(StructType.fromDDL(f"symbol string, covered_start {time}, newest {time}, rows long"))
 
     def commit(self, stream: str, number: int, batch: DataFrame, marks: Sequence[str] = ()) -> Manifest:
         """Merges a batch unless it is in already.  Rows whose part is null are left out."""
@@ -114,7 +119,8 @@ class VersionedTable:
             if touched:
                 slot: Column = F.col(self.part).cast("string")
                 merged = self.merge(self._parts(before, touched), rows)
-                merged.select(*self.schema.names).withColumn("_part", slot).write.partitionBy("_part").parquet(f"{self.folder}/data/{name}")
+                # each part goes to one task, or a few if it is large, not from every task to a file of its own
+                merged.select(*self.schema.names).withColumn("_part", slot).hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(f"{self.folder}/data/{name}")
                 parts |= {p: f"{name}/_part={self._escaped(p)}" for p in touched}
             symbol, time = self.covers
             fresh = rows.groupBy(F.col(symbol).cast("string").alias("symbol")).agg(F.min(time).alias("covered_start"), F.max(time).alias("newest"), F.count("*").alias("rows"))
