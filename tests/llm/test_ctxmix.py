@@ -181,3 +181,14 @@ def test_query_beats_the_base_on_held_out_text(spark, sf):
         assert (r.train_tokens, r.n_tokens, r.n_known) == (n, len(tokens) + 1, sum(w in words for w in tokens) + 1)
         base = sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens) + math.log10((len(train) + 0.1) / (n + 0.1 * (v + 1)))
         assert r.base_score == pytest.approx(base, rel=1e-9)
+
+
+def test_mixing_takes_a_few_steps_a_bit(monkeypatch):
+    """Sums and weights of a byte's eight bits are done at once: one sum of products for each byte, not one for each bit."""
+    calls, plain = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    rng = np.random.default_rng(2)
+    values = rng.integers(-20, 20, (4, 40, 8)).astype(np.int8).view(np.uint64).reshape(4, -1)
+    bits = ctxmix.mix(values, np.array([3] * 10 + [1] * 10))
+    assert len(calls) == 20 and len(bits) == 3 and (bits > 0).all()
+    assert np.allclose(ctxmix.mix(np.zeros((4, 5), np.uint64), np.ones(5, int)), 40)

@@ -308,32 +308,44 @@ def mix(values: np.ndarray, many: np.ndarray) -> np.ndarray:
     eight logits for each byte, all segments' first bytes, then all their second ones, and so on."""
     width, k = int(many[0]) if len(many) else 0, len(values)
     bits, at = np.zeros(width), 0
-    weights = np.empty((8, k, width), np.float32)
-    weights[:] = (np.array(START, np.float32) / UNIT)[None, :, None]
+    weights = np.empty((8, k, width), np.float32)  # negative, as what is needed is exp of minus the sum
+    weights[:] = -(np.array(START, np.float32) / UNIT)[None, :, None]
     scales = np.repeat(np.array(SCALES, np.float32), width)
-    place, rate, scale_rate = np.arange(width), np.float32(RATE / UNIT**2), np.float32(SCALE_RATE)
-    low, high, least, most = (np.float32(x) for x in (-10, 10, 0.2, 8))
+    place = np.arange(width)
+    rate, scale_rate, low, high, least, most, one = (np.array(x, np.float32) for x in (-RATE / UNIT**2, -SCALE_RATE, -10, 10, 0.2, 8, 1))
     eight = values.view(np.int8).reshape(k, -1, 8)
+    old = 0  # arrays are made anew only where fewer segments are left
     for m in many.tolist():
+        if m != old:
+            xs, e, ups, misses, taken, new = np.empty((8, k, m), np.float32), np.empty(m, np.float32), *(np.empty((8, m), np.float32) for _ in range(3)), np.empty(m, np.float32)
+            gates, w, old, here = np.empty((8, m), np.int64), weights[:, :, :m], m, place[:m]
         x8 = eight[:, at : at + m]
         at += m
-        x = x8.transpose(2, 0, 1).astype(np.float32, order="C")
-        known = (x8 != 0).view(np.int8).sum(axis=0, dtype=np.int8).T.astype(np.int64)
-        costs = np.ones(m, np.float32)
-        for bit in range(8):
-            own, w = x[bit], weights[bit, :, :m]
-            plain = np.einsum("km,km->m", w, own)
-            gate = known[bit] * width + place[:m]
-            scale = scales.take(gate)
-            e = np.exp(np.minimum(np.maximum(-plain * scale, low), high))
-            up = e + np.float32(1)
-            costs *= up
-            miss = e / up
-            scales[gate] = np.minimum(np.maximum(scale + scale_rate * miss * plain, least), most)
-            miss *= rate * scale
-            own *= miss
-            w += own
-        bits[:m] += np.log2(costs)
+        xs[:] = x8.transpose(2, 0, 1)
+        known = (x8 != 0).view(np.int8).sum(axis=0, dtype=np.int8)
+        np.multiply(known.T, width, out=gates, dtype=np.int64)
+        gates += here
+        # a bit has weights of its own, so eight bits are summed and learned from at once; only their scales follow each other
+        plains = np.einsum("bkm,bkm->bm", w, xs)
+        steps = plains * scale_rate
+        for plain, step, gate, up, miss, scale in zip(plains, steps, gates, ups, misses, taken, strict=True):
+            scales.take(gate, out=scale, mode="clip")
+            np.multiply(plain, scale, out=e)
+            np.minimum(e, high, out=e)
+            np.maximum(e, low, out=e)
+            np.exp(e, out=e)
+            np.add(e, one, out=up)
+            np.divide(e, up, out=miss)
+            np.multiply(miss, step, out=new)
+            np.add(new, scale, out=new)
+            np.maximum(new, least, out=new)
+            np.minimum(new, most, out=new)
+            scales[gate] = new
+        taken *= misses
+        taken *= rate
+        xs *= taken[:, None, :]
+        w += xs
+        bits[:m] += np.log2(np.multiply.reduce(ups, axis=0))
     return bits
 
 
