@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tickloom.llm import toxicity, urlfilter
 from tickloom.llm.queries import URL_RULES
@@ -153,3 +154,11 @@ def test_trees_equal_plain_boosting():
         step = grow(np.arange(120), y - p, p * (1 - p), 0)
         score = score + np.array([step[r] for r in range(120)])
     assert np.allclose(model.raw(x), score)
+
+
+def test_packed_numbers_are_read_where_they_lie():
+    rows = [b"", np.array([1, 2], "<i4").tobytes(), b"", np.array([3], "<i4").tobytes()]
+    whole = pa.array(rows, pa.binary())
+    read = lambda *chunks: toxicity._numbers(pa.chunked_array(chunks, pa.binary()), "<i4").tolist()
+    assert read(whole) == read(whole.slice(0, 2), whole.slice(2)) == [1, 2, 3]
+    assert read(whole.slice(2)) == [3] and read() == read(whole.slice(0, 1)) == read(whole.slice(0, 0)) == []

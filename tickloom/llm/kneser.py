@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, doc_slices, free_name, hash_bucket, text_bytes, utf8_list
@@ -188,12 +188,6 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "role": pa.array(join(roles, np.int32)), "n_bytes": pa.array(join(sizes, np.int64)), "logp": pa.array(join(sums, np.float64))})
 
 
-def _context(a: DataFrame, key: str) -> DataFrame:
-    """Of each context (all but the last byte): mass and how many continuations were seen once, twice, more often."""
-    ctx = F.shiftrightunsigned(F.col(key), 8)
-    return a.groupBy(F.col("lang").alias("c_lang"), ctx.alias("ctx")).agg(F.sum("a").alias("total"), F.count_if(F.col("a") == 1).alias("t1"), F.count_if(F.col("a") == 2).alias("t2"), F.count_if(F.col("a") > 2).alias("t3"))
-
-
 def _discounts(a: DataFrame) -> DataFrame:
     """For each language the three discounts of an order, from how many n-grams were seen once to four times (Chen and Goodman, 1999)."""
     n = a.groupBy(F.col("lang").alias("d_lang")).agg(*[F.count_if(F.col("a") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
@@ -207,35 +201,37 @@ def _discounted(a: Column) -> Column:
     return F.greatest(F.lit(0.0), a - F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3")))
 
 
-def _order(wanted: DataFrame, key: str, a: DataFrame, lower: DataFrame, lower_mask: int) -> DataFrame:
-    """(lang, key, p) for wanted (lang, key, a): a is the n-gram's count or number of left neighbours, 0 if unseen;
-    lower (l_lang, l_key, l_p) has the probability of the n-gram without its first byte."""
-    rows = wanted.join(_context(a, key), (F.col("lang") == F.col("c_lang")) & (F.shiftrightunsigned(F.col(key), 8) == F.col("ctx")), "left")
-    by_language = _discounts(a)  # a row for each language: Spark broadcasts it if it is small, and splits a large language's rows if not
-    rows = rows.join(by_language, F.col("lang") == F.col("d_lang"), "left")
-    rows = rows.join(lower, (F.col("lang") == F.col("l_lang")) & (F.col(key).bitwiseAND(F.lit(lower_mask)) == F.col("l_key")))
+def _order(asked: DataFrame, key: str) -> DataFrame:
+    """asked (lang, key, a) with what its context (all but the last byte) has: mass and how many continuations were seen once, twice, more
+    often.  A context has 256 continuations at most, so a window holds no more rows.  Also the discounts of the language."""
+    w = Window.partitionBy("lang", F.shiftrightunsigned(F.col(key), 8))
+    of_context = {"total": F.sum("a"), "t1": F.count_if(F.col("a") == 1), "t2": F.count_if(F.col("a") == 2), "t3": F.count_if(F.col("a") > 2)}
+    rows = asked.select("lang", key, "a", *[x.over(w).alias(name) for name, x in of_context.items()])
+    by_language = _discounts(asked)  # a row for each language: Spark broadcasts it if it is small, and splits a large language's rows if not
+    return rows.join(by_language, F.col("lang") == F.col("d_lang"), "left")
+
+
+def _interpolated(lower: Column) -> Column:
+    """The probability of an n-gram, given that of the n-gram without its first byte."""
     own = F.when(F.col("a") > 0, _discounted(F.col("a"))).otherwise(F.lit(0.0))
     back = F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")
-    p = F.when(F.col("total").isNull(), F.col("l_p")).otherwise((own + back * F.col("l_p")) / F.col("total"))
-    return rows.select("lang", key, p.alias("p"))
+    return F.when(F.col("total") == 0, lower).otherwise((own + back * lower) / F.col("total"))
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, gram, logp) for every row of counts (lang, gram, n); n is 0 for n-grams that are only asked for."""
+    """(lang, gram, logp) for every row of counts (lang, gram, n); n is 0 for n-grams that are only asked for.
+
+    An order has one table of the n-grams that are asked for, with a, its count (order 4) or number of left neighbours (below), 0 if unseen.
+    All that an order needs comes from this table by itself, so a plan names counts eight times and no more."""
     masks = {3: 0xFFFFFF, 2: 0xFFFF, 1: 0xFF}
-    seen = {4: counts.where("n > 0").select("lang", F.col("gram").alias("g4"), F.col("n").alias("a"))}
     asked = {4: counts.select("lang", F.col("gram").alias("g4"), F.col("n").alias("a"))}
     for k in (3, 2, 1):
-        key = F.col(f"g{k + 1}").bitwiseAND(F.lit(masks[k])).alias(f"g{k}")
-        seen[k] = seen[k + 1].groupBy("lang", key).agg(F.count("*").alias("a"))
-        wanted = asked[k + 1].select("lang", key).distinct()
-        left = seen[k].select(F.col("lang").alias("s_lang"), F.col(f"g{k}").alias("s_key"), "a")
-        asked[k] = wanted.join(left, (F.col("lang") == F.col("s_lang")) & (F.col(f"g{k}") == F.col("s_key")), "left").select("lang", f"g{k}", F.coalesce("a", F.lit(0)).alias("a"))
-    flat = asked[1].select(F.col("lang").alias("l_lang"), F.lit(0).alias("l_key"), F.lit(1 / 256).alias("l_p")).distinct()
-    p = _order(asked[1], "g1", seen[1], flat, 0)
+        asked[k] = asked[k + 1].groupBy("lang", F.col(f"g{k + 1}").bitwiseAND(F.lit(masks[k])).alias(f"g{k}")).agg(F.count_if(F.col("a") > 0).alias("a"))
+    p = _order(asked[1], "g1").select("lang", "g1", _interpolated(F.lit(1 / 256)).alias("p"))
     for k in (2, 3, 4):
         lower = p.select(F.col("lang").alias("l_lang"), F.col(f"g{k - 1}").alias("l_key"), F.col("p").alias("l_p"))
-        p = _order(asked[k], f"g{k}", seen[k], lower, masks[k - 1])
+        rows = _order(asked[k], f"g{k}").join(lower, (F.col("lang") == F.col("l_lang")) & (F.col(f"g{k}").bitwiseAND(F.lit(masks[k - 1])) == F.col("l_key")))
+        p = rows.select("lang", f"g{k}", _interpolated(F.col("l_p")).alias("p"))
     return p.select("lang", F.col("g4").alias("gram"), F.log("p").alias("logp"))
 
 

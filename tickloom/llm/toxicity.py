@@ -17,6 +17,7 @@ from math import log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,14 +69,16 @@ def fit_ordinal(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.
     k, n_rows = int(grades.max()) if len(grades) else 1, len(sizes)
     seen = np.bincount(col, minlength=width) if len(col) else np.zeros(width, np.int64)
     doc = np.repeat(np.arange(n_rows, dtype=np.int32), sizes)
+    parts = [slice(i, i + CHUNK) for i in range(0, len(col), CHUNK)]
     scale = np.zeros(width)
     for j in range(1, k + 1):
-        p = np.bincount(col[(grades >= j)[doc]], minlength=width)
+        p = sum((np.bincount(col[x][(grades >= j)[doc[x]]], minlength=width) for x in parts), np.zeros(width, np.int64))
         n = int((grades >= j).sum())
         scale = np.maximum(scale, np.abs(np.log((p + 1) / (n + 2)) - np.log((seen - p + 1) / (n_rows - n + 2))))
     scale[seen < least_rows] = 0
-    kept = scale[col] > 0
+    kept = (scale > 0)[col]
     doc, col, val = doc[kept], col[kept], val[kept]
+    del kept
     parts = [slice(i, i + CHUNK) for i in range(0, len(col), CHUNK)]
     for x in parts:
         val[x] *= scale[col[x]]
@@ -143,15 +146,27 @@ def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_co
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "grade", "text").mapInArrow(each, "id long, grade int, cols binary, vals binary")
-    got = sample.toArrow()  # sample_rows rows at most (more only for repeated ids)
-    cols, vals = got.column("cols").to_pylist(), got.column("vals").to_pylist()
-    order = sorted(range(len(cols)), key=lambda i: (got.column("id")[i].as_py(), cols[i], vals[i]))  # rows arrive in any order
-    y = got.column("grade").to_numpy().astype(np.int64)[order]
-    cols, vals = [cols[i] for i in order], [vals[i] for i in order]
+    return _fitted(sample.toArrow(), counts, max_grade, width, stems)  # sample_rows rows at most (more only for repeated ids)
+
+
+def _fitted(sample: pa.Table, counts: dict[int, int], max_grade: int, width: int, stems: tuple[int, ...]) -> OrdinalModel:
+    """The model of the rows of a sample.  Features are read where Arrow holds them, not copied to lists."""
+    sample = sample.sort_by([(c, "ascending") for c in ("id", "cols", "vals")])  # rows arrive in any order
+    y = sample.column("grade").to_numpy().astype(np.int64)
     of_grade = np.bincount(y, minlength=max_grade + 1)
     weight = np.array([counts[g] / of_grade[g] for g in y.tolist()], np.float64)
-    sizes = np.array([len(x) // 4 for x in cols], np.int64)
-    return fit_ordinal(sizes, np.frombuffer(b"".join(cols), "<i4"), np.frombuffer(b"".join(vals), "<f4"), y, weight, width=width, stems=stems)
+    sizes = pc.binary_length(sample.column("cols")).to_numpy().astype(np.int64) // 4
+    return fit_ordinal(sizes, _numbers(sample.column("cols"), "<i4"), _numbers(sample.column("vals"), "<f4"), y, weight, width=width, stems=stems)
+
+
+def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers of all rows of a packed column, one row after the other."""
+    found = []
+    for x in column.chunks:
+        _, offsets, data = x.buffers()
+        at = np.frombuffer(offsets, np.int32)[x.offset : x.offset + len(x) + 1] if len(x) else [0, 0]
+        found.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind))
+    return found[0] if len(found) == 1 else np.concatenate(found or [np.zeros(0, kind)])
 
 
 def expected_severity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", out_col: str = "severity", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -181,6 +196,7 @@ def expected_severity(docs: DataFrame, model: OrdinalModel, *, text_col: str = "
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **fit) -> DataFrame:
     """documents without those whose expected severity is at the threshold or above; all columns stay."""
     model = train(docs, labels, **fit)
+    pa.default_memory_pool().release_unused()  # the sample's
     names = docs.columns
     grade = free_name("severity", names)
     return expected_severity(docs, model, keep=tuple(names), out_col=grade).where(F.col(grade) < threshold).select(*names)
