@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,30 @@ def test_mixing_takes_a_few_steps_a_bit(monkeypatch):
     bits = ctxmix.mix(values, np.array([3] * 10 + [1] * 10))
     assert len(calls) == 20 and len(bits) == 3 and (bits > 0).all()
     assert np.allclose(ctxmix.mix(np.zeros((4, 5), np.uint64), np.ones(5, int)), 40)
+
+
+def block(texts, copies, held=False):
+    rows = [(i, held, b"", 0, True, n, bytes(ctxmix.HEAD), len(t), pa.compress(t, "zstd", asbytes=True) if t else b"", 0, 3) for i, (t, n) in enumerate(zip(texts, copies, strict=True))]
+    names = [x.split()[0] for x in ctxmix.PIECES.split(", ")] + ["block", "shards"]
+    return pa.table({name: list(x) for name, x in zip(names, zip(*rows, strict=True), strict=True)})
+
+
+def test_words_and_their_places_equal_split():
+    for texts in ([b"", b" b a\t\nb\x0b\x0c\r", b"a", "é\x85 é\xa0c \x1c".encode(), b"  "], [b""], [b" \n"], [b"x"]):
+        words, place, own = ctxmix._words(block(texts, [1] * len(texts)))
+        assert words == sorted({w for t in texts for w in t.split()})
+        assert own.tolist() == [len(t.split()) for t in texts]
+        assert [words[i] for i in place] == [w for t in texts for w in t.split()]
+
+
+def test_a_block_is_named_without_slow_sorts(monkeypatch):
+    """What is sorted with its place is sorted as one number, the rest by counting 8 or 16 bits; repeated texts are no exception."""
+    kinds, plain = set(), np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: kinds.add(x.dtype.itemsize) or plain(x, *a, **k))
+    named = ctxmix._namer(3)(block([b"one two one", b"two three", b"", b"one"], [1, 5, 1, 2]))
+    assert kinds and max(kinds) <= 2
+    found = {}
+    for row in named.to_pylist():
+        if row["many"][0]:
+            found |= dict(zip(ctxmix._text(row["names"][0]).split(b" "), ctxmix._unpack(row["counts"][0], row["many"][0], "<i8").tolist(), strict=True))
+    assert found == {b"one": 4, b"two": 6, b"three": 5}

@@ -42,9 +42,10 @@ RATE, SCALE_RATE = 0.012, 0.004
 UNIT = 4.0  # logits are kept as whole quarters, which pack well and cost nothing that could be seen
 PIECE = 1 << 20
 BATCH = 8 << 20
-SLICE = 4 << 20  # bytes of a block that are mixed at a time
+SLICE = 3 << 20  # bytes of a block that are mixed at a time
 FIXED = 1 << 20  # bits are summed as whole numbers of 1/FIXED bit
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+GAPS = np.isin(np.arange(256), list(b" \t\n\r\v\f"))  # the bytes that SPACE matches
 WORDS = -1
 KINDS = (WORDS, *ORDERS)  # what a row of names holds, each kind in its place
 
@@ -95,24 +96,23 @@ def grams(before: list[bytes], bodies: list[bytes]) -> tuple[np.ndarray, np.ndar
 
 
 def _dense(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Numbers of 24 bits by their rank among those that occur, and the bits that a rank takes."""
-    there = np.zeros(1 << 24, bool)
-    there[x] = True
-    rank = np.cumsum(there, dtype=np.int32)
-    return (rank - np.int32(1))[x].astype(np.uint64), int(rank[-1]).bit_length()
+    """Numbers in as narrow a type as holds them, and the bits that they take.  Stable sorts of 8 and 16 bits count, they don't compare."""
+    bits = int(x.max(initial=0)).bit_length()
+    return x.astype(np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint64), bits
 
 
 def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and where each stood.  Key and place are sorted as one number where both fit in 64 bits, which is much faster."""
+    """Sorted keys and where each stood; equal ones stay in order.  As much of a key's low end as fits in 64 bits with its place is sorted
+    as one number, which is much faster, then what is left by counting."""
     place_bits = len(key).bit_length()
-    a, a_bits = _dense((key >> np.uint64(24)).astype(np.int32))
-    b, b_bits = _dense((key & np.uint64(0xFFFFFF)).astype(np.int32))
-    if a_bits + b_bits + place_bits > 64:
-        order = np.argsort(key, kind="stable")
-    else:
-        both = (a << np.uint64(b_bits) | b) << np.uint64(place_bits) | np.arange(len(key), dtype=np.uint64)
-        both.sort()
-        order = (both & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    low = 64 - place_bits
+    both = (key << np.uint64(place_bits)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << place_bits) - 1)
+    order = both.view(np.int64)
+    top, bits = _dense(key >> np.uint64(low))
+    if bits:
+        order = order[np.argsort(top[order], kind="stable")]
     return key[order], order
 
 
@@ -140,7 +140,11 @@ def _context(gram: np.ndarray, k: int) -> np.ndarray:
 def _shard(gram: np.ndarray, k: int, shards: int) -> np.ndarray:
     """A shard for every gram of order k; grams of one context have one shard."""
     h = (_context(gram, k) + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    return np.argsort(_dense(shard)[0], kind="stable")
 
 
 def _word_shard(word: bytes, shards: int) -> int:
@@ -170,17 +174,22 @@ def _sorted_pieces(table: pa.Table) -> pa.Table:
     return table.sort_by([("id", "ascending"), ("digest", "ascending"), ("part", "ascending"), ("copies", "ascending")])
 
 
-def _words(table: pa.Table) -> tuple[list[bytes], list[int]]:
-    """Distinct words of a block in order, and how often its documents use each, copies included."""
-    found: Counter[bytes] = Counter()
-    for body, copies in zip(_texts(table), table.column("copies").to_pylist(), strict=True):
-        if copies == 1:
-            found.update(body.split())
-        else:
-            for w, n in Counter(body.split()).items():
-                found[w] += n * copies
-    words = sorted(found)
-    return words, [found[w] for w in words]
+def _words(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a block in order, the place among them of every word of its texts, and how many words each text has."""
+    texts = _texts(table)
+    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    gap = GAPS[raw]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # where words begin and end, in turn, as a gap is on both sides
+    begin, end = edge[::2], edge[1::2]
+    own = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in texts)])))
+    offsets = np.cumsum(np.r_[0, end - begin])
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~gap])]).dictionary_encode()
+    order = pc.array_sort_indices(spelled.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    _, at, letters = spelled.dictionary.take(pa.array(order)).buffers()
+    at, letters = np.frombuffer(at, np.int64)[: len(order) + 1].tolist() if len(order) else [0], letters.to_pybytes() if letters else b""
+    return [letters[a:b] for a, b in zip(at, at[1:], strict=False)], rank[spelled.indices.to_numpy()], own
 
 
 NAMED = "shard int, block int, many array<int>, names array<binary>, counts array<binary>"
@@ -206,29 +215,32 @@ def _namer(shards: int):
         if held or copies.max(initial=1) == 1:
             key.sort()
         else:
-            order = np.argsort(key)
-            key, n = key[order], np.repeat(copies, sizes)[order]
+            key, order = ordered(key)
+            n = np.repeat(copies, sizes)[order]
             del order
         for k, (gram, begin, width) in zip(reversed(ORDERS), levels(key), strict=True):
             n = np.diff(np.r_[begin, width]) if n is None else np.add.reduceat(n, begin)
             shard = _shard(gram, k, shards)
-            order = np.argsort(shard, kind="stable")
+            order = _by_shard(shard)
             for x in np.split(order, _runs(shard[order])[1:]):
                 cells.setdefault(int(shard[x[0]]), empty())[KINDS.index(k)] = (len(x), _pack(np.diff(gram[x], prepend=np.uint64(0))), b"" if held else _pack(n[x]))
-        words, many = _words(table)
+        del key, n, gram, begin, shard, order, x
+        words, place, own = _words(table)
+        many = np.bincount(place, np.repeat(copies, own), len(words)).astype(np.int64)  # whole numbers below 2^53
+        del place
+        pa.default_memory_pool().release_unused()
         for shard, x in _dealt_words(words, shards).items():
-            cells.setdefault(shard, empty())[0] = (len(x), pa.compress(b" ".join(words[i] for i in x), "zstd", asbytes=True), b"" if held else _pack(np.array([many[i] for i in x], np.int64)))
+            cells.setdefault(shard, empty())[0] = (len(x), pa.compress(b" ".join([words[i] for i in x.tolist()]), "zstd", asbytes=True), b"" if held else _pack(many[x]))
         return _rows([(shard, block, *map(list, zip(*cell, strict=True))) for shard, cell in cells.items()], NAMED)
 
     return each
 
 
-def _dealt_words(words: list[bytes], shards: int) -> dict[int, list[int]]:
+def _dealt_words(words: list[bytes], shards: int) -> dict[int, np.ndarray]:
     """Places of a block's words by shard."""
-    found: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        found.setdefault(_word_shard(w, shards), []).append(i)
-    return found
+    shard = np.fromiter((_word_shard(w, shards) for w in words), np.int32, len(words))
+    order = _by_shard(shard)
+    return {int(shard[x[0]]): x for x in np.split(order, _runs(shard[order])[1:]) if len(x)}
 
 
 def logits(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -359,19 +371,16 @@ def _scorer(docs: pa.Table, answers: pa.Table) -> pa.Table:
     many = answers.column("many").to_pylist()
     of_kind = lambda place: pc.list_element(answers.column("answers"), place).to_pylist()
     shards = int(docs.column("shards")[0].as_py())
-    words, known = _words(docs)[0], {}
-    dealt = _dealt_words(words, shards)
+    words, place, tokens = _words(docs)
+    known, dealt = np.zeros(len(words), np.int64), _dealt_words(words, shards)
     for shard, m, raw in zip(answers.column("shard").to_pylist(), many, of_kind(0), strict=True):
         if m[0]:
-            known.update(zip((words[i] for i in dealt[shard]), _unpack(raw, m[0], "<i8").tolist(), strict=True))
-    heard = {w: math.log10(c + 0.1) for w, c in known.items()}
-    tokens, seen, base = [], [], []
-    trains = not docs.column("held")[0].as_py()
-    for body in _texts(docs):
-        own = body.split()
-        tokens.append(len(own))
-        seen.append(len(own) if trains else sum(map(bool, map(known.__getitem__, own))))  # words that train are known
-        base.append(math.fsum(map(heard.__getitem__, own)))
+            known[dealt[shard]] = _unpack(raw, m[0], "<i8")
+    owner = np.repeat(np.arange(docs.num_rows), tokens)
+    seen = np.bincount(owner, known[place] > 0, docs.num_rows).astype(np.int64)
+    base = np.bincount(owner, np.log10(known + 0.1)[place], docs.num_rows)
+    del words, place, owner, known, dealt
+    pa.default_memory_pool().release_unused()
     bits = _bits(docs, {k: [np.frombuffer(pa.decompress(raw, 8 * m[i], "zstd", asbytes=True), np.uint64) for m, raw in zip(many, of_kind(i), strict=True) if m[i]] for i, k in enumerate(KINDS) if k != WORDS}, shards)
     fresh = [sum(answers.column("fresh").to_pylist())] + [0] * (docs.num_rows - 1)
     columns = [docs.column("id"), docs.column("held"), docs.column("digest"), docs.column("last"), docs.column("copies"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(np.rint(bits * FIXED).astype(np.int64)), pa.array(fresh, pa.int64())]
@@ -390,7 +399,7 @@ def _bits(docs: pa.Table, by_kind: dict[int, list[np.ndarray]], shards: int) ->
     table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k, (gram, _, _) in zip(reversed(ORDERS), levels(key), strict=True):
         own = np.empty(len(gram), np.uint64)
-        own[np.argsort(_shard(gram, k, shards), kind="stable")] = np.concatenate(by_kind.pop(k))
+        own[_by_shard(_shard(gram, k, shards))] = np.concatenate(by_kind.pop(k))
         table[k] = gram, own
     del key
     slices = doc_slices([len(x) for x in bodies], SLICE)
@@ -415,8 +424,9 @@ def _slice_bits(before: list[bytes], bodies: list[bytes], table: dict[int, tuple
     key, order = ordered(key)
     goes = goes[order]
     del order
-    values, above = np.empty((len(ORDERS), len(key)), np.uint64), []
-    for i, (k, (gram, begin, width)) in enumerate(zip(reversed(ORDERS), levels(key), strict=True)):
+    values, above, by_order = np.empty((len(ORDERS), len(key)), np.uint64), [], levels(key)
+    del key
+    for i, (k, (gram, begin, width)) in enumerate(zip(reversed(ORDERS), by_order, strict=True)):
         grams_of_block, answers = table[k]
         own = answers[np.searchsorted(grams_of_block, gram)]
         # from an order's grams to those of the next longer one, and at last to the bytes
@@ -424,6 +434,7 @@ def _slice_bits(before: list[bytes], bodies: list[bytes], table: dict[int, tuple
         for times in reversed(above):
             own = np.repeat(own, times)
         values[len(ORDERS) - 1 - i, goes] = own
+    del by_order, above, gram, begin, own, goes
     cost = mix(values, many)
     return np.bincount(owner, cost[rank], len(sizes))
 
